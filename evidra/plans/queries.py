@@ -1,4 +1,308 @@
-"""Registered queries (filled in below)."""
+"""The registered queries, each with SQL for the same rows in plans/oracle.py."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
+from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, tuning
+from evidra.plans import views
+from evidra.plans.oracle import ORACLE_SQL
+from evidra.plans.views import K_DOC, K_EVAL, THETA, TIE
+
+GATES = Thresholds(THETA, K_DOC, K_EVAL, TIE)
+BASE = BaselineThresholds(0.3537, 1e-6, 0.2531, 0.0913)
+PLACES = 6
+
+
+def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
+    """Doubles to a few digits: sums of doubles depend on the order of their terms."""
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _claims(spark, d):
+    return views.claims(spark, d)
+
+
+def _evidence(spark, d):
+    return views.evidence(spark, d)
+
+
+def _results(spark, d) -> DataFrame:
+    return fusion.run_pipeline(_claims(spark, d), _evidence(spark, d), GATES)
+
+
+def _labelled(spark, d) -> DataFrame:
+    return _results(spark, d).withColumn("predicted", metric_label(F.col("primary_state")))
+
+
+MASSES = ["m_support", "m_refute", "m_theta"]
+
+
+def discount_projection(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fusion.masses(_evidence(spark, d)).select("claim_id", "doc_id", "evaluator", *MASSES))
+
+
+def doc_fusion(spark, d):
+    return rounded(fusion.fuse_documents(_evidence(spark, d)).select("claim_id", "evaluator", *MASSES, "k_doc", "n_docs"))
+
+
+def k_doc_trace(spark, d):
+    t = fusion.trace(_evidence(spark, d))
+    return rounded(t.select("claim_id", "evaluator", F.size("steps").cast("long").alias("n_steps"), *MASSES, F.coalesce(F.try_element_at("steps", F.lit(1))["conflict"], F.lit(0.0)).alias("first_conflict")), 8)
+
+
+def evaluator_fusion(spark, d):
+    return rounded(fusion.fuse_evaluators(fusion.fuse_documents(_evidence(spark, d))).select("claim_id", *MASSES, "k_doc", "k_eval", "n_evaluators"))
+
+
+def pipeline_diagnostics(spark, d):
+    cols = ["claim_id", "status", *MASSES, "k_doc", "k_eval", "region", "verdict", "primary_state", "evidence_insufficient", "document_conflict", "evaluator_disagreement", "gold_state"]
+    return rounded(_results(spark, d).select(*cols))
+
+
+def pipeline_summary(spark, d):
+    return fusion.summarise(_results(spark, d))
+
+
+def selective_confidence(spark, d):
+    df = _labelled(spark, d)
+    return rounded(df.select("claim_id", "predicted", fused_confidence(F.col("predicted"), *map(F.col, MASSES), F.col("k_doc")).alias("confidence")))
+
+
+def integrity_violations(spark, d):
+    """Over the relations less every seventh document's second evaluator, with claims of order numbers by 11 unknown."""
+    relations = _evidence(spark, d).filter(~((F.col("evaluator") == "e2") & (F.col("claim_id") % 7 == 0) & (F.col("doc_id") == 1)))
+    claims = _claims(spark, d).filter("claim_id % 11 <> 0")
+    return integrity.violations(claims, views.contexts(spark, d), relations)
+
+
+def first_n_documents(spark, d):
+    return integrity.first_documents(views.contexts(spark, d).select("sample_id", "doc_id", "pos"), 2).select("sample_id", "doc_id")
+
+
+def _baseline(method):
+    def run(spark, d):
+        scores = {"weighted_average": baselines.weighted_scores, "conflict_aware": baselines.weighted_scores, "majority_vote": baselines.vote_scores, "single_evaluator": lambda e: baselines.single_scores(e, "e1")}[method]
+        df = baselines.decide(_claims(spark, d), scores(_evidence(spark, d)), method, BASE)
+        return rounded(df.select("claim_id", *baselines.SCORES, "state", "reason", "confidence", "input_count"))
+
+    return run
+
+
+def baseline_summary(spark, d):
+    df = baselines.run_baselines(_claims(spark, d), _evidence(spark, d), BASE, "e1")
+    return df.groupBy("method", "state", "reason").agg(F.count("*").alias("n"))
+
+
+STAT = ["score_support", "score_refute", "score_unknown", "conflict_sr_std", "conflict_max_product", "conflict_doc_count", "insufficiency_mean", "insufficiency_uprod"]
+
+
+def stat_gate_scores(spark, d):
+    return rounded(baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d)).select("claim_id", *STAT))
+
+
+def stat_gate_decisions(spark, d):
+    df = baselines.stat_gate_decisions(baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d)), Thresholds(0.4137, 0.1713))
+    return df.groupBy("method", F.coalesce("state", F.lit("undetermined")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def confusion_matrix(spark, d):
+    return metrics.confusion(_labelled(spark, d), [])
+
+
+def class_metrics(spark, d):
+    return rounded(metrics.class_metrics(_labelled(spark, d), []).select("label", "support", "predicted", "tp", "precision", "recall", "f1"))
+
+
+def classification_report(spark, d):
+    return rounded(metrics.classification_report(_labelled(spark, d).withColumn("method", F.lit("ds")), ["method"]))
+
+
+def _detection_rows(spark, d):
+    df = _results(spark, d)
+    each = F.array(
+        F.struct(F.lit("k_doc").alias("name"), F.round("k_doc", 9).alias("score"), (F.col("gold_state") == "conflicting").cast("int").alias("positive")),
+        F.struct(F.lit("m_theta").alias("name"), F.round("m_theta", 9).alias("score"), (F.col("gold_state") == "insufficient").cast("int").alias("positive")),
+    )
+    return df.select(F.explode(each).alias("x")).select("x.*")
+
+
+def detection_report(spark, d):
+    return rounded(metrics.detection_report(_detection_rows(spark, d), ["name"]))
+
+
+def detection_proxies(spark, d):
+    """AUROC of the seven conflict and three insufficiency proxies."""
+    s = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d))
+    a, b = F.col("score_support"), F.col("score_refute")
+    conflict = {"one_minus_abs_margin": 1 - F.abs(a - b), "min_mean": F.least(a, b), "mean_product": a * b, "max_product": F.col("conflict_max_product"), "min_max": F.col("min_max"), "sr_std": F.col("conflict_sr_std"), "document_count": F.col("document_count").cast("double")}
+    thin = {"mean_unknown": F.col("score_unknown"), "min_unknown": F.col("min_unknown"), "unknown_product": F.col("insufficiency_uprod")}
+    cell = lambda n, x, gold: F.struct(F.lit(n).alias("name"), F.round(x, 9).alias("score"), (F.col("gold_state") == gold).cast("int").alias("positive"))
+    cells = F.array(*(cell(n, x, "conflicting") for n, x in conflict.items()), *(cell(n, x, "insufficient") for n, x in thin.items()))
+    return rounded(metrics.detection_report(s.select(F.explode(cells).alias("x")).select("x.*"), ["name"]).select("name", "auroc"))
+
+
+def auroc_by_doc_count(spark, d):
+    docs = views.contexts(spark, d).groupBy("sample_id").agg(F.count("*").alias("documents"))
+    rows = _results(spark, d).join(docs, "sample_id").select("documents", F.round("k_doc", 9).alias("score"), (F.col("gold_state") == "conflicting").cast("int").alias("positive"))
+    return rounded(metrics.detection_report(rows, ["documents"]).filter("n >= 40 AND positives >= 8 AND n - positives >= 8").select("documents", "auroc", "n"))
+
+
+def observed_grid(spark, d):
+    return rounded(tuning.observed_grid(_results(spark, d).withColumn("m_theta", F.round("m_theta", 9)), "m_theta", 9).select(F.col("i").cast("long").alias("i"), "value"))
+
+
+GRID = ([0.1531, 0.2371, 0.3313], [0.1917, 0.3137, 0.4519])
+
+
+def ds_threshold_search(spark, d):
+    df = _results(spark, d)
+    return rounded(tuning.search_gates(df, tuning.gate_grid(*GRID, df), []).select("theta", "conflict", "accuracy", "macro_f1"))
+
+
+def baseline_threshold_search(spark, d):
+    df = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE)
+    return rounded(tuning.search_decisions(df, [], decisions=[0.3137, 0.3537, 0.3937, 0.4337]).select("decision", "macro_f1", "plateau"))
+
+
+def ablation(spark, d):
+    return rounded(experiments.ablation(_results(spark, d), GATES))
+
+
+def reliability_sweep(spark, d):
+    return rounded(experiments.reliability_sweep(_claims(spark, d), _evidence(spark, d), [0.25, 0.5, 0.75, 1.0], GATES))
+
+
+def verdict_scores(spark, d):
+    return rounded(experiments.verdict_scores(_claims(spark, d), _evidence(spark, d)).groupBy("method", "label").agg(F.count("*").alias("n"), F.avg("margin").alias("mean_margin")))
+
+
+def stratified_folds(spark, d):
+    return experiments.stratified_folds(_claims(spark, d), 5).select("claim_id", F.col("fold").cast("long").alias("fold"))
+
+
+def nested_cv(spark, d):
+    df = experiments.stratified_folds(_results(spark, d), 3).withColumns({c: F.round(c, 9) for c in ("m_theta", "k_doc")})
+    return rounded(metrics.classification_report(experiments.nested_cv(df, 3, 3), ["fold"]).select(F.col("fold").cast("long").alias("fold"), "accuracy", "macro_f1", "n"))
+
+
+def _risk_rows(spark, d):
+    df = _labelled(spark, d)
+    sure = fused_confidence(F.col("predicted"), *map(F.col, MASSES), F.col("k_doc"))
+    return df.select(F.lit("ds").alias("method"), F.round(1 - sure, 9).alias("risk_score"), F.col("claim_id").alias("order_key"), (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct"))
+
+
+def risk_coverage(spark, d):
+    return rounded(metrics.risk_coverage(_risk_rows(spark, d), ["method"]))
+
+
+def aurc(spark, d):
+    return rounded(metrics.aurc(_risk_rows(spark, d), ["method"]))
+
+
+def paired_bootstrap(spark, d):
+    """Fusion against the weighted average on the claims of the first 400 order numbers: an evaluation set, as the draws
+    are made on the driver."""
+    ds = _labelled(spark, d).select("claim_id", (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct_a"))
+    wa = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE).select("claim_id", (F.col("state") == F.col("gold_state")).cast("int").alias("correct_b"))
+    paired = ds.join(wa, "claim_id").filter("claim_id < 400").withColumnRenamed("claim_id", "idx")
+    return rounded(experiments.bootstrap_accuracy(paired, experiments.resample_table(spark, 400, 500, 42)))
+
+
+def label_calibration(spark, d):
+    """What the majority vote of the second evaluator means in the first one's probabilities."""
+    from evidra.functions.gating import vote
+
+    e = _evidence(spark, d)
+    label = vote(F.col("p_support"), F.col("p_refute"), F.col("p_unknown"))
+    judged = e.filter("evaluator = 'e2'").select("claim_id", "doc_id", label.alias("label"), F.col("doc_reliability").alias("weight"))
+    return rounded(datasets.calibrate_labels(judged.join(e.filter("evaluator = 'e1'").select("claim_id", "doc_id", "p_support", "p_refute", "p_unknown"), ["claim_id", "doc_id"])))
+
+
+def relation_comparison(spark, d):
+    """Detection of the relation that the first evaluator is sure of, by the second one's probability."""
+    e = _evidence(spark, d)
+    gold = datasets_argmax(e.filter("evaluator = 'e1'")).select("claim_id", "doc_id", "top")
+    other = e.filter("evaluator = 'e2'").select("claim_id", "doc_id", *(F.round(c, 9).alias(c) for c in ("p_support", "p_refute", "p_unknown")))
+    both = other.join(gold.filter("top IS NOT NULL"), ["claim_id", "doc_id"])
+    cells = F.array(*(F.struct(F.lit(k).alias("relation"), F.col(f"p_{k}").alias("score"), (F.col("top") == k).cast("int").alias("positive")) for k in ("support", "refute", "unknown")))
+    return rounded(metrics.detection_report(both.select(F.explode(cells).alias("x")).select("x.*"), ["relation"]).select("relation", "auroc", "positives", "n"))
+
+
+def datasets_argmax(df: DataFrame) -> DataFrame:
+    """top: the relation whose probability leads by more than 1e-9, else null."""
+    p = {k: F.col(f"p_{k}") for k in ("support", "refute", "unknown")}
+    best = F.greatest(*p.values())
+    near = sum((best - x <= 1e-9).cast("int") for x in p.values())
+    top = F.when(near > 1, None)
+    for k, x in p.items():
+        top = top.when(best - x <= 1e-9, k)
+    return df.withColumn("top", top)
+
+
+def vote_distribution(spark, d):
+    """Line items as votes on their order: flags A, R and N support, refute and give no information."""
+    kind = F.when(F.col("l_returnflag") == "A", "supports").when(F.col("l_returnflag") == "R", "refutes").otherwise("not_enough_info")
+    votes = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), kind.alias("vote"))
+    return rounded(datasets.vote_distribution(votes, ["claim_id"]))
+
+
+def entropy_reliability(spark, d):
+    p = [F.col(c) for c in ("p_support", "p_refute", "p_unknown")]
+    return rounded(_evidence(spark, d).select("claim_id", "doc_id", "evaluator", datasets.entropy_reliability(p).alias("reliability")))
+
+
+def claim_dedup(spark, d):
+    return datasets.dedup_first(views.table(spark, d, "documents"), "text", "doc_id").select("doc_id", "copies")
+
+
+def passage_windows(spark, d):
+    w = datasets.windows(views.table(spark, d, "documents"), "doc_id", "text")
+    return w.select("doc_id", F.col("passage").cast("long").alias("passage"), F.col("start").cast("long").alias("start"), F.md5("text").alias("text_md5"))
+
+
+def passage_tfidf_top1(spark, d):
+    """Of each document the window nearest to its benchmark item (by id, modulo 40)."""
+    docs = datasets.windows(views.table(spark, d, "documents"), "doc_id", "text").withColumn("query_id", F.col("doc_id") % 40)
+    asked = views.table(spark, d, "benchmark").filter("item_id < 40").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(datasets.best_passage(asked, docs.join(asked.select("query_id"), "query_id", "left_semi")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score"))
+
+
+def url_domain(spark, d):
+    return views.table(spark, d, "pages").select("page_id", datasets.domain(F.col("url")).alias("domain"))
+
+
+def credibility_join(spark, d):
+    pages = views.table(spark, d, "pages").select("page_id", datasets.domain(F.col("url")).alias("domain"))
+    media = spark.createDataFrame([("example.com", "high"), ("site1.example", "medium"), ("site2.example", "low"), ("example.org", "medium")], "domain string, credibility string")
+    return rounded(datasets.credibility(pages, media, {"high": 1.0, "medium": 0.6, "low": 0.2}, 0.5).groupBy("credibility", "reliability").agg(F.count("*").alias("n")))
+
+
+def reliability_estimate(spark, d):
+    """An evaluator's reliability from the AUROC of its mean support and refutation by sample: clip(2 * mean - 1)."""
+    by = _evidence(spark, d).groupBy("evaluator", "sample_id").agg(F.round(F.avg("p_support"), 9).alias("s"), F.round(F.avg("p_refute"), 9).alias("r"))
+    rows = by.join(_claims(spark, d).select("sample_id", "gold_state"), "sample_id")
+    cells = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("score"), (F.col("gold_state") == k).cast("int").alias("positive")) for k, c in (("supported", "s"), ("refuted", "r"))))
+    report = metrics.detection_report(rows.select("evaluator", F.explode(cells).alias("x")).select("evaluator", "x.*"), ["evaluator", "side"])
+    return rounded(report.groupBy("evaluator").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.avg("auroc") - 1)).alias("reliability"), F.avg("auroc").alias("mean_auroc")))
+
+
+def _named(f, name):
+    f.__name__ = name
+    return f
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        discount_projection, doc_fusion, k_doc_trace, evaluator_fusion, pipeline_diagnostics, pipeline_summary, selective_confidence, integrity_violations, first_n_documents,
+        *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
+        confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search,
+        ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, risk_coverage, aurc, paired_bootstrap, label_calibration, relation_comparison, vote_distribution,
+        entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, url_domain, credibility_join, reliability_estimate,
+    )
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -50,8 +50,8 @@ def detection_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     f1 = 2 * F.col("tp") / (F.col("at") + F.col("all_p"))
     both = (F.max("all_p") > 0) & (F.max("all_p") < F.max("all_n"))
     out = cum.withColumns({"beaten": beaten, "f1": f1}).groupBy(*keys).agg(
-        F.when(both, F.sum("beaten") / (F.max("all_p") * (F.max("all_n") - F.max("all_p")))).alias("auroc"),
-        F.when(both, F.sum(F.col("p") / F.col("all_p") * F.col("tp") / F.col("at"))).alias("average_precision"),
+        F.try_divide(F.sum("beaten"), F.max("all_p") * (F.max("all_n") - F.max("all_p"))).alias("auroc"),
+        F.when(both, F.sum(F.try_divide(F.col("p") * F.col("tp"), F.col("all_p") * F.col("at")))).alias("average_precision"),
         F.max(F.struct(F.col("f1"), (-F.col("score")).alias("neg"))).alias("_best"), F.max("all_p").alias("positives"), F.max("all_n").alias("n"),
     )
     return out.withColumns({"best_f1": F.col("_best.f1"), "best_threshold": -F.col("_best.neg")}).drop("_best")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def dropped(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the driver find the shuffles that no plan needs any more, so that their files go before the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_hash_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

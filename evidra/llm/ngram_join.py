@@ -7,11 +7,11 @@ every pair of tokens of one class is a signature. A class with c tokens in a pre
 shared without a common pair, so it covers c - 1 places; prefixes are extended until they cover one place more than
 the tokens that a set may miss in a partner. Sets near a power of two in size take part at two sizes.
 
-Signatures that several sets share give candidates, which are verified on the whole sets. In small groups all pairs of
-compatible size are taken once, a bitmap bounds their difference, and the rest is intersected. Large groups, as of
-thousands of near copies, are joined to neighbourhoods, cut into blocks of bounded size, and each pair of blocks reports
-a spanning forest of its links: no link between components is lost and no list of all pairs is made. Links become
-components by star contraction.
+Signatures that several sets share give candidates. In small groups all pairs of compatible size are taken once, and a
+bitmap that bounds their difference drops most that don't link. In large groups, as of thousands of near copies, only
+neighbours in size are chained. What hangs together so is a neighbourhood; it is cut into blocks of bounded size, each
+pair of blocks is verified on the whole sets and reports a spanning forest of its links: no link between components is
+lost and no list of all pairs is made. Links become components by star contraction.
 
 Which tokens are frequent only steers the work: any choice gives the same links. It is counted over all texts, and at
 most MAX_FREQUENT tokens are broadcast.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import dropped, steps, strings, written
+from evidra.llm._shared import dropped, released, steps, strings, written
 from evidra.llm.components import components
 
 #: A token of at least FREQUENT distinct sets is frequent, if it was in LOCAL sets of one batch.
@@ -55,9 +55,12 @@ def tokens(text: str, width: int) -> np.ndarray:
     memo = _MEMO
     if len(memo) > MEMO_WORDS:
         memo.clear()
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    a = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    digests = list(map(memo.get, words))
+    if None in digests:
+        for i, w in enumerate(words):
+            if digests[i] is None:
+                digests[i] = memo[w] = xxhash.xxh3_64_intdigest(w)
+    a = np.array(digests, np.uint64)
     n = min(width, len(a))
     if not n:
         return a
@@ -84,6 +87,12 @@ def prefix_signatures(t: np.ndarray, percent: int, frequent: np.ndarray, rank: n
     if n < least_size(percent):
         return np.empty(0, np.uint64)
     miss = (100 - percent) * n // 100
+    head = t[: 2 * (miss + 1)]
+    if len(frequent):
+        # mostly the prefix is rare tokens, found without a look at the rest
+        head = head[frequent[np.minimum(np.searchsorted(frequent, head), len(frequent) - 1)] != head]
+    if len(head) > miss:
+        return head[: miss + 1]
     at = np.searchsorted(frequent, t)
     at[at == len(frequent)] = 0
     common = frequent[at] == t if len(frequent) else np.zeros(n, bool)
@@ -119,12 +128,22 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def bitmap(t: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens that fall on each bit; two sets differ in a token at least for each bit that
+    their bitmaps differ in."""
+    bits = np.bincount(((t >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int):
-    """Rows (kind 0: doc_id, its set's name and size; kind 1: a token and the number of sets in the batch with it)."""
+    """Rows (kind 0: doc_id, its set's name, size and bitmap; kind 1: a token and the number of sets in the batch with
+    it)."""
+
+    columns = ["kind", "id", "name", "n", "bitmap"]
 
     def run(batches):
         for batch in batches:
-            ids, names, sizes, seen, held = batch.column(0), [], [], {}, 0
+            ids, names, sizes, maps, seen, held = batch.column(0), [], [], [], {}, 0
             counts: list[np.ndarray] = []
 
             def flush():
@@ -139,6 +158,7 @@ def _sets(width: int):
                     name = set_name(t)
                     names.append(name)
                     sizes.append(len(t))
+                    maps.append(bitmap(t))
                     if name not in seen and len(t):
                         seen[name] = t
                         held += len(t)
@@ -146,10 +166,10 @@ def _sets(width: int):
                             flush()
                             held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(names), pa.int32()), ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "id", "name", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(names), pa.int32()), ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], columns)
             for token, n in counts:
                 k = len(token)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(_signed(token)), pa.array([0] * k, pa.int64()), pa.array(n, pa.int64())], ["kind", "id", "name", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(_signed(token)), pa.array([0] * k, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.list_(pa.int64()))], columns)
 
     return run
 
@@ -180,17 +200,15 @@ def _signatures(width: int, percent: int, shared):
 
 
 def _tokens(width: int):
+    """(root, block, name, tokens); a row whose id has another text of that name is left out."""
+
     def run(batches):
         for batch in batches:
             for part in steps(batch):
-                names, sets, maps = [], [], []
-                for text in strings(part.column(0)):
-                    t = tokens(text, width)
-                    names.append(set_name(t))
-                    sets.append(_signed(t))
-                    bits = np.bincount(((t >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-                    maps.append(_signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["name", "tokens", "bitmap"])
+                sets = [tokens(text, width) for text in strings(part.column(3))]
+                own = [set_name(t) == name for t, name in zip(sets, part.column(2).to_pylist(), strict=True)]
+                kept = part.filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([_signed(t) for t, k in zip(sets, own, strict=True) if k], pa.list_(pa.int64()))], ["root", "block", "name", "tokens"])
 
     return run
 
@@ -222,7 +240,7 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     overlap = np.zeros((n, n), np.float32)
     by = np.argsort(code, kind="stable")
     code, owner = code[by], owner[by]
-    width = max(256, 4_000_000 // max(n, 1))
+    width = min(max(256, 4_000_000 // max(n, 1)), int(code[-1]) + 1 if len(code) else 1)
     for begin in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, [begin, begin + width])
         part = np.zeros((n, width), np.float32)
@@ -247,18 +265,12 @@ def _compatible(small: Column, large: Column, percent: int) -> Column:
     return small * 100 >= large * percent
 
 
-def _selected(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids (doc_id): by broadcast behind a check of its size, else by a shuffle."""
-    few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): texts link when percent or more of the union of their
     sets of n-grams of width words is shared; component_id is the least id that links reach."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(width), "kind int, id long, name long, n long"), "sets")
+    sets = written(rows.mapInArrow(_sets(width), "kind int, id long, name long, n long, bitmap array<long>"), "sets")
     documents = sets.filter("kind = 0").select(F.col("id").alias("doc_id"), "name", "n")
     common = sets.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toArrow()
     frequent, times = common.column("id").to_numpy().view(np.uint64), common.column("n").to_numpy()
@@ -269,6 +281,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     group = Window.partitionBy("sig")
     met = signatures.repartition("sig").dropDuplicates(["sig", "name"]).withColumn("size", F.count("*").over(group)).filter("size > 1")
     met = written(met, "signatures")
+    del signatures
+    released(spark)
 
     # small groups: each pair once
     small = met.filter(F.col("size") <= SMALL_GROUP)
@@ -281,34 +295,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     by_size = Window.partitionBy("sig").orderBy("n", "name")
     chained = met.filter(F.col("size") > SMALL_GROUP).select("name", "n", F.lag("name").over(by_size).alias("last"), F.lag("n").over(by_size).alias("last_n"))
     chained = chained.filter(_compatible(F.col("last_n"), F.col("n"), percent)).select("name", "last").distinct()
-    hoods = written(components(chained, "name", "last", "hoods"), "hoods")
-
-    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(hoods.select("node")).distinct()
-    holders = documents.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(wanted, "name", "left_semi").select("doc_id").distinct()
-    whole = _selected(rows, holders).select("text").mapInArrow(_tokens(width), "name long, tokens array<long>, bitmap array<long>")
-    whole = written(whole.dropDuplicates(["name"]), "tokens")
-
-    maps = whole.select("name", "bitmap")
+    # a bitmap bounds the difference of a pair: |a| + |b| - 2i tokens at most, with i the least overlap that links
+    maps = sets.filter("kind = 0").join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
     differ = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    # |a| + |b| - 2i differ at most, with i the least overlap that links
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     close = pairs.join(maps.select(F.col("name").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("name").alias("b"), F.col("bitmap").alias("mb")), "b")
-    close = close.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
-    texts = whole.select("name", "tokens")
-    close = close.join(texts.select(F.col("name").alias("a"), F.col("tokens").alias("ta")), "a").join(texts.select(F.col("name").alias("b"), F.col("tokens").alias("tb")), "b")
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    links = close.withColumn("i", overlap).filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
-
-    # blocks of large neighbourhoods, by size, and their pairs
-    members = hoods.select(F.col("node").alias("name"), "root").join(met.filter(F.col("size") > SMALL_GROUP).select("name", "n").distinct(), "name")
+    close = written(close.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb"), "close")
+
+    # what may link is gathered in neighbourhoods, and these are cut into blocks by size
+    edges = close.select("a", "b").unionByName(chained.select(F.col("name").alias("a"), F.col("last").alias("b")))
+    hoods = components(edges, "a", "b", "hoods").select(F.col("node").alias("name"), "root")
     running = Window.partitionBy("root").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = written(members.withColumn("block", F.floor(F.sum("n").over(running) / BLOCK_TOKENS)), "members")
+    holders = documents.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"))
+    members = written(hoods.join(holders, "name").withColumn("block", F.floor(F.sum("n").over(running) / BLOCK_TOKENS)), "members")
     blocks = members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = blocks.select("root", F.col("block").alias("i"), F.col("high")), blocks.select("root", F.col("block").alias("j"), F.col("low"))
     cells = left.join(right, "root").filter((F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & _compatible(F.col("high"), F.col("low"), percent))).select("root", "i", "j")
     cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    placed = members.select("root", "block", "name").join(cells, ["root", "block"]).join(texts, "name").select("root", "i", "j", "name", "tokens")
-    links = links.unionByName(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"))
+
+    # each set goes once to every cell of its block; a cell reports a spanning forest of its links
+    few = members.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    held = members.select("root", "block", "name", F.col("doc_id").alias("holder"))
+    placed = rows.join(F.broadcast(held) if few else held, rows["doc_id"].eqNullSafe(F.col("holder"))).select("root", "block", "name", "text")
+    placed = placed.mapInArrow(_tokens(width), "root long, block long, name long, tokens array<long>")
+    placed = placed.join(cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
+    links = written(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
+    del placed
+    dropped(pairs, close, members, met)
+    released(spark)
 
     joined = components(links, "a", "b", "components")
     first = documents.groupBy("name").agg(F.min("doc_id").alias("first"))
@@ -317,7 +331,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = joined.join(several, "root").select(F.col("node").alias("name"), "least")
     named = first.join(several, "name", "left").select("name", F.coalesce("least", "first").alias("component_id"))
     named = written(named, "named")
-    dropped(pairs, hoods, whole, members, met)
     return documents.join(named, "name").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

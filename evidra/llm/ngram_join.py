@@ -38,8 +38,8 @@ from evidra.llm.components import components
 FREQUENT, LOCAL, MAX_FREQUENT = 12, 3, 500_000
 #: Sets that share a signature up to which all pairs are taken.
 SMALL_GROUP = 24
-#: Tokens in a block of a large group.
-BLOCK_TOKENS = 400_000
+#: Tokens and sets in a block of a neighbourhood.
+BLOCK_TOKENS, BLOCK_SETS = 1_200_000, 1_500
 #: Ids that are broadcast to select documents (8 bytes each); beyond, the selection is a shuffled join.
 MAX_BROADCAST = 1_000_000
 BITMAP_WORDS = 16
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hoods = components(edges, "a", "b", "hoods").select(F.col("node").alias("name"), "root")
     running = Window.partitionBy("root").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     holders = documents.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"))
-    members = written(hoods.join(holders, "name").withColumn("block", F.floor(F.sum("n").over(running) / BLOCK_TOKENS)), "members")
+    members = written(hoods.join(holders, "name").withColumn("block", F.floor(F.greatest(F.sum("n").over(running) / BLOCK_TOKENS, F.count("*").over(running) / BLOCK_SETS))), "members")
     blocks = members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = blocks.select("root", F.col("block").alias("i"), F.col("high")), blocks.select("root", F.col("block").alias("j"), F.col("low"))
     cells = left.join(right, "root").filter((F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & _compatible(F.col("high"), F.col("low"), percent))).select("root", "i", "j")
@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = members.select("root", "block", "name", F.col("doc_id").alias("holder"))
     placed = rows.join(F.broadcast(held) if few else held, rows["doc_id"].eqNullSafe(F.col("holder"))).select("root", "block", "name", "text")
     placed = placed.mapInArrow(_tokens(width), "root long, block long, name long, tokens array<long>")
-    placed = placed.join(cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
+    small_table = cells.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    placed = placed.join(F.broadcast(cells) if small_table else cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
     links = written(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
     del placed
     dropped(pairs, close, members, met)

@@ -114,7 +114,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = min(1024, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    rows = rows.withColumn("bucket", F.coalesce(_bucket(F.col("doc_id"), bounds), F.lit(0)))
+    rows = rows.withColumn("bucket", F.coalesce(_bucket(F.col("doc_id"), bounds), F.lit(0)).cast("int"))
     # one row a bucket: the head is the largest id; bucket 0 without ids is led by null
     heads = sorted(map(tuple, rows.groupBy("bucket").agg(F.max("doc_id"), F.count("*")).collect()), reverse=True)
     rows = rows.withColumn("ghost", F.lit(False))
@@ -125,7 +125,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ghosts = rows.join(F.broadcast(links), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("bucket") == F.col("own")))
     ghosts = ghosts.select(F.col("above").alias("bucket"), F.lit(True).alias("ghost"), "doc_id", "text")
     both = rows.select("bucket", "ghost", "doc_id", "text").unionByName(ghosts)
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    # bucket k is partition k: hashing the few buckets would put several of them into one task
+    return both.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
 
 
 def edited(text: str, following: str) -> str:

@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic"
     sample = sample_of(labels, column, learn, max_fit)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "label", "text")
     rows = rows.mapInArrow(_rows, "place long, label int, features binary")
-    found = rows.coalesce(1).sortWithinPartitions("place", "features").mapInArrow(_train, "i int, w double").toArrow()
+    # only the sample's features meet in one task; coalesce(1) would draw the scan of all documents into it
+    found = rows.repartition(1).sortWithinPartitions("place", "features").mapInArrow(_train, "i int, w double").toArrow()
     index, weight = found.column("i").to_numpy(), found.column("w").to_numpy()
     if len(index) > MAX_WEIGHTS:
         raise ValueError(f"{len(index)} weights are too many to broadcast; raise l1")

@@ -123,9 +123,12 @@ def _count(batches):
 def fit(docs: DataFrame, learn: Column, per_language: int = 1000, max_languages: int = 100) -> LanguageModel:
     """A model from the rows of docs (doc_id, text, lang) for which learn holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    # the lowest hashes of a language, a few more than are taken: so the window never meets a whole language
+    enough = per_language + 10 * per_language**0.5 + 50
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, enough / r["count"]))) for r in common), F.lit(-1.0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    ids = rows.filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     found = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n")).collect()
     languages = tuple(sorted({r[0] for r in found}))

@@ -9,7 +9,8 @@ the tokens that a set may miss in a partner. Sets near a power of two in size ta
 
 Signatures that several sets share give candidates. In small groups all pairs of compatible size are taken once, and a
 bitmap that bounds their difference drops most that don't link. In large groups, as of thousands of near copies, only
-neighbours in size are chained. What hangs together so is a neighbourhood; it is cut into blocks of bounded size, each
+neighbours in size are chained; what hangs together so is split by comparing bitmaps in blocks, which report a spanning
+forest of what is close. Close sets that hang together are a neighbourhood; it is cut into blocks of bounded size, each
 pair of blocks is verified on the whole sets and reports a spanning forest of its links: no link between components is
 lost and no list of all pairs is made. Links become components by star contraction.
 
@@ -38,11 +39,12 @@ from evidra.llm.components import components
 FREQUENT, LOCAL, MAX_FREQUENT = 12, 3, 500_000
 #: Sets that share a signature up to which all pairs are taken.
 SMALL_GROUP = 24
-#: Tokens and sets in a block of a neighbourhood.
-BLOCK_TOKENS, BLOCK_SETS = 1_200_000, 1_500
+#: Tokens and sets in a block of a neighbourhood, and tokens behind the bitmaps in a block (a bit for one or two).
+BLOCK_TOKENS, BLOCK_SETS, BITMAP_TOKENS = 1_200_000, 1_500, 24_000_000
 #: Ids that are broadcast to select documents (8 bytes each); beyond, the selection is a shuffled join.
 MAX_BROADCAST = 1_000_000
-BITMAP_WORDS = 16
+#: Bits of the least bitmap, and those compared at once.
+LEAST_BITS, STEP_BITS = 1024, 2048
 MEMO_WORDS = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
@@ -130,9 +132,18 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 def bitmap(t: np.ndarray) -> np.ndarray:
     """The parity of the number of tokens that fall on each bit; two sets differ in a token at least for each bit that
-    their bitmaps differ in."""
-    bits = np.bincount(((t >> np.uint64(17)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    their bitmaps differ in. Its length is a power of two, half the set's size or more; halves can be folded by XOR."""
+    bits = max(LEAST_BITS, 1 << (max(len(t) - 1, 0) // 2).bit_length())
+    odd = np.bincount(((t >> np.uint64(17)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows), at the length of so many words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
 def _sets(width: int):
@@ -213,20 +224,48 @@ def _tokens(width: int):
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of a symmetric boolean matrix, by breadth-first search over its rows."""
+    n, found = len(linked), []
+    free = np.ones(n, bool)
+    for start in range(n):
+        if not free[start]:
+            continue
+        free[start] = False
+        queue = [start]
+        for u in queue:
+            new = np.nonzero(linked[u] & free)[0]
+            free[new] = False
+            found.extend((u, v) for v in new.tolist())
+            queue.extend(new.tolist())
+    return found
+
+
+def close_bitmaps(maps: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and bitmaps allow a link. Bits that differ are counted by products."""
+    n, words = len(maps), np.array([len(m) for m in maps])
+    close = np.zeros((n, n), bool)
+    classes = np.unique(words)
+    for k, few in enumerate(classes):
+        x = np.nonzero(words == few)[0]
+        for many in classes[k:]:
+            y = np.nonzero(words == many)[0]
+            if sizes[x].max() * 100 < percent * sizes[y].min():
+                continue
+            left = np.stack([maps[i] for i in x])
+            right = folded(np.stack([maps[i] for i in y]), few)
+            agree = np.zeros((len(x), len(y)), np.float32)
+            for begin in range(0, few, STEP_BITS // 64):
+                p, q = (np.unpackbits(np.ascontiguousarray(m[:, begin : begin + STEP_BITS // 64]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1 for m in (left, right))
+                agree += p @ q.T
+            differ = (few * 64 - agree) / 2
+            na, nb = sizes[x][:, None], sizes[y][None, :]
+            least = -(-(na + nb) * percent // (100 + percent))
+            near = (differ <= na + nb - 2 * least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            close[np.ix_(x, y)] = near
+            close[np.ix_(y, x)] = near.T
+    np.fill_diagonal(close, False)
+    return spanning_forest(close)
 
 
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -247,16 +286,26 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part[owner[a:b], code[a:b] - begin] = 1
         overlap += part @ part.T
     total = sizes[:, None] + sizes[None, :]
-    linked = np.triu(100 * overlap >= percent * (total - overlap), 1)
-    forest = _Forest(n)
-    return [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if forest.join(i, j)]
+    linked = 100 * overlap >= percent * (total - overlap)
+    np.fill_diagonal(linked, False)
+    return spanning_forest(linked)
+
+
+def _named(names: pd.Series, found: list[tuple[int, int]]) -> pd.DataFrame:
+    names = names.to_numpy()
+    return pd.DataFrame({"a": names[[i for i, _ in found]].astype(np.int64), "b": names[[j for _, j in found]].astype(np.int64)})
 
 
 def _block(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf["name"].to_numpy()
-        found = block_links([np.asarray(t) for t in pdf["tokens"]], percent)
-        return pd.DataFrame({"a": names[[i for i, _ in found]].astype(np.int64), "b": names[[j for _, j in found]].astype(np.int64)})
+        return _named(pdf["name"], block_links([np.asarray(t) for t in pdf["tokens"]], percent))
+
+    return run
+
+
+def _bitmap_block(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _named(pdf["name"], close_bitmaps([np.asarray(m) for m in pdf["bitmap"]], pdf["n"].to_numpy(), percent))
 
     return run
 
@@ -265,6 +314,29 @@ def _compatible(small: Column, large: Column, percent: int) -> Column:
     return small * 100 >= large * percent
 
 
+def _differ(few: Column, many: Column) -> Column:
+    """The bits that two bitmaps differ in. many may be twice as long; for other lengths, as occur below 50 percent, 0."""
+    half = F.size(many) / 2
+    fold = F.zip_with(F.slice(many, 1, half.cast("int")), F.slice(many, half.cast("int") + 1, half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fitted = F.when(F.size(few) == F.size(many), many).when(F.size(few) == half, fold).otherwise(few)
+    return F.aggregate(F.zip_with(few, fitted, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
+def _in_blocks(members: DataFrame, most_tokens: int) -> DataFrame:
+    """members (root, name, n, ..) with a block: sets of a root in order of size, cut by tokens and number."""
+    running = Window.partitionBy("root").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return members.withColumn("block", F.floor(F.greatest(F.sum("n").over(running) / most_tokens, F.count("*").over(running) / BLOCK_SETS)))
+
+
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """(root, i, j, block): each pair i <= j of a root's blocks whose sizes allow a link, once for either block."""
+    blocks = members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = blocks.select("root", F.col("block").alias("i"), F.col("high")), blocks.select("root", F.col("block").alias("j"), F.col("low"))
+    cells = left.join(right, "root").filter((F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & _compatible(F.col("high"), F.col("low"), percent))).select("root", "i", "j")
+    cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    return F.broadcast(cells) if cells.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else cells
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): texts link when percent or more of the union of their
     sets of n-grams of width words is shared; component_id is the least id that links reach."""
@@ -296,33 +368,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     chained = met.filter(F.col("size") > SMALL_GROUP).select("name", "n", F.lag("name").over(by_size).alias("last"), F.lag("n").over(by_size).alias("last_n"))
     chained = chained.filter(_compatible(F.col("last_n"), F.col("n"), percent)).select("name", "last").distinct()
     # a bitmap bounds the difference of a pair: |a| + |b| - 2i tokens at most, with i the least overlap that links
-    maps = sets.filter("kind = 0").join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    bitmaps = sets.filter("kind = 0").select("name", "bitmap")
+    maps = bitmaps.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     close = pairs.join(maps.select(F.col("name").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("name").alias("b"), F.col("bitmap").alias("mb")), "b")
-    close = written(close.filter(differ <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb"), "close")
+    close = written(close.filter(_differ(F.col("ma"), F.col("mb")) <= F.col("na") + F.col("nb") - 2 * least).select("a", "b"), "close")
 
-    # what may link is gathered in neighbourhoods, and these are cut into blocks by size
-    edges = close.select("a", "b").unionByName(chained.select(F.col("name").alias("a"), F.col("last").alias("b")))
-    hoods = components(edges, "a", "b", "hoods").select(F.col("node").alias("name"), "root")
-    running = Window.partitionBy("root").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # chains are split: their bitmaps meet in blocks, each pair of blocks reports a spanning forest of close pairs
     holders = documents.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"))
-    members = written(hoods.join(holders, "name").withColumn("block", F.floor(F.greatest(F.sum("n").over(running) / BLOCK_TOKENS, F.count("*").over(running) / BLOCK_SETS))), "members")
-    blocks = members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = blocks.select("root", F.col("block").alias("i"), F.col("high")), blocks.select("root", F.col("block").alias("j"), F.col("low"))
-    cells = left.join(right, "root").filter((F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & _compatible(F.col("high"), F.col("low"), percent))).select("root", "i", "j")
-    cells = cells.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    chains = components(chained, "name", "last", "chains").select(F.col("node").alias("name"), "root")
+    chains = written(_in_blocks(chains.join(holders, "name").select("root", "name", "n"), BITMAP_TOKENS), "chain-members")
+    placed = bitmaps.join(chains, "name").groupBy("root", "block", "name", "n").agg(F.first("bitmap").alias("bitmap"))
+    placed = placed.join(_cells(chains, percent), ["root", "block"]).select("root", "i", "j", "name", "n", "bitmap")
+    near = written(placed.groupBy("root", "i", "j").applyInPandas(_bitmap_block(percent), "a long, b long"), "near")
+    del placed
+    released(spark)
+
+    # what may link is gathered in neighbourhoods, and these are cut into blocks by size
+    hoods = components(close.unionByName(near), "a", "b", "hoods").select(F.col("node").alias("name"), "root")
+    members = written(_in_blocks(hoods.join(holders, "name"), BLOCK_TOKENS), "members")
+    cells = _cells(members, percent)
 
     # each set goes once to every cell of its block; a cell reports a spanning forest of its links
     few = members.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     held = members.select("root", "block", "name", F.col("doc_id").alias("holder"))
     placed = rows.join(F.broadcast(held) if few else held, rows["doc_id"].eqNullSafe(F.col("holder"))).select("root", "block", "name", "text")
     placed = placed.mapInArrow(_tokens(width), "root long, block long, name long, tokens array<long>")
-    small_table = cells.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    placed = placed.join(F.broadcast(cells) if small_table else cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
+    placed = placed.join(cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
     links = written(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
     del placed
-    dropped(pairs, close, members, met)
+    dropped(pairs, close, chains, near, members, met)
     released(spark)
 
     joined = components(links, "a", "b", "components")

@@ -174,6 +174,7 @@ def test_ngram_join(spark, monkeypatch, width, percent, small, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "LOCAL", 1)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "BITMAP_TOKENS", 700)
     rng, rows = random.Random(width), [r for r in ODD if r[0] not in (5, 4)]
     for g in range(8):
         base = prose(g, rng.randint(6, 150)).split()
@@ -188,6 +189,45 @@ def test_ngram_join(spark, monkeypatch, width, percent, small, frequent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("percent", [30, 80, 85])
+def test_bitmaps_lose_no_link(spark, percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in (1, 6, 40, 700, 2040, 2060, 4090, 4200):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(4):
+            # partners near the bound, larger and smaller
+            lost = rng.permutation(n)[: int(n * rng.uniform(0, 0.2))]
+            sets.append(np.unique(np.concatenate([np.delete(base, lost), rng.integers(0, 2**63, int(n * rng.uniform(0, 0.08))).astype(np.uint64)])))
+        sets.append(np.unique(base))
+    sets = [s for s in sets if len(s)]
+    maps, sizes = [ngram_join.bitmap(s) for s in sets], np.array([len(s) for s in sets])
+
+    def parts(edges):
+        root = list(range(len(sets)))
+        for a, b in edges:
+            root = [root[b] if r == root[a] else r for r in root]
+        return root
+
+    links = []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                links.append((i, j))
+    found = ngram_join.close_bitmaps(maps, sizes, percent)
+    root = parts(found)
+    assert len(links) > 20 and all(root[i] == root[j] for i, j in links) and len(found) == len(sets) - len(set(root))
+    exact = parts(ngram_join.block_links(sets, percent))
+    assert all((exact[i] == exact[j]) == (parts(links)[i] == parts(links)[j]) for i in range(0, len(sets), 3) for j in range(len(sets)))
+    # the same bound in Spark's expressions
+    of = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if sizes[i] <= sizes[j] <= 2 * sizes[i]]
+    df = spark.createDataFrame([(i, j, maps[i].tolist(), maps[j].tolist()) for i, j in of], "i int, j int, x array<long>, y array<long>")
+    for r in df.select("i", "j", ngram_join._differ(F.col("x"), F.col("y")).alias("d")).collect():
+        few = len(maps[r.i])
+        assert r.d == sum(int(v).bit_count() for v in (maps[r.i] ^ ngram_join.folded(maps[r.j][None], few)[0]).view(np.uint64))
+
+
 def test_representatives(spark):
     d = docs(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words entirely here now"), (3, "other words entirely here now"), (4, None), (None, "")])
     kept = ngram_join.representatives(d.select("doc_id", "text"), ngram_join.near_duplicates(d)).collect()

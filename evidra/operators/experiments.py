@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import Thresholds, directional_vote, gated_state, metric_label, verdict
 from evidra.operators.fusion import CLAIM, GROUP, diagnose, fuse_documents, fuse_evaluators
-from evidra.operators.metrics import classification_report
+from evidra.operators.metrics import LABELS, classification_report
 from evidra.operators.tuning import observed_grid, search_gates
 
 
@@ -99,3 +100,30 @@ def poisson_bootstrap(paired: DataFrame, resamples: int) -> DataFrame:
     times = sum((u >= c).cast("int") for c in cuts)
     each = paired.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("times", times)
     return each.groupBy("resample").agg(F.try_divide(F.sum(F.col("times") * (F.col("correct_a") - F.col("correct_b"))), F.sum("times")).alias("difference"))
+
+
+def paired_bootstrap(predictions: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """Method a less method b, in accuracy and in Macro-F1 over the four gold states: the difference on all claims, its
+    interval and p on resamples of as many claims. predictions: (gold_state, predicted_a, predicted_b).
+
+    A resample's metrics depend only on how often each triple of labels was drawn, and for draws with replacement these
+    counts are multinomial. So claims are counted once and the counts are drawn, which is the same at any size."""
+    triples = sorted(tuple(r) for r in predictions.groupBy("gold_state", "predicted_a", "predicted_b").agg(F.count("*").alias("n")).collect())
+    if not triples:
+        raise ValueError("no claims to resample")
+    seen = np.array([t[3] for t in triples])
+    drawn = np.random.default_rng(seed).multinomial(seen.sum(), seen / seen.sum(), resamples)
+    is_label = [np.array([[t[k] == label for label in LABELS[:4]] for t in triples], np.int64) for k in range(3)]
+
+    def scores(times: np.ndarray, side: int) -> dict[str, np.ndarray]:
+        support, said, tp = times @ is_label[0], times @ is_label[side], times @ (is_label[0] * is_label[side])
+        hit = np.array([t[0] == t[side] for t in triples], np.int64)
+        return {"accuracy": times @ hit / times.sum(1), "macro_f1": (2 * tp / np.maximum(support + said, 1)).mean(1)}
+
+    (a, b), (all_a, all_b) = ([scores(times, side) for side in (1, 2)] for times in (drawn, seen[None]))
+    rows = []
+    for metric in a:
+        d = np.sort(a[metric] - b[metric])
+        p = min(1.0, 2 * min((d <= 0).sum(), (d >= 0).sum()) / resamples)
+        rows.append((metric, float(all_a[metric][0] - all_b[metric][0]), float(d[int(0.025 * resamples)]), float(d[min(int(0.975 * resamples), resamples - 1)]), float(p), resamples, int(seen.sum())))
+    return predictions.sparkSession.createDataFrame(rows, "metric string, difference double, low double, high double, p_value double, n_resamples long, n_claims long")

@@ -203,12 +203,10 @@ def aurc(spark, d):
 
 
 def paired_bootstrap(spark, d):
-    """Fusion against the weighted average on the claims of the first 400 order numbers: an evaluation set, as the draws
-    are made on the driver."""
-    ds = _labelled(spark, d).select("claim_id", (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct_a"))
-    wa = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE).select("claim_id", (F.col("state") == F.col("gold_state")).cast("int").alias("correct_b"))
-    paired = ds.join(wa, "claim_id").filter("claim_id < 400").withColumnRenamed("claim_id", "idx")
-    return rounded(experiments.bootstrap_accuracy(paired, experiments.resample_table(spark, 400, 500, 42)))
+    """Fusion against the weighted average on all claims."""
+    ds = _labelled(spark, d).select("claim_id", "gold_state", F.col("predicted").alias("predicted_a"))
+    wa = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE).select("claim_id", F.col("state").alias("predicted_b"))
+    return rounded(experiments.paired_bootstrap(ds.join(wa, "claim_id")))
 
 
 def label_calibration(spark, d):

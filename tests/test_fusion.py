@@ -83,6 +83,35 @@ def test_bootstrap_of_equals_is_null(spark):
     assert experiments.poisson_bootstrap(p, 5).count() == 5
 
 
+def test_paired_bootstrap_takes_all_claims(spark):
+    import numpy as np
+
+    from evidra.plans import queries
+
+    d, states = "/root/testdata/sf0.001", ["supported", "refuted", "insufficient", "conflicting"]
+    ds = {r.claim_id: (r.gold_state, r.primary_state) for r in queries.QUERIES["pipeline_diagnostics"](spark, d).collect()}
+    wa = {r.claim_id: r.state for r in queries.QUERIES["weighted_average"](spark, d).collect()}
+    gold, a, b = (np.array(x) for x in zip(*((g, p or "undetermined", wa[i]) for i, (g, p) in ds.items()), strict=True))
+
+    def score(metric, t, p):
+        f1 = [2 * ((t == s) & (p == s)).sum() / max((t == s).sum() + (p == s).sum(), 1) for s in states]
+        return (t == p).mean() if metric == "accuracy" else np.mean(f1)
+
+    rng, found = np.random.default_rng(7), {r.metric: r for r in queries.QUERIES["paired_bootstrap"](spark, d).collect()}
+    drawn = [rng.integers(0, len(gold), len(gold)) for _ in range(2000)]
+    for metric in ("accuracy", "macro_f1"):
+        r, ds = found[metric], np.sort([score(metric, gold[i], a[i]) - score(metric, gold[i], b[i]) for i in drawn])
+        assert (r.n_claims, r.n_resamples) == (1500, 5000)
+        assert r.difference == pytest.approx(score(metric, gold, a) - score(metric, gold, b), abs=1e-6)
+        assert (r.low, r.high) == pytest.approx((ds[50], ds[1950]), abs=0.15 * (ds[1950] - ds[50]))
+        assert r.p_value == pytest.approx(min(1.0, 2 * min((ds <= 0).mean(), (ds >= 0).mean())), abs=0.05)
+
+
+def test_paired_bootstrap_of_equals_is_null(spark):
+    p = spark.createDataFrame([("supported", "refuted", "refuted"), ("refuted", "refuted", "refuted")], "gold_state string, predicted_a string, predicted_b string")
+    assert {(r.metric, r.difference, r.low, r.high, r.p_value) for r in experiments.paired_bootstrap(p, 50).collect()} == {("accuracy", 0.0, 0.0, 0.0, 1.0), ("macro_f1", 0.0, 0.0, 0.0, 1.0)}
+
+
 def test_checking_outputs(spark):
     df = spark.createDataFrame([("q", ["a", "b"], [["Entailment", " neutral"], ["contradiction", "entailment"]], [[[0.2, 0.3, 0.5], [1.0, 0.0, 0.0]]])], "query_id string, doc_ids array<string>, labels array<array<string>>, probabilities array<array<array<double>>>")
     assert datasets.checking_labels(df).filter("doc_id = 'b' AND claim = 1").first().n_entailment == 1

@@ -53,6 +53,14 @@ def best_passage(queries: DataFrame, passages: DataFrame) -> DataFrame:
     return every.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k")
 
 
+def numbered(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """df with each row's place (from 0, as name) in the order of a distinct key, and the number of rows. The keys are
+    sorted in parts and numbered part by part: no task sees them all."""
+    placed = df.select(key).sort(key).rdd.map(tuple).zipWithIndex().map(lambda x: (*x[0], x[1]))
+    kind = df.select(key).schema[0].dataType.simpleString()
+    return df.join(df.sparkSession.createDataFrame(placed, f"`{key}` {kind}, `{name}` long"), key), df.count()
+
+
 def domain(url: Column) -> Column:
     """The host in lower case without a leading www."""
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")

@@ -262,10 +262,11 @@ def passage_windows(spark, d):
 
 
 def passage_tfidf_top1(spark, d):
-    """Of each document the window nearest to its benchmark item (by id, modulo 40)."""
-    docs = datasets.windows(views.table(spark, d, "documents"), "doc_id", "text").withColumn("query_id", F.col("doc_id") % 40)
-    asked = views.table(spark, d, "benchmark").filter("item_id < 40").select(F.col("item_id").alias("query_id"), "text")
-    return rounded(datasets.best_passage(asked, docs.join(asked.select("query_id"), "query_id", "left_semi")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score"))
+    """Of each document the window nearest to its benchmark item. Documents are dealt to all items in the order of their
+    ids: document k to the item at k modulo the number of items."""
+    asked, items = datasets.numbered(views.table(spark, d, "benchmark").select("item_id", "text"), "item_id", "query_id")
+    docs = datasets.windows(views.table(spark, d, "documents"), "doc_id", "text").withColumn("query_id", F.pmod("doc_id", F.lit(max(items, 1))))
+    return rounded(datasets.best_passage(asked.select("query_id", "text"), docs.join(asked.select("query_id"), "query_id", "left_semi")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score"))
 
 
 def url_domain(spark, d):

@@ -112,6 +112,17 @@ def test_paired_bootstrap_of_equals_is_null(spark):
     assert {(r.metric, r.difference, r.low, r.high, r.p_value) for r in experiments.paired_bootstrap(p, 50).collect()} == {("accuracy", 0.0, 0.0, 0.0, 1.0), ("macro_f1", 0.0, 0.0, 0.0, 1.0)}
 
 
+def test_documents_are_dealt_to_all_benchmark_items(spark, tmp_path):
+    from evidra.plans import queries
+
+    # gaps between the ids, and more than 40 items; only the second window holds the words of the document's own item
+    spark.createDataFrame([(3 * i + 5, f"item{i}") for i in range(90)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, "filler " * 150 + f"item{k % 90}") for k in range(180)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["passage_tfidf_top1"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == list(range(180))
+    assert all(r.passage == 1 and r.score > 0 for r in found)
+
+
 def test_checking_outputs(spark):
     df = spark.createDataFrame([("q", ["a", "b"], [["Entailment", " neutral"], ["contradiction", "entailment"]], [[[0.2, 0.3, 0.5], [1.0, 0.0, 0.0]]])], "query_id string, doc_ids array<string>, labels array<array<string>>, probabilities array<array<array<double>>>")
     assert datasets.checking_labels(df).filter("doc_id = 'b' AND claim = 1").first().n_entailment == 1

@@ -17,13 +17,18 @@ def dedup_first(df: DataFrame, text: str, order: str) -> DataFrame:
     return first
 
 
-def windows(df: DataFrame, key: str, text: str, size: int = 120, stride: int = 60, most: int = 30_000) -> DataFrame:
-    """(key, passage, start, text): windows of words, up to the one that covers the end."""
-    words = F.slice(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), 1, most)
+def windows(df: DataFrame, key: str, text: str, size: int = 120, stride: int = 60, most: int | None = None) -> DataFrame:
+    """(key, passage, start, text): windows of words, up to the one that covers the end. Whole texts are read; with most,
+    only so many words of each, and the column truncated says of which documents words are left out."""
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     rows = df.select(key, words.alias("w")).filter(F.size("w") > 0)
+    cut = [] if most is None else ["truncated"]
+    if most is not None:
+        rows = rows.select(key, F.slice("w", 1, most).alias("w"), (F.size("w") > most).alias("truncated"))
     last = F.ceil(F.greatest(F.size("w") - size, F.lit(0)) / stride).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)
-    return rows.select(key, "w", F.posexplode(starts).alias("passage", "start")).select(key, "passage", "start", F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"))
+    # joined before they are dealt out: a row for each window would carry all words of its text
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * stride).alias("start"), F.array_join(F.slice("w", i * stride + 1, size), " ").alias("text")))
+    return rows.select(key, *cut, F.posexplode(each).alias("passage", "x")).select(key, "passage", "x.start", "x.text", *cut)
 
 
 def terms(text: Column) -> Column:

@@ -123,6 +123,19 @@ def test_documents_are_dealt_to_all_benchmark_items(spark, tmp_path):
     assert all(r.passage == 1 and r.score > 0 for r in found)
 
 
+def test_windows_reach_the_end_of_long_texts(spark, tmp_path):
+    from evidra.plans import queries
+
+    spark.createDataFrame([(0, "w " * 30_100 + "end"), (1, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "the end")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = queries.QUERIES["passage_windows"](spark, str(tmp_path)).filter("doc_id = 0").collect()
+    assert max(r.start for r in found) == 30_000 and len(found) == 501
+    best = queries.QUERIES["passage_tfidf_top1"](spark, str(tmp_path)).filter("doc_id = 0").first()
+    assert best.passage == 500 and best.score > 0
+    cut = datasets.windows(spark.read.parquet(str(tmp_path / "documents.parquet")), "doc_id", "text", most=30_000)
+    assert {(r.doc_id, r.truncated, r.n) for r in cut.groupBy("doc_id", "truncated").agg(F.count("*").alias("n")).collect()} == {(0, True, 499), (1, False, 1)}
+
+
 def test_checking_outputs(spark):
     df = spark.createDataFrame([("q", ["a", "b"], [["Entailment", " neutral"], ["contradiction", "entailment"]], [[[0.2, 0.3, 0.5], [1.0, 0.0, 0.0]]])], "query_id string, doc_ids array<string>, labels array<array<string>>, probabilities array<array<array<double>>>")
     assert datasets.checking_labels(df).filter("doc_id = 'b' AND claim = 1").first().n_entailment == 1

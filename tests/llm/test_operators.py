@@ -277,3 +277,13 @@ def test_pipeline_stages_keep_their_contract(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "near_duplicates", "packing"]
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert not ids & {100, 101, 102}
+
+
+def test_quality_counts_the_most_frequent_word_of_all():
+    from evidra.llm import quality
+
+    top = quality.FEATURES.index("top_word")
+    words = [f"w{i}" for i in range(800)]
+    words[1:100:2] = ["again"] * 50
+    found = quality.describe([" ".join(words), " ".join(["first", *words])])[:, top]
+    assert found.tolist() == [50 / 800, 50 / 801]

@@ -3,8 +3,8 @@
 Documents become token ids and a closing id. A shard is a run of consecutive rows of a partition, bounded in documents
 and tokens; it is packed by itself, so nothing is shuffled and a lost task is simply run again. Of a document longer
 than the window, whole windows are cut off first. The shard's remaining pieces get a BM25 inverted index over token ids.
-Each seed asks the index for unused neighbours by its rarest terms; they greedily fill the window, and the one that
-crosses its end is cut, its rest being the next seed. The last window of a shard is cut into sequences whose lengths are
+Each seed asks the index for unused neighbours by its rarest terms, again and then by all its terms until the window is
+full or no unused piece shares one; the neighbour that crosses the window's end is cut, its rest being the next seed. The last window of a shard is cut into sequences whose lengths are
 powers of two, so nothing is padded.
 
 Defined results: a null text counts as empty and is packed as its closing id alone; repeated rows are packed each;
@@ -28,7 +28,7 @@ from evidra.llm._shared import strings
 
 WINDOW, CLOSE = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
-#: Query terms of a seed, and neighbours that it asks for.
+#: Query terms of a seed, and neighbours that it asks for at a time.
 TERMS, NEIGHBOURS = 16, 12
 #: BM25's saturation of term frequency and weight of document length.
 K1, B = 1.2, 0.75
@@ -77,11 +77,16 @@ class Index:
         self.weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
 
     def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces by falling BM25 score for the seed's rarest shared terms."""
+        """Unused pieces by falling BM25 score for the seed's rarest shared terms, or for all if no piece has these."""
         terms = np.unique(seed)
         terms = terms[self.df[terms] > 1]
         if len(terms) > TERMS:
-            terms = terms[np.argpartition(self.df[terms], TERMS)[:TERMS]]
+            best = self._best(terms[np.argpartition(self.df[terms], TERMS)[:TERMS]], unused)
+            if len(best):
+                return best
+        return self._best(terms, unused)
+
+    def _best(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
         if not len(terms):
             return terms
         begin, size = self.begin[terms], self.df[terms]
@@ -139,16 +144,19 @@ def pack_shard(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
                 break
             seed = following
         over = -1 if put(seed) else seed
-        queue = list(index.neighbours(pieces[seed], unused)) if room else []
         # whole neighbours first; the best of those that don't fit is cut at the window's end
         large = -1
-        for i in queue:
-            if not room:
+        while room and large < 0:
+            queue = index.neighbours(pieces[seed], unused)
+            if not len(queue):
                 break
-            if left[i] <= room:
-                put(i)
-            elif large < 0:
-                large = i
+            for i in queue:
+                if not room:
+                    break
+                if left[i] <= room:
+                    put(i)
+                elif large < 0:
+                    large = i
         if room and large >= 0:
             over = -1 if put(large) else large
         if not room:

@@ -287,3 +287,25 @@ def test_quality_counts_the_most_frequent_word_of_all():
     words[1:100:2] = ["again"] * 50
     found = quality.describe([" ".join(words), " ".join(["first", *words])])[:, top]
     assert found.tolist() == [50 / 800, 50 / 801]
+
+
+def test_packing_asks_until_the_window_is_full():
+    import numpy as np
+
+    from evidra.llm import packing
+
+    # two subjects in turn, in pieces so short that a window holds 64 of them and no closing id is shared
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.permutation(40)[:31] + 100 + 1000 * (d % 2), 5000 + d).astype(np.uint32) for d in range(256)]
+    pieces = packing.pack_shard(docs)
+    held = {}
+    for d, _, length, sequence, _ in pieces:
+        held.setdefault(sequence, set()).add(d % 2)
+    assert sum(p[2] for p in pieces) == 256 * 32 and len(held) == 4
+    assert all(len(subjects) == 1 for subjects in held.values())
+    # more than 16 rarest terms, all of them spent: the piece that shares only a common term goes before the next row
+    common = [np.append(np.arange(20) + 10, 7), np.append(np.arange(20) + 10, 60), *(np.array([100 + d, 200]) for d in range(30)), np.array([7, 90]), np.array([7, 91])]
+    index = packing.Index([c.astype(np.uint32) for c in common])
+    unused = np.ones(len(common), bool)
+    unused[:2] = False
+    assert set(index.neighbours(common[0].astype(np.uint32), unused)) == {32, 33}

@@ -12,13 +12,13 @@ from evidra.llm.queries import vocabulary
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if less than this share of its words is in its main language, or if it has no letter.
-LEAST_LANGUAGE_SHARE = 0.3
+LEAST_LANGUAGE_SHARE = 0.5
 #: A document goes if its toxicity is this or more.
 TOXIC = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, most of them in one."""
+    """Documents with a letter whose main language has at least half of their words."""
     model = language_id.fit(docs, id_hash_mod("doc_id", 4) != 2)
     labelled = language_id.label_spans(docs.select(*COLUMNS), model, *map(F.col, COLUMNS))
     return labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*COLUMNS)

@@ -309,3 +309,19 @@ def test_packing_asks_until_the_window_is_full():
     unused = np.ones(len(common), bool)
     unused[:2] = False
     assert set(index.neighbours(common[0].astype(np.uint32), unused)) == {32, 33}
+
+
+def test_pipeline_rejects_mixed_documents(spark, monkeypatch):
+    import corpus_pipeline
+
+    words = {"en": "the of and to with that this is for on by".split(), "de": "der die und nicht das mit auf von sich für dem".split(), "fr": "le la les des est pas que pour dans avec une".split()}
+    rows = [(100 * k + i, prose(i, 80, w), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)]
+    clean = [(1000 + k, " ".join(w * 6), lang) for k, (lang, w) in enumerate(words.items())]
+    mixed = [(2000, " ".join(" ".join(w * 3) for w in words.values()), "en")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(train, F.lit(True))
+    monkeypatch.setattr(language_id, "fit", lambda *_: model)
+    asked = spark.createDataFrame([*clean, *mixed, (3000, "12 34", "en")], "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
+    share = {r.doc_id: r.score for r in language_id.label_spans(asked, model, F.col("doc_id")).collect()}
+    assert 0.3 <= share[2000] < 0.5
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, asked, "").collect()} == {1000, 1001, 1002}

@@ -32,8 +32,14 @@ def unit(x: Column, slack: float = 1e-9) -> Column:
     return F.when(F.abs(x - inside) <= slack, inside).when(x.isNull(), None).otherwise(F.raise_error(F.format_string("%s is not within 0 and 1", x)))
 
 
+def reliability_of(x: Column) -> Column:
+    """x, if it is a reliability: null, NaN and what isn't within 0 and 1 are an error."""
+    return F.when(x.between(0, 1), x).otherwise(F.raise_error(F.format_string("%s is no reliability", x)).cast("double"))
+
+
 def discounted(support: Column, refute: Column, reliability: Column) -> tuple[Column, Column, Column]:
     """Shafer's discount; what is taken off goes to the unassigned mass."""
+    reliability = reliability_of(reliability)
     s, r = reliability * support, reliability * refute
     return s, r, 1 - s - r
 

@@ -1,9 +1,15 @@
-"""Dempster-Shafer fusion as grouped products.
+"""Dempster-Shafer fusion as grouped sums of logarithms.
 
 With mass on support, refute and the whole frame only, combining masses one after another equals three products over
-the group, so fusion is a plain aggregate that is combined before the shuffle: no ordered collection, no UDF. The
-accumulated conflict is one minus their normaliser. Evidence rows have the columns (sample_id, claim_id, doc_id, pos,
-evaluator, evaluator_reliability, doc_reliability, p_support, p_refute, p_unknown).
+the group: of 1 - r, of 1 - s and of theta. Fusion is thus a plain aggregate that is combined before the shuffle: no
+ordered collection, no UDF. Masses are ratios of the products. Where these get too small for a double, the same ratios come
+from sums of logarithms, so any number of documents is exact; the accumulated conflict is one minus the normaliser. Evidence rows have the columns
+(sample_id, claim_id, doc_id, pos, evaluator, evaluator_reliability, doc_reliability, p_support, p_refute, p_unknown).
+
+A combination step is a total conflict if its normaliser is at most TOTAL. That takes a document within TOTAL of
+certainty on either side, so it is decided by the surest documents of both sides, whatever their order. (Folding in
+order can also stop where one certain document comes after many opposed ones whose sum is certain but for rounding; here
+the certain document prevails in any order, as it does in the fold where it comes first. trace() folds in order.)
 """
 
 from __future__ import annotations
@@ -31,26 +37,46 @@ def masses(evidence: DataFrame, reliability: Column | None = None) -> DataFrame:
     return evidence.withColumns({"m_support": s, "m_refute": r, "m_theta": t})
 
 
+#: Products below are left for sums of logarithms.
+LEAST_PRODUCT = 1e-200
+
+
 def _products(s: Column, r: Column) -> list[Column]:
-    return [F.product(1 - r).alias("_qs"), F.product(1 - s).alias("_qr"), F.product(1 - s - r).alias("_qt")]
+    """Products and sums from which _fused() takes the masses of a group; null masses are left out."""
+    t = F.when(s.isNotNull(), F.greatest(F.lit(0.0), 1 - s - r))
+    total = lambda x, inside: F.coalesce(F.sum(F.when(inside, x)), F.lit(0.0))
+    product = lambda x: F.coalesce(F.product(x), F.lit(1.0))
+    return [
+        product(1 - r).alias("_ps"), product(1 - s).alias("_pr"), product(t).alias("_pt"),
+        total(F.log1p(-r), r < 1).alias("_ls"), total(F.log1p(-s), s < 1).alias("_lr"), total(F.log(t), t > 0).alias("_lt"),
+        F.coalesce(F.max(s), F.lit(0.0)).alias("_maxs"), F.coalesce(F.max(r), F.lit(0.0)).alias("_maxr"), F.coalesce(F.min(t), F.lit(1.0)).alias("_mint"), F.count(s).alias("_k"),
+    ]
 
 
 def _fused(df: DataFrame, conflict: str, total: str) -> DataFrame:
-    """Masses, the accumulated conflict and the flag of a total conflict, from products."""
-    n = F.col("_qs") + F.col("_qr") - F.col("_qt")
-    out = df.withColumn("_n", n).withColumn(total, F.col("_n") <= TOTAL)
-    at = lambda x: F.when(~F.col(total), unit(x / F.col("_n")))
-    out = out.withColumns({
-        "m_support": at(F.col("_qs") - F.col("_qt")), "m_refute": at(F.col("_qr") - F.col("_qt")), "m_theta": at(F.col("_qt")),
-        conflict: F.when(F.col(total), 1.0).otherwise(unit(1 - F.col("_n"))),
+    """Masses, the accumulated conflict and the flag of a total conflict, from the columns of _products()."""
+    c = F.col
+    no_s, no_r, no_t = c("_maxr") >= 1, c("_maxs") >= 1, c("_mint") <= 0  # products that are exactly 0
+    least = F.lit(float("-inf"))
+    small = (~no_s & (c("_ps") < LEAST_PRODUCT)) | (~no_r & (c("_pr") < LEAST_PRODUCT))
+    df = df.withColumn("_top", F.when(small, F.greatest(F.when(no_s, least).otherwise(c("_ls")), F.when(no_r, least).otherwise(c("_lr")))).otherwise(0.0))
+    share = lambda zero, x, product: F.when(~small, c(product)).when(zero, 0.0).otherwise(F.exp(c(x) - c("_top")))
+    df = df.withColumns({"_qs": share(no_s, "_ls", "_ps"), "_qr": share(no_r, "_lr", "_pr"), "_qt": share(no_t, "_lt", "_pt")})
+    df = df.withColumn("_n", c("_qs") + c("_qr") - c("_qt"))
+    # of two masses the normaliser is that of their only step; of more, that of the two surest opposed ones
+    doubt = F.when(c("_k") == 2, F.exp(c("_top")) * c("_n")).otherwise((1 - c("_maxs")) + (1 - c("_maxr")))
+    df = df.withColumn(total, (no_s & no_r) | ((c("_k") > 1) & (doubt <= TOTAL)))
+    at = lambda x: F.when(~c(total), unit(x / c("_n")))
+    out = df.withColumns({
+        "m_support": at(c("_qs") - c("_qt")), "m_refute": at(c("_qr") - c("_qt")), "m_theta": at(c("_qt")),
+        conflict: F.when(c(total), 1.0).otherwise(unit(1 - F.exp(c("_top")) * c("_n"))),
     })
-    return out.drop("_qs", "_qr", "_qt", "_n")
+    return out.drop("_ps", "_pr", "_pt", "_ls", "_lr", "_lt", "_maxs", "_maxr", "_mint", "_k", "_top", "_qs", "_qr", "_qt", "_n")
 
 
 def fuse_documents(evidence: DataFrame, keys: list[str] = GROUP, reliability: Column | None = None) -> DataFrame:
     """One row for each key: fused masses, k_doc, n_docs, and whether the documents contradict each other totally (their
-    masses are null then). A product at or below TOTAL decides; resolve_order() tells the cases where only the order
-    would."""
+    masses are null then)."""
     s, r, _ = discounted(F.col("p_support"), F.col("p_refute"), F.col("doc_reliability") if reliability is None else reliability)
     grouped = evidence.groupBy(*keys).agg(*_products(s, r), F.count("*").alias("n_docs"), F.min("evaluator_reliability").alias("evaluator_reliability"))
     return _fused(grouped, "k_doc", "document_total_conflict")
@@ -83,12 +109,6 @@ def trace(evidence: DataFrame) -> DataFrame:
     )
 
 
-def resolve_order(fused: DataFrame, evidence: DataFrame) -> DataFrame:
-    """fuse_documents() rows whose product is at or below TOTAL, with what the ordered fold says of them."""
-    doubtful = fused.filter("document_total_conflict").select(*GROUP)
-    return trace(evidence.join(doubtful, GROUP, "left_semi"))
-
-
 def fuse_evaluators(fused: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     """One row for each claim from fuse_documents(): each evaluator's mass is discounted by its reliability and fused.
 
@@ -102,6 +122,7 @@ def fuse_evaluators(fused: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
         F.sum(F.when(kept, er * F.col("k_doc"))).alias("_rk"), F.sum(F.when(kept, er)).alias("_r"), F.array_sort(F.collect_set("evaluator")).alias("evaluators"),
     )
     out = _fused(claim, "k_eval", "evaluator_total_conflict")
+    out = out.withColumns({m: F.when(F.col("n_evaluators") > 0, F.col(m)) for m in ("m_support", "m_refute", "m_theta")})
     return out.withColumns({
         "k_doc": F.coalesce(F.try_divide(F.col("_rk"), F.col("_r")), F.lit(0.0)), "document_total_conflict": F.col("_total") == 1,
         "k_eval": F.when(F.col("n_evaluators") > 1, F.col("k_eval")).otherwise(0.0),

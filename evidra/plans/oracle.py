@@ -163,6 +163,36 @@ def _bootstrap() -> str:
                round(least(1, 2 * least(count(*) FILTER (d <= 0), count(*) FILTER (d >= 0)) / count(*)), 6) AS p_value, count(*) AS n_resamples FROM ranked"""
 
 
+# masses folded one after another, as the rule is defined; by their sum, as errors of 1 - K would grow with each step
+_KEPT = "(a.s + a.f + a.t - a.s * b.f - a.f * b.s)"
+FOLD_SQL = SQL + f""", m AS (
+    SELECT source_id AS claim_id, e.sample_id * 10 + e.pos AS pos, c.reliability * p_support AS s, c.reliability * p_refute AS f FROM evidence e JOIN contexts c USING (sample_id, doc_id) WHERE evaluator = 'e1'
+), folded AS (
+    SELECT claim_id, n_docs, list_reduce(docs, lambda a, b: struct_pack(
+        s := (a.s * b.s + a.s * b.t + a.t * b.s) / {_KEPT}, f := (a.f * b.f + a.f * b.t + a.t * b.f) / {_KEPT}, t := a.t * b.t / {_KEPT}, kept := a.kept * {_KEPT})) AS x
+    FROM (SELECT claim_id, count(*) AS n_docs, list(struct_pack(s := s, f := f, t := 1 - s - f, kept := 1::DOUBLE) ORDER BY pos) AS docs FROM m GROUP BY claim_id)
+)"""
+# evidence with certain relations put in
+TORN = SQL.replace("), evidence AS (", "), plain AS (") + """, marked AS (
+    SELECT *, CASE WHEN claim_id % 10 = 2 THEN (CASE WHEN evaluator = 'e1' THEN 1 ELSE -1 END) WHEN claim_id % 10 IN (1, 3) AND evaluator = 'e1' THEN (CASE WHEN doc_id = 1 THEN 1 ELSE -1 END) END AS sure FROM plain
+), evidence AS (
+    SELECT * REPLACE (coalesce((sure = 1)::INT::DOUBLE, p_support) AS p_support, coalesce((sure = -1)::INT::DOUBLE, p_refute) AS p_refute, CASE WHEN sure IS NULL THEN doc_reliability ELSE 1 END AS doc_reliability,
+        CASE WHEN claim_id % 10 = 2 THEN 1 WHEN claim_id % 10 = 4 OR (claim_id % 10 = 3 AND evaluator = 'e1') THEN 0 ELSE evaluator_reliability END AS evaluator_reliability) FROM marked
+), d AS (
+    SELECT *, qs + qr - qt AS nn, nn <= 1e-12 AS total, er * ((qs - qt) / nn) AS s, er * ((qr - qt) / nn) AS f FROM (
+        SELECT claim_id, evaluator, min(evaluator_reliability) AS er, product(1 - doc_reliability * p_refute) AS qs, product(1 - doc_reliability * p_support) AS qr,
+               product(1 - doc_reliability * p_support - doc_reliability * p_refute) AS qt FROM evidence GROUP BY 1, 2)
+), e AS (
+    SELECT claim_id, bool_or(total AND er > 0) AS doc_total, count(*) FILTER (NOT total) AS n_evaluators, sum(er * (1 - nn)) FILTER (NOT total) / nullif(sum(er) FILTER (NOT total), 0) AS k_doc,
+           product(1 - f) FILTER (NOT total) AS qs, product(1 - s) FILTER (NOT total) AS qr, product(1 - s - f) FILTER (NOT total) AS qt FROM d GROUP BY 1
+), st AS (
+    SELECT claim_id, CASE WHEN e.claim_id IS NULL THEN 'no_contexts' WHEN doc_total THEN 'document_total_conflict' WHEN n_evaluators > 0 AND qs + qr - qt <= 1e-12 THEN 'evaluator_total_conflict' ELSE 'normal' END AS status,
+           coalesce(n_evaluators, 0) = 0 AND NOT coalesce(doc_total, false) AS none, qs, qr, qt, qs + qr - qt AS nn, e.k_doc, n_evaluators FROM claims LEFT JOIN e USING (claim_id)
+), res AS (
+    SELECT claim_id, status, CASE WHEN none THEN 0 WHEN status = 'normal' THEN (qs - qt) / nn END AS m_support, CASE WHEN none THEN 0 WHEN status = 'normal' THEN (qr - qt) / nn END AS m_refute,
+           CASE WHEN none THEN 1 WHEN status = 'normal' THEN qt / nn END AS m_theta, CASE WHEN none THEN 0 WHEN status = 'document_total_conflict' THEN 1 ELSE coalesce(k_doc, 0) END AS k_doc,
+           CASE WHEN none OR status = 'document_total_conflict' THEN 0 WHEN status = 'evaluator_total_conflict' THEN 1 WHEN n_evaluators > 1 THEN greatest(0, least(1, 1 - nn)) ELSE 0 END AS k_eval FROM st
+)"""
 _GRID = "tried AS (SELECT r.*, g.theta, g.conflict FROM res r, (SELECT t.x AS theta, k.x AS conflict FROM (VALUES (0.1531), (0.2371), (0.3313)) t(x), (VALUES (0.1917), (0.3137), (0.4519)) k(x)) g), labelled AS (SELECT theta, conflict, gold_state, coalesce(" + state("theta", "conflict") + ", 'undetermined') AS predicted FROM tried)"
 _TOP = "greatest(p_support, p_refute, p_unknown)"
 
@@ -174,6 +204,12 @@ ORACLE_SQL = {
         SELECT d.claim_id, d.evaluator, d.n_docs - 1 AS n_steps, round(m_support, 8) AS m_support, round(m_refute, 8) AS m_refute, round(m_theta, 8) AS m_theta, round(coalesce(s * f2 + f * s2, 0), 8) AS first_conflict FROM doc d JOIN two t ON t.claim_id = d.claim_id AND t.evaluator = d.evaluator AND rn = 1""",
     "evaluator_fusion": FUSED + f" SELECT claim_id, {MASS}, {R('k_doc', 'k_eval')}, n_evaluators FROM fused",
     "pipeline_diagnostics": RES + f" SELECT claim_id, status, {MASS}, {R('k_doc', 'k_eval')}, region, verdict, primary_state, evidence_insufficient, document_conflict, evaluator_disagreement, gold_state FROM res",
+    "many_document_fusion": FOLD_SQL + f" SELECT claim_id, round(x.s, 6) AS m_support, round(x.f, 6) AS m_refute, round(x.t, 6) AS m_theta, round(1 - x.kept, 6) AS k_doc, n_docs FROM folded",
+    "status_diagnostics": TORN + f""" SELECT claim_id, status, {MASS}, {R('k_doc', 'k_eval')},
+        CASE WHEN status LIKE '%total%' THEN status WHEN m_theta >= 0.2371 AND k_doc >= 0.3137 THEN 'insufficient_and_conflicting' WHEN k_doc >= 0.3137 THEN 'document_conflict' WHEN m_theta >= 0.2371 THEN 'insufficient' ELSE 'sufficient_consistent' END AS region,
+        CASE WHEN m_support - m_refute > 1e-6 THEN 'supported' WHEN m_refute - m_support > 1e-6 THEN 'refuted' ELSE 'undetermined' END AS verdict,
+        CASE WHEN status = 'document_total_conflict' THEN 'conflicting' WHEN status = 'evaluator_total_conflict' THEN NULL ELSE {state("0.2371", "0.3137")} END AS primary_state,
+        coalesce(m_theta >= 0.2371, false) AS evidence_insufficient, k_eval >= 0.4 AS evaluator_disagreement FROM res""",
     "pipeline_summary": RES + " SELECT 'status' AS dimension, status AS value, count(*) AS n FROM res GROUP BY 2 UNION ALL SELECT 'region', region, count(*) FROM res GROUP BY 2 UNION ALL SELECT 'primary_state', coalesce(primary_state, 'none'), count(*) FROM res GROUP BY 2",
     "selective_confidence": RES + " SELECT claim_id, predicted, round(confidence, 6) AS confidence FROM lab",
     "integrity_violations": SQL + """, rel AS (SELECT * FROM evidence WHERE NOT (evaluator = 'e2' AND claim_id % 7 = 0 AND doc_id = 1)), cl AS (SELECT * FROM claims WHERE claim_id % 11 <> 0)

@@ -62,6 +62,17 @@ def pipeline_diagnostics(spark, d):
     return rounded(_results(spark, d).select(*cols))
 
 
+def many_document_fusion(spark, d):
+    """Hundreds of documents a claim, beyond what products of doubles hold."""
+    return rounded(fusion.fuse_documents(views.supplier_evidence(spark, d)).select("claim_id", *MASSES, "k_doc", "n_docs"))
+
+
+def status_diagnostics(spark, d):
+    """Claims of all statuses: normal, without contexts, and in total conflict of documents or of evaluators."""
+    r = fusion.run_pipeline(_claims(spark, d), views.torn_evidence(spark, d), GATES)
+    return rounded(r.select("claim_id", "status", *MASSES, "k_doc", "k_eval", "region", "verdict", "primary_state", "evidence_insufficient", "evaluator_disagreement"))
+
+
 def pipeline_summary(spark, d):
     return fusion.summarise(_results(spark, d))
 
@@ -296,7 +307,7 @@ def _named(f, name):
 QUERIES = {
     f.__name__: f
     for f in (
-        discount_projection, doc_fusion, k_doc_trace, evaluator_fusion, pipeline_diagnostics, pipeline_summary, selective_confidence, integrity_violations, first_n_documents,
+        discount_projection, doc_fusion, k_doc_trace, evaluator_fusion, pipeline_diagnostics, many_document_fusion, status_diagnostics, pipeline_summary, selective_confidence, integrity_violations, first_n_documents,
         *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
         confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search,
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, risk_coverage, aurc, paired_bootstrap, label_calibration, relation_comparison, vote_distribution,

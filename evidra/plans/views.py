@@ -33,7 +33,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("pos", F.col("doc_id")).withColumn("reliability", reliability)
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """Relations with their documents' reliability: two evaluators for each document. No join: both come from one row."""
     total = F.col("a") + F.col("b") + F.col("c") + 0.15
     p = {k: (F.col(k) + 0.05) / total for k in "abc"}
@@ -42,7 +42,27 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name, order in (("e1", "abc"), ("e2", "bca"))
     ]
     docs = contexts(spark, sf_dir).withColumn("r", F.explode(F.array(*rows)))
-    return docs.select("sample_id", F.col("sample_id").alias("claim_id"), "doc_id", "pos", F.col("reliability").alias("doc_reliability"), "r.*")
+    return docs.select("sample_id", F.col("sample_id").alias("claim_id"), "doc_id", "pos", F.col("reliability").alias("doc_reliability"), "r.*", *(keep or []))
+
+
+def supplier_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As evidence(), by the first evaluator alone, with one claim for each supplier: hundreds of documents a claim."""
+    docs = evidence(spark, sf_dir, keep=["source_id"]).filter("evaluator = 'e1'")
+    return docs.withColumns({"claim_id": F.col("source_id"), "pos": F.col("sample_id") * 10 + F.col("pos"), "sample_id": F.col("source_id")})
+
+
+def torn_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evidence() with certain relations put in, so that every status occurs: of ten claims one has documents in total
+    conflict, one evaluators, one the former in an evaluator of reliability 0, and one no evaluator of any reliability."""
+    kind, first, e1 = F.col("claim_id") % 10, F.col("doc_id") == 1, F.col("evaluator") == "e1"
+    sure = F.when(kind.isin(1, 3), F.when(first, 1).otherwise(-1)).when(kind == 2, F.when(e1, 1).otherwise(-1))
+    sure = F.when((kind == 2) | (kind.isin(1, 3) & e1), sure)
+    reliability = F.when(kind == 2, 1.0).when(((kind == 3) & e1) | (kind == 4), 0.0).otherwise(F.col("evaluator_reliability"))
+    pick = lambda c, side: F.when(sure.isNull(), F.col(c)).otherwise((sure == side).cast("double"))
+    return evidence(spark, sf_dir).withColumns({
+        "p_support": pick("p_support", 1), "p_refute": pick("p_refute", -1), "p_unknown": pick("p_unknown", 0),
+        "doc_reliability": F.when(sure.isNull(), F.col("doc_reliability")).otherwise(1.0), "evaluator_reliability": reliability,
+    })
 
 
 #: The same tables for SQL; decimals are cast so that all arithmetic is in double precision.
@@ -51,7 +71,7 @@ WITH claims AS (
     SELECT o_orderkey AS sample_id, o_orderkey AS claim_id, ['supported', 'refuted', 'insufficient', 'conflicting'][(o_orderkey % 4 + 1)::INT] AS gold_state FROM orders
 ), contexts AS (
     SELECT l_orderkey AS sample_id, l_linenumber AS doc_id, l_linenumber AS pos, max(l_quantity) / 50 AS a, max(l_discount) * 10 AS b, max(l_tax) * 12.5::DOUBLE AS c,
-           [1.0::DOUBLE, 0.9, 0.6, 0.2][(min(l_suppkey) % 4 + 1)::INT] AS reliability
+           [1.0::DOUBLE, 0.9, 0.6, 0.2][(min(l_suppkey) % 4 + 1)::INT] AS reliability, min(l_suppkey) AS source_id
     FROM lineitem GROUP BY l_orderkey, l_linenumber
 ), evidence AS (
     SELECT sample_id, sample_id AS claim_id, doc_id, pos, reliability AS doc_reliability, 'e1' AS evaluator, 0.9::DOUBLE AS evaluator_reliability,

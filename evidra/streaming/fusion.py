@@ -1,4 +1,4 @@
-"""Fusion of an append-only stream of relations. The state of a claim and evaluator is three products."""
+"""Fusion of an append-only stream of relations. The state of a claim and evaluator is a few sums."""
 
 from __future__ import annotations
 
@@ -9,6 +9,6 @@ from evidra.operators.fusion import GROUP, fuse_documents
 
 def streaming_fusion(evidence: DataFrame) -> DataFrame:
     """fuse_documents() over a stream of evidence rows, for output mode update or complete: a claim's masses as of the
-    relations so far. Products don't depend on the order of arrival; repeated rows count again, so drop them upstream
+    relations so far. Sums of logarithms don't depend on the order of arrival; repeated rows count again, so drop them upstream
     with a watermark if the source may repeat."""
     return fuse_documents(evidence, GROUP)

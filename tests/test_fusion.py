@@ -44,6 +44,50 @@ def test_statuses(spark):
     assert (found["none"].status, found["none"].primary_state) == ("no_contexts", "insufficient")
 
 
+def folded(masses):
+    """Masses combined one after another, with the accumulated conflict."""
+    from fractions import Fraction as Q
+
+    s, r, t, kept = Q(0), Q(0), Q(1), Q(1)
+    for a, b, c in masses:
+        a, b, c = map(Q, (a, b, c))
+        total = 1 - s * b - r * a
+        s, r, t, kept = (s * a + s * c + t * a) / total, (r * b + r * c + t * b) / total, t * c / total, kept * total
+    return float(s), float(r), float(t), 1 - float(kept)
+
+
+def test_many_documents_are_exact(spark):
+    kinds = {
+        "even": [(0.5, 0.5, 0.0)] * 60, "lean": [(0.625, 0.359375, 0.015625)] * 80, "long": [(0.5, 0.4375, 0.0625), (0.375, 0.5, 0.125)] * 700,
+        "sure": [(0.4375, 0.5, 0.0625)] * 900 + [(1.0, 0.0, 0.0)], "void": [(0.0, 0.0, 1.0)] * 5, "one": [(0.25, 0.5, 0.25)] * 900,
+    }
+    e = rows(spark, *((k, str(i), i, "e", 1.0, 1.0, *m) for k, v in kinds.items() for i, m in enumerate(v)))
+    found = {r.claim_id: r for r in fusion.fuse_documents(e).collect()}
+    for k, v in kinds.items():
+        r = found[k]
+        assert not r.document_total_conflict and (r.m_support, r.m_refute, r.m_theta, r.k_doc) == pytest.approx(folded(v), abs=1e-9), k
+    # the order of documents doesn't matter
+    back = fusion.fuse_documents(e.withColumn("pos", -F.col("pos")).repartition(7)).filter("claim_id = 'long'").first()
+    assert back.m_support == pytest.approx(found["long"].m_support, abs=1e-12)
+
+
+def test_near_total_conflict(spark):
+    e = rows(
+        spark, ("tiny", "1", 0, "e", 1.0, 1.0, 1 - 1e-13, 0.0, 1e-13), ("tiny", "2", 1, "e", 1.0, 1.0, 0.0, 1 - 1e-13, 1e-13),
+        ("some", "1", 0, "e", 1.0, 1.0, 1 - 1e-6, 0.0, 1e-6), ("some", "2", 1, "e", 1.0, 1.0, 0.0, 1 - 1e-6, 1e-6),
+        ("later", "1", 0, "e", 1.0, 1.0, 1.0, 0.0, 0.0), ("later", "2", 1, "e", 1.0, 1.0, 0.5, 0.25, 0.25), ("later", "3", 2, "e", 1.0, 1.0, 0.0, 1.0, 0.0),
+    )
+    found = {r.claim_id: (r.document_total_conflict, r.m_support) for r in fusion.fuse_documents(e).collect()}
+    assert found["tiny"] == (True, None) and found["later"] == (True, None) and found["some"] == (False, pytest.approx(0.5, abs=1e-6))
+    assert {r.claim_id: r.document_total_conflict for r in fusion.trace(e).collect()} == {k: v[0] for k, v in found.items()}
+
+
+def test_reliability_outside_its_range_is_an_error(spark):
+    for bad in (1.5, -0.1, float("nan")):
+        with pytest.raises(Exception, match="reliability"):
+            fusion.fuse_documents(rows(spark, ("c", "1", 0, "e", 1.0, bad, 0.5, 0.5, 0.0))).collect()
+
+
 def test_baselines_and_gates(spark):
     e = rows(spark, ("c", "1", 0, "e", 1.0, 1.0, 0.5, 0.5, 0.0), ("d", "1", 0, "e", 1.0, 0.0, 1.0, 0.0, 0.0))
     out = {(r.claim_id, r.method): r for r in baselines.run_baselines(claims(spark, "c", "d"), e, BaselineThresholds(), "e").collect()}

@@ -5,11 +5,14 @@ query: token-position rows join the merge table, the leftmost pair of minimum ra
 word has a pair. A word that is a token itself is that token. Decoding joins ids with the vocabulary and concatenates by
 an ordered aggregation.
 
-In words of over LONG bytes a step merges the occurrences of the minimum-rank pair from the left as long as no new pair
-ranks before it, just as one at a time would. Their recursion is restarted from its last state after DEPTH steps, which
-bounds its memory. Defined results: a null text counts as
-empty, and empty texts have no ids; repeated rows get equal ids. Whole texts are read. The engine spills to the task's
-own temporary folder and holds no state that a lost executor would take along.
+A word of over LONG bytes is cut into chunks, which are contracted side by side. Where two meet, tokens on either side are
+contracted again as one piece, more of them until the piece ends in tokens that its neighbours don't pull apart. This is
+exact: token by token a sequence is the contraction of its text if each two neighbours, by themselves, are contracted to
+just these two. (Before a first merge over a border, all tokens grow as they do alone; that merge would come first in the
+text of the two tokens at this border as well.)
+
+Defined results: a null text counts as empty, and empty texts have no ids; repeated rows get equal ids. Whole texts are
+read. The engine spills to the task's own temporary folder and holds no state that a lost executor would take along.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-from evidra.llm._shared import strings
+from evidra.llm._shared import map_batches, strings
 
-LONG, DEPTH = 64, 48
+#: Bytes of a word that is contracted as a whole, and of a chunk.
+LONG = 64
 SPACED = re.compile(r"\s | \s| \0")
 #: Marks the first piece of a text, which has no space before it; only for look-ups. SPACED keeps others from having it.
 FIRST = "\0"
@@ -34,8 +38,8 @@ FIRST = "\0"
 MEMO_WORDS, MEMO_BYTES, QUERY_ROWS = 500_000, 48 << 20, 400_000
 MEMORY = "300MB"
 
-#: Words of up to LONG bytes: a word's tokens are a list; its positions, as rows, join the merge table.
-SHORT_WORDS = """
+#: A word's tokens are a list; its positions, as rows, join the merge table.
+CONTRACT = """
 WITH RECURSIVE step(w, l, n) AS (
     SELECT w, list(t ORDER BY p), 0 FROM state GROUP BY w
     UNION ALL
@@ -49,43 +53,6 @@ WITH RECURSIVE step(w, l, n) AS (
 )
 SELECT w, max_by(l, n) AS l FROM step GROUP BY w ORDER BY w
 """
-#: Longer words: rows throughout. Occurrences of the best pair are merged from the left, of overlapping ones every second,
-#: up to the first whose merged token makes a pair that ranks still lower, for that one comes next.
-LONG_WORDS = """
-WITH RECURSIVE step(w, p, t, n) AS (
-    SELECT w, p, t, 0 FROM state
-    UNION ALL
-    SELECT w, p, t, n FROM (
-        SELECT w, p, CASE WHEN hit THEN best ELSE t END AS t, n, lag(hit, 1, false) OVER (PARTITION BY w ORDER BY p) AS eaten
-        FROM (
-            SELECT y.w, y.p, y.t, y.n, y.best,
-                   y.able AND y.p <= coalesce(min(CASE WHEN y.able AND least(l.c, r.c) < y.best THEN y.p END) OVER (PARTITION BY y.w), y.p) AS hit
-            FROM (
-                SELECT *, CASE WHEN lag(able, 2, false) OVER (PARTITION BY w ORDER BY p) THEN best ELSE before END AS left_token
-                FROM (
-                    SELECT *, found AND row_number() OVER (PARTITION BY w, run, found ORDER BY p) % 2 = 1 AS able
-                    FROM (
-                        SELECT *, merged = best AS found,
-                               sum(CASE WHEN merged = best THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) AS run
-                        FROM (
-                            SELECT x.*, coalesce(m.c, -1) AS merged, min(m.c) OVER (PARTITION BY x.w) AS best
-                            FROM (
-                                SELECT w, p, t, n + 1 AS n, lead(t) OVER o AS following, lead(t, 2) OVER o AS right_token, lag(t) OVER o AS before
-                                FROM step WHERE n < $depth WINDOW o AS (PARTITION BY w ORDER BY p)
-                            ) x
-                            LEFT JOIN merges m ON m.a = x.t AND m.b = x.following
-                        ) WHERE best IS NOT NULL
-                    )
-                )
-            ) y
-            LEFT JOIN merges l ON l.a = y.left_token AND l.b = y.best AND y.able
-            LEFT JOIN merges r ON r.a = y.best AND r.b = y.right_token AND y.able
-        )
-    ) WHERE NOT eaten
-)
-SELECT s.w, s.p, s.t, s.n FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) l ON s.w = l.w AND s.n = l.n
-ORDER BY s.w, s.p
-"""
 DECODE = "SELECT d, string_agg(v.piece, '' ORDER BY i) AS s FROM ids JOIN vocab v USING (t) GROUP BY d"
 
 
@@ -107,7 +74,9 @@ class Engine:
         self.db.register("pieces", pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "piece": [k.decode("latin-1") for k in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM pieces")
         self.db.unregister("pieces")
+        self.raw = {v: k for k, v in self.ranks.items()}
         self.words: dict[str, bytes] = {}
+        self.meet: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.held = 0
 
@@ -122,43 +91,91 @@ class Engine:
         p = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         return {"w": w, "p": p.astype(np.int32), "t": self.bytes[np.frombuffer(b"".join(words), np.uint8)]}
 
-    def _ask(self, query: str, state: dict[str, np.ndarray], given: dict | None = None) -> pa.Table:
-        self.db.register("state", pa.table(state))
-        got = self.db.execute(query, given).to_arrow_table()
-        self.db.unregister("state")
-        return got
-
-    def _contract_short(self, words: list[bytes]) -> list[bytes]:
-        lists = self._ask(SHORT_WORDS, self._positions(words)).column("l").combine_chunks()
-        flat, cuts = lists.values.to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _contract_long(self, words: list[bytes]) -> list[bytes]:
-        state, out = self._positions(words), {}
-        while len(state["w"]):
-            got = self._ask(LONG_WORDS, state, {"depth": DEPTH})
-            w, p, t, n = (got.column(k).to_numpy() for k in ("w", "p", "t", "n"))
-            for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w)) + 1):
-                if n[part[0]] < DEPTH:
-                    out[int(w[part[0]])] = t[part].astype("<u4").tobytes()
-            on = n >= DEPTH
-            state = {"w": w[on], "p": p[on], "t": t[on]}
-        return [out[i] for i in range(len(words))]
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, by merges alone."""
+        out, begin, size = [], 0, 0
+        for i, word in enumerate(words, 1):
+            size += len(word)
+            if size > QUERY_ROWS or i == len(words):
+                self.db.register("state", pa.table(self._positions(words[begin:i])))
+                lists = self.db.execute(CONTRACT).to_arrow_table().column("l").combine_chunks()
+                self.db.unregister("state")
+                flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+                out += [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                begin, size = i, 0
+        return out
+
+    def _apart(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Of pairs of tokens whether their text is contracted to just these two."""
+        if len(self.meet) > MEMO_WORDS:
+            self.meet = {}
+        new = list({p for p in pairs if p not in self.meet})
+        for p, ids in zip(new, self.contract([self.raw[a] + self.raw[b] for a, b in new]), strict=True):
+            self.meet[p] = tuple(ids.tolist()) == p
+        return [self.meet[p] for p in pairs]
+
+    def _seams(self, sides: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> list[tuple[int, np.ndarray] | None]:
+        """Of neighbouring parts of a word how many tokens at their border were contracted again, and to what; None if
+        more than most on either side would have to be."""
+        found: list[tuple[int, np.ndarray] | None] = [None] * len(sides)
+        todo, k = [i for i, m in enumerate(most) if m > 0], 1
+        while todo:
+            pieces = self.contract([b"".join(map(self.raw.__getitem__, [*sides[i][0][-k:].tolist(), *sides[i][1][:k].tolist()])) for i in todo])
+            ends = []
+            for i, piece in zip(todo, pieces, strict=True):
+                left, right = sides[i]
+                if len(left) > k:
+                    ends.append((i, (int(left[-k - 1]), int(piece[0]))))
+                if len(right) > k:
+                    ends.append((i, (int(piece[-1]), int(right[k]))))
+            bad = {i for (i, _), apart in zip(ends, self._apart([p for _, p in ends]), strict=True) if not apart}
+            for i, piece in zip(todo, pieces, strict=True):
+                if i not in bad:
+                    found[i] = (k, piece)
+            k *= 2
+            todo = [i for i in todo if i in bad and k <= most[i]]
+        return found
+
+    def contract_long(self, words: list[bytes], chunk: int = LONG) -> list[np.ndarray]:
+        """As contract(), by chunks. First all borders at once, each with less than half of the chunks beside it; the few
+        that need more are then joined two by two."""
+        cut = [[w[i : i + chunk] for i in range(0, len(w), chunk)] for w in words]
+        parts, found = [], iter(self.contract([c for p in cut for c in p]))
+        for p in cut:
+            parts.append([next(found) for _ in p])
+        half = lambda x: (len(x) - 1) // 2
+        seams = iter(self._seams([(a, b) for p in parts for a, b in zip(p, p[1:], strict=False)], [min(half(a), half(b)) for p in parts for a, b in zip(p, p[1:], strict=False)]))
+        for n, p in enumerate(parts):
+            joined, now, taken = [], [], 0
+            for i, ids in enumerate(p):
+                seam = next(seams) if i + 1 < len(p) else None
+                now.append(ids[taken : len(ids) - (seam[0] if seam else 0)])
+                if seam:
+                    now.append(seam[1])
+                    taken = seam[0]
+                else:
+                    joined.append(np.concatenate(now))
+                    now, taken = [], 0
+            parts[n] = joined
+        while any(len(p) > 1 for p in parts):
+            sides = [(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]
+            seams = iter(self._seams(sides, [2 * max(len(a), len(b)) for a, b in sides]))
+            for n, p in enumerate(parts):
+                joined = []
+                for i in range(0, len(p) - 1, 2):
+                    k, piece = next(seams)
+                    joined.append(np.concatenate([p[i][: max(len(p[i]) - k, 0)], piece, p[i + 1][k:]]))
+                parts[n] = joined + p[len(joined) * 2 :]
+        return [p[0] for p in parts]
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of new words into the memo, as little-endian unsigned 32-bit integers."""
         raws = [w.encode("utf-8", "surrogatepass") for w in words]
         known = [self.ranks.get(r) for r in raws]
         self.words.update((w, k.to_bytes(4, "little")) for w, k in zip(words, known, strict=True) if k is not None)
-        for contract, mine in ((self._contract_short, lambda n: n <= LONG), (self._contract_long, lambda n: n > LONG)):
+        for contract, mine in ((self.contract, lambda n: n <= LONG), (self.contract_long, lambda n: n > LONG)):
             rest = [(w, r) for w, r, k in zip(words, raws, known, strict=True) if k is None and mine(len(r))]
-            begin, size = 0, 0
-            for i, (_, r) in enumerate(rest, 1):
-                size += len(r)
-                if size > QUERY_ROWS or i == len(rest):
-                    part = rest[begin:i]
-                    self.words.update(zip([w for w, _ in part], contract([r for _, r in part]), strict=True))
-                    begin, size = i, 0
+            self.words.update((w, ids.astype("<u4").tobytes()) for (w, _), ids in zip(rest, contract([r for _, r in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
@@ -227,7 +244,7 @@ def _encoder(path: str, keep: int):
 def encode(docs: DataFrame, path: str, *carry: Column) -> DataFrame:
     """The carried columns and ids (array<int>) of each text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, "text").mapInArrow(_encoder(path, len(carry)), f"{fields}, ids array<int>")
+    return map_batches(docs.select(*carry, "text"), _encoder(path, len(carry)), f"{fields}, ids array<int>")
 
 
 def _list_bytes(column: pa.Array) -> list[bytes]:
@@ -250,7 +267,7 @@ def _decoder(path: str, keep: int):
 def decode(encoded: DataFrame, path: str, *carry: Column) -> DataFrame:
     """The carried columns, ids and decoded (binary) of rows with ids."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*carry).schema)
-    return encoded.select(*carry, "ids").mapInArrow(_decoder(path, len(carry)), f"{fields}, ids array<int>, decoded binary")
+    return map_batches(encoded.select(*carry, "ids"), _decoder(path, len(carry)), f"{fields}, ids array<int>, decoded binary")
 
 
 def _digests(path: str):
@@ -270,4 +287,4 @@ def _digests(path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens, the digest of the ids and the digest of what they decode to, of each text."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,19 +1,24 @@
 """Exact top-k over binary codes by incremental multi-index hashing.
 
-A code is cut into 16-bit segments. A cell holds a bounded part of the distinct codes, indexed by segment value. For a
-query the search radius of the segments grows by one at a time: after radius r every code within m * (r + 1) - 1 bits
-has been met (m segments), so the search ends once the kth verified distance is no larger. Cells are blocks of codes and
-blocks of queries; the best k of each cell are merged by a window.
+A code is cut into 16-bit segments. The index has each distinct code once for each segment, in the bucket of the segment's
+first bits; buckets are cells that lie over the cluster. A query searches all segments within a radius that grows: it
+goes to the cells whose first bits are within the radius of its own, where codes are verified whose segment is. Within
+radius r every code within m * (r + 1) - 1 bits has been met (m segments); a query whose kth verified distance is no
+larger is proven and done, and only the others go on to the next radius. A code that several segments reach is
+reported by the first of them alone. The rounds are joined by tables in the shared folder.
 
 Equal codes are collapsed first: of each code only the k smallest ids can be in a result, so a very common vector costs
-one entry. Ties are broken by id. Defined results: null vectors, vectors of the wrong length and null ids are neither
-indexed nor asked; NaN is a 0 bit; repeated ids with equal codes count once; an empty table gives no rows; a query finds
-itself at distance 0.
+one entry. A bucket with many codes is split by hash into cells of CELL_CODES or so, and one with many queries is dealt to
+several tasks, so neither needs more memory. Ties are broken by id.
+
+Defined results: null vectors, vectors of the wrong length and null ids are neither indexed nor asked; NaN and null
+components are 0 bits; repeated ids with equal codes count once, with other codes once each; an empty table gives no rows;
+a query finds itself at distance 0; where there are less than k ids, all are found. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 import numpy as np
 import pandas as pd
@@ -21,87 +26,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.llm._shared import dropped, map_batches, released, written
+
 SEGMENT_BITS = 16
-#: Distinct codes and queries in a cell: they bound its memory.
-CELL_CODES, CELL_QUERIES = 32_768, 8_192
+#: Codes of a bucket that make it worth a split by one bit more; codes and queries of a cell.
+BUCKET_CODES, CELL_CODES, CELL_QUERIES = 1_024, 8_192, 8_192
+#: Bits of a segment that name a bucket, at most: the list of buckets is broadcast.
+MOST_BITS = 12
+#: The radius of the first round; each further one is greater by one.
+FIRST_RADIUS = 2
 
 
 def _coder(bits: int):
     def run(batches):
         for batch in batches:
-            ids, codes = [], []
-            for key, vec in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key is not None and vec.is_valid and len(vec) == bits:
-                    ids.append(key)
-                    codes.append(np.packbits(vec.values.to_numpy(zero_copy_only=False) > 0, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary())], ["vec_id", "code"])
+            ids, vectors = batch.column(0), batch.column(1)
+            rows = np.flatnonzero((vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == bits) & ids.is_valid().to_numpy(zero_copy_only=False))
+            kept = vectors.take(pa.array(rows))
+            sign = np.nan_to_num(kept.flatten().to_numpy(zero_copy_only=False)).reshape(-1, bits) > 0
+            codes = [c.tobytes() for c in np.packbits(sign, axis=1, bitorder="little")]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(codes, pa.binary())], ["vec_id", "code"])
 
     return run
 
 
 def sign_codes(vectors: DataFrame, bits: int = 64) -> DataFrame:
     """(vec_id, code): one bit for each positive component; bits is a multiple of 16."""
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_coder(bits), "vec_id long, code binary")
-
-
-def masks(radius: int) -> np.ndarray:
-    """All 16-bit words with radius bits set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)], np.uint16)
-
-
-class MultiIndex:
-    """The segments of distinct codes (n, m) as sorted lists by value."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.m = codes, codes.shape[1]
-        self.lists = []
-        for s in range(self.m):
-            order = np.argsort(codes[:, s], kind="stable")
-            self.lists.append((order, np.searchsorted(codes[order, s], np.arange((1 << SEGMENT_BITS) + 1))))
-
-    def search(self, query: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows) and distances that hold the k nearest ids and all ties; counts: ids behind each code."""
-        found, dist = np.empty(0, np.int64), np.empty(0, np.int64)
-        for radius in range(SEGMENT_BITS + 1):
-            flips, new = masks(radius), []
-            for s, (order, starts) in enumerate(self.lists):
-                values = (flips ^ query[s]).astype(np.int64)
-                begin, size = starts[values], starts[values + 1] - starts[values]
-                hit = size > 0
-                begin, size = begin[hit], size[hit]
-                if len(size):
-                    new.append(order[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())])
-            if new:
-                new = np.setdiff1d(np.unique(np.concatenate(new)), found)
-                found = np.concatenate([found, new])
-                dist = np.concatenate([dist, np.bitwise_count(self.codes[new] ^ query).sum(1).astype(np.int64)])
-            covered = self.m * (radius + 1) - 1
-            if counts[found[dist <= covered]].sum() >= k:
-                break
-        if not len(found):
-            return found, dist
-        by = np.argsort(dist, kind="stable")
-        found, dist = found[by], dist[by]
-        reach = np.searchsorted(np.cumsum(counts[found]), k)
-        last = dist[min(reach, len(dist) - 1)]
-        return found[dist <= last], dist[dist <= last]
-
-
-def _cell(k: int):
-    def run(key, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "distance": []}
-        if len(codes) and len(queries):
-            table = np.stack([np.frombuffer(c, "<u2") for c in codes["code"]])
-            index, ids, counts = MultiIndex(table), list(codes["ids"]), codes["ids"].map(len).to_numpy()
-            for q, code in zip(queries["query_id"], queries["code"], strict=True):
-                rows, dist = index.search(np.frombuffer(code, "<u2"), counts, k)
-                best = sorted((d, i) for r, d in zip(rows, dist, strict=True) for i in ids[r])[:k]
-                out["query_id"] += [q] * len(best)
-                out["vec_id"] += [i for _, i in best]
-                out["distance"] += [d for d, _ in best]
-        return pd.DataFrame({c: np.array(v, np.int64) for c, v in out.items()})
-
-    return run
+    return map_batches(vectors.select(F.col("vec_id").cast("long"), "embedding"), _coder(bits), "vec_id long, code binary")
 
 
 def _smallest(k: int):
@@ -118,16 +69,84 @@ def _smallest(k: int):
     return run
 
 
+def _segments(df: DataFrame, m: int, bits: int) -> DataFrame:
+    """Rows of df (code) for each of its m segments, with the bucket: the segment's first bits."""
+    value = lambda s: F.conv(F.hex(F.substring("code", 2 * s + 1, 2)), 16, 10).cast("int")
+    each = F.array(*(F.shiftright(value(s), SEGMENT_BITS - bits) for s in range(m)))
+    return df.select("*", F.posexplode(each).alias("segment", "bucket"))
+
+
+def nearest_in_cell(codes: np.ndarray, ids: list, queries: np.ndarray, bounds: np.ndarray, segment: int, low: int, high: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k best that each query meets in this segment first, at a radius of low to high. codes
+    and queries: rows of 16-bit segments; ids: those of each code; bounds: distances beyond which nothing is wanted."""
+    step, found = max(1, 4_000_000 // max(len(codes), 1)), []
+    for begin in range(0, len(queries), step):
+        part = queries[begin : begin + step]
+        q, c = np.nonzero(np.bitwise_count(part[:, None, segment] ^ codes[None, :, segment]) <= high)
+        radii = np.bitwise_count(part[q] ^ codes[c])
+        distance = radii.sum(1, dtype=np.int64)
+        # met before at a smaller radius, or by an earlier segment in this round
+        new = (radii.min(1) >= low) & (radii[:, :segment] > high).all(1) & (distance <= bounds[begin + q])
+        q, c, distance = q[new] + begin, c[new], distance[new]
+        own = np.array([len(i) for i in ids], np.int64)[c] if len(c) else np.empty(0, np.int64)
+        flat = np.concatenate([ids[i] for i in c]).astype(np.int64) if len(c) else np.empty(0, np.int64)
+        q, distance = np.repeat(q, own), np.repeat(distance, own)
+        by = np.lexsort((flat, distance, q))
+        q, flat, distance = q[by], flat[by], distance[by]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        found.append((q[place < k], flat[place < k], distance[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+
+def _cell(k: int, low: int, high: int):
+    def run(key, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(codes) or not len(queries):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "code": [], "vec_id": np.empty(0, np.int64), "distance": np.empty(0, np.int64)})
+        table, asked = (np.frombuffer(b"".join(df["code"]), "<u2").reshape(len(df), -1) for df in (codes, queries))
+        q, ids, distance = nearest_in_cell(table, list(codes["ids"]), asked, queries["bound"].to_numpy(), int(key[0]), low, high, k)
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "code": queries["code"].to_numpy()[q], "vec_id": ids, "distance": distance})
+
+    return run
+
+
 def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, distance): for each query (query_id, code) its k nearest of codes (vec_id, code)."""
-    distinct = _smallest(k)(codes)
-    n_codes = max(1, -(-distinct.count() // CELL_CODES))
-    n_queries = max(1, -(-queries.count() // CELL_QUERIES))
-    cell = F.xxhash64("code")
-    left = distinct.withColumn("shard", F.pmod(cell, F.lit(n_codes))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_codes - 1))))
-    left = left.select(F.col("shard").cast("long"), F.col("block").cast("long"), "code", "ids")
-    right = right.select(F.col("shard").cast("long"), F.col("block").cast("long"), "query_id", "code")
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_cell(k), "query_id long, vec_id long, distance long")
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long"), "vec_id", "distance")
+    result = "query_id long, rank long, vec_id long, distance long"
+    spark, distinct = codes.sparkSession, written(_smallest(k)(codes), "codes")
+    n, n_ids, m = distinct.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.length("code")) / 2).first()
+    if not n:
+        dropped(distinct)
+        return spark.createDataFrame([], result)
+    m, wanted = int(m), min(k, n_ids)
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(n / BUCKET_CODES))))
+    index = _segments(distinct, m, bits)
+    # at most m * 2 ** MOST_BITS rows
+    buckets = written(index.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / CELL_CODES).cast("int").alias("cells")), "buckets")
+    active = written(queries.select("query_id", "code").distinct().withColumn("bound", F.lit(SEGMENT_BITS * m)), "active")
+    best, low, high = None, 0, FIRST_RADIUS
+    key = ["segment", "bucket", "cell", "deal"]
+    while True:
+        flips = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda x: F.bit_count(x) <= high)  # noqa: B023
+        probes = _segments(active, m, bits).withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip"))).drop("flip")
+        met = probes.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("deals"))
+        known = F.broadcast(buckets.join(F.broadcast(met), ["segment", "bucket"]))
+        to = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        left = index.join(known, ["segment", "bucket"]).withColumn("cell", to("code", "cells")).withColumn("deal", every("deals")).select(*key, "code", "ids")
+        right = probes.join(known, ["segment", "bucket"]).withColumn("deal", to("query_id", "deals")).withColumn("cell", every("cells")).select(*key, "query_id", "code", "bound")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_cell(k, low, high), "query_id long, code binary, vec_id long, distance long")
+        order = Window.partitionBy("query_id", "code").orderBy("distance", "vec_id")
+        merged = (best.unionByName(found) if best else found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+        last, best = best, written(merged, "best")
+        covered = m * (high + 1) - 1
+        reached = best.groupBy("query_id", "code").agg(F.count("*").alias("found"), F.max("distance").alias("kth"))
+        left_over = active.join(reached, ["query_id", "code"], "left").filter((F.coalesce("found", F.lit(0)) < wanted) | (F.col("kth") > covered))
+        waiting = written(left_over.select("query_id", "code", F.when(F.col("found") >= wanted, F.col("kth")).otherwise(SEGMENT_BITS * m).cast("int").alias("bound")), "active")
+        dropped(active, *([last] if last else []))
+        active = waiting
+        released(spark)
+        if high == SEGMENT_BITS or active.isEmpty():
+            break
+        low, high = high + 1, high + 1
+    dropped(distinct, buckets, active)
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("long"), "vec_id", "distance")

@@ -6,63 +6,185 @@ import random
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.gating import Thresholds, directional_vote, gated_state, metric_label, verdict
+from evidra.functions.gating import BaselineThresholds, Thresholds, baseline_confidence, baseline_decision, conflict_rule, directional_vote, fused_confidence, gated_state, metric_label, verdict
+from evidra.operators.baselines import SCORES, VARIANTS
 from evidra.operators.fusion import CLAIM, GROUP, diagnose, fuse_documents, fuse_evaluators
 from evidra.operators.metrics import LABELS, classification_report
-from evidra.operators.tuning import observed_grid, search_gates
+from evidra.operators.running import BUCKETS, running
+from evidra.operators.tables import kept
+from evidra.operators.tuning import best_decisions, decision_candidates, inner_grid, search_observed, shared_decision
+
+#: A gate that no value reaches.
+OFF = 2.0
+
+
+def require_gold(claims: DataFrame) -> DataFrame:
+    """claims, where a row without a gold state is an error as it is read."""
+    return claims.withColumn("gold_state", F.coalesce("gold_state", F.raise_error(F.concat(F.lit("no gold state: "), F.col("sample_id").cast("string"))).cast("string")))
 
 
 def stratified_folds(claims: DataFrame, folds: int, seed: int = 42) -> DataFrame:
-    """claims with a fold: dealt out in turn within each gold state, in the order of a seeded hash of the sample."""
-    order = Window.partitionBy("gold_state").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"))), "sample_id")
-    return claims.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    """claims with a fold: dealt out in turn within each gold state, in the order of a seeded hash of the sample. The hash
+    also deals the rows to the buckets that are counted, so no task sees a whole state."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string")))
+    rows = claims.withColumn("_h", digest)
+    place = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32)
+    ranked = running(rows, ["gold_state"], place, [F.col("_h"), F.col("sample_id")], {"_k": F.lit(1)})
+    return ranked.withColumn("fold", ((F.col("_k") - 1) % folds).cast("int")).drop("_h", "_k")
+
+
+def gate_methods(results: DataFrame, stat_scores: DataFrame, variants: list[str] = VARIANTS) -> DataFrame:
+    """(method, claim, gold_state, fold, m_support, m_refute, m_theta, k_doc) of fusion and of statistical gates, which
+    are tuned alike. results: diagnosed claims with a fold; stat_scores: stat_gate_scores() of the same claims."""
+    cell = lambda m, s, r, t, k: F.struct(F.lit(m).alias("method"), *(F.col(c).cast("double").alias(n) for c, n in zip((s, r, t, k), ("m_support", "m_refute", "m_theta", "k_doc"), strict=True)))
+    own = results.select(*CLAIM, "gold_state", "fold", cell("ds", "m_support", "m_refute", "m_theta", "k_doc").alias("x"))
+    stat = [cell(f"stat_gate_{v}", "score_support", "score_refute", "insufficiency_uprod" if v.endswith("_uprod") else "insufficiency_mean", f"conflict_{v.removesuffix('_uprod')}") for v in variants]
+    each = stat_scores.join(results.select(*CLAIM, "fold"), CLAIM).select(*CLAIM, "gold_state", "fold", F.explode(F.array(*stat)).alias("x"))
+    return own.unionByName(each).select(*CLAIM, "gold_state", "fold", "x.*")
+
 
+def tune_gates(rows: DataFrame, folds: int, steps: int) -> DataFrame:
+    """(method, fold, theta, conflict, macro_f1): of each method of gate_methods() and each fold the gates that do best on
+    the other folds, among values observed on these."""
+    thetas, conflicts = (inner_grid(rows, c, steps, ["method"], folds) for c in ("m_theta", "k_doc"))
+    return search_observed(rows, thetas, conflicts, ["method"], folds).select("method", F.col("outer").alias("fold"), "theta", "conflict", "macro_f1")
 
-def nested_cv(results: DataFrame, folds: int, steps: int = 5) -> DataFrame:
+
+def _gated(rows: DataFrame) -> DataFrame:
+    """rows of gate_methods() with theta and conflict as predictions."""
+    state = metric_label(gated_state(F.col("m_theta") >= F.col("theta"), F.col("k_doc") >= F.col("conflict"), verdict(F.col("m_support"), F.col("m_refute"))))
+    out = rows.withColumn("predicted", state)
+    sure = fused_confidence(F.col("predicted"), *map(F.col, ("m_support", "m_refute", "m_theta", "k_doc")))
+    return out.select("method", *CLAIM, "fold", "gold_state", "predicted", F.coalesce("m_theta", F.lit(0.0)).alias("insufficiency_score"), F.col("k_doc").alias("conflict_score"), sure.alias("confidence"))
+
+
+def nested_cv(results: DataFrame, folds: int, steps: int = 9) -> DataFrame:
     """Each fold's claims with the label that gates give which were tuned on the other folds. results: diagnosed claims
     with a fold. The grid of a fold is observed on its inner claims alone."""
-    inner = results.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("outer") != F.col("fold"))
-    thetas = observed_grid(inner, "m_theta", steps, ["outer"]).select("outer", F.col("value").alias("theta"))
-    conflicts = observed_grid(inner, "k_doc", steps, ["outer"]).select("outer", F.col("value").alias("conflict"))
-    chosen = search_gates(inner, thetas.join(conflicts, "outer"), ["outer"]).select(F.col("outer").alias("fold"), "theta", "conflict")
-    out = results.join(F.broadcast(chosen), "fold")
-    state = gated_state(F.col("m_theta") >= F.col("theta"), F.col("k_doc") >= F.col("conflict"), verdict(F.col("m_support"), F.col("m_refute")))
-    return out.withColumn("predicted", metric_label(state))
+    rows = results.select(*CLAIM, "gold_state", "fold", F.lit("ds").alias("method"), "m_support", "m_refute", "m_theta", "k_doc")
+    return _gated(rows.join(F.broadcast(tune_gates(rows, folds, steps)), ["method", "fold"]))
+
+
+def tune_decisions(scores: DataFrame, folds: int, margins: list[float] | None = None) -> DataFrame:
+    """(fold, method, decision, conflict, margin) of the baselines (method, fold, gold_state, scores), tuned on the other
+    folds. Without margins all share one decision threshold and a margin of 0.1; with them conflict_aware has three
+    thresholds of its own."""
+    tried = decision_candidates(scores, [], margins=margins or [0.1], outers=folds)
+    own = best_decisions(tried, ["outer", "method"]).filter("method = 'conflict_aware'").select("outer", F.col("decision").alias("own"), "conflict", "margin")
+    chosen = shared_decision(tried, ["outer"]).join(own, "outer").withColumn("method", F.explode(F.array(*map(F.lit, ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")))))
+    decision = F.when((F.col("method") == "conflict_aware") & F.lit(bool(margins)), F.col("own")).otherwise(F.col("decision"))
+    return chosen.select(F.col("outer").alias("fold"), "method", decision.alias("decision"), "conflict", "margin")
+
+
+def _decided(rows: DataFrame) -> DataFrame:
+    s, r, u = map(F.col, SCORES)
+    state, _ = baseline_decision(s, r, u, BaselineThresholds(), F.col("decision"))
+    torn = (F.col("method") == "conflict_aware") & conflict_rule(s, r, F.col("conflict"), F.col("margin"))
+    out = rows.withColumn("predicted", F.when(torn, "conflicting").otherwise(state))
+    return out.select("method", *CLAIM, "fold", "gold_state", "predicted", u.alias("insufficiency_score"), (1 - F.abs(s - r)).alias("conflict_score"), baseline_confidence(F.col("predicted"), s, r, u).alias("confidence"))
+
+
+def nested_cv_methods(gates: DataFrame, scores: DataFrame, folds: int = 5, steps: int = 9, margins: list[float] | None = None) -> DataFrame:
+    """The pooled predictions of all methods on each fold, tuned on the others: (method, claim, fold, gold_state, predicted,
+    insufficiency_score, conflict_score, confidence). gates: gate_methods(); scores: run_baselines() with a fold."""
+    gated = _gated(gates.join(F.broadcast(tune_gates(gates, folds, steps)), ["method", "fold"]))
+    return gated.unionByName(_decided(scores.join(F.broadcast(tune_decisions(scores, folds, margins)), ["method", "fold"])))
+
+
+GATE_VARIANTS = {"full": (True, True), "no_theta_gate": (False, True), "no_conflict_gate": (True, False), "neither_gate": (False, False)}
+
+
+def nested_ablation(results: DataFrame, folds: int = 5, steps: int = 9) -> DataFrame:
+    """As nested_cv(), with either gate, or both, taken away and what is left tuned again; method is the variant."""
+    rows = results.select(*CLAIM, "gold_state", "fold", F.lit("ds").alias("method"), "m_support", "m_refute", "m_theta", "k_doc")
+    each = F.explode(F.array(*map(F.lit, GATE_VARIANTS)))
+    named = rows.withColumn("method", each)
+
+    def grid(column: str, side: int) -> DataFrame:
+        values = inner_grid(rows, column, steps, [], folds).withColumn("method", each)
+        kept = values.filter(F.col("method").isin([v for v, on in GATE_VARIANTS.items() if on[side]]))
+        off = values.filter(~F.col("method").isin([v for v, on in GATE_VARIANTS.items() if on[side]])).select("outer", F.lit(0).alias("i"), F.lit(OFF).alias("value"), "method").distinct()
+        return kept.unionByName(off)
+
+    chosen = search_observed(named, grid("m_theta", 0), grid("k_doc", 1), ["method"], folds).select("method", F.col("outer").alias("fold"), "theta", "conflict")
+    return _gated(named.join(F.broadcast(chosen), ["method", "fold"]))
+
+
+def baseline_long(results: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Fusion and the baselines of the same claims as one long table of predictions. results: diagnosed claims; baselines:
+    run_baselines()."""
+    label = metric_label(F.col("primary_state"))
+    own = results.withColumn("predicted", label)
+    own = own.select(F.lit("ds").alias("method"), *CLAIM, "gold_state", "predicted", F.coalesce("m_theta", F.lit(0.0)).alias("insufficiency_score"), F.col("k_doc").alias("conflict_score"), fused_confidence(F.col("predicted"), *map(F.col, ("m_support", "m_refute", "m_theta", "k_doc"))).alias("confidence"))
+    s, r, u = map(F.col, SCORES)
+    rest = baselines.select("method", *CLAIM, "gold_state", F.col("state").alias("predicted"), u.alias("insufficiency_score"), (1 - F.abs(s - r)).alias("conflict_score"), "confidence")
+    return own.unionByName(rest)
+
+
+def compared_detection(long: DataFrame) -> DataFrame:
+    """(method, name, score, positive) of a long table, for detection_report(): conflict and insufficiency."""
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_score").alias("score"), (F.col("gold_state") == g).cast("int").alias("positive")) for n, g in (("conflict", "conflicting"), ("insufficiency", "insufficient"))))
+    return long.select("method", F.explode(each).alias("x")).select("method", "x.*")
 
 
 def ablation(results: DataFrame, t: Thresholds) -> DataFrame:
-    """Macro F1 and accuracy with either gate, or both, taken away; delta is the variant less the full method."""
-    off = 2.0
-    variants = [("full", t.theta, t.document_conflict), ("no_theta_gate", off, t.document_conflict), ("no_conflict_gate", t.theta, off), ("neither_gate", off, off)]
+    """Macro F1 and accuracy with either gate, or both, taken away; delta is the variant less the full method. A variant
+    that changes no claim is vacuous."""
+    variants = [(v, t.theta if a else OFF, t.document_conflict if b else OFF) for v, (a, b) in GATE_VARIANTS.items()]
     table = results.sparkSession.createDataFrame(variants, "variant string, theta double, conflict double")
-    tried = results.crossJoin(F.broadcast(table))
-    state = gated_state(F.col("m_theta") >= F.col("theta"), F.col("k_doc") >= F.col("conflict"), verdict(F.col("m_support"), F.col("m_refute"), t.tie))
-    report = classification_report(tried.withColumn("predicted", metric_label(state)), ["variant"])
+    labelled = lambda theta, conflict: metric_label(gated_state(F.col("m_theta") >= theta, F.col("k_doc") >= conflict, verdict(F.col("m_support"), F.col("m_refute"), t.tie)))
+    tried = results.withColumn("_full", labelled(F.lit(t.theta), F.lit(t.document_conflict))).crossJoin(F.broadcast(table))
+    tried = tried.withColumn("predicted", labelled(F.col("theta"), F.col("conflict")))
+    changed = tried.groupBy("variant").agg((F.sum((F.col("predicted") != F.col("_full")).cast("int")) == 0).alias("vacuous"))
+    report = classification_report(tried, ["variant"]).join(changed, "variant")
     full = report.filter("variant = 'full'").select(F.col("macro_f1").alias("full_f1"))
-    return report.crossJoin(F.broadcast(full)).withColumn("delta", F.col("macro_f1") - F.col("full_f1")).drop("full_f1")
+    return report.crossJoin(F.broadcast(full)).withColumns({"delta": F.col("macro_f1") - F.col("full_f1"), "vacuous": F.col("vacuous") & (F.col("variant") != "full")}).drop("full_f1")
+
+
+def _sweep_point(done: DataFrame, keys: list[str]) -> DataFrame:
+    share = lambda state: F.avg((F.coalesce("primary_state", F.lit("")) == state).cast("double"))
+    return done.groupBy(*keys).agg(F.avg("m_theta").alias("mean_theta"), F.avg("k_doc").alias("mean_k_doc"), share("insufficient").alias("share_insufficient"), share("conflicting").alias("share_conflicting"), F.count("*").alias("n"))
 
 
 def reliability_sweep(claims: DataFrame, evidence: DataFrame, levels: list[float], t: Thresholds) -> DataFrame:
-    """Means over claims with every document at the same reliability, one row a level. Levels are fused side by side."""
+    """Means over claims with every document at the same reliability, one row a level; 1.0 has to be one of them. Levels
+    are fused side by side: they are dealt out after the scan and combined before the shuffle."""
+    if 1.0 not in levels:
+        raise ValueError("the levels need 1.0 to compare with")
     each = evidence.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     fused = fuse_evaluators(fuse_documents(each, ["level", *GROUP], F.col("level")), ["level", *CLAIM])
     rows = claims.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    done = diagnose(rows, fused, t, ["level", *CLAIM])
-    share = lambda state: F.avg((F.coalesce("primary_state", F.lit("")) == state).cast("double"))
-    return done.groupBy("level").agg(F.avg("m_theta").alias("mean_theta"), F.avg("k_doc").alias("mean_k_doc"), share("insufficient").alias("share_insufficient"), share("conflicting").alias("share_conflicting"), F.count("*").alias("n"))
+    return _sweep_point(diagnose(rows, fused, t, ["level", *CLAIM]), ["level"])
+
+
+def with_reliability(evidence: DataFrame, known: DataFrame) -> DataFrame:
+    """evidence with doc_reliability from known (sample_id, doc_id, reliability) where that has the document."""
+    out = evidence.join(known.select("sample_id", "doc_id", F.col("reliability").alias("_known")), ["sample_id", "doc_id"], "left")
+    return out.withColumn("doc_reliability", F.coalesce("_known", "doc_reliability")).drop("_known")
+
+
+def reliability_sensitivity(claims: DataFrame, evidence: DataFrame, levels: list[float], oracle: DataFrame, t: Thresholds) -> DataFrame:
+    """reliability_sweep() and a last point, setting oracle, with the documents' own reliability (sample_id, doc_id,
+    reliability)."""
+    sweep = reliability_sweep(claims, evidence, levels, t).select(F.col("level").cast("string").alias("setting"), "*").drop("level")
+    fused = fuse_evaluators(fuse_documents(with_reliability(evidence, oracle)))
+    point = _sweep_point(diagnose(claims, fused, t).withColumn("setting", F.lit("oracle")), ["setting"])
+    return sweep.unionByName(point)
 
 
 def verdict_scores(claims: DataFrame, evidence: DataFrame, reliability: float | None = None) -> DataFrame:
-    """(method, claim, margin, label): support less refute by fusion, by weighted average, and by documents' votes."""
+    """(method, claim, margin, label, ds_undefined): support less refute by fusion, by weighted average, and by documents'
+    votes. Where fusion is undefined its margin is 0 and ds_undefined says so."""
     rel = F.col("doc_reliability") if reliability is None else F.lit(reliability)
-    fused = fuse_evaluators(fuse_documents(evidence, GROUP, rel)).select(*CLAIM, F.coalesce(F.col("m_support") - F.col("m_refute"), F.lit(0.0)).alias("margin"))
+    fused = fuse_evaluators(fuse_documents(evidence, GROUP, rel)).select(*CLAIM, F.coalesce(F.col("m_support") - F.col("m_refute"), F.lit(0.0)).alias("margin"), F.col("m_support").isNull().alias("ds_undefined"))
     w = rel * F.col("evaluator_reliability")
     plain = evidence.groupBy(*CLAIM).agg(F.coalesce(F.try_divide(F.sum(w * (F.col("p_support") - F.col("p_refute"))), F.sum(w)), F.lit(0.0)).alias("average"), F.avg(directional_vote(F.col("p_support"), F.col("p_refute"), F.col("p_unknown"))).alias("votes"))
     parts = [("ds", fused), ("weighted_average", plain.select(*CLAIM, F.col("average").alias("margin"))), ("majority_vote", plain.select(*CLAIM, F.col("votes").alias("margin")))]
-    rows = reduce(DataFrame.unionByName, (claims.join(p, CLAIM, "left").withColumns({"method": F.lit(m), "margin": F.coalesce("margin", F.lit(0.0))}) for m, p in parts))
+    flag = lambda p: F.coalesce("ds_undefined", F.lit(False)) if "ds_undefined" in p.columns else F.lit(False)
+    rows = reduce(DataFrame.unionByName, (claims.join(p, CLAIM, "left").withColumns({"method": F.lit(m), "margin": F.coalesce("margin", F.lit(0.0)), "ds_undefined": flag(p)}) for m, p in parts))
     return rows.withColumn("label", verdict(F.col("margin"), F.lit(0.0)))
 
 
@@ -127,3 +249,52 @@ def paired_bootstrap(predictions: DataFrame, resamples: int = 5000, seed: int =
         p = min(1.0, 2 * min((d <= 0).sum(), (d >= 0).sum()) / resamples)
         rows.append((metric, float(all_a[metric][0] - all_b[metric][0]), float(d[int(0.025 * resamples)]), float(d[min(int(0.975 * resamples), resamples - 1)]), float(p), resamples, int(seen.sum())))
     return predictions.sparkSession.createDataFrame(rows, "metric string, difference double, low double, high double, p_value double, n_resamples long, n_claims long")
+
+
+def estimated_reliability(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reliability, mean_auroc) from detection reports of support and refutation (keys, auroc): clip(2 * mean - 1)."""
+    return reports.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.avg("auroc") - 1)).alias("reliability"), F.avg("auroc").alias("mean_auroc"))
+
+
+def reliability_of_macro_f1(f1: Column) -> Column:
+    """How far a Macro F1 over four states is above chance, within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (f1 - 0.25) / 0.75))
+
+
+def with_evaluator_reliability(evidence: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """evidence with evaluator_reliability from estimates (keys, reliability), which are few."""
+    out = evidence.join(F.broadcast(estimates.select(*keys, F.col("reliability").alias("_new"))), keys, "left")
+    return out.withColumn("evaluator_reliability", F.coalesce("_new", "evaluator_reliability")).drop("_new")
+
+
+def side_scores(evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """(evaluator, side, sample_id, fold if the claims have one, score, positive): an evaluator's mean support and
+    refutation of a sample, against its gold state."""
+    fold = [c for c in ("fold",) if c in claims.columns]
+    by = evidence.groupBy("evaluator", "sample_id").agg(F.avg("p_support").alias("s"), F.avg("p_refute").alias("r"))
+    rows = by.join(claims.select("sample_id", "gold_state", *fold), "sample_id")
+    cells = F.array(*(F.struct(F.lit(k).alias("side"), F.round(c, 9).alias("score"), (F.col("gold_state") == k).cast("int").alias("positive")) for k, c in (("supported", "s"), ("refuted", "r"))))
+    return rows.select("evaluator", "sample_id", *fold, F.explode(cells).alias("x")).select("evaluator", "sample_id", *fold, "x.*")
+
+
+def estimates_by_fold(evidence: DataFrame, claims: DataFrame, folds: int, report) -> DataFrame:
+    """(fold, evaluator, reliability, mean_auroc): estimated for each fold on the claims of the others. report: a
+    detection_report()."""
+    rows = side_scores(evidence, claims).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("outer") != F.col("fold"))
+    found = report(rows.select("evaluator", "side", "outer", "score", "positive"), ["outer", "evaluator", "side"])
+    return estimated_reliability(found, ["outer", "evaluator"]).withColumnRenamed("outer", "fold")
+
+
+def estimated_cv(claims: DataFrame, evidence: DataFrame, folds: int, steps: int, report, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """nested_cv() of fusion where, for each fold, evaluators have the reliability that the other folds' claims suggest:
+    documents are fused once, evaluators once for each fold. claims: with a fold."""
+    estimates = estimates_by_fold(evidence, claims, folds, report).withColumnRenamed("fold", "outer")
+    documents = fuse_documents(evidence)
+    each = documents.drop("evaluator_reliability").join(F.broadcast(estimates.select("outer", "evaluator", F.col("reliability").alias("evaluator_reliability"))), "evaluator")
+    rows = claims.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    done = diagnose(rows, fuse_evaluators(each, ["outer", *CLAIM]), t, ["outer", *CLAIM])
+    # an outer fold is a method of its own here, whose predictions count on its fold alone
+    long = done.select(F.col("outer").cast("string").alias("method"), *CLAIM, "gold_state", "fold", *(F.round(c, 9).alias(c) for c in ("m_support", "m_refute", "m_theta", "k_doc")))
+    long = kept(long, "estimated")
+    chosen = tune_gates(long, folds, steps).filter(F.col("method") == F.col("fold").cast("string"))
+    return _gated(long.join(F.broadcast(chosen), ["method", "fold"])).withColumn("method", F.lit("ds"))

@@ -1,25 +1,27 @@
 """Classification and detection metrics as grouped and windowed aggregates.
 
-Scores of all rows of a group meet in windows over distinct scores only: rows are first counted by score, so a window
-sees one row for each distinct score of its group.
+Rows are first counted by score; sums over the order of scores are running() sums, so no task sees all scores of a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.running import bucket, edges, running
+
 LABELS = ["supported", "refuted", "insufficient", "conflicting", "undetermined"]
 
 
-def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gold, predicted, n) of rows (gold_state, predicted)."""
-    return predictions.groupBy(*keys, F.col("gold_state").alias("gold"), "predicted").agg(F.count("*").alias("n"))
+def confusion(predictions: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
+    """(keys, gold, predicted, n) of rows (gold_state, predicted), each counted once or so many times."""
+    n = F.count("*") if times is None else F.sum(times)
+    return predictions.groupBy(*keys, F.col("gold_state").alias("gold"), "predicted").agg(n.alias("n"))
 
 
-def class_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
+def class_metrics(predictions: DataFrame, keys: list[str], times: str | None = None) -> DataFrame:
     """Precision, recall, F1 (0 where undefined) and support of each label that is gold or predicted somewhere."""
-    cells = confusion(predictions, keys)
+    cells = confusion(predictions, keys, times)
     side = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(1).alias("is_gold")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("is_gold"))))
     flat = cells.withColumn("_s", side).select(*keys, "_s.label", "_s.is_gold", "n", (F.col("gold") == F.col("predicted")).alias("hit"))
     out = flat.groupBy(*keys, "label").agg(
@@ -30,9 +32,9 @@ def class_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"precision": ratio(F.col("tp"), F.col("predicted")), "recall": ratio(F.col("tp"), F.col("support")), "f1": ratio(2 * F.col("tp"), F.col("predicted") + F.col("support"))})
 
 
-def classification_report(predictions: DataFrame, keys: list[str], macro_labels: list[str] | None = None) -> DataFrame:
+def classification_report(predictions: DataFrame, keys: list[str], macro_labels: list[str] | None = None, times: str | None = None) -> DataFrame:
     """accuracy and macro_f1: over the labels that are gold somewhere, or over a fixed list (absent ones count 0)."""
-    by = class_metrics(predictions, keys)
+    by = class_metrics(predictions, keys, times)
     inside = F.col("support") > 0 if macro_labels is None else F.col("label").isin(macro_labels)
     count = F.count(F.when(inside, 1)) if macro_labels is None else F.lit(len(macro_labels))
     return by.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), (F.sum(F.when(inside, F.col("f1"))) / count).alias("macro_f1"), F.sum("support").alias("n"))
@@ -42,9 +44,9 @@ def detection_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     """auroc (ties averaged), average_precision and the best F1 with its lowest threshold, of rows (keys, score,
     positive 0/1); null for one class only."""
     by = rows.groupBy(*keys, "score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    cum = by.withColumns({"tp": F.sum("p").over(down), "at": F.sum("n").over(down), "all_p": F.sum("p").over(whole), "all_n": F.sum("n").over(whole)})
+    cum = running(by, keys, bucket(F.col("score"), edges(by, "score")), [F.desc("score")], {"tp": F.col("p"), "at": F.col("n")}, descending=True)
+    whole = by.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    cum = cum.join(F.broadcast(whole), keys)
     # a positive beats the negatives below it and half of those beside it
     beaten = F.col("p") * ((F.col("all_n") - F.col("all_p")) - (F.col("at") - F.col("tp")) + (F.col("n") - F.col("p")) / 2)
     f1 = 2 * F.col("tp") / (F.col("at") + F.col("all_p"))
@@ -63,14 +65,14 @@ def coverages() -> list[float]:
 
 
 def risk_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, coverage, risk): the error rate of the least risky share of rows (keys, risk_score, order_key, correct)."""
-    order = Window.partitionBy(*keys).orderBy("risk_score", "order_key")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumns({"k": F.row_number().over(order), "hits": F.sum("correct").over(run), "n": F.count("*").over(Window.partitionBy(*keys))})
+    """(keys, coverage, risk): the error rate of the least risky share of rows (keys, risk_score, order_key, correct);
+    order_key is a number."""
+    place = bucket(F.col("risk_score"), at := edges(rows, "risk_score"), F.col("order_key"), edges(rows, "order_key") if at else [])
+    ranked = running(rows, keys, place, [F.col("risk_score"), F.col("order_key")], {"k": F.lit(1), "hits": F.col("correct")})
     at = F.explode(F.array(*map(F.lit, coverages())))
     wanted = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("coverage", at)
     wanted = wanted.select(*keys, "coverage", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("coverage"))).cast("int").alias("k"))
-    return wanted.join(ranked.select(*keys, "k", "hits"), [*keys, "k"]).select(*keys, "coverage", (1 - F.col("hits") / F.col("k")).alias("risk"))
+    return ranked.select(*keys, "k", "hits").join(F.broadcast(wanted), [*keys, "k"]).select(*keys, "coverage", (1 - F.col("hits") / F.col("k")).alias("risk"))
 
 
 def aurc(rows: DataFrame, keys: list[str]) -> DataFrame:

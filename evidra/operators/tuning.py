@@ -7,24 +7,45 @@ from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, baseline_decision, conflict_rule, gated_state, metric_label, verdict
 from evidra.operators.metrics import classification_report
+from evidra.operators.running import bucket, edges, running
 
+# The thresholds that a search tries.
 DECISIONS = [round(0.2 + 0.05 * i, 2) for i in range(15)]
-CONFLICTS = [round(0.05 + 0.03 * i, 2) for i in range(15)]
+CONFLICTS = [0.001, 0.005, *(round(0.01 + 0.01 * i, 2) for i in range(4)), *(round(0.05 + 0.05 * i, 2) for i in range(9))]
 
 
-def observed_grid(values: DataFrame, column: str, steps: int, keys: list[str] | None = None) -> DataFrame:
-    """(keys, i, value): nearest-rank quantiles of what was observed, rounded to 6 places, each once. Ranks are taken by a
-    window over the distinct values with their counts, not by collecting them."""
-    keys = keys or []
-    counts = values.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    run = Window.partitionBy(*keys or [F.lit(0)]).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys or [F.lit(0)])
-    cum = counts.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(whole)})
+def _places(steps: int, n: Column) -> list[Column]:
     spread = [i / (steps - 1) for i in range(steps)] if steps > 1 else [0.5]
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.bround(F.lit(q) * (F.col("all") - 1)).cast("long").alias("place")) for i, q in enumerate(spread))))
-    hits = cum.withColumn("_at", at).filter((F.col("_at.place") >= F.col("upto") - F.col("n")) & (F.col("_at.place") < F.col("upto")))
-    hits = hits.select(*keys, F.col("_at.i").alias("i"), F.bround("v", 6).alias("value"))
-    return hits.groupBy(*keys, "value").agg(F.min("i").alias("i")).select(*keys, "i", "value")
+    return [F.bround(F.lit(q) * (n - 1)).cast("long") for q in spread]
+
+
+def observed_grid(values: DataFrame, column: str, steps: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, i, value): nearest-rank quantiles of what was observed, rounded to 6 places, each once."""
+    return _observed(values, column, steps, keys or [], None, 0)
+
+
+def inner_grid(values: DataFrame, column: str, steps: int, keys: list[str], folds: int) -> DataFrame:
+    """As observed_grid() for each outer fold on the rows of the others, as (keys, outer, i, value). Values are sorted
+    once: ranks among the others are those among all less those within the fold."""
+    return _observed(values, column, steps, keys, "fold", folds)
+
+
+def _observed(values: DataFrame, column: str, steps: int, keys: list[str], fold: str | None, folds: int) -> DataFrame:
+    names = ["n"] + [f"n{f}" for f in range(folds)]
+    counted = [F.count("*").alias("n"), *(F.count(F.when(F.col(fold) == f, 1)).alias(f"n{f}") for f in range(folds))]
+    by = values.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(*counted)
+    cum = running(by, keys, bucket(F.col("v"), edges(by, "v")), [F.col("v")], {f"upto_{n}": F.col(n) for n in names})
+    total = by.groupBy(*keys).agg(*(F.sum(n).alias(f"all_{n}") for n in names))
+    cum = cum.join(F.broadcast(total), keys) if keys else cum.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    spots = []
+    for f in range(folds) if folds else [None]:
+        of = lambda kind: F.col(f"{kind}n") - (F.col(f"{kind}n{f}") if folds else 0)  # noqa: B023, E731
+        for i, place in enumerate(_places(steps, of("all_"))):
+            hit = (place >= of("upto_") - of("")) & (place < of("upto_"))
+            spots.append(F.when(hit, F.struct(F.lit(f or 0).alias("outer"), F.lit(i).alias("i"))))
+    hits = cum.withColumn("_at", F.explode(F.array_compact(F.array(*spots)))).select(*keys, "_at.outer", "_at.i", F.bround("v", 6).alias("value"))
+    out = hits.groupBy(*keys, "outer", "value").agg(F.min("i").alias("i")).select(*keys, "outer", "i", "value")
+    return out if folds else out.drop("outer")
 
 
 def gate_grid(thetas: list[float], conflicts: list[float], df: DataFrame) -> DataFrame:
@@ -38,29 +59,101 @@ def best(scored: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return scored.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k")
 
 
-def search_gates(results: DataFrame, grid: DataFrame, keys: list[str], support: str = "m_support", refute: str = "m_refute", theta: str = "m_theta", k: str = "k_doc", tie: float = 1e-6) -> DataFrame:
-    """Of each key the grid point (theta, conflict) of the best macro F1; ties go to the least theta, then conflict.
-    grid: a small table (theta, conflict), by key if it has the keys."""
+def search_gates(results: DataFrame, grid: DataFrame, keys: list[str], support: str = "m_support", refute: str = "m_refute", theta: str = "m_theta", k: str = "k_doc", tie: float = 1e-6, times: str | None = None) -> DataFrame:
+    """Of each key the grid point (theta, conflict, and k_eval if the grid has it) of the best macro F1; ties go to the
+    least theta, then conflict, then k_eval. grid: a small table (theta, conflict), by key if it has the keys. Each row
+    counts once, or so many times."""
     shared = [c for c in keys if c in grid.columns]
-    rows = results.select(*keys, "gold_state", F.col(support).alias("s"), F.col(refute).alias("r"), F.col(theta).alias("t"), F.col(k).alias("k"))
+    alert = [c for c in ("k_eval",) if c in grid.columns]
+    rows = results.select(*keys, "gold_state", F.col(support).alias("s"), F.col(refute).alias("r"), F.col(theta).alias("t"), F.col(k).alias("k"), *([times] if times else []))
     tried = rows.join(F.broadcast(grid), shared) if shared else rows.crossJoin(F.broadcast(grid))
     state = gated_state(F.col("t") >= F.col("theta"), F.col("k") >= F.col("conflict"), verdict(F.col("s"), F.col("r"), tie))
-    scored = classification_report(tried.withColumn("predicted", metric_label(state)), [*keys, "theta", "conflict"])
-    return best(scored, keys, F.desc(F.round("macro_f1", 12)), F.col("theta"), F.col("conflict"))
+    scored = classification_report(tried.withColumn("predicted", metric_label(state)), [*keys, "theta", "conflict", *alert], times=times)
+    return best(scored, keys, F.desc(F.round("macro_f1", 12)), F.col("theta"), F.col("conflict"), *map(F.col, alert))
 
 
-def search_decisions(scores: DataFrame, keys: list[str], conflict_aware: bool = False, decisions: list[float] = DECISIONS, conflicts: list[float] = CONFLICTS, margin: float = 0.1) -> DataFrame:
-    """Of each key the lower median of the plateau of the best macro F1 over decision (and conflict) thresholds.
-    scores: (keys, gold_state, score_support, score_refute, score_unknown)."""
-    spark = scores.sparkSession
-    grid = spark.createDataFrame([(d, c) for d in decisions for c in (conflicts if conflict_aware else [1.0])], "decision double, conflict double")
-    tried = scores.crossJoin(F.broadcast(grid))
+def search_observed(results: DataFrame, thetas: DataFrame, conflicts: DataFrame, keys: list[str], outers: int = 0, tie: float = 1e-6) -> DataFrame:
+    """As search_gates() with grids (keys, outer if there are outers, i, value) for m_theta and k_doc: every pair is tried.
+    With outers, each is searched on the rows of the other folds. Rows are counted by how many thresholds they reach, so
+    what is tried is a small table, however many claims there are."""
+    by = [*keys, "outer"] if outers else keys
+    lists = lambda df, name: (df if by else df.withColumn("_one", F.lit(1))).groupBy(*(by or ["_one"])).agg(F.array_sort(F.collect_list("value")).alias(name))
+    on = by or ["_one"]
+    grids = lists(thetas, "thetas").join(lists(conflicts, "conflicts"), on)
+    rows = results.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outers - 1)))).filter(F.col("outer") != F.col("fold")) if outers else results
+    rows = (rows if by else rows.withColumn("_one", F.lit(1))).join(F.broadcast(grids), on)
+    reached = lambda values, x: F.coalesce(F.size(F.filter(values, lambda v: v <= F.col(x))), F.lit(0))
+    counts = rows.groupBy(*on, "gold_state", verdict(F.col("m_support"), F.col("m_refute"), tie).alias("direction"), reached("thetas", "m_theta").alias("t"), reached("conflicts", "k_doc").alias("k")).agg(F.count("*").alias("n"))
+    points = grids.select(*on, F.posexplode("thetas").alias("ti", "theta"), "conflicts").select(*on, "ti", "theta", F.posexplode("conflicts").alias("ki", "conflict"))
+    state = gated_state(F.col("t") > F.col("ti"), F.col("k") > F.col("ki"), F.coalesce("direction", F.lit("undetermined")))
+    scored = classification_report(counts.join(F.broadcast(points), on).withColumn("predicted", metric_label(state)), [*by, "theta", "conflict"], times="n")
+    return best(scored, by, F.desc(F.round("macro_f1", 12)), F.col("theta"), F.col("conflict"))
+
+
+def decision_candidates(scores: DataFrame, keys: list[str], decisions: list[float] = DECISIONS, conflicts: list[float] = CONFLICTS, margins: list[float] = (0.1,), outers: int = 0) -> DataFrame:
+    """(keys, method, decision, conflict, margin, macro_f1, accuracy) of every point: decisions for each method, and for
+    conflict_aware all triples (others: conflict and margin are null). scores: (keys, method, gold_state, score_support,
+    score_refute, score_unknown; fold if there are outers, of which each is searched on the other folds' rows). Rows are
+    counted by the thresholds that they reach before any point is tried."""
     s, r, u = (F.col(f"score_{x}") for x in ("support", "refute", "unknown"))
-    state, _ = baseline_decision(s, r, u, BaselineThresholds(), F.col("decision"))
-    if conflict_aware:
-        state = F.when(conflict_rule(s, r, F.col("conflict"), margin), "conflicting").otherwise(state)
-    scored = classification_report(tried.withColumn("predicted", state), [*keys, "decision", "conflict"])
-    top = Window.partitionBy(*keys or [F.lit(0)])
-    plateau = scored.withColumn("_f", F.round("macro_f1", 12)).withColumn("_top", F.max("_f").over(top)).filter("_f = _top")
-    place = plateau.withColumns({"_k": F.row_number().over(top.orderBy("decision", "conflict")), "_n": F.count("*").over(top)})
-    return place.filter("_k = (_n + 1) div 2").select(*keys, "decision", "conflict", "macro_f1", F.col("_n").alias("plateau"))
+    decided, _ = baseline_decision(s, r, u, BaselineThresholds(), F.lit(0.0))
+    aware = F.col("method") == "conflict_aware"
+    low, gap = F.least(s, r), F.abs(s - r)
+    at_least = lambda values, x: sum((x >= v).cast("int") for v in sorted(values))
+    within = sum((gap <= F.lit(m) + 1e-12).cast("int") for m in margins)
+    fold = ["fold"] if outers else []
+    counts = scores.groupBy(*keys, *fold, "method", "gold_state", decided.alias("decided"), at_least(decisions, F.greatest(s, r, u)).alias("d"), F.when(aware, at_least(conflicts, low)).otherwise(0).alias("c"), F.when(aware, within).otherwise(0).alias("m")).agg(F.count("*").alias("n"))
+    if outers:
+        each = counts.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outers - 1)))).filter(F.col("outer") != F.col("fold"))
+        counts = each.groupBy(*keys, "outer", "method", "gold_state", "decided", "d", "c", "m").agg(F.sum("n").alias("n"))
+    spark, by = scores.sparkSession, [*keys, "outer"] if outers else keys
+    numbered = lambda values: list(enumerate(sorted(values)))
+    # margins ascend: a row within the widest so many of them lies within the last so many
+    points = [("conflict_aware", i, a, j, b, len(margins) - k - 1, c) for i, a in numbered(decisions) for j, b in numbered(conflicts) for k, c in numbered(margins)]
+    points += [(m, i, a, None, None, None, None) for m in ("weighted_average", "majority_vote", "single_evaluator") for i, a in numbered(decisions)]
+    grid = spark.createDataFrame(points, "method string, di int, decision double, ci int, conflict double, mi int, margin double")
+    state = F.when((F.col("c") > F.col("ci")) & (F.col("m") > F.col("mi")), "conflicting").when(F.col("d") <= F.col("di"), "insufficient").otherwise(F.col("decided"))
+    tried = counts.join(F.broadcast(grid), "method").withColumn("predicted", state)
+    return classification_report(tried, [*by, "method", "decision", "conflict", "margin"], times="n")
+
+
+def _plateau(candidates: DataFrame, by: list[str]) -> DataFrame:
+    top = Window.partitionBy(*(by or [F.lit(0)]))
+    return candidates.withColumn("_f", F.round("macro_f1", 12)).withColumn("_top", F.max("_f").over(top)).filter("_f = _top").drop("_f", "_top")
+
+
+def best_decisions(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Of each key the lower median of the plateau of the best macro F1, in the order of decision, conflict and margin."""
+    flat = _plateau(candidates, by)
+    order = Window.partitionBy(*(by or [F.lit(0)]))
+    place = flat.withColumns({"_k": F.row_number().over(order.orderBy("decision", "conflict", "margin")), "plateau": F.count("*").over(order)})
+    return place.filter("_k = (plateau + 1) div 2").drop("_k")
+
+
+def shared_decision(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, decision): the middle of what the plateaus of all methods share, or else the upper median of their bests."""
+    by = [*keys, "method"]
+    spans = _plateau(candidates, by).groupBy(*by).agg(F.min("decision").alias("a"), F.max("decision").alias("b"))
+    spans = spans.join(best_decisions(candidates, by).select(*by, F.col("decision").alias("own")), by)
+    own = F.array_sort(F.collect_list("own"))
+    out = spans.groupBy(*keys).agg(F.max("a").alias("low"), F.min("b").alias("high"), own.alias("own"))
+    middle = F.element_at("own", (F.floor(F.size("own") / 2) + 1).cast("int"))
+    return out.select(*keys, F.when(F.col("low") <= F.col("high"), F.bround((F.col("low") + F.col("high")) / 2, 6)).otherwise(middle).alias("decision"))
+
+
+def search_decisions(scores: DataFrame, keys: list[str], conflict_aware: bool = False, decisions: list[float] = DECISIONS, conflicts: list[float] = CONFLICTS, margins: list[float] = (0.1,)) -> DataFrame:
+    """Of each key the lower median of the plateau of the best macro F1 over decision (and conflict and margin) thresholds.
+    scores: (keys, gold_state, score_support, score_refute, score_unknown)."""
+    named = scores.withColumn("method", F.lit("conflict_aware" if conflict_aware else "weighted_average"))
+    return best_decisions(decision_candidates(named, keys, decisions, conflicts, margins), keys).drop("method", "n")
+
+
+def grid_health(grid: DataFrame, chosen: DataFrame, observed: DataFrame, column: str) -> DataFrame:
+    """(threshold, low, high, seen_low, seen_high, out_of_range, at_border, flat) of a search over one threshold. grid:
+    (value, macro_f1) of all points tried; chosen: (value); observed: results with the column that the threshold cuts."""
+    tried = grid.agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("macro_f1") - F.min("macro_f1") < 1e-9).alias("flat"))
+    seen = observed.agg(F.min(column).alias("seen_low"), F.max(column).alias("seen_high"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    all_ = one(tried).join(one(seen), "_one").join(one(chosen.select("value")), "_one").drop("_one")
+    outside = (F.col("low") > F.col("seen_high")) | (F.col("high") < F.col("seen_low"))
+    return all_.select(F.lit(column).alias("threshold"), "low", "high", "seen_low", "seen_high", outside.alias("out_of_range"), F.col("value").isin(F.col("low"), F.col("high")).alias("at_border"), "flat")

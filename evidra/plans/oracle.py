@@ -35,18 +35,15 @@ RES = FUSED + f""", res AS (
 )"""
 
 
-def report(source: str, keys: str = "", macro: str = "") -> str:
-    """CTEs cm (by class) and rep (by key) of a table with gold_state and predicted."""
+def report(source: str, keys: str = "", tag: str = "") -> str:
+    """CTEs cm (by class) and rep (by key) of a table with gold_state and predicted; tag ends the names of all of them."""
     k = f"{keys}, " if keys else ""
-    on = f"USING ({keys}, label)" if keys else "USING (label)"
     by = f"GROUP BY {keys}" if keys else ""
-    return f""", cells AS (SELECT {k}gold_state, predicted, count(*) AS n FROM {source} GROUP BY ALL),
-    gold AS (SELECT {k}gold_state AS label, sum(n) AS support, sum(CASE WHEN gold_state = predicted THEN n ELSE 0 END) AS tp FROM cells GROUP BY ALL),
-    said AS (SELECT {k}predicted AS label, sum(n) AS predicted FROM cells GROUP BY ALL),
-    cm AS (SELECT {k}label, coalesce(support, 0)::BIGINT AS support, coalesce(predicted, 0)::BIGINT AS predicted, coalesce(tp, 0)::BIGINT AS tp,
-                  coalesce(tp / nullif(coalesce(predicted, 0), 0), 0) AS precision, coalesce(tp / nullif(coalesce(support, 0), 0), 0) AS recall,
-                  coalesce(2 * tp / (coalesce(predicted, 0) + coalesce(support, 0)), 0) AS f1 FROM gold FULL JOIN said {on}),
-    rep AS (SELECT {k}sum(tp) / sum(support) AS accuracy, avg(f1) FILTER (support > 0) AS macro_f1, sum(support)::BIGINT AS n FROM cm {by})"""
+    both = f"(SELECT {k}gold_state AS label, n AS support, CASE WHEN gold_state = predicted THEN n ELSE 0 END AS tp, 0 AS predicted FROM cells{tag} UNION ALL SELECT {k}predicted, 0, 0, n FROM cells{tag})"
+    return f""", cells{tag} AS (SELECT {k}gold_state, predicted, count(*) AS n FROM {source} GROUP BY ALL),
+    cm{tag} AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / (predicted + support), 0) AS f1
+        FROM (SELECT {k}label, sum(support)::BIGINT AS support, sum(predicted)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM {both} GROUP BY {k}label)),
+    rep{tag} AS (SELECT {k}sum(tp) / sum(support) AS accuracy, avg(f1) FILTER (support > 0) AS macro_f1, sum(support)::BIGINT AS n FROM cm{tag} {by})"""
 
 
 def detection(source: str, keys: str) -> str:
@@ -193,6 +190,66 @@ TORN = SQL.replace("), evidence AS (", "), plain AS (") + """, marked AS (
            CASE WHEN none THEN 1 WHEN status = 'normal' THEN qt / nn END AS m_theta, CASE WHEN none THEN 0 WHEN status = 'document_total_conflict' THEN 1 ELSE coalesce(k_doc, 0) END AS k_doc,
            CASE WHEN none OR status = 'document_total_conflict' THEN 0 WHEN status = 'evaluator_total_conflict' THEN 1 WHEN n_evaluators > 1 THEN greatest(0, least(1, 1 - nn)) ELSE 0 END AS k_eval FROM st
 )"""
+FIVE = FOLD.format(5)
+ROUND9 = ", ".join(f"round({c}, 9) AS {c}" for c in ("m_support", "m_refute", "m_theta", "k_doc"))
+
+
+def searched(source: str, keys: str, tag: str, thetas: str = "", conflicts: str = "") -> str:
+    """CTE pick: of each key the gates that do best on a table (keys, gold_state, masses), among its own quantiles or those
+    of tables (keys, value)."""
+    on = lambda t: " AND ".join(f"{t}.{k.strip()} = x.{k.strip()}" for k in keys.split(","))
+    return f""", gt{tag} AS ({thetas or quantiles(source, "m_theta", 9, keys)}), gk{tag} AS ({conflicts or quantiles(source, "k_doc", 9, keys)}),
+        lt{tag} AS (SELECT {", ".join("x." + k.strip() for k in keys.split(","))}, t.value AS theta, k.value AS conflict, gold_state, coalesce({state("t.value", "k.value")}, 'undetermined') AS predicted
+            FROM {source} x JOIN gt{tag} t ON {on("t")} JOIN gk{tag} k ON {on("k")})""" + report(f"lt{tag}", f"{keys}, theta, conflict", tag) + f""",
+        pick{tag} AS (SELECT {keys}, theta, conflict, macro_f1 FROM rep{tag} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(macro_f1, 12) DESC, theta, conflict) = 1)"""
+
+
+GATES = RES + STAT.removeprefix(SQL) + f""", folds AS (SELECT claim_id, {FIVE} AS fold FROM claims),
+    gates AS (SELECT g.*, fold FROM (
+        SELECT 'ds' AS method, claim_id, gold_state, {ROUND9} FROM res
+        """ + " ".join(f"UNION ALL SELECT 'stat_gate_{c}{u}', claim_id, gold_state, round(score_support, 9), round(score_refute, 9), round(insufficiency_{'uprod' if u else 'mean'}, 9), round(conflict_{c}, 9) FROM stat" for c in ("sr_std", "max_product", "doc_count") for u in ("", "_uprod")) + """
+    ) g JOIN folds USING (claim_id)), inn AS (SELECT o.x AS outer_fold, g.* FROM gates g, range(5) o(x) WHERE o.x <> g.fold)"""
+BASES = {"weighted_average": AVERAGE, "majority_vote": VOTES, "single_evaluator": SINGLE, "conflict_aware": AVERAGE}
+_S, _F, _U = "round(coalesce(score_support, 0), 9)", "round(coalesce(score_refute, 0), 9)", "round(coalesce(score_unknown, 1), 9)"
+SCORED = "scored AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, c.claim_id, c.gold_state, {_S} AS s, {_F} AS f, {_U} AS u FROM claims c LEFT JOIN sc_{m} USING (claim_id)" for m in BASES) + ")"
+SCORED = "".join(q.removeprefix(SQL).replace(", sc AS", f", sc_{m} AS") for m, q in BASES.items()) + ", " + SCORED + """, decided AS (
+    SELECT *, greatest(s, f, u) AS top, least(s, f) AS low, abs(s - f) AS gap,
+        CASE WHEN (top - s <= 1e-6)::INT + (top - f <= 1e-6)::INT + (top - u <= 1e-6)::INT > 1 OR u = top THEN 'insufficient' WHEN s = top THEN 'supported' ELSE 'refuted' END AS label FROM scored)"""
+DECISION_POINTS = "(SELECT round(0.2 + 0.05 * i, 2)::DOUBLE AS decision FROM range(15) t(i))"
+CONFLICT_POINTS = "(SELECT unnest([0.001, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45])::DOUBLE AS conflict)"
+_AT = "CASE WHEN method = 'conflict_aware' AND low >= conflict AND gap <= margin + 1e-12 THEN 'conflicting' WHEN top < decision THEN 'insufficient' ELSE label END"
+
+
+def tuned_decisions(margins: list[float], own: bool) -> str:
+    """CTEs up to chosen (fold, method, decision, conflict, margin) of the baselines of table decided."""
+    values = ", ".join(f"({m})" for m in margins)
+    return f""", points AS (SELECT m.method, decision, NULL::DOUBLE AS conflict, NULL::DOUBLE AS margin FROM {DECISION_POINTS}, (VALUES ('weighted_average'), ('majority_vote'), ('single_evaluator')) m(method)
+            UNION ALL SELECT 'conflict_aware', decision, conflict, margin::DOUBLE FROM {DECISION_POINTS}, {CONFLICT_POINTS}, (VALUES {values}) v(margin)),
+        bi AS (SELECT o.x AS outer_fold, d.* FROM decided d JOIN folds USING (claim_id), range(5) o(x) WHERE o.x <> fold),
+        bt AS (SELECT outer_fold, b.method, decision, conflict, margin, gold_state, {_AT.replace("method", "b.method")} AS predicted FROM bi b JOIN points p ON p.method = b.method)
+        """ + report("bt", "outer_fold, method, decision, conflict, margin", "_b") + f""",
+        flat AS (SELECT *, round(macro_f1, 12) AS r FROM rep_b QUALIFY r = max(r) OVER (PARTITION BY outer_fold, method)),
+        bests AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold, method ORDER BY decision, conflict, margin) AS k, count(*) OVER (PARTITION BY outer_fold, method) AS c FROM flat) WHERE k = (c + 1) // 2),
+        spans AS (SELECT outer_fold, method, min(decision) AS a, max(decision) AS b FROM flat GROUP BY 1, 2),
+        shared AS (SELECT outer_fold, CASE WHEN max(a) <= min(b) THEN round((max(a) + min(b)) / 2, 6) ELSE list_sort(list(o.decision))[len(list(o.decision)) // 2 + 1] END AS decision
+            FROM spans JOIN bests o USING (outer_fold, method) GROUP BY 1),
+        chosen AS (SELECT s.outer_fold AS fold, m.method, {"CASE WHEN m.method = 'conflict_aware' THEN o.decision ELSE s.decision END" if own else "s.decision"} AS decision, o.conflict, o.margin
+            FROM shared s JOIN bests o ON o.outer_fold = s.outer_fold AND o.method = 'conflict_aware', (VALUES ('weighted_average'), ('majority_vote'), ('single_evaluator'), ('conflict_aware')) m(method))"""
+
+
+def _pl(source: str, keys: str) -> str:
+    """The lower median of the plateau of a rep table, over decision, conflict and margin."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {keys}) AS k, count(*) OVER () AS plateau FROM (SELECT * FROM {source} QUALIFY round(macro_f1, 12) = max(round(macro_f1, 12)) OVER ())) WHERE k = (plateau + 1) // 2"""
+
+
+LONG = "pred AS (SELECT 'ds' AS method, claim_id, gold_state, predicted, m_theta AS insufficiency_score, k_doc AS conflict_score, confidence FROM (" + RES + " SELECT * FROM lab) " + " ".join(f"""UNION ALL SELECT '{m}', claim_id, gold_state, state, score_unknown, 1 - abs(score_support - score_refute),
+    CASE state WHEN 'supported' THEN score_support WHEN 'refuted' THEN score_refute WHEN 'insufficient' THEN score_unknown ELSE least(score_support, score_refute) END FROM ({q + decided(aware=m == "conflict_aware")} SELECT * FROM base)""" for m, q in BASES.items()) + ")"
+_E2 = "greatest(0, least(1, 1 - (" + " + ".join(f"CASE WHEN p_{k} > 0 THEN -p_{k} * ln(p_{k}) ELSE 0 END" for k in ("support", "refute", "unknown")) + ") / ln(3)))"
+ENTROPY = SQL.replace("), evidence AS (", "), plain AS (") + f", known AS (SELECT sample_id, doc_id, {_E2} AS reliability FROM plain WHERE evaluator = 'e2'), evidence AS (SELECT p.* REPLACE (k.reliability AS doc_reliability) FROM plain p JOIN known k USING (sample_id, doc_id))"
+SIDES = f""", folds AS (SELECT claim_id, {FIVE} AS fold FROM claims), bs AS (SELECT evaluator, sample_id, avg(p_support) AS s, avg(p_refute) AS f FROM evidence GROUP BY 1, 2),
+    sides AS (SELECT evaluator, 'supported' AS side, c.claim_id, round(s, 9) AS score, (gold_state = 'supported')::INT AS positive FROM bs JOIN claims c USING (sample_id) UNION ALL SELECT evaluator, 'refuted', c.claim_id, round(f, 9), (gold_state = 'refuted')::INT FROM bs JOIN claims c USING (sample_id)),
+    outs AS (SELECT o.x AS outer_fold, s.* FROM sides s JOIN folds USING (claim_id), range(5) o(x) WHERE o.x <> fold)""" + detection("outs", "outer_fold, evaluator, side") + """,
+    est AS (SELECT outer_fold, evaluator, greatest(0, least(1, 2 * avg(auroc) - 1)) AS reliability, avg(auroc) AS mean_auroc FROM det GROUP BY 1, 2)"""
 _GRID = "tried AS (SELECT r.*, g.theta, g.conflict FROM res r, (SELECT t.x AS theta, k.x AS conflict FROM (VALUES (0.1531), (0.2371), (0.3313)) t(x), (VALUES (0.1917), (0.3137), (0.4519)) k(x)) g), labelled AS (SELECT theta, conflict, gold_state, coalesce(" + state("theta", "conflict") + ", 'undetermined') AS predicted FROM tried)"
 _TOP = "greatest(p_support, p_refute, p_unknown)"
 
@@ -230,9 +287,9 @@ ORACLE_SQL = {
     "auroc_by_doc_count": RES + ", rows AS (SELECT documents, round(k_doc, 9) AS score, (gold_state = 'conflicting')::INT AS positive FROM res JOIN (SELECT sample_id, count(*) AS documents FROM contexts GROUP BY 1) USING (sample_id))" + detection("rows", "documents") + " SELECT documents, round(auroc, 6) AS auroc, n FROM det WHERE n >= 40 AND positives >= 8 AND n - positives >= 8",
     "observed_grid": RES + ", r9 AS (SELECT round(m_theta, 9) AS v9 FROM res) " + quantiles("r9", "v9", 9),
     "ds_threshold_search": RES + ", " + _GRID + report("labelled", "theta, conflict") + f" SELECT theta::DOUBLE AS theta, conflict::DOUBLE AS conflict, {R('accuracy', 'macro_f1')} FROM rep ORDER BY round(macro_f1, 12) DESC, theta, conflict LIMIT 1",
-    "baseline_threshold_search": " WITH all_points AS (" + " UNION ALL ".join(f"SELECT {x} AS decision, gold_state, state AS predicted FROM ({AVERAGE + decided(x)} SELECT * FROM base)" for x in ("0.3137", "0.3537", "0.3937", "0.4337")) + ")" + report("all_points", "decision") + """,
-        top AS (SELECT *, round(macro_f1, 12) AS f, max(round(macro_f1, 12)) OVER () AS best FROM rep), pl AS (SELECT *, row_number() OVER (ORDER BY decision) AS k, count(*) OVER () AS c FROM top WHERE f = best)
-        SELECT decision::DOUBLE AS decision, round(macro_f1, 6) AS macro_f1, c AS plateau FROM pl WHERE k = (c + 1) // 2""",
+    "baseline_threshold_search": SQL + SCORED + f", tried AS (SELECT decision, gold_state, CASE WHEN top < decision THEN 'insufficient' ELSE label END AS predicted FROM decided, {DECISION_POINTS} WHERE method = 'weighted_average')" + report("tried", "decision") + " SELECT decision, round(macro_f1, 6) AS macro_f1, plateau FROM (" + _pl("rep", "decision") + ")",
+    "conflict_aware_search": SQL + SCORED + f", tried AS (SELECT decision, conflict, margin::DOUBLE AS margin, gold_state, {_AT} AS predicted FROM decided, {DECISION_POINTS}, {CONFLICT_POINTS}, (VALUES (0.05), (0.1), (0.2), (0.4)) v(margin) WHERE method = 'conflict_aware')" + report("tried", "decision, conflict, margin") + " SELECT decision, conflict, margin, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy, plateau FROM (" + _pl("rep", "decision, conflict, margin") + ")",
+    "stat_gate_search": GATES + ", sg AS (SELECT * FROM gates WHERE method <> 'ds')" + searched("sg", "method", "_s") + " SELECT method, theta, conflict, round(macro_f1, 6) AS macro_f1 FROM pick_s",
     "ablation": RES + ", labelled AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variant, gold_state, coalesce({state(a, b)}, 'undetermined') AS predicted FROM res" for v, a, b in (("full", "0.2371", "0.3137"), ("no_theta_gate", "2", "0.3137"), ("no_conflict_gate", "0.2371", "2"), ("neither_gate", "2", "2"))) + ")" + report("labelled", "variant") + f" SELECT variant, {R('accuracy', 'macro_f1')}, n, round(macro_f1 - (SELECT macro_f1 FROM rep WHERE variant = 'full'), 6) AS delta FROM rep",
     "reliability_sweep": SQL + " SELECT level, " + R("mean_theta", "mean_k_doc", "share_insufficient", "share_conflicting") + ", n FROM (" + " UNION ALL ".join(map(_sweep, (0.25, 0.5, 0.75, 1.0))) + ")",
     "verdict_scores": FUSED + f""", plain AS (SELECT claim_id, {WEIGHTED.format("(p_support - p_refute)")} AS average,
@@ -241,11 +298,22 @@ ORACLE_SQL = {
               UNION ALL SELECT 'majority_vote', coalesce(votes, 0) FROM claims LEFT JOIN plain USING (claim_id))
         SELECT method, CASE WHEN margin > 1e-6 THEN 'supported' WHEN margin < -1e-6 THEN 'refuted' ELSE 'undetermined' END AS label, count(*) AS n, round(avg(margin), 6) AS mean_margin FROM v GROUP BY 1, 2""",
     "stratified_folds": SQL + f" SELECT claim_id, {FOLD.format(5)} AS fold FROM claims",
-    "nested_cv": RES + f""", f AS (SELECT * REPLACE (round(m_theta, 9) AS m_theta, round(k_doc, 9) AS k_doc), {FOLD.format(3)} AS fold FROM res), inn AS (SELECT o.x AS outer_fold, f.* FROM f, range(3) o(x) WHERE o.x <> f.fold),
-        gt AS ({quantiles("inn", "m_theta", 3, "outer_fold")}), gk AS ({quantiles("inn", "k_doc", 3, "outer_fold")}),
-        lt AS (SELECT i.outer_fold, gt.value AS theta, gk.value AS conflict, gold_state, coalesce({state("gt.value", "gk.value")}, 'undetermined') AS predicted FROM inn i JOIN gt ON gt.outer_fold = i.outer_fold JOIN gk ON gk.outer_fold = i.outer_fold)
-        """ + report("lt", "outer_fold, theta, conflict") + f""", pick AS (SELECT outer_fold, theta, conflict FROM rep QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY round(macro_f1, 12) DESC, theta, conflict) = 1),
-        fin AS (SELECT fold, gold_state, coalesce({state("theta", "conflict")}, 'undetermined') AS predicted FROM f JOIN pick ON f.fold = outer_fold)""" + report("fin", "fold").replace("cells", "cells2").replace("gold AS", "gold2 AS").replace("said", "said2").replace("FROM gold ", "FROM gold2 ").replace("cm", "cm2").replace("rep AS", "rep2 AS") + f" SELECT fold, {R('accuracy', 'macro_f1')}, n FROM rep2",
+    "nested_cv": GATES + ", di AS (SELECT * FROM inn WHERE method = 'ds')" + searched("di", "outer_fold", "_i") + f", fin AS (SELECT fold, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM gates JOIN pick_i ON fold = outer_fold WHERE method = 'ds')" + report("fin", "fold", "_f") + f" SELECT fold, {R('accuracy', 'macro_f1')}, n FROM rep_f",
+    "nested_cv_methods": GATES + SCORED + searched("inn", "method, outer_fold", "_i") + tuned_decisions([0.1], False) + f""", fin AS (SELECT g.method, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM gates g JOIN pick_i p ON g.fold = p.outer_fold AND g.method = p.method
+        UNION ALL SELECT d.method, gold_state, {_AT.replace("method", "d.method")} FROM decided d JOIN folds USING (claim_id) JOIN chosen c ON c.fold = folds.fold AND c.method = d.method)""" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f",
+    "nested_cv_margins": SQL + f", folds AS (SELECT claim_id, {FIVE} AS fold FROM claims)" + SCORED + tuned_decisions([0.05, 0.1, 0.2], True) + " SELECT fold, method, round(decision, 6) AS decision, conflict, margin FROM chosen",
+    "nested_ablation": GATES + ", vi AS (SELECT v.variant, i.* EXCLUDE (method) FROM inn i, (VALUES ('full'), ('no_theta_gate'), ('no_conflict_gate'), ('neither_gate')) v(variant) WHERE method = 'ds')" + searched(
+        "vi", "variant, outer_fold", "_i", *(f"SELECT variant, outer_fold, i, CASE WHEN variant IN ('{a}', 'neither_gate') THEN 2.0::DOUBLE ELSE value END AS value FROM ({quantiles('vi', c, 9, 'variant, outer_fold')}) QUALIFY row_number() OVER (PARTITION BY variant, outer_fold, value ORDER BY i) = 1" for a, c in (("no_theta_gate", "m_theta"), ("no_conflict_gate", "k_doc")))
+    ) + f", fin AS (SELECT variant AS method, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM gates JOIN pick_i ON fold = outer_fold WHERE method = 'ds')" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f",
+    "baseline_long": f"WITH {LONG} SELECT method, claim_id, gold_state, predicted, {R('insufficiency_score', 'conflict_score', 'confidence')} FROM pred",
+    "comparison_report": f"WITH {LONG}" + report("pred", "method") + ", rows AS (SELECT method, 'conflict' AS name, round(conflict_score, 9) AS score, (gold_state = 'conflicting')::INT AS positive FROM pred UNION ALL SELECT method, 'insufficiency', round(insufficiency_score, 9), (gold_state = 'insufficient')::INT FROM pred)" + detection("rows", "method, name") + f" SELECT r.method, {R('accuracy', 'macro_f1')}, r.n, round(a.auroc, 6) AS conflict_auroc, round(b.auroc, 6) AS insufficiency_auroc FROM rep r JOIN det a ON a.method = r.method AND a.name = 'conflict' JOIN det b ON b.method = r.method AND b.name = 'insufficiency'",
+    "reliability_sensitivity": SQL + " SELECT setting, " + R("mean_theta", "mean_k_doc", "share_insufficient", "share_conflicting") + ", n FROM (SELECT level::VARCHAR AS setting, * EXCLUDE (level) FROM (" + " UNION ALL ".join(map(_sweep, (0.5, 1.0))) + ") UNION ALL SELECT * FROM (" + ENTROPY + RES.removeprefix(SQL) + " SELECT 'oracle' AS setting, avg(m_theta) AS mean_theta, avg(k_doc) AS mean_k_doc, avg((primary_state IS NOT DISTINCT FROM 'insufficient')::INT) AS share_insufficient, avg((primary_state IS NOT DISTINCT FROM 'conflicting')::INT) AS share_conflicting, count(*) AS n FROM res))",
+    "estimated_reliability_folds": SQL + SIDES + f" SELECT outer_fold AS fold, evaluator, {R('reliability', 'mean_auroc')} FROM est",
+    "estimated_reliability_cv": DOC + SIDES.replace("det AS", "det AS") + f""", fu AS (SELECT outer_fold, claim_id, count(*) AS n_evaluators, sum(reliability * k_doc) / nullif(sum(reliability), 0) AS k_doc, product(1 - reliability * m_refute) AS qs, product(1 - reliability * m_support) AS qr,
+            product(1 - reliability * m_support - reliability * m_refute) AS qt FROM doc JOIN est USING (evaluator) GROUP BY 1, 2),
+        er AS (SELECT o.x AS outer_fold, c.claim_id, gold_state, fold, round(coalesce((qs - qt) / (qs + qr - qt), 0), 9) AS m_support, round(coalesce((qr - qt) / (qs + qr - qt), 0), 9) AS m_refute, round(CASE WHEN f.claim_id IS NULL THEN 1 ELSE qt / (qs + qr - qt) END, 9) AS m_theta,
+            round(coalesce(f.k_doc, 0), 9) AS k_doc FROM claims c JOIN folds USING (claim_id) CROSS JOIN range(5) o(x) LEFT JOIN fu f ON f.claim_id = c.claim_id AND f.outer_fold = o.x),
+        ei AS (SELECT * FROM er WHERE fold <> outer_fold)""" + searched("ei", "outer_fold", "_i") + f", fin AS (SELECT 'ds' AS method, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM er JOIN pick_i p ON er.outer_fold = p.outer_fold WHERE er.fold = er.outer_fold)" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f",
     "risk_coverage": RISK + f" SELECT method, {R('coverage', 'risk')} FROM rc", "aurc": RISK + " SELECT method, round(avg(risk), 6) AS aurc FROM rc GROUP BY 1",
     "paired_bootstrap": _bootstrap(),
     "label_calibration": SQL + f""", j AS (SELECT claim_id, doc_id, {VOTE} AS label, doc_reliability AS weight FROM evidence WHERE evaluator = 'e2')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
 from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, tuning
+from evidra.operators.tables import kept
 from evidra.plans import views
 from evidra.plans.oracle import ORACLE_SQL
 from evidra.plans.views import K_DOC, K_EVAL, THETA, TIE
@@ -174,12 +175,26 @@ def ds_threshold_search(spark, d):
 
 
 def baseline_threshold_search(spark, d):
+    """The reference's points: 15 decision thresholds for the weighted average."""
     df = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE)
-    return rounded(tuning.search_decisions(df, [], decisions=[0.3137, 0.3537, 0.3937, 0.4337]).select("decision", "macro_f1", "plateau"))
+    return rounded(tuning.search_decisions(df, []).select("decision", "macro_f1", "plateau"))
+
+
+def conflict_aware_search(spark, d):
+    """All triples of decision, conflict and margin thresholds."""
+    df = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE)
+    return rounded(tuning.search_decisions(df, [], True, margins=[0.05, 0.1, 0.2, 0.4]).select("decision", "conflict", "margin", "macro_f1", "accuracy", "plateau"))
+
+
+def stat_gate_search(spark, d):
+    """The best gates of each variant over observed values, nine a side."""
+    long = _gates(spark, d, 1).filter("method <> 'ds'")
+    thetas, conflicts = (tuning.observed_grid(long, c, 9, ["method"]) for c in ("m_theta", "k_doc"))
+    return rounded(tuning.search_observed(long, thetas, conflicts, ["method"]).select("method", "theta", "conflict", "macro_f1"))
 
 
 def ablation(spark, d):
-    return rounded(experiments.ablation(_results(spark, d), GATES))
+    return rounded(experiments.ablation(_results(spark, d), GATES).drop("vacuous"))
 
 
 def reliability_sweep(spark, d):
@@ -194,9 +209,80 @@ def stratified_folds(spark, d):
     return experiments.stratified_folds(_claims(spark, d), 5).select("claim_id", F.col("fold").cast("long").alias("fold"))
 
 
+FOLDS, STEPS = 5, 9
+
+
+def _folded(spark, d, folds=FOLDS) -> DataFrame:
+    df = experiments.stratified_folds(_results(spark, d), folds)
+    return kept(df.withColumns({c: F.round(c, 9) for c in ("m_support", "m_refute", "m_theta", "k_doc")}), "folded")
+
+
+def _gates(spark, d, folds=FOLDS) -> DataFrame:
+    stat = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d))
+    stat = stat.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in stat.dtypes))
+    return kept(experiments.gate_methods(_folded(spark, d, folds), stat), "gates")
+
+
+def _baseline_scores(spark, d, folds=FOLDS) -> DataFrame:
+    df = baselines.run_baselines(experiments.stratified_folds(_claims(spark, d), folds), _evidence(spark, d), BASE, "e1")
+    return kept(df.withColumns({c: F.round(c, 9) for c in baselines.SCORES}), "baselines")
+
+
 def nested_cv(spark, d):
-    df = experiments.stratified_folds(_results(spark, d), 3).withColumns({c: F.round(c, 9) for c in ("m_theta", "k_doc")})
-    return rounded(metrics.classification_report(experiments.nested_cv(df, 3, 3), ["fold"]).select(F.col("fold").cast("long").alias("fold"), "accuracy", "macro_f1", "n"))
+    return rounded(metrics.classification_report(experiments.nested_cv(_folded(spark, d), FOLDS, STEPS), ["fold"]).select(F.col("fold").cast("long").alias("fold"), "accuracy", "macro_f1", "n"))
+
+
+def nested_cv_methods(spark, d):
+    """Fusion, six statistical gates and four baselines, each tuned within."""
+    pooled = experiments.nested_cv_methods(_gates(spark, d), _baseline_scores(spark, d), FOLDS, STEPS)
+    return rounded(metrics.classification_report(pooled, ["method"]))
+
+
+def nested_cv_margins(spark, d):
+    """The thresholds of the baselines in each fold where conflict_aware has three of its own."""
+    chosen = experiments.tune_decisions(_baseline_scores(spark, d), FOLDS, [0.05, 0.1, 0.2])
+    return rounded(chosen.select(F.col("fold").cast("long").alias("fold"), "method", "decision", "conflict", "margin"))
+
+
+def nested_ablation(spark, d):
+    return rounded(metrics.classification_report(experiments.nested_ablation(_folded(spark, d), FOLDS, STEPS), ["method"]))
+
+
+def _long(spark, d) -> DataFrame:
+    return experiments.baseline_long(_results(spark, d), baselines.run_baselines(_claims(spark, d), _evidence(spark, d), BASE, "e1"))
+
+
+def baseline_long(spark, d):
+    return rounded(_long(spark, d).drop("sample_id"))
+
+
+def comparison_report(spark, d):
+    """Every method's labels and detection scores side by side."""
+    long = _long(spark, d).withColumns({c: F.round(c, 9) for c in ("conflict_score", "insufficiency_score")})
+    found = metrics.detection_report(experiments.compared_detection(long), ["method", "name"]).groupBy("method").pivot("name", ["conflict", "insufficiency"]).agg(F.first("auroc"))
+    labels = metrics.classification_report(long, ["method"])
+    return rounded(labels.join(found.select("method", F.col("conflict").alias("conflict_auroc"), F.col("insufficiency").alias("insufficiency_auroc")), "method"))
+
+
+def reliability_sensitivity(spark, d):
+    """The sweep, and the documents' entropy of the second evaluator as their reliability."""
+    e = _evidence(spark, d)
+    p = [F.col(c) for c in ("p_support", "p_refute", "p_unknown")]
+    known = e.filter("evaluator = 'e2'").select("sample_id", "doc_id", datasets.entropy_reliability(p).alias("reliability"))
+    return rounded(experiments.reliability_sensitivity(_claims(spark, d), e, [0.5, 1.0], known, GATES))
+
+
+def estimated_reliability_folds(spark, d):
+    """Evaluators' reliability as the claims of the other folds suggest it."""
+    folded = experiments.stratified_folds(_claims(spark, d), FOLDS)
+    return rounded(experiments.estimates_by_fold(_evidence(spark, d), folded, FOLDS, metrics.detection_report).select(F.col("fold").cast("long").alias("fold"), "evaluator", "reliability", "mean_auroc"))
+
+
+def estimated_reliability_cv(spark, d):
+    """nested_cv of fusion with estimated reliabilities."""
+    folded = kept(experiments.stratified_folds(_claims(spark, d), FOLDS), "folds")
+    pooled = experiments.estimated_cv(folded, _evidence(spark, d), FOLDS, STEPS, metrics.detection_report)
+    return rounded(metrics.classification_report(pooled, ["method"]))
 
 
 def _risk_rows(spark, d):
@@ -291,12 +377,10 @@ def credibility_join(spark, d):
 
 
 def reliability_estimate(spark, d):
-    """An evaluator's reliability from the AUROC of its mean support and refutation by sample: clip(2 * mean - 1)."""
-    by = _evidence(spark, d).groupBy("evaluator", "sample_id").agg(F.round(F.avg("p_support"), 9).alias("s"), F.round(F.avg("p_refute"), 9).alias("r"))
-    rows = by.join(_claims(spark, d).select("sample_id", "gold_state"), "sample_id")
-    cells = F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("score"), (F.col("gold_state") == k).cast("int").alias("positive")) for k, c in (("supported", "s"), ("refuted", "r"))))
-    report = metrics.detection_report(rows.select("evaluator", F.explode(cells).alias("x")).select("evaluator", "x.*"), ["evaluator", "side"])
-    return rounded(report.groupBy("evaluator").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.avg("auroc") - 1)).alias("reliability"), F.avg("auroc").alias("mean_auroc")))
+    """An evaluator's reliability from the AUROC of its mean support and refutation by sample."""
+    rows = experiments.side_scores(_evidence(spark, d), _claims(spark, d))
+    report = metrics.detection_report(rows.select("evaluator", "side", "score", "positive"), ["evaluator", "side"])
+    return rounded(experiments.estimated_reliability(report, ["evaluator"]))
 
 
 def _named(f, name):
@@ -309,8 +393,9 @@ QUERIES = {
     for f in (
         discount_projection, doc_fusion, k_doc_trace, evaluator_fusion, pipeline_diagnostics, many_document_fusion, status_diagnostics, pipeline_summary, selective_confidence, integrity_violations, first_n_documents,
         *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
-        confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search,
-        ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, risk_coverage, aurc, paired_bootstrap, label_calibration, relation_comparison, vote_distribution,
+        confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, conflict_aware_search, stat_gate_search,
+        ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
+        estimated_reliability_folds, estimated_reliability_cv, risk_coverage, aurc, paired_bootstrap, label_calibration, relation_comparison, vote_distribution,
         entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, url_domain, credibility_join, reliability_estimate,
     )
 }

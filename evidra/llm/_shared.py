@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. On one machine (a local master) it may be unset: then it is a
+    temporary one; on a cluster that is an error, as others couldn't read such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='evidra-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,21 +57,81 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in a batch that Spark sends to Python: a batch of texts takes memory on both sides, and texts may be long.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends STEP_ROWS rows at a time to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH)) not in range(1, STEP_ROWS + 1):
+        conf.set(BATCH, str(STEP_ROWS))
+    return df
+
+
+def released_after(run):
+    """A function over batches that gives what it has freed back to the system as it ends: Spark keeps its worker."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow() in small batches."""
+    return in_small_batches(df).mapInArrow(released_after(run), schema)
+
+
+class Memo(dict):
+    """What a task has worked out by word, bounded in bytes: trim() empties it beyond, and a task starts with a new one."""
+
+    def __init__(self, most_bytes: int, entry_bytes: int):
+        super().__init__()
+        self.most = most_bytes // entry_bytes
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_columns(docs: DataFrame, made: dict[str, str], run, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all unless told) and those made (name: type) from its text. run(text, n) gives a function
+    over Arrow batches that returns their first n columns and those made; text is the text's place in a batch. The text
+    is shipped once and comes back only if kept; a kept column that has a made one's name is replaced."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    sent = names if "text" in names else [*names, "text"]
+    rows = docs.select(*(F.col(quoted(c)) for c in sent))
+    fields = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema][: len(names)]
+    return map_batches(rows, run(sent.index("text"), len(names)), ", ".join([*fields, *(f"{k} {v}" for k, v in made.items())]))
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
 
 
-#: Rows and code points that a Python operator handles at once, whatever the size of Arrow's batches.
-STEP_ROWS, STEP_CHARS = 2048, 8_000_000
+#: Rows and bytes of text that a Python operator handles at once, whatever the size of Arrow's batches.
+STEP_ROWS, STEP_BYTES = 512, 1_000_000
 
 
-def steps(batch: pa.RecordBatch, text: str = "text"):
-    """Slices of a batch that hold at most STEP_ROWS rows and, beyond one row, STEP_CHARS bytes of text."""
+def steps(batch: pa.RecordBatch, text: int | str = "text"):
+    """Slices of a batch that hold at most STEP_ROWS rows and, beyond one row, STEP_BYTES bytes of text."""
     lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
     begin, size = 0, 0
     for i, n in enumerate(lengths):
-        if i > begin and (i - begin >= STEP_ROWS or size + n > STEP_CHARS):
+        if i > begin and (i - begin >= STEP_ROWS or size + n > STEP_BYTES):
             yield batch.slice(begin, i - begin)
             begin, size = i, 0
         size += n

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import strings
+from evidra.llm._shared import map_batches, strings
 
 # Fixed values of the template: the text that each control token stands for, from id FIRST_CONTROL on.
 CONTROL = ["### System: ", "### User: ", "### Assistant: ", "</turn>\n", "### <", ">: "]
@@ -93,12 +93,12 @@ def format_chat(conversations: DataFrame, path: str) -> DataFrame:
     """conversations (conv_id, turn, role, text) as token segments, one row a turn, in order within each partition:
     start is the turn's place in its conversation's sequence. path: a rank file for tiktoken."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return (
+    ordered = (
         rows.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "text")
-        .mapInArrow(_formatter(path), SEGMENTS)
     )
+    return map_batches(ordered, _formatter(path), SEGMENTS)
 
 
 def render(ids: np.ndarray, enc: tiktoken.Encoding) -> str:
@@ -165,4 +165,4 @@ def _reader(path: str):
 
 def read_back(segments: DataFrame, path: str) -> DataFrame:
     """What the output of format_chat() says, one row a conversation, read from its ids and masks alone."""
-    return segments.mapInArrow(_reader(path), DIGESTS)
+    return map_batches(segments, _reader(path), DIGESTS)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm._shared import map_batches
+
 K = 16
 SKETCHES = 64
 #: k-mers that are hashed at once.
@@ -111,7 +113,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, ghost, doc_id, text), sorted within each partition so that a document is followed by its successor; a
     ghost row is there as a successor only."""
     spark = docs.sparkSession
-    buckets = min(1024, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
     rows = rows.withColumn("bucket", F.coalesce(_bucket(F.col("doc_id"), bounds), F.lit(0)).cast("int"))
@@ -166,7 +168,7 @@ def _compare(batches):
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness; see with_next() for the order."""
-    return with_next(docs).mapInArrow(_compare, OUT)
+    return map_batches(with_next(docs), _compare, OUT)
 
 
 def _prints(batches):
@@ -176,4 +178,4 @@ def _prints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, fingerprint string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _prints, "doc_id long, fingerprint string")

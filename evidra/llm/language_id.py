@@ -5,7 +5,8 @@ word, by code-point ranges, narrows the languages that may claim it. A Viterbi p
 a penalty for each change of language, labels its spans.
 
 Fitting takes at most per_language documents of each language, those with the lowest hash of their id, so the sample is
-bounded and does not depend on the partitioning; of further languages than max_languages the rarest are left out.
+bounded and does not depend on the partitioning. No language is left out: the model takes a quarter of a megabyte for each,
+and more than MAX_LANGUAGES are an error.
 Defined results: a null text, or one without a letter, is `und` with score 0 and no span; rows without a language or
 text are not learned from; ties go to the language that comes first by name; repeated rows get equal results; with
 nothing to learn from every text is `und`. Whole texts are read, however long.
@@ -14,6 +15,7 @@ nothing to learn from every text is `und`. Whole texts are read, however long.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import steps
+from evidra.llm._shared import map_batches, steps, with_columns
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -45,8 +47,10 @@ SCRIPT_SHARE = 0.01
 SWITCH = 8.0
 #: Weight of a word's summed n-gram evidence; the n-grams of a word overlap and aren't independent.
 TEMPER = 0.5
-#: Words whose scores a worker keeps.
-MEMO_WORDS = 300_000
+#: Languages of a model; it is broadcast.
+MAX_LANGUAGES = 200
+#: Bytes that a task keeps of words and their scores.
+MEMO_BYTES = 32 << 20
 _OUT = 60.0
 
 
@@ -103,38 +107,51 @@ class LanguageModel:
 
 
 def _count(batches):
-    """(lang, bucket, n) of each batch; script counts in buckets from BUCKETS on."""
-    for batch in batches:
-        by: dict[str, dict[str, int]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = by.setdefault(lang, {})
-            for w in WORDS.findall(text.lower()):
-                seen[w] = seen.get(w, 0) + 1
-        for lang, seen in by.items():
-            if not seen:
-                continue
-            times = np.fromiter(seen.values(), np.float64, len(seen))
-            buckets, owner, scripts = word_features(list(seen))
-            n = np.concatenate([np.bincount(buckets, times[owner], BUCKETS), np.bincount(scripts, times, N_SCRIPTS)])
-            hit = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit], pa.float64())], ["lang", "bucket", "n"])
-
+    """(lang, bucket, n) of a task's texts; script counts in buckets from BUCKETS on."""
+    by: dict[str, np.ndarray] = {}
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 1000, max_languages: int = 100) -> LanguageModel:
-    """A model from the rows of docs (doc_id, text, lang) for which learn holds."""
+    def counts():
+        for lang, n in by.items():
+            hit = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(n[hit])], ["lang", "bucket", "n"])
+        by.clear()
+
+    for whole in batches:
+        for batch in steps(whole):
+            seen: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+            for lang, words in seen.items():
+                if not words:
+                    continue
+                if lang not in by and len(by) >= 32:
+                    yield from counts()
+                times = np.fromiter(words.values(), np.float64, len(words))
+                buckets, owner, scripts = word_features(list(words))
+                n = by.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS))
+                n += np.concatenate([np.bincount(buckets, times[owner], BUCKETS), np.bincount(scripts, times, N_SCRIPTS)])
+    yield from counts()
+
+
+def fit(docs: DataFrame, learn: Column, per_language: int = 1000) -> LanguageModel:
+    """A model from the rows of docs (doc_id, text, lang) for which learn holds; an error beyond MAX_LANGUAGES."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).toArrow()
+    if sizes.num_rows > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages make too large a model to broadcast; let learn select fewer")
     # the lowest hashes of a language, a few more than are taken: so the window never meets a whole language
     enough = per_language + 10 * per_language**0.5 + 50
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, enough / r["count"]))) for r in common), F.lit(-1.0))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, enough / n)) for k, n in zip(*(c.to_pylist() for c in sizes.columns), strict=True)], "lang string, share double")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    low = rows.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= F.col("share"))
+    ids = low.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n")).collect()
-    languages = tuple(sorted({r[0] for r in found}))
+    found = map_batches(sample.select("lang", "text"), _count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    languages = tuple(sorted(names.dictionary.to_pylist()))
+    place = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)
     n = np.zeros((BUCKETS + N_SCRIPTS, len(languages)))
-    for lang, bucket, times in found:
-        n[bucket, languages.index(lang)] = times
+    n[found.column("bucket").to_numpy(), place[names.indices.to_numpy()]] = found.column("n").to_numpy()
     grams, scripts = n[:BUCKETS] + 0.1, n[BUCKETS:]
     share = scripts / np.maximum(scripts.sum(0), 1)
     return LanguageModel(languages, np.log(grams / grams.sum(0)).astype(np.float32), share >= SCRIPT_SHARE)
@@ -175,59 +192,88 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"
-_MEMO: dict = {}
-
-
-def _labels(model: LanguageModel, texts: list[str | None]):
-    """lang_pred, score and spans of each text. Spans are in words; see label_spans()."""
-    memo = _MEMO.get(id(model))
-    if memo is None or len(memo[0]) > MEMO_WORDS:
-        _MEMO.clear()
-        memo = _MEMO[id(model)] = ({}, np.empty((0, len(model.languages)), np.float32), model)
-    index, table, _ = memo
-    words = [[] if t is None or not any(map(str.isalpha, t)) else WORDS.findall(t.lower()) for t in texts]
-    known = len(index)
-    new = dict.fromkeys(w for ws in words for w in ws if w not in index)
-    for w in new:
-        index[w] = len(index)
-    if new:
-        table = np.concatenate([table[:known], model.word_scores(list(new))])
-        _MEMO[id(model)] = (index, table, model)
-    lengths = np.array([len(w) for w in words], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    place = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
-    return words, starts, lengths, viterbi(table[place], starts, lengths)
-
-
-def _labeller(model: LanguageModel, keep: int):
-    """keep: leading columns of the input that are passed on; the next one is the text."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in steps(whole, whole.schema.names[keep]):
-                texts = batch.column(keep).to_pylist()
-                preds, scores, spans = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
-                if model.languages:
-                    words, starts, lengths, labels = _labels(model, texts)
-                    for i in np.flatnonzero(lengths):
-                        own = labels[starts[i] : starts[i] + lengths[i]]
-                        share = np.bincount(own, minlength=len(model.languages))
-                        preds[i] = model.languages[share.argmax()]
-                        scores[i] = share.max() / lengths[i]
-                        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), int(lengths[i])]
-                        spans[i] = [{"start": a, "end": b, "lang": model.languages[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:keep], pa.array(preds, pa.string()), pa.array(scores), pa.array(spans, kind)],
-                    [*batch.schema.names[:keep], "lang_pred", "score", "spans"],
-                )
-
-    return run
-
-
-def label_spans(docs: DataFrame, model: LanguageModel, *carry: Column) -> DataFrame:
-    """The carried columns and lang_pred, score (share of words under lang_pred) and spans of each text: word numbers
-    from start to before end, and their language."""
-    kept = docs.select(*carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*carry, "text").mapInArrow(_labeller(model, len(carry)), f"{fields}, lang_pred string, score double, spans {SPANS}")
+
+
+#: Words whose best path is sought at once.
+PATH_WORDS = 1_000_000
+
+
+class _Known:
+    """The words that a task has met, and their scores."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.most = model, MEMO_BYTES // (140 + 4 * len(model.languages))
+        self.index: dict[str, int] = {}
+        self.table = np.empty((0, len(model.languages)), np.float32)
+
+    def trim(self) -> None:
+        if len(self.index) > self.most:
+            self.index, self.table = {}, self.table[:0]
+
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the rows of table that hold its words' scores."""
+        words = [[] if t is None or not self.model.languages or not any(map(str.isalpha, t)) else WORDS.findall(t.lower()) for t in texts]
+        index, known = self.index, len(self.index)
+        new = dict.fromkeys(w for ws in words for w in ws if w not in index)
+        if new:
+            index.update(zip(new, range(known, known + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.model.word_scores(list(new))])
+        return [np.array([index[w] for w in ws], np.int32) for ws in words]
+
+
+def _labelled(known: _Known, places: list[np.ndarray]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """lang_pred, score and spans of texts by their words' places."""
+    languages = known.model.languages
+    preds, scores, spans = ["und"] * len(places), np.zeros(len(places)), [[] for _ in places]
+    if languages and places:
+        lengths = np.array([len(p) for p in places], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        labels = viterbi(known.table[np.concatenate(places)], starts, lengths)
+        for i in np.flatnonzero(lengths):
+            own = labels[starts[i] : starts[i] + lengths[i]]
+            share = np.bincount(own, minlength=len(languages))
+            preds[i] = languages[share.argmax()]
+            scores[i] = share.max() / lengths[i]
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), int(lengths[i])]
+            spans[i] = [{"start": a, "end": b, "lang": languages[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+    return preds, scores, spans
+
+
+def _labeller(model: LanguageModel):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+    def at(text: int, keep: int):
+        def run(batches):
+            known, held, places = _Known(model), [], []
+
+            def results():
+                preds, scores, spans = _labelled(known, places)
+                begin = 0
+                for part in held:
+                    own = slice(begin, begin := begin + len(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:keep], pa.array(preds[own], pa.string()), pa.array(scores[own]), pa.array(spans[own], kind)],
+                        [*part.schema.names[:keep], "lang_pred", "score", "spans"],
+                    )
+                held.clear()
+                places.clear()
+                known.trim()
+
+            for whole in batches:
+                for part in steps(whole, text):
+                    held.append(part)
+                    places.extend(known.places(part.column(text).to_pylist()))
+                    # all texts advance together, so many at once cost no more than the longest
+                    if sum(map(len, places)) >= PATH_WORDS or len(places) >= 8192:
+                        yield from results()
+            yield from results()
+
+        return run
+
+    return at
+
+
+def label_spans(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all unless told) with lang_pred, score (share of words under lang_pred) and spans of each
+    text: word numbers from start to before end, and their language. Columns of docs with these names are replaced."""
+    return with_columns(docs, {"lang_pred": "string", "score": "double", "spans": SPANS}, _labeller(model), keep)

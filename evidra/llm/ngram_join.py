@@ -32,31 +32,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import dropped, released, steps, strings, written
+from evidra.llm._shared import Memo, dropped, map_batches, released, steps, strings, written
 from evidra.llm.components import components
 
-#: A token of at least FREQUENT distinct sets is frequent, if it was in LOCAL sets of one batch.
-FREQUENT, LOCAL, MAX_FREQUENT = 12, 3, 500_000
+#: A token of at least FREQUENT distinct sets is frequent, if it was in LOCAL sets of those that a task held together.
+FREQUENT, LOCAL, MAX_FREQUENT, HELD_TOKENS = 12, 3, 500_000, 3_000_000
 #: Sets that share a signature up to which all pairs are taken.
 SMALL_GROUP = 24
 #: Tokens and sets in a block of a neighbourhood, and tokens behind the bitmaps in a block (a bit for one or two).
-BLOCK_TOKENS, BLOCK_SETS, BITMAP_TOKENS = 1_200_000, 1_500, 24_000_000
+BLOCK_TOKENS, BLOCK_SETS, BITMAP_TOKENS = 800_000, 1_000, 16_000_000
 #: Ids that are broadcast to select documents (8 bytes each); beyond, the selection is a shuffled join.
 MAX_BROADCAST = 1_000_000
 #: Bits of the least bitmap, and those compared at once.
 LEAST_BITS, STEP_BITS = 1024, 2048
-MEMO_WORDS = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
-_MEMO: dict[bytes, int] = {}
-_SEEN: set[int] = set()
 
 
-def tokens(text: str, width: int) -> np.ndarray:
+def new_memo() -> Memo:
+    """Of words' digests."""
+    return Memo(24 << 20, 160)
+
+
+def tokens(text: str, width: int, memo: Memo) -> np.ndarray:
     """The sorted distinct digests of a text's n-grams of width words. A-Z count as a-z; words end at ASCII space."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    memo = _MEMO
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
+    memo.trim()
     digests = list(map(memo.get, words))
     if None in digests:
         for i, w in enumerate(words):
@@ -147,25 +147,27 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sets(width: int):
-    """Rows (kind 0: doc_id, its set's name, size and bitmap; kind 1: a token and the number of sets in the batch with
-    it)."""
+    """Rows (kind 0: doc_id, its set's name, size and bitmap; kind 1: a token and the number of sets with it, of those
+    held together)."""
 
     columns = ["kind", "id", "name", "n", "bitmap"]
 
     def run(batches):
-        for batch in batches:
-            ids, names, sizes, maps, seen, held = batch.column(0), [], [], [], {}, 0
-            counts: list[np.ndarray] = []
+        memo, seen, held = new_memo(), {}, 0
 
-            def flush():
-                if seen:
-                    token, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                    counts.append((token[n >= LOCAL], n[n >= LOCAL]))
-                    seen.clear()
+        def counted():
+            if seen:
+                token, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+                token, n = token[n >= LOCAL], n[n >= LOCAL]
+                k = len(token)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(_signed(token)), pa.array([0] * k, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.list_(pa.int64()))], columns)
+                seen.clear()
 
+        for batch in batches:
             for part in steps(batch):
+                names, sizes, maps = [], [], []
                 for text in strings(part.column(1)):
-                    t = tokens(text, width)
+                    t = tokens(text, width, memo)
                     name = set_name(t)
                     names.append(name)
                     sizes.append(len(t))
@@ -173,14 +175,11 @@ def _sets(width: int):
                     if name not in seen and len(t):
                         seen[name] = t
                         held += len(t)
-                        if held > 6_000_000:
-                            flush()
-                            held = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(names), pa.int32()), ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], columns)
-            for token, n in counts:
-                k = len(token)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(_signed(token)), pa.array([0] * k, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.list_(pa.int64()))], columns)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(names), pa.int32()), part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], columns)
+                if held > HELD_TOKENS:
+                    yield from counted()
+                    held = 0
+        yield from counted()
 
     return run
 
@@ -188,16 +187,17 @@ def _sets(width: int):
 def _signatures(width: int, percent: int, shared):
     def run(batches):
         frequent, rank = shared.value
+        memo = new_memo()
         done = set()  # sets of this task, so that copies are named once in it
         for batch in batches:
             for part in steps(batch):
                 sigs, names, sizes = [], [], []
                 for text in strings(part.column(0)):
-                    t = tokens(text, width)
+                    t = tokens(text, width, memo)
                     name = set_name(t)
                     if name in done:
                         continue
-                    if len(done) > 1_000_000:
+                    if len(done) > 300_000:
                         done.clear()
                     done.add(name)
                     s = prefix_signatures(t, percent, frequent, rank)
@@ -214,9 +214,10 @@ def _tokens(width: int):
     """(root, block, name, tokens); a row whose id has another text of that name is left out."""
 
     def run(batches):
+        memo = new_memo()
         for batch in batches:
             for part in steps(batch):
-                sets = [tokens(text, width) for text in strings(part.column(3))]
+                sets = [tokens(text, width, memo) for text in strings(part.column(3))]
                 own = [set_name(t) == name for t, name in zip(sets, part.column(2).to_pylist(), strict=True)]
                 kept = part.filter(pa.array(own, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array([_signed(t) for t, k in zip(sets, own, strict=True) if k], pa.list_(pa.int64()))], ["root", "block", "name", "tokens"])
@@ -338,18 +339,20 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs (doc_id, text): texts link when percent or more of the union of their
-    sets of n-grams of width words is shared; component_id is the least id that links reach."""
+    """(doc_id, n_shingles, component_id) of docs (doc_id, text): texts link when percent (50 to 99) or more of the union
+    of their sets of n-grams of width words is shared; component_id is the least id that links reach."""
+    if not 50 <= percent <= 99 or width < 1:
+        raise ValueError("percent has to be within 50 and 99, and width at least 1")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(width), "kind int, id long, name long, n long, bitmap array<long>"), "sets")
+    sets = written(map_batches(rows, _sets(width), "kind int, id long, name long, n long, bitmap array<long>"), "sets")
     documents = sets.filter("kind = 0").select(F.col("id").alias("doc_id"), "name", "n")
     common = sets.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "id").limit(MAX_FREQUENT).toArrow()
     frequent, times = common.column("id").to_numpy().view(np.uint64), common.column("n").to_numpy()
     by = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[by], np.log2(times[by]).astype(np.int64)))
 
-    signatures = rows.select("text").mapInArrow(_signatures(width, percent, shared), "sig long, name long, n long")
+    signatures = map_batches(rows.select("text"), _signatures(width, percent, shared), "sig long, name long, n long")
     group = Window.partitionBy("sig")
     met = signatures.repartition("sig").dropDuplicates(["sig", "name"]).withColumn("size", F.count("*").over(group)).filter("size > 1")
     met = written(met, "signatures")
@@ -393,7 +396,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     few = members.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     held = members.select("root", "block", "name", F.col("doc_id").alias("holder"))
     placed = rows.join(F.broadcast(held) if few else held, rows["doc_id"].eqNullSafe(F.col("holder"))).select("root", "block", "name", "text")
-    placed = placed.mapInArrow(_tokens(width), "root long, block long, name long, tokens array<long>")
+    placed = map_batches(placed, _tokens(width), "root long, block long, name long, tokens array<long>")
     placed = placed.join(cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
     links = written(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
     del placed

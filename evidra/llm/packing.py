@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import strings
+from evidra.llm._shared import map_batches, strings
 
 WINDOW, CLOSE = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 4096, 6_000_000
@@ -222,4 +222,4 @@ def _rows(path: str, digest: bool):
 def pack(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) with their ids, or with the crc32 of the ids (little-endian unsigned 32-bit).
     path: a tokenizers file of a byte-level BPE. sequence_id holds the partition and the number of the sequence in it."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows(path, digest), f"{PIECES}, {'ids_crc32 long' if digest else 'ids array<int>'}")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), _rows(path, digest), f"{PIECES}, {'ids_crc32 long' if digest else 'ids array<int>'}")

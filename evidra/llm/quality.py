@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import steps, strings
+from evidra.llm._shared import map_batches, steps, strings, with_columns
 from evidra.llm.toxicity import sample_of
 
 FEATURES = [
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "qualit
     """A model from the labelled rows for which learn (of doc_id) holds."""
     sample = sample_of(labels, column, learn, max_fit)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "label", "text")
-    found = rows.mapInArrow(_described, "place long, label int, x array<double>").toArrow()
+    found = map_batches(rows, _described, "place long, label int, x array<double>").toArrow()
     if not found.num_rows:
         return QualityModel(0.0, [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), [])
     x, y = np.array(found.column("x").to_pylist()), found.column("label").to_numpy().astype(float)
@@ -160,17 +160,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "qualit
     return boost(x[by], y[by])
 
 
-def _scorer(model: QualityModel, keep: int):
-    def run(batches):
-        for whole in batches:
-            for batch in steps(whole, whole.schema.names[keep]):
-                score = model.score(describe(strings(batch.column(keep))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(score, pa.float64())], [*batch.schema.names[:keep], "score"])
+def _scorer(model: QualityModel):
+    def at(text: int, keep: int):
+        def run(batches):
+            for whole in batches:
+                for batch in steps(whole, text):
+                    score = model.score(describe(strings(batch.column(text))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(score, pa.float64())], [*batch.schema.names[:keep], "score"])
 
-    return run
+        return run
 
+    return at
 
-def score(docs: DataFrame, model: QualityModel, *carry: Column) -> DataFrame:
-    """The carried columns and score (0 to 1) of each text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, "text").mapInArrow(_scorer(model, len(carry)), f"{fields}, score double")
+
+def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all unless told) with the score (0 to 1) of each text; a column score is replaced."""
+    return with_columns(docs, {"score": "double"}, _scorer(model), keep)

@@ -22,7 +22,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, id_hash_mod("doc_id", 5) != 0)
-    scored = quality.score(docs, model, F.col("doc_id"), (id_hash_mod("doc_id", 5) == 0).alias("held_out"))
+    scored = quality.score(docs.withColumn("held_out", id_hash_mod("doc_id", 5) == 0), model, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -62,13 +62,14 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.fit(docs, id_hash_mod("doc_id", 4) != 2)
-    return language_id.label_spans(docs, model, F.col("doc_id"), (id_hash_mod("doc_id", 4) == 2).alias("held_out")).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+    labelled = language_id.label_spans(docs.withColumn("held_out", id_hash_mod("doc_id", 4) == 2), model, ["doc_id", "held_out"])
+    return labelled.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, id_hash_mod("doc_id", 4) != 2)
-    scored = toxicity.score(docs, model, F.col("doc_id"), (id_hash_mod("doc_id", 4) == 2).alias("held_out"))
+    scored = toxicity.score(docs.withColumn("held_out", id_hash_mod("doc_id", 4) == 2), model, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -1,6 +1,7 @@
 """Toxicity by logistic regression over hashed word n-grams and skip-grams, trained with FTRL-proximal.
 
-Features are the presence of hashed words, word pairs and pairs with one word between them. FTRL-proximal has a rate for
+Features are the presence of hashed words, of the heads (first letters) of long words, of word pairs and of pairs with
+one word between them. FTRL-proximal has a rate for
 each coordinate and an L1 term that leaves most weights at exactly 0, so the trained model is a short list of indices
 and weights, small enough to broadcast (its size is checked).
 
@@ -21,36 +22,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm._shared import steps, strings
+from evidra.llm._shared import Memo, map_batches, steps, strings, with_columns
 
 WORDS = re.compile(r"[^\W\d_]+")
 BITS = 20
 SIZE = 1 << BITS
 #: Most weights that are broadcast: 12 bytes each.
 MAX_WEIGHTS = 500_000
-MEMO_WORDS = 400_000
-_MEMO: dict[str, int] = {}
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all texts in a row, and each text's first one (with a last border)."""
-    memo = _MEMO
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    parts, sizes = [], []
-    for text in texts:
-        words = WORDS.findall(text.lower())
+class Words:
+    """Hashes of the words that a task has met: of the word and of its heads (0: the word is no longer than that)."""
+
+    HEADS = (6, 8)
+
+    def __init__(self):
+        self.place = Memo(24 << 20, 220)
+        self.hashes = np.empty((0, 1 + len(self.HEADS)), np.uint64)
+
+    def __call__(self, texts: list[list[str]]) -> np.ndarray:
+        """The hashes of each word of each text, in a row."""
+        self.place.trim()
+        place, known = self.place, len(self.place)
         try:
-            h = np.fromiter([memo[w] for w in words], np.uint64, len(words))
+            at = [place[w] for words in texts for w in words]
         except KeyError:
-            for w in words:
-                if w not in memo:
-                    memo[w] = crc32(w.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-            h = np.fromiter([memo[w] for w in words], np.uint64, len(words))
-        parts += [h, h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:], h[:-2] * np.uint64(0x165667B19E3779F9) + h[2:] * np.uint64(3)]
-        sizes.append(sum(map(len, parts[-3:])))
-    ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return (ids >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            new = {w for words in texts for w in words if w not in place}
+            place.update(zip(new, range(known, known + len(new)), strict=True))
+            of = lambda x: crc32(x.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            rows = [[of(w), *(of("~" + w[:n]) if len(w) > n else 0 for n in self.HEADS)] for w in new]
+            self.hashes = np.concatenate([self.hashes[:known], np.array(rows, np.uint64)])
+            at = [place[w] for words in texts for w in words]
+        return self.hashes[np.array(at, np.int64)]
+
+
+def features(texts: list[str], hashes: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all texts in a row, and each text's first one (with a last border)."""
+    words = [WORDS.findall(text.lower()) for text in texts]
+    found, begin, parts, sizes = hashes(words), 0, [], []
+    for n in map(len, words):
+        h, heads = np.ascontiguousarray(found[begin : begin + n, 0]), found[begin : begin + n, 1:].ravel()
+        begin += n
+        each = [h, h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:], h[:-2] * np.uint64(0x165667B19E3779F9) + h[2:] * np.uint64(3), heads[heads != 0]]
+        parts += [(x >> np.uint64(64 - BITS)).astype(np.int32) for x in each]
+        sizes.append(sum(map(len, each)))
+    return np.concatenate(parts) if parts else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 @dataclass(frozen=True)
@@ -66,7 +82,10 @@ class ToxicityModel:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5) -> ToxicityModel:
-    """FTRL-proximal over rows of distinct feature indices. The bias is a coordinate of its own without L1."""
+    """FTRL-proximal over rows of distinct feature indices. The bias is a coordinate of its own without L1. The rarer class
+    weighs more, by the root of the classes' ratio."""
+    share = np.clip(labels.mean(), 0.001, 0.999)
+    weight = np.maximum(1, np.sqrt([share / (1 - share), (1 - share) / share]))
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     lasso = np.full(SIZE + 1, l1)
     lasso[SIZE] = 0
@@ -78,7 +97,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: f
         for row, y in zip(rows, labels, strict=True):
             i = np.append(row, SIZE)
             w = weights(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * weight[int(y)]
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - sigma * w
             n[i] += g * g
@@ -88,9 +107,10 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: f
 
 
 def _rows(batches):
+    hashes = Words()
     for whole in batches:
         for batch in steps(whole):
-            ids, cuts = features(strings(batch.column(2)))
+            ids, cuts = features(strings(batch.column(2)), hashes)
             packed = [np.unique(ids[a:b]).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["place", "label", "features"])
 
@@ -123,9 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic"
     """A model from the labelled rows for which learn (of doc_id) holds."""
     sample = sample_of(labels, column, learn, max_fit)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "label", "text")
-    rows = rows.mapInArrow(_rows, "place long, label int, features binary")
+    rows = map_batches(rows, _rows, "place long, label int, features binary")
     # only the sample's features meet in one task; coalesce(1) would draw the scan of all documents into it
-    found = rows.repartition(1).sortWithinPartitions("place", "features").mapInArrow(_train, "i int, w double").toArrow()
+    found = map_batches(rows.repartition(1).sortWithinPartitions("place", "features"), _train, "i int, w double").toArrow()
     index, weight = found.column("i").to_numpy(), found.column("w").to_numpy()
     if len(index) > MAX_WEIGHTS:
         raise ValueError(f"{len(index)} weights are too many to broadcast; raise l1")
@@ -134,24 +154,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic"
     return ToxicityModel(float(weight[-1]), index[:-1].astype(np.int64), weight[:-1].astype(np.float32))
 
 
-def _scorer(model: ToxicityModel, keep: int):
-    def run(batches):
-        dense = model.dense()
-        for whole in batches:
-            for batch in steps(whole, whole.schema.names[keep]):
-                ids, cuts = features(strings(batch.column(keep)))
-                hit = np.flatnonzero(dense[ids])
-                # a feature counts once in a text
-                owner = np.searchsorted(cuts, hit, side="right") - 1
-                key = np.unique(owner * SIZE + ids[hit])
-                total = model.bias + np.bincount(key // SIZE, dense[key % SIZE], len(batch))
-                score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(score, pa.float64())], [*batch.schema.names[:keep], "score"])
+def _scorer(model: ToxicityModel):
+    def at(text: int, keep: int):
+        def run(batches):
+            dense, hashes = model.dense(), Words()
+            for whole in batches:
+                for batch in steps(whole, text):
+                    ids, cuts = features(strings(batch.column(text)), hashes)
+                    hit = np.flatnonzero(dense[ids])
+                    # a feature counts once in a text
+                    owner = np.searchsorted(cuts, hit, side="right") - 1
+                    key = np.unique(owner * SIZE + ids[hit])
+                    total = model.bias + np.bincount(key // SIZE, dense[key % SIZE], len(batch))
+                    score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(score, pa.float64())], [*batch.schema.names[:keep], "score"])
+
+        return run
 
-    return run
+    return at
 
 
-def score(docs: DataFrame, model: ToxicityModel, *carry: Column) -> DataFrame:
-    """The carried columns and score (0 to 1) of each text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, "text").mapInArrow(_scorer(model, len(carry)), f"{fields}, score double")
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all unless told) with the score (0 to 1) of each text."""
+    return with_columns(docs, {"score": "double"}, _scorer(model), keep)

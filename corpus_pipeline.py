@@ -20,14 +20,14 @@ TOXIC = 0.3
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose main language has at least half of their words."""
     model = language_id.fit(docs, id_hash_mod("doc_id", 4) != 2)
-    labelled = language_id.label_spans(docs.select(*COLUMNS), model, *map(F.col, COLUMNS))
+    labelled = language_id.label_spans(docs, model, list(COLUMNS))
     return labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), id_hash_mod("doc_id", 4) != 2)
-    scored = toxicity.score(docs.select(*COLUMNS), model, *map(F.col, COLUMNS))
+    scored = toxicity.score(docs, model, list(COLUMNS))
     return scored.filter(F.col("score") < TOXIC).select(*COLUMNS)
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 ONE_BUCKET, BUCKETS = 64 << 20, 256
 
 
-def edges(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """Values of a column that part it evenly; none for a small input."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_BUCKET:
+def edges(df: DataFrame, column: str, buckets: int = BUCKETS, always: bool = False) -> list[float]:
+    """Values of a column that part it evenly; none for a small input, unless they are wanted always."""
+    if not always and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_BUCKET:
         return []
     return sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
 

@@ -142,24 +142,6 @@ DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://
 MASS = R("m_support", "m_refute", "m_theta")
 
 
-def _bootstrap() -> str:
-    import random
-
-    rng, rows = random.Random(42), []
-    for k in range(500):
-        drawn: dict[int, int] = {}
-        for _ in range(400):
-            i = rng.randrange(400)
-            drawn[i] = drawn.get(i, 0) + 1
-        rows += [f"({k},{i},{n})" for i, n in drawn.items()]
-    return RES + AVERAGE.removeprefix(SQL) + decided() + f""", draws(resample, idx, times) AS (VALUES {",".join(rows)}),
-        paired AS (SELECT l.claim_id AS idx, (l.predicted = l.gold_state)::INT - (b.state = b.gold_state)::INT AS diff FROM lab l JOIN base b USING (claim_id) WHERE l.claim_id < 400),
-        ds AS (SELECT sum(times * diff) / sum(times) AS d FROM draws JOIN paired USING (idx) GROUP BY resample),
-        ranked AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k, count(*) OVER () AS n FROM ds)
-        SELECT round(max(d) FILTER (k = floor(n * 0.025)), 6) AS low, round(max(d) FILTER (k = least(floor(n * 0.975), n - 1)), 6) AS high,
-               round(least(1, 2 * least(count(*) FILTER (d <= 0), count(*) FILTER (d >= 0)) / count(*)), 6) AS p_value, count(*) AS n_resamples FROM ranked"""
-
-
 # masses folded one after another, as the rule is defined; by their sum, as errors of 1 - K would grow with each step
 _KEPT = "(a.s + a.f + a.t - a.s * b.f - a.f * b.s)"
 FOLD_SQL = SQL + f""", m AS (
@@ -315,7 +297,6 @@ ORACLE_SQL = {
             round(coalesce(f.k_doc, 0), 9) AS k_doc FROM claims c JOIN folds USING (claim_id) CROSS JOIN range(5) o(x) LEFT JOIN fu f ON f.claim_id = c.claim_id AND f.outer_fold = o.x),
         ei AS (SELECT * FROM er WHERE fold <> outer_fold)""" + searched("ei", "outer_fold", "_i") + f", fin AS (SELECT 'ds' AS method, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM er JOIN pick_i p ON er.outer_fold = p.outer_fold WHERE er.fold = er.outer_fold)" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f",
     "risk_coverage": RISK + f" SELECT method, {R('coverage', 'risk')} FROM rc", "aurc": RISK + " SELECT method, round(avg(risk), 6) AS aurc FROM rc GROUP BY 1",
-    "paired_bootstrap": _bootstrap(),
     "label_calibration": SQL + f""", j AS (SELECT claim_id, doc_id, {VOTE} AS label, doc_reliability AS weight FROM evidence WHERE evaluator = 'e2')
         SELECT label, {", ".join(f"round(sum(weight * p_{k}) / sum(weight), 6) AS p_{k}" for k in ("support", "refute", "unknown"))}, round(sum(weight), 6) AS weight FROM j JOIN evidence e USING (claim_id, doc_id) WHERE e.evaluator = 'e1' GROUP BY label""",
     "relation_comparison": SQL + f""", g AS (SELECT claim_id, doc_id, CASE WHEN ({" + ".join(f"({_TOP} - p_{k} <= 1e-9)::INT" for k in ("support", "refute", "unknown"))}) > 1 THEN NULL {" ".join(f"WHEN {_TOP} - p_{k} <= 1e-9 THEN '{k}'" for k in ("support", "refute", "unknown"))} END AS top FROM evidence WHERE evaluator = 'e1'),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
-from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, tuning
+from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, resampling, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 from evidra.plans.oracle import ORACLE_SQL
@@ -303,7 +303,39 @@ def paired_bootstrap(spark, d):
     """Fusion against the weighted average on all claims."""
     ds = _labelled(spark, d).select("claim_id", "gold_state", F.col("predicted").alias("predicted_a"))
     wa = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE).select("claim_id", F.col("state").alias("predicted_b"))
-    return rounded(experiments.paired_bootstrap(ds.join(wa, "claim_id")))
+    return rounded(resampling.paired_bootstrap(ds.join(wa, "claim_id")))
+
+
+def bootstrap_interval(spark, d):
+    return rounded(resampling.bootstrap_interval(_labelled(spark, d)))
+
+
+def _conflict_scores(spark, d) -> DataFrame:
+    """Fusion's conflict and the proxies of it, by claim."""
+    s = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d)).join(_results(spark, d).select("claim_id", "k_doc"), "claim_id")
+    names = {"k_doc": "k_doc", "sr_std": "conflict_sr_std", "max_product": "conflict_max_product", "min_max": "min_max"}
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), F.round(c, 9).alias("score")) for n, c in names.items()))
+    each = s.select(F.xxhash64("claim_id").alias("id"), (F.col("gold_state") == "conflicting").cast("int").alias("positive"), F.explode(cells).alias("x"))
+    return kept(each.select("x.name", "id", "x.score", "positive"), "conflict-scores")
+
+
+def paired_auroc_bootstrap(spark, d):
+    """Fusion's conflict against each proxy, on all claims."""
+    return rounded(resampling.paired_auroc_bootstrap(_conflict_scores(spark, d), "k_doc", metrics.detection_report, 1000))
+
+
+def paired_selective_bootstrap(spark, d):
+    """How well confidence ranks errors: fusion against the weighted average, on all claims."""
+    long = _long(spark, d).filter("method IN ('ds', 'weighted_average')")
+    rows = long.select(F.col("method").alias("name"), F.xxhash64("claim_id").alias("id"), F.round(1 - F.col("confidence"), 9).alias("risk_score"), F.col("claim_id").alias("order_key"), (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct"))
+    return rounded(resampling.paired_selective_bootstrap(kept(rows, "risks"), "ds", metrics.detection_report, metrics.aurc, 1000))
+
+
+def compare_runs(spark, d):
+    """The baselines with this evidence against those with all documents at full reliability."""
+    run = lambda e: baselines.run_baselines(_claims(spark, d), e, BASE, "e1").withColumnRenamed("state", "predicted")
+    full = run(_evidence(spark, d).withColumn("doc_reliability", F.lit(1.0)))
+    return rounded(resampling.compare_runs(kept(run(_evidence(spark, d)), "run"), kept(full, "run"), 1000))
 
 
 def label_calibration(spark, d):
@@ -395,7 +427,7 @@ QUERIES = {
         *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
         confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, conflict_aware_search, stat_gate_search,
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
-        estimated_reliability_folds, estimated_reliability_cv, risk_coverage, aurc, paired_bootstrap, label_calibration, relation_comparison, vote_distribution,
+        estimated_reliability_folds, estimated_reliability_cv, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
         entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, url_domain, credibility_join, reliability_estimate,
     )
 }

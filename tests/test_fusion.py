@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds
-from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, tuning
+from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, resampling, running, tuning
 from evidra.sources import readers, writers
 
 COLUMNS = "sample_id string, claim_id string, doc_id string, pos int, evaluator string, evaluator_reliability double, doc_reliability double, p_support double, p_refute double, p_unknown double"
@@ -120,13 +120,6 @@ def test_integrity(spark):
     assert kinds == {"bad_probabilities", "unknown_claim", "unknown_document", "missing_relation", "no_evaluator"}
 
 
-def test_bootstrap_of_equals_is_null(spark):
-    p = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "idx int, correct_a int, correct_b int")
-    r = experiments.bootstrap_accuracy(p, experiments.resample_table(spark, 20, 50, 1)).first()
-    assert (r.low, r.high, r.p_value) == (0.0, 0.0, 1.0)
-    assert experiments.poisson_bootstrap(p, 5).count() == 5
-
-
 def test_paired_bootstrap_takes_all_claims(spark):
     import numpy as np
 
@@ -153,7 +146,7 @@ def test_paired_bootstrap_takes_all_claims(spark):
 
 def test_paired_bootstrap_of_equals_is_null(spark):
     p = spark.createDataFrame([("supported", "refuted", "refuted"), ("refuted", "refuted", "refuted")], "gold_state string, predicted_a string, predicted_b string")
-    assert {(r.metric, r.difference, r.low, r.high, r.p_value) for r in experiments.paired_bootstrap(p, 50).collect()} == {("accuracy", 0.0, 0.0, 0.0, 1.0), ("macro_f1", 0.0, 0.0, 0.0, 1.0)}
+    assert {(r.metric, r.difference, r.low, r.high, r.p_value) for r in resampling.paired_bootstrap(p, 50).collect()} == {("accuracy", 0.0, 0.0, 0.0, 1.0), ("macro_f1", 0.0, 0.0, 0.0, 1.0)}
 
 
 def test_documents_are_dealt_to_all_benchmark_items(spark, tmp_path):
@@ -218,3 +211,71 @@ def test_entry_works(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1500
+
+
+def plain_auroc(score, positive, w):
+    up, down = [(s, x) for s, p, x in zip(score, positive, w, strict=True) if p], [(s, x) for s, p, x in zip(score, positive, w, strict=True) if not p]
+    total = sum(x for _, x in up) * sum(x for _, x in down)
+    return sum(x * y * ((a > b) + (a == b) / 2) for a, x in up for b, y in down) / total if total else None
+
+
+def test_resampled_auroc_and_risk_are_those_of_repeated_rows(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resampling, "PARTS", 5)
+    monkeypatch.setattr(resampling, "ROWS", 7)
+    rng = np.random.default_rng(4)
+    n = 60
+    data = [(name, i * 7919, float(np.round(rng.random(), 1)) if i > 25 else 0.5, int(i % 3 == 0), i) for name in ("a", "b") for i in range(n)]
+    df = spark.createDataFrame(data, "name string, id long, score double, positive int, order_key long")
+    w = resampling.weights(np.array([i * 7919 for i in range(n)]), 12, 3)
+    assert 0.8 < w.mean() < 1.2 and resampling.weights(np.arange(5000), 20, 1).var() == pytest.approx(1, abs=0.05)
+    found = {(r.name, r.resample): r.auroc for r in resampling.auroc_resamples(df, 12, 3).collect()}
+    risk = {(r.name, r.resample): r.aurc for r in resampling.aurc_resamples(df.withColumnsRenamed({"score": "risk_score", "positive": "correct"}), 12, 3).collect()}
+    for name in ("a", "b"):
+        score, positive = zip(*((d[2], d[3]) for d in data if d[0] == name), strict=True)
+        for k in range(12):
+            assert found[name, k] == pytest.approx(plain_auroc(score, positive, w[:, k]))
+            order = sorted(range(n), key=lambda i: (score[i], i))
+            drawn = np.array([positive[i] for i in order for _ in range(int(w[i, k]))])
+            want = np.mean([1 - drawn[: (m := max(1, int(np.rint(len(drawn) * c))))].sum() / m for c in metrics.coverages()])
+            assert risk[name, k] == pytest.approx(want), (name, k)
+
+
+def test_bootstraps_compare(spark):
+    n = 400
+    rows = [(m, i, (i % 10) / 10 if m == "good" else ((i * 37) % 11) / 11, int(i % 10 > 5), i) for m in ("good", "poor") for i in range(n)]
+    df = spark.createDataFrame(rows, "name string, id long, score double, positive int, order_key long").withColumn("id", F.xxhash64("id"))
+    r = resampling.paired_auroc_bootstrap(df, "good", metrics.detection_report, 200).first()
+    assert r.auroc_reference == 1.0 and r.low > 0.3 and r.p_value < 0.05 and r.n_resamples == 200
+    risky = df.select("name", "id", (1 - F.col("score")).alias("risk_score"), "order_key", F.col("positive").alias("correct"))
+    by = {x.metric: x for x in resampling.paired_selective_bootstrap(risky, "good", metrics.detection_report, metrics.aurc, 100).collect()}
+    assert by["auroc"].low > 0 and by["aurc"].high < 0
+    p = spark.createDataFrame([("supported", "supported")] * 30 + [("refuted", "supported")] * 10, "gold_state string, predicted string")
+    found = {x.metric: x for x in resampling.bootstrap_interval(p, 500).collect()}
+    assert found["accuracy"].observed == 0.75 and found["accuracy"].low < 0.75 < found["accuracy"].high
+    run = p.selectExpr("'m' method", "cast(monotonically_increasing_id() as string) sample_id", "'c' claim_id", "gold_state", "predicted")
+    rows = run.collect()
+    run = spark.createDataFrame(rows, run.schema)
+    assert {x.difference for x in resampling.compare_runs(run, run, 20).collect()} == {0.0}
+    with pytest.raises(ValueError):
+        resampling.compare_runs(run, run.limit(5), 20)
+
+
+def test_running_sums_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(running, "ONE_BUCKET", -1)
+    monkeypatch.setattr(running, "BUCKETS", 8)
+    data = [(i % 2, float(i * i % 13) if i % 3 else 4.0, i) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, v double, i long")
+    place = running.bucket(F.col("v"), running.edges(df, "v"), F.col("i"), running.edges(df, "i"))
+    for down in (False, True):
+        order = [F.desc("v"), F.desc("i")] if down else [F.col("v"), F.col("i")]
+        got = {r.i: (r.n, r.s) for r in running.running(df, ["k"], place, order, {"n": F.lit(1), "s": F.col("i")}, down).collect()}
+        for k in (0, 1):
+            total = 0
+            for n, (_, _, i) in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: d[1:], reverse=down), 1):
+                total += i
+                assert got[i] == (n, total)
+    d = spark.createDataFrame([("a", float(i % 7), int(i % 3 == 0)) for i in range(90)], "name string, score double, positive int")
+    r = metrics.detection_report(d, ["name"]).first()
+    assert r.auroc == pytest.approx(plain_auroc([i % 7 for i in range(90)], [i % 3 == 0 for i in range(90)], [1] * 90))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def normalised_text(text: Column) -> Column:
-    """White space collapsed, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    """White space collapsed, trimmed, case folded: letters that differ in case only, or in a longer form as ß and ss, are
+    one."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # upper case has the longer forms; translate() keeps Spark from dropping it before lower()
+    return F.translate(F.lower(F.translate(F.upper(flat), "\0", "")), "ς", "σ")
 
 
 def dedup_first(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -31,19 +34,31 @@ def windows(df: DataFrame, key: str, text: str, size: int = 120, stride: int = 6
     return rows.select(key, *cut, F.posexplode(each).alias("passage", "x")).select(key, "passage", "x.start", "x.text", *cut)
 
 
+#: A term is a run of two letters, digits or underscores at least, in any script.
+TERM = r"([\p{L}\p{N}_]{2,})"
+
+
 def terms(text: Column) -> Column:
-    """Lower-case words of two letters or digits at least."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]{2,})"), 1)
+    """Lower-case terms."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 1)
 
 
-# Words that say nothing about a passage.
-STOP_WORDS = ["an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+# English words that say nothing about a passage (Spark's own list, without those that have an apostrophe).
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+has had having do does did doing a an the and but if or because as until while of at by for with about against between
+into through during before after above below to from up down in out on off over under again further then once here there
+when where why how all any both each few more most other some such no nor not only own same so than too very s t can will
+just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn
+wasn weren won wouldn
+""".split()
 
 
-def best_passage(queries: DataFrame, passages: DataFrame) -> DataFrame:
+def best_passage(queries: DataFrame, passages: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """Of each query (query_id, text) and document (doc_id, passage, text; query_id) the passage of the highest TF-IDF
     cosine; ties and zeros go to the first. The vocabulary is that of the query's own passages and the query."""
-    flat = lambda df, *keys: df.select(*keys, F.explode(terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS)).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    flat = lambda df, *keys: df.select(*keys, F.explode(terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(stop_words)).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     text = flat(passages, "query_id", "doc_id", "passage")
     asked = flat(queries, "query_id")
     both = text.select("query_id", "term").unionAll(asked.select("query_id", "term"))
@@ -73,13 +88,13 @@ def domain(url: Column) -> Column:
 
 def credibility(pages: DataFrame, media: DataFrame, values: dict[str, float], unrated: float) -> DataFrame:
     """pages (domain) with credibility and reliability: looked up by the host, then by its last two labels. media: a small
-    table (domain, credibility)."""
-    rated = F.broadcast(media)
+    table (domain, credibility); Spark sees its size and decides how to join. A credibility without a value is an error."""
+    rated = media
     own = rated.select("domain", F.col("credibility").alias("_own"))
     base = rated.select(F.col("domain").alias("_base"), F.col("credibility").alias("_wide"))
     df = pages.join(own, "domain", "left").join(base, F.substring_index("domain", ".", -2) == F.col("_base"), "left").withColumn("credibility", F.coalesce("_own", "_wide"))
     known = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-    return df.withColumn("reliability", F.when(F.col("credibility").isNull(), unrated).otherwise(known[F.col("credibility")])).drop("_own", "_base", "_wide")
+    return df.withColumn("reliability", F.when(F.col("credibility").isNull(), unrated).otherwise(F.coalesce(F.try_element_at(known, F.col("credibility")), F.raise_error(F.concat(F.lit("no value for "), "credibility")).cast("double")))).drop("_own", "_base", "_wide")
 
 
 def vote_distribution(votes: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +112,7 @@ def entropy_reliability(p: list[Column]) -> Column:
 
 def calibrate_labels(judged: DataFrame) -> DataFrame:
     """Of each label the weighted mean of the oracle's probabilities. judged: (label, weight, p_support, p_refute,
-    p_unknown)."""
+    p_unknown). See with_unseen() for labels that don't occur."""
     return judged.groupBy("label").agg(*((F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in ("p_support", "p_refute", "p_unknown")), F.sum("weight").alias("weight"))
 
 
@@ -105,7 +120,8 @@ def checking_labels(results: DataFrame) -> DataFrame:
     """Label counts of each (sample, claim, document) from nested checking results (query_id, doc_ids, labels[claim][doc])."""
     claims = results.select("query_id", "doc_ids", F.posexplode("labels").alias("claim", "row"))
     cells = claims.select("query_id", "claim", F.posexplode("row").alias("doc", "label"), "doc_ids")
-    label = F.lower(F.trim("label"))
+    given = F.lower(F.trim("label"))
+    label = F.when(given.isin("entailment", "neutral", "contradiction"), given).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.coalesce("label", F.lit("null")))).cast("string"))
     count = lambda v: F.count(F.when(F.col("label") == v, 1))
     cells = cells.select("query_id", "claim", F.get("doc_ids", "doc").alias("doc_id"), label.alias("label"))
     return cells.groupBy("query_id", "claim", "doc_id").agg(*(count(v).alias(f"n_{v}") for v in ("entailment", "neutral", "contradiction")))
@@ -119,3 +135,12 @@ def checking_probabilities(results: DataFrame, tolerance: float = 1e-3) -> DataF
     ok = F.when((F.size("p") == 3) & (F.abs(total - 1) <= tolerance), F.col("p")).otherwise(F.raise_error(F.lit("probabilities don't sum to 1")))
     by = cells.select("query_id", F.get("doc_ids", "doc").alias("doc_id"), ok.alias("p")).groupBy("query_id", "doc_id").agg(*(F.avg(F.get("p", F.lit(i))).alias(n) for i, n in ((0, "e"), (2, "c"), (1, "n"))))
     return by.select("query_id", "doc_id", *((F.col(k) / (F.col("e") + F.col("c") + F.col("n"))).alias(n) for k, n in (("e", "p_support"), ("c", "p_refute"), ("n", "p_unknown"))))
+
+
+def with_unseen(calibrated: DataFrame, default: dict[str, tuple[float, float, float]], allow: bool = False) -> DataFrame:
+    """calibrate_labels() with the labels that it has not seen, at their default and with used_default; unless they are
+    allowed, such a label is an error."""
+    table = calibrated.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in default.items()], "label string, _s double, _r double, _u double")
+    df = table.join(calibrated, "label", "left").withColumn("used_default", F.col("weight").isNull() | (F.col("weight") == 0))
+    value = lambda c, d: F.when(~F.col("used_default"), F.col(c)).otherwise(F.col(d) if allow else F.raise_error(F.concat(F.lit("label never seen: "), "label")).cast("double")).alias(c)
+    return df.select("label", value("p_support", "_s"), value("p_refute", "_r"), value("p_unknown", "_u"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "used_default")

@@ -7,6 +7,7 @@ look-up is an error, never a default.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -25,14 +26,26 @@ def evaluate(todo: DataFrame, model: Callable, evaluator: str, reliability: floa
     return out.withColumns({"evaluator": F.lit(evaluator), "evaluator_reliability": F.lit(reliability)})
 
 
-def pending(todo: DataFrame, done: DataFrame) -> DataFrame:
-    """The pairs that a former run has no result for."""
+def pending(todo: DataFrame, done: DataFrame, model: str | None = None, prompt_digest: str | None = None) -> DataFrame:
+    """The pairs that a former run has no result for. Results of another model or prompt (columns model, prompt_digest) are
+    an error."""
+    for column, wanted in (("model", model), ("prompt_digest", prompt_digest)):
+        if wanted is not None and done.filter(~F.col(column).eqNullSafe(F.lit(wanted))).limit(1).count():
+            raise ValueError(f"the results so far are of another {column}")
     return todo.join(done.select("sample_id", "claim_id", "doc_id"), ["sample_id", "claim_id", "doc_id"], "left_anti")
 
 
+def prompt_digest(*parts: str) -> str:
+    """The SHA-256 of a prompt's parts."""
+    return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
 def looked_up(todo: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relations from a table; a pair that the table lacks is an error as its row is read."""
+    """Relations from a table; a pair that the table lacks is an error as its row is read, and one that it has twice at
+    once."""
     key = ["sample_id", "claim_id", "doc_id"]
+    if relations.groupBy(*key).count().filter("count > 1").limit(1).count():
+        raise ValueError("a pair comes twice")
     df = todo.select(*key).join(relations, key, "left")
     missing = F.raise_error(F.concat(F.lit("no relation for "), F.concat_ws("/", *key)))
     return df.withColumn("p_support", F.when(F.col("p_support").isNull(), missing).otherwise(F.col("p_support")))

@@ -36,6 +36,25 @@ def violations(claims: DataFrame, contexts: DataFrame, relations: DataFrame) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def grid_violations(relations: DataFrame, samples: DataFrame, evaluator: str) -> DataFrame:
+    """(kind, sample_id, detail) of relations that aren't one evaluator's complete grid over nested samples: missing, extra and
+    repeated pairs, and other evaluators."""
+    key = ["sample_id", "claim_id", "doc_id"]
+    grid = samples.select("sample_id", F.explode("claims.claim_id").alias("claim_id"), "contexts").select("sample_id", "claim_id", F.explode("contexts.doc_id").alias("doc_id"))
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "sample_id", F.concat_ws("/", *key[1:]).alias("detail"))
+    parts = [
+        named(grid.join(relations, key, "left_anti"), "missing"), named(relations.join(grid, key, "left_anti"), "extra"),
+        named(relations.groupBy(*key).count().filter("count > 1"), "repeated"), named(relations.filter(~F.col("evaluator").eqNullSafe(F.lit(evaluator))), "other_evaluator"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def empty_samples(samples: DataFrame) -> DataFrame:
+    """(sample_id) of nested samples without a claim, or with a claim or document id that comes twice."""
+    twice = lambda ids: F.size(F.array_distinct(ids)) < F.size(ids)
+    return samples.filter((F.size("claims") <= 0) | twice(F.col("claims.claim_id")) | twice(F.col("contexts.doc_id"))).select("sample_id")
+
+
 def first_documents(contexts: DataFrame, count: int) -> DataFrame:
     """The first count documents (by pos) of the samples that have as many."""
     from pyspark.sql import Window
@@ -43,3 +62,9 @@ def first_documents(contexts: DataFrame, count: int) -> DataFrame:
     by = Window.partitionBy("sample_id")
     ranked = contexts.withColumns({"_n": F.row_number().over(by.orderBy("pos")), "_all": F.count("*").over(by)})
     return ranked.filter((F.col("_all") >= count) & (F.col("_n") <= count)).drop("_n", "_all")
+
+
+def restricted(contexts: DataFrame, relations: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """first_documents() and the relations to them."""
+    kept = first_documents(contexts, count)
+    return kept, relations.join(kept.select("sample_id", "doc_id"), ["sample_id", "doc_id"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidra.operators.datasets import STOP_WORDS
 from evidra.plans.views import SQL
 
 R = lambda *cols: ", ".join(f"round({c.rpartition(' AS ')[0] or c}, 6) AS {c.rpartition(' AS ')[2]}" for c in cols)
@@ -134,10 +135,10 @@ def _sweep(level: float) -> str:
 WORDS = r"[x FOR x IN string_split_regex(text, '\s+') IF x <> '']"
 WINDOWS = f"""win AS (
     SELECT doc_id, unnest(range((greatest(0, ceil((len(w) - 120) / 60)) + 1)::BIGINT)) AS passage, passage * 60 AS start, array_to_string(w[passage * 60 + 1 : passage * 60 + 120], ' ') AS text
-    FROM (SELECT doc_id, ({WORDS})[1:30000] AS w FROM documents) WHERE len(w) > 0
+    FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0
 )"""
-_STOP = "'an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'"
-_TERMS = "regexp_extract_all(lower(text), '[a-z0-9]{2,}')"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
 MASS = R("m_support", "m_refute", "m_theta")
 
@@ -304,9 +305,9 @@ ORACLE_SQL = {
         rows AS ({" UNION ALL ".join(f"SELECT '{k}' AS relation, round(p_{k}, 9) AS score, (top = '{k}')::INT AS positive FROM both_sides" for k in ("support", "refute", "unknown"))})""" + detection("rows", "relation") + " SELECT relation, round(auroc, 6) AS auroc, positives, n FROM det",
     "vote_distribution": "SELECT l_orderkey AS claim_id, " + ", ".join(f"round(count(*) FILTER ({c}) / count(*), 6) AS {n}" for n, c in (("p_support", "l_returnflag = 'A'"), ("p_refute", "l_returnflag = 'R'"), ("p_unknown", "l_returnflag NOT IN ('A', 'R')"))) + ", count(*) AS n_votes FROM lineitem GROUP BY 1",
     "entropy_reliability": SQL + " SELECT claim_id, doc_id, evaluator, round(greatest(0, least(1, 1 - (" + " + ".join(f"CASE WHEN p_{k} > 0 THEN -p_{k} * ln(p_{k}) ELSE 0 END" for k in ("support", "refute", "unknown")) + ") / ln(3))), 6) AS reliability FROM evidence",
-    "claim_dedup": r"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))",
+    "claim_dedup": r"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'))",
     "passage_windows": f"WITH {WINDOWS} SELECT doc_id, passage, start, md5(text) AS text_md5 FROM win",
-    "passage_tfidf_top1": f"""WITH {WINDOWS}, q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 40), p AS (SELECT w.*, doc_id % 40 AS query_id FROM win w WHERE doc_id % 40 IN (SELECT query_id FROM q)),
+    "passage_tfidf_top1": f"""WITH {WINDOWS}, q AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, text FROM benchmark), p AS (SELECT w.*, doc_id % (SELECT count(*) FROM q) AS query_id FROM win w),
         pt AS (SELECT query_id, doc_id, passage, term, 1 + ln(count(*)) AS tf FROM (SELECT query_id, doc_id, passage, unnest({_TERMS}) AS term FROM p) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
         qt AS (SELECT query_id, term, 1 + ln(count(*)) AS tf FROM (SELECT query_id, unnest({_TERMS}) AS term FROM q) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
         n AS (SELECT query_id, count(*) + 1 AS n FROM p GROUP BY 1),
@@ -314,6 +315,16 @@ ORACLE_SQL = {
         sc AS (SELECT pt.query_id, doc_id, passage, coalesce(sum(pt.tf * idf * qt.tf * idf), 0) / sqrt(sum((pt.tf * idf) ** 2)) AS score FROM pt JOIN idf USING (query_id, term) LEFT JOIN qt USING (query_id, term) GROUP BY ALL)
         SELECT doc_id, passage, round(score, 6) AS score FROM (SELECT p.doc_id, p.passage, coalesce(score, 0) AS score FROM p LEFT JOIN sc USING (query_id, doc_id, passage))
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, passage) = 1""",
+    "balanced_split": r"""WITH first AS (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')),
+        r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents JOIN first USING (doc_id))
+        SELECT doc_id, lang, CASE WHEN k <= 4 THEN 'train' WHEN k <= 6 THEN 'validation' ELSE 'test' END AS split FROM r WHERE k <= 9""",
+    "vote_relations": """WITH v AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 1 / 3 ELSE (l_linestatus = 'F')::INT END AS s, CASE l_returnflag WHEN 'R' THEN 2 / 3 ELSE 0 END AS r, CASE WHEN l_returnflag IN ('A', 'R') THEN 0 ELSE (l_linestatus <> 'F')::INT END AS u FROM lineitem)
+        SELECT 'climate-fever-' || CASE WHEN l_orderkey < 10000 THEN lpad(l_orderkey::VARCHAR, 4, '0') ELSE l_orderkey::VARCHAR END AS sample_id, count(*) AS n, round(sum(s), 6) AS p_support, round(sum(r), 6) AS p_refute, round(sum(u)::DOUBLE, 6) AS p_unknown FROM v GROUP BY l_orderkey""",
+    "relations_from_labels": SQL + f""", lv AS (SELECT claim_id AS query_id, doc_id::VARCHAR AS doc_id, {VOTE} AS v FROM evidence),
+        m(v, s, r, u) AS (VALUES ('supported', 0.85::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE), ('refuted', 0.05, 0.85, 0.1), ('unknown', 0.1, 0.1, 0.8))
+        SELECT query_id, doc_id, 'checker' AS evaluator, round(avg(s), 6) AS p_support, round(avg(r), 6) AS p_refute, round(avg(u), 6) AS p_unknown FROM lv JOIN m USING (v) GROUP BY 1, 2""",
+    "label_contingency": SQL + f""", a AS (SELECT claim_id, doc_id, {VOTE} AS label FROM evidence WHERE evaluator = 'e2'), b AS (SELECT claim_id, doc_id, CASE WHEN {TIES} > 1 THEN 'tie' WHEN p_support = {_TOP} THEN 'support' WHEN p_refute = {_TOP} THEN 'refute' ELSE 'unknown' END AS oracle FROM evidence WHERE evaluator = 'e1')
+        SELECT label, oracle, count(*) AS n FROM a JOIN b USING (claim_id, doc_id) GROUP BY ALL""",
     "url_domain": f"SELECT page_id, {DOMAIN} AS domain FROM pages",
     "credibility_join": f"""WITH media(d, c) AS (VALUES ('example.com', 'high'), ('site1.example', 'medium'), ('site2.example', 'low'), ('example.org', 'medium')), p AS (SELECT {DOMAIN} AS domain FROM pages),
         j AS (SELECT coalesce(a.c, b.c) AS credibility FROM p LEFT JOIN media a ON a.d = p.domain LEFT JOIN media b ON b.d = array_to_string(string_split(p.domain, '.')[-2:], '.'))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
-from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, resampling, tuning
+from evidra.operators import baselines, builders, datasets, experiments, fusion, integrity, metrics, resampling, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 from evidra.plans.oracle import ORACLE_SQL
@@ -398,6 +398,57 @@ def passage_tfidf_top1(spark, d):
     return rounded(datasets.best_passage(asked.select("query_id", "text"), docs.join(asked.select("query_id"), "query_id", "left_semi")).select("doc_id", F.col("passage").cast("long").alias("passage"), "score"))
 
 
+def balanced_split(spark, d):
+    """Documents by language: as many of each for training, validation and test."""
+    docs = views.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text", "lang")
+    return builders.balanced_split(docs, "text", "lang", F.col("doc_id"), {"train": 4, "validation": 2, "test": 3}).select("doc_id", "lang", "split")
+
+
+def _voted(spark, d) -> DataFrame:
+    """Orders as annotated claims: a line item is an evidence whose flag, if it is A or R, is its only vote."""
+    flag = F.col("l_returnflag")
+    label = F.when(F.col("l_linestatus") == "F", "SUPPORTS").otherwise("NOT_ENOUGH_INFO")
+    votes = F.when(flag == "A", F.array(F.lit("SUPPORTS"), F.lit(None))).when(flag == "R", F.array(F.lit("REFUTES"), F.lit("SUPPORTS"), F.lit("REFUTES"))).otherwise(F.array(F.lit(None).cast("string")))
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", label.alias("evidence_label"), votes.alias("votes"))
+    lines = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.array_sort(F.collect_list(one)).alias("evidences"))
+    return lines.withColumns({"claim": F.concat(F.lit("claim "), "claim_id"), "claim_label": F.lit("DISPUTED")})
+
+
+def vote_relations(spark, d):
+    """Relations of votes; a line without one takes the evidence's label."""
+    r = builders.vote_relations(_voted(spark, d))
+    return rounded(r.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("p_support").alias("p_support"), F.sum("p_refute").alias("p_refute"), F.sum("p_unknown").alias("p_unknown")))
+
+
+def _checked(spark, d) -> DataFrame:
+    """Votes of both evaluators as labels of two sub-claims of each pair, nested as a checking model returns them."""
+    from evidra.functions.gating import vote
+
+    v = vote(F.col("p_support"), F.col("p_refute"), F.col("p_unknown"))
+    label = F.when(v == "supported", " Entailment").when(v == "refuted", "contradiction").otherwise("Neutral ")
+    row = _evidence(spark, d).groupBy("claim_id", "evaluator").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id", label.alias("label")))).alias("x"))
+    row = row.select("claim_id", "evaluator", F.transform("x", lambda c: c["doc_id"].cast("string")).alias("doc_ids"), F.transform("x", lambda c: c["label"]).alias("labels"))
+    return row.groupBy(F.col("claim_id").alias("query_id")).agg(F.first("doc_ids").alias("doc_ids"), F.transform(F.array_sort(F.collect_list(F.struct("evaluator", "labels"))), lambda c: c["labels"]).alias("labels"))
+
+
+def relations_from_labels(spark, d):
+    """Labels of a checking model as relations."""
+    own = views.contexts(spark, d).select("sample_id", F.col("doc_id").cast("string").alias("doc_id"), "pos")
+    counts = datasets.checking_labels(builders.aligned(_checked(spark, d), own)).groupBy("query_id", "doc_id").agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in builders.CHECK_LABELS))
+    mapping = {"entailment": (0.85, 0.05, 0.1), "neutral": (0.1, 0.1, 0.8), "contradiction": (0.05, 0.85, 0.1)}
+    return rounded(builders.relations_from_counts(counts, mapping, "checker").drop("evaluator_reliability"))
+
+
+def label_contingency(spark, d):
+    """What the second evaluator's vote meets in the first one's largest probability."""
+    from evidra.functions.gating import vote
+
+    e = _evidence(spark, d)
+    v = vote(F.col("p_support"), F.col("p_refute"), F.col("p_unknown"))
+    judged = e.filter("evaluator = 'e2'").select("claim_id", "doc_id", v.alias("label")).join(e.filter("evaluator = 'e1'").select("claim_id", "doc_id", "p_support", "p_refute", "p_unknown"), ["claim_id", "doc_id"])
+    return builders.contingency(judged)
+
+
 def url_domain(spark, d):
     return views.table(spark, d, "pages").select("page_id", datasets.domain(F.col("url")).alias("domain"))
 
@@ -428,7 +479,7 @@ QUERIES = {
         confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, conflict_aware_search, stat_gate_search,
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
         estimated_reliability_folds, estimated_reliability_cv, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
-        entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, url_domain, credibility_join, reliability_estimate,
+        entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, balanced_split, vote_relations, relations_from_labels, label_contingency, url_domain, credibility_join, reliability_estimate,
     )
 }
 

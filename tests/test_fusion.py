@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds
-from evidra.operators import baselines, datasets, experiments, fusion, integrity, metrics, resampling, running, tuning
-from evidra.sources import readers, writers
+from evidra.operators import baselines, builders, datasets, experiments, fusion, integrity, metrics, resampling, running, tuning
+from evidra.sources import files, readers, writers
 
 COLUMNS = "sample_id string, claim_id string, doc_id string, pos int, evaluator string, evaluator_reliability double, doc_reliability double, p_support double, p_refute double, p_unknown double"
 
@@ -186,13 +186,120 @@ def test_readers_and_writers(spark, tmp_path):
     df = readers.read_relations(spark, str(tmp_path / "r.jsonl"))
     assert df.count() == 2 and df.first().evaluator_reliability == 1.0
     (tmp_path / "bad.jsonl").write_text(json.dumps(good | {"other": 1}) + "\n")
-    with pytest.raises(readers.BadRecordError):
-        readers.read_relations(spark, str(tmp_path / "bad.jsonl"))
+    with pytest.raises(Exception, match="not a valid record"):
+        readers.read_relations(spark, str(tmp_path / "bad.jsonl")).collect()
     writers.write_jsonl(df, str(tmp_path / "out"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         writers.write_jsonl(df, str(tmp_path / "out"))
-    writers.write_manifest(writers.artifact(str(tmp_path / "r.jsonl")), str(tmp_path / "m.json"))
-    writers.verify_artifact(str(tmp_path), readers.read_manifest(str(tmp_path / "m.json")))
+    at = str(tmp_path / "m.json")
+    files.write_manifest(spark, files.artifact(spark, str(tmp_path / "r.jsonl")), at)
+    assert files.artifact(spark, str(tmp_path / "r.jsonl"))["records"] == 2
+    files.verify_artifact(spark, str(tmp_path), files.read_mapping(spark, at))
+    with pytest.raises(FileExistsError):
+        files.write_manifest(spark, {}, at)
+    (tmp_path / "r.jsonl").write_text("changed\n")
+    with pytest.raises(ValueError, match="manifest"):
+        files.verify_artifact(spark, str(tmp_path), files.read_mapping(spark, at))
+    (tmp_path / "two.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"p_support": "x y"}) + "\nnot json\n")
+    found = readers.bad_lines(spark, str(tmp_path / "two.jsonl"), readers.RELATION, ["sample_id", "p_support"])
+    assert [line for _, line, _ in found] == [3, 4]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_relations(spark, str(tmp_path / "none.jsonl"))
+
+
+SAMPLES = [("s1", "q", "a", None, [("s1-c1", "first")], [("s1-d1", "text", None, 0.5), ("s1-d2", "more", None, None)], "supported")]
+
+
+def test_verified_datasets(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    samples = spark.createDataFrame(SAMPLES, readers.SAMPLE)
+    relations = spark.createDataFrame([("s1", "s1-c1", f"s1-d{i}", "nli", 0.5, 0.25, 0.25, 1.0) for i in (1, 2)], readers.RELATION)
+    writers.write_samples(samples, f"{at}/train_samples")
+    writers.write_relations(relations, f"{at}/train_nli")
+    own = files.artifact(spark, f"{at}/train_samples")
+    files.write_manifest(spark, files.dataset_manifest("d", {}, 42, {"train": 1}, {}, {"train": {"samples": own, "relation_predictions": None}}), f"{at}/manifest.json")
+    run = files.model_run(spark, "d", "train", "nli", "us", "model", own, f"{at}/train_nli", f"{at}/train_nli", {}, "continuous_probabilities")
+    files.write_manifest(spark, run, f"{at}/train_nli_run.json")
+    s, r = readers.read_verified(spark, f"{at}/manifest.json", at + "/{split}_{evaluator}", ["nli"], at + "/{split}_{evaluator}_run.json", ["train"])
+    assert r.count() == 2 and [c.reliability for c in s.first().contexts] == [0.5, 1.0]
+    assert integrity.grid_violations(r, s, "nli").count() == 0 and integrity.empty_samples(s).count() == 0
+    assert {x.kind for x in integrity.grid_violations(r.limit(1).unionByName(r.limit(1)).withColumn("doc_id", F.lit("s1-d9")), s, "other").collect()} == {"missing", "extra", "repeated", "other_evaluator"}
+    with pytest.raises(ValueError, match="calibration"):
+        files.model_run(spark, "d", "train", "nli", "us", "model", own, f"{at}/train_nli", f"{at}/train_nli", {}, "default", calibration="x")
+    files.verify_split(spark, f"{at}/manifest.json", f"{at}/train_samples", None, "train")
+    with pytest.raises(ValueError):
+        files.verify_split(spark, f"{at}/manifest.json", f"{at}/train_nli", None, "train")
+    (tmp_path / "c.yaml").write_text("paths:\n  samples: train_samples\n  relations: nowhere\n  output: out\ntheta: 0.5\n")
+    with pytest.raises(ValueError, match="relations"):
+        files.read_config(spark, f"{at}/c.yaml")
+    assert files.read_config(spark, f"{at}/c.yaml", ("samples",))["paths"]["output"] == f"{at}/out"
+    rows = writers.pipeline_rows(fusion.run_pipeline(readers.claims_of(s).select("sample_id", "claim_id", "gold_state"), fusion.join_evidence(r, readers.contexts_of(s)), Thresholds()), s)
+    writers.write_pipeline_csv(rows, f"{at}/flat")
+    flat = spark.read.option("header", True).csv(f"{at}/flat").first()
+    assert (flat.claim_text, flat.context_count, flat.evaluators, list(flat.asDict())) == ("first", "2", "nli", writers.PIPELINE_COLUMNS)
+    base = baselines.run_baselines(readers.claims_of(s).select("sample_id", "claim_id", "gold_state"), fusion.join_evidence(r, readers.contexts_of(s)), BaselineThresholds(), "nli")
+    writers.write_baseline_csv(base, f"{at}/base", "nli")
+    assert spark.read.option("header", True).csv(f"{at}/base").count() == 4
+    assert writers.checking_inputs(s).first().retrieved_context[1].text == "more"
+
+
+def test_builders(spark, tmp_path):
+    fever = {"claim_id": "7", "claim": " A claim ", "claim_label": "DISPUTED", "evidences": [{"evidence_id": "e", "evidence_label": "REFUTES", "article": "x", "evidence": " t ", "entropy": 0.5, "votes": [None, None]}, {"evidence_id": "f", "evidence_label": "SUPPORTS", "article": "y", "evidence": "u", "entropy": 0.1, "votes": ["SUPPORTS", None, "REFUTES"]}]}
+    (tmp_path / "f.jsonl").write_text(json.dumps(fever) + "\n")
+    source = readers.read_fever(spark, str(tmp_path / "f.jsonl"))
+    one = builders.fever_samples(source).first()
+    assert (one.sample_id, one.answer, one.gold_state, one.contexts[1].doc_id) == ("climate-fever-0007", "A claim", "conflicting", "climate-fever-0007-d2")
+    votes = {r.doc_id[-2:]: (r.p_support, r.p_refute, r.p_unknown) for r in builders.vote_relations(source).collect()}
+    assert votes == {"d1": (0.0, 1.0, 0.0), "d2": (0.5, 0.5, 0.0)}
+    assert builders.fever_provenance(source.withColumn("split", F.lit("test"))).first().contexts[0].article == "x"
+    with pytest.raises(Exception, match="unknown label"):
+        builders.fever_samples(source.withColumn("claim_label", F.lit("OTHER"))).collect()
+    qa = [{"claim": "c", "label": "Supported", "questions": [{"question": "Why?", "answers": [{"answer": "Yes", "answer_type": "Boolean", "boolean_explanation": "so", "source_url": "u", "source_medium": "m"}]}]}, {"claim": "  ", "label": "Refuted", "questions": []}, {"claim": "d", "label": "Refuted", "questions": []}]
+    (tmp_path / "qa.json").write_text(json.dumps(qa))
+    rows = readers.read_qa_source(spark, {"dev": str(tmp_path / "qa.json")})
+    found = {r.sample_id: r for r in builders.qa_samples(rows).collect()}
+    assert set(found) == {"averitec-dev-0000", "averitec-dev-0002"} and found["averitec-dev-0002"].contexts == []
+    assert found["averitec-dev-0000"].contexts[0].text == "Question: Why? Answer: Yes. so"
+    assert builders.qa_provenance(rows.withColumn("split", F.lit("x"))).count() == 3 and readers.read_qa_claims(spark, str(tmp_path / "qa.json")).count() == 2
+    claims_ = spark.createDataFrame([("w1", "green apples fall"), ("w2", "zebra")], "sample_id string, text string")
+    pages = spark.createDataFrame([("w1", 1, "nothing here " * 5 + "green apples fall down", "https://www.a.b.example/x"), ("w1", 2, "  ", "u"), ("w2", 3, "zebra zebra", None)], "sample_id string, evidence_id int, content string, url string")
+    media = spark.createDataFrame([("b.example", "high")], "domain string, credibility string")
+    web = {r.sample_id: r for r in builders.web_contexts(claims_, pages, media, {"high": 0.9}, 0.4, size=6, stride=3).collect()}
+    assert "green apples" in web["w1"].text and web["w1"].reliability == 0.9 and web["w2"].reliability == 0.4 and web["w2"].doc_id == "w2-d1"
+    with pytest.raises(Exception, match="no value"):
+        builders.web_contexts(claims_, pages, media, {"low": 0.1}, 0.4).collect()
+
+
+def test_balanced_split(spark):
+    df = spark.createDataFrame([(i, f"Text {i // 2}" if i % 2 else f"TEXT  {i // 2} ", "ab"[i // 2 % 2]) for i in range(80)], "id long, text string, label string")
+    got = builders.balanced_split(df, "text", "label", F.col("id"), {"train": 5, "validation": 3, "test": 4}).collect()
+    assert len({r.id // 2 for r in got}) == 24 and all(r.id % 2 == 0 for r in got)
+    import collections
+
+    assert collections.Counter((r.label, r.split) for r in got) == {(k, s): n for k in "ab" for s, n in (("train", 5), ("validation", 3), ("test", 4))}
+    with pytest.raises(ValueError):
+        builders.balanced_split(df, "text", "label", F.col("id"), {"train": 21})
+    folds = spark.createDataFrame([("Straße ΟΔΟΣ",), ("STRASSE  οδος",), ("strasse οδοσ",)], "t string").select(datasets.normalised_text(F.col("t")).alias("n")).distinct()
+    assert folds.count() == 1
+
+
+def test_checking_results_are_strict(spark):
+    df = spark.createDataFrame([("q", ["a", "b"], [["Entailment", "other"]])], "query_id string, doc_ids array<string>, labels array<array<string>>")
+    with pytest.raises(Exception, match="unknown label"):
+        datasets.checking_labels(df).collect()
+    own = spark.createDataFrame([("q", "b", 0), ("q", "a", 1)], "sample_id string, doc_id string, pos int")
+    with pytest.raises(Exception, match="documents differ"):
+        builders.aligned(df, own).collect()
+    counts = spark.createDataFrame([("q", "a", 1, 1, 0)], "query_id string, doc_id string, n_entailment long, n_neutral long, n_contradiction long")
+    r = builders.relations_from_counts(counts, {"entailment": (1, 0, 0), "neutral": (0, 0, 1), "contradiction": (0, 1, 0)}, "m").first()
+    assert (r.p_support, r.p_refute, r.p_unknown) == (0.5, 0.0, 0.5)
+    seen = datasets.calibrate_labels(spark.createDataFrame([("neutral", 1.0, 0.2, 0.2, 0.6)], "label string, weight double, p_support double, p_refute double, p_unknown double"))
+    default = {"neutral": (0, 0, 1), "entailment": (1, 0, 0)}
+    assert {x.label: x.used_default for x in datasets.with_unseen(seen, default, True).collect()} == {"neutral": False, "entailment": True}
+    with pytest.raises(Exception, match="never seen"):
+        datasets.with_unseen(seen, default).collect()
+    text = spark.createDataFrame([("plain",), ('{"claim": " c "}',)], "t string").select(builders.claim_text(F.col("t")).alias("t"))
+    assert [x.t for x in text.collect()] == ["plain", "c"]
 
 
 def test_streaming_equals_batch(spark, tmp_path):

@@ -1 +1,26 @@
 """Evidence-fusion analytics on Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends the package to the workers of a session, once: Python stages import it there, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    own = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="evidra-"), "evidra.zip")
+    with zipfile.ZipFile(path, "w") as file:
+        for folder, _, names in os.walk(own):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    file.write(at, os.path.relpath(at, os.path.dirname(own)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)

@@ -386,3 +386,25 @@ def test_running_sums_in_buckets(spark, monkeypatch):
     d = spark.createDataFrame([("a", float(i % 7), int(i % 3 == 0)) for i in range(90)], "name string, score double, positive int")
     r = metrics.detection_report(d, ["name"]).first()
     assert r.auroc == pytest.approx(plain_auroc([i % 7 for i in range(90)], [i % 3 == 0 for i in range(90)], [1] * 90))
+
+
+def test_workers_import_the_package_from_anywhere(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{shared}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import evidra, pandas as pd
+evidra.ship(spark)
+from evidra.operators import resampling
+df = spark.createDataFrame([("a", i, i / 9, i % 2) for i in range(9)], "name string, id long, score double, positive int")
+print("rows", resampling.auroc_resamples(df, 5, 1).count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code.format(repo=repo, shared=tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 5" in done.stdout, done.stderr[-2000:]

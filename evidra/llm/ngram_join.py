@@ -373,14 +373,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a bitmap bounds the difference of a pair: |a| + |b| - 2i tokens at most, with i the least overlap that links
     bitmaps = sets.filter("kind = 0").select("name", "bitmap")
     maps = bitmaps.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
+    # a table of its own: Spark can then split the joins on a set that is in very many pairs
+    maps = written(maps, "maps")
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     close = pairs.join(maps.select(F.col("name").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("name").alias("b"), F.col("bitmap").alias("mb")), "b")
     close = written(close.filter(_differ(F.col("ma"), F.col("mb")) <= F.col("na") + F.col("nb") - 2 * least).select("a", "b"), "close")
 
     # chains are split: their bitmaps meet in blocks, each pair of blocks reports a spanning forest of close pairs
     holders = documents.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"))
-    chains = components(chained, "name", "last", "chains").select(F.col("node").alias("name"), "root")
-    chains = written(_in_blocks(chains.join(holders, "name").select("root", "name", "n"), BITMAP_TOKENS), "chain-members")
+    roots = components(chained, "name", "last", "chains")
+    chains = written(_in_blocks(roots.select(F.col("node").alias("name"), "root").join(holders, "name").select("root", "name", "n"), BITMAP_TOKENS), "chain-members")
+    dropped(roots)
     placed = bitmaps.join(chains, "name").groupBy("root", "block", "name", "n").agg(F.first("bitmap").alias("bitmap"))
     placed = placed.join(_cells(chains, percent), ["root", "block"]).select("root", "i", "j", "name", "n", "bitmap")
     near = written(placed.groupBy("root", "i", "j").applyInPandas(_bitmap_block(percent), "a long, b long"), "near")
@@ -388,8 +391,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     released(spark)
 
     # what may link is gathered in neighbourhoods, and these are cut into blocks by size
-    hoods = components(close.unionByName(near), "a", "b", "hoods").select(F.col("node").alias("name"), "root")
-    members = written(_in_blocks(hoods.join(holders, "name"), BLOCK_TOKENS), "members")
+    roots = components(close.unionByName(near), "a", "b", "hoods")
+    members = written(_in_blocks(roots.select(F.col("node").alias("name"), "root").join(holders, "name"), BLOCK_TOKENS), "members")
+    dropped(roots)
     cells = _cells(members, percent)
 
     # each set goes once to every cell of its block; a cell reports a spanning forest of its links
@@ -400,7 +404,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = placed.join(cells, ["root", "block"]).select("root", "i", "j", "name", "tokens")
     links = written(placed.groupBy("root", "i", "j").applyInPandas(_block(percent), "a long, b long"), "links")
     del placed
-    dropped(pairs, close, chains, near, members, met)
+    dropped(pairs, maps, close, chains, near, members, met)
     released(spark)
 
     joined = components(links, "a", "b", "components")
@@ -410,6 +414,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = joined.join(several, "root").select(F.col("node").alias("name"), "least")
     named = first.join(several, "name", "left").select("name", F.coalesce("least", "first").alias("component_id"))
     named = written(named, "named")
+    dropped(links, joined)
     return documents.join(named, "name").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

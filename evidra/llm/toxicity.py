@@ -81,7 +81,7 @@ class ToxicityModel:
         return w
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5) -> ToxicityModel:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, epochs: int = 5) -> ToxicityModel:
     """FTRL-proximal over rows of distinct feature indices. The bias is a coordinate of its own without L1. The rarer class
     weighs more, by the root of the classes' ratio."""
     share = np.clip(labels.mean(), 0.001, 0.999)

@@ -118,7 +118,7 @@ def test_toxicity_is_that_of_a_plain_version():
     rows = [np.unique(ids[a:b]).astype(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
     assert [set(r.tolist()) for r in rows] == [plain_features(t) for t in texts]
     labels = [int("vile" in t) for t in texts]
-    model = toxicity.ftrl(rows, np.array(labels, float), l1=1.0, epochs=2)
+    model = toxicity.ftrl(rows, np.array(labels, float), alpha=1.0, l1=1.0, epochs=2)
     bias, weights = plain_ftrl([r.tolist() for r in rows], labels, 1.0, 1.0, 1.0, 1.0, 2)
     assert model.bias == pytest.approx(bias) and dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(weights, rel=1e-5)
 
@@ -230,3 +230,11 @@ def test_very_long_texts_and_empty_tables(spark):
     assert chat.read_back(chat.format_chat(talk.limit(0), ranks), ranks).count() == 0
     assert topk.sign_codes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert "doc_id" in DOCS
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

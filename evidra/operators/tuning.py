@@ -14,11 +14,6 @@ DECISIONS = [round(0.2 + 0.05 * i, 2) for i in range(15)]
 CONFLICTS = [0.001, 0.005, *(round(0.01 + 0.01 * i, 2) for i in range(4)), *(round(0.05 + 0.05 * i, 2) for i in range(9))]
 
 
-def _places(steps: int, n: Column) -> list[Column]:
-    spread = [i / (steps - 1) for i in range(steps)] if steps > 1 else [0.5]
-    return [F.bround(F.lit(q) * (n - 1)).cast("long") for q in spread]
-
-
 def observed_grid(values: DataFrame, column: str, steps: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, i, value): nearest-rank quantiles of what was observed, rounded to 6 places, each once."""
     return _observed(values, column, steps, keys or [], None, 0)
@@ -37,13 +32,17 @@ def _observed(values: DataFrame, column: str, steps: int, keys: list[str], fold:
     cum = running(by, keys, bucket(F.col("v"), edges(by, "v")), [F.col("v")], {f"upto_{n}": F.col(n) for n in names})
     total = by.groupBy(*keys).agg(*(F.sum(n).alias(f"all_{n}") for n in names))
     cum = cum.join(F.broadcast(total), keys) if keys else cum.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    spots = []
-    for f in range(folds) if folds else [None]:
-        of = lambda kind: F.col(f"{kind}n") - (F.col(f"{kind}n{f}") if folds else 0)  # noqa: B023, E731
-        for i, place in enumerate(_places(steps, of("all_"))):
-            hit = (place >= of("upto_") - of("")) & (place < of("upto_"))
-            spots.append(F.when(hit, F.struct(F.lit(f or 0).alias("outer"), F.lit(i).alias("i"))))
-    hits = cum.withColumn("_at", F.explode(F.array_compact(F.array(*spots)))).select(*keys, "_at.outer", "_at.i", F.bround("v", 6).alias("value"))
+    # ranks among the rows of each outer fold, or of all, and the places wanted
+    own = lambda kind: F.array(*((F.col(f"{kind}n") - F.col(f"{kind}n{f}") for f in range(folds)) if folds else [F.col(f"{kind}n")]))
+    cum = cum.select(*keys, "v", own("upto_").alias("upto"), own("").alias("own"), own("all_").alias("all"))
+    spread = [i / (steps - 1) for i in range(steps)] if steps > 1 else [0.5]
+    wanted = F.array(*(F.struct(F.lit(f).alias("outer"), F.lit(i).alias("i"), F.lit(q).alias("q")) for f in range(max(folds, 1)) for i, q in enumerate(spread)))
+
+    def hit(x: Column) -> Column:
+        upto, place = F.get("upto", x["outer"]), F.bround(x["q"] * (F.get("all", x["outer"]) - 1)).cast("long")
+        return (place < upto) & (place >= upto - F.get("own", x["outer"]))
+
+    hits = cum.select(*keys, F.explode(F.filter(wanted, hit)).alias("_at"), F.bround("v", 6).alias("value")).select(*keys, "_at.outer", "_at.i", "value")
     out = hits.groupBy(*keys, "outer", "value").agg(F.min("i").alias("i")).select(*keys, "outer", "i", "value")
     return out if folds else out.drop("outer")
 

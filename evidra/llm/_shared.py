@@ -122,6 +122,19 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def grouped(batches, rows: int, most_bytes: int):
+    """Batches put together to so many rows or bytes, for work that has a cost of its own for each call."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, size = n + len(batch), size + batch.nbytes
+        if n >= rows or size >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 #: Rows and bytes of text that a Python operator handles at once, whatever the size of Arrow's batches.
 STEP_ROWS, STEP_BYTES = 512, 1_000_000
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-from evidra.llm._shared import map_batches, strings
+from evidra.llm._shared import grouped, map_batches, strings
 
 #: Bytes of a word that is contracted as a whole, and of a chunk.
 LONG = 64
@@ -37,6 +37,8 @@ FIRST = "\0"
 #: Words whose ids a worker keeps, and the rows that a call of either query gets at most (beyond one text or word).
 MEMO_WORDS, MEMO_BYTES, QUERY_ROWS = 500_000, 48 << 20, 400_000
 MEMORY = "300MB"
+#: Texts that are encoded at once, and bytes of text: each call of the queries has a cost of its own.
+TEXTS, TEXT_BYTES = 2048, 8_000_000
 
 #: A word's tokens are a list; its positions, as rows, join the merge table.
 CONTRACT = """
@@ -232,9 +234,9 @@ def engine(path: str) -> Engine:
 def _encoder(path: str, keep: int):
     def run(batches):
         bpe = engine(path)
-        for batch in batches:
-            for begin in range(0, len(batch), 1024):
-                part = batch.slice(begin, 1024)
+        for batch in grouped(batches, TEXTS, TEXT_BYTES):
+            for begin in range(0, len(batch), TEXTS):
+                part = batch.slice(begin, TEXTS)
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(strings(part.column(keep)))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:keep], "ids"])
 
@@ -256,8 +258,8 @@ def _decoder(path: str, keep: int):
     def run(batches):
         bpe = engine(path)
         for batch in batches:
-            for begin in range(0, len(batch), 1024):
-                part = batch.slice(begin, 1024)
+            for begin in range(0, len(batch), TEXTS):
+                part = batch.slice(begin, TEXTS)
                 raw = bpe.decode(_list_bytes(part.column(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], part.column(keep), pa.array(raw, pa.binary())], [*part.schema.names[:keep], "ids", "decoded"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import bpe, chat, fingerprints, language_id, ngram_join, packing, quality, sharding, topk, toxicity
+from evidra.llm import bpe, chat, fingerprints, hard_negatives, language_id, minhash, ngram_join, packing, quality, sharding, topk, toxicity, whitening
 from evidra.llm._shared import id_hash_mod, read_table, shared_dir
 
 
@@ -73,16 +73,64 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=16)
+    explained = F.array(*map(F.lit, model.explained.tolist())) if len(model.explained) else F.array().cast("array<double>")
+    each = whitening.transform(vectors, model, ["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "white"))
+    return each.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", F.col("white").alias("whitened"),
+        F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", wrong), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_order_minhash, op2_quality_gam, op3_hamming_top_k, op4_chat_format, op5_lexical_packing, op6_size_tiered_shards,
-        op7_byte_bpe, op8_ngram_jaccard, op9_language_id, op10_toxicity_ftrl,
+        op7_byte_bpe, op8_ngram_jaccard, op9_language_id, op10_toxicity_ftrl, op11_minhash, op12_whitening, op13_hard_negatives,
     )
 }
 
 _CONTROL = r"(\\*)(### (?:System|User|Assistant): |</turn>|### <|>: )"
 
+NEAR = r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < %(width)s THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i : i + %(width)s - 1], ' ') FOR i IN range(1, len(w) - %(width)s + 2)]) END AS s FROM words
+        ), grams AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), links AS (SELECT x, y FROM shared UNION SELECT y, x FROM shared),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+        , found AS (SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s)
+"""
+
+HARD = """
+    WITH d AS (SELECT len(embedding) AS d FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+    v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
+        FROM embeddings, d WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = d.d AND len([c FOR c IN embedding IF c IS NOT NULL AND isfinite(c)]) = d.d),
+    s AS (SELECT DISTINCT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 ORACLE_SQL = {
     "op3_hamming_top_k": """
         WITH v AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS b FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
@@ -105,19 +153,7 @@ ORACLE_SQL = {
         FROM parts GROUP BY conv_id
     """,
     "op6_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
-    "op8_ngram_jaccard": r"""
-        WITH RECURSIVE words AS (
-            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
-            FROM documents
-        ), sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words
-        ), grams AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
-        shared AS (
-            SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-            GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
-        ), links AS (SELECT x, y FROM shared UNION SELECT y, x FROM shared),
-        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
-        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
-    """,
+    "op8_ngram_jaccard": NEAR % {"width": 4} + "SELECT doc_id, n_shingles, component_id FROM found",
+    "op11_minhash": NEAR % {"width": 5} + "SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM found",
+    "op13_hard_negatives": HARD,
 }

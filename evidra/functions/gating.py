@@ -83,6 +83,15 @@ def vote(support: Column, refute: Column, unknown: Column) -> Column:
     return F.when(ties > 1, "unknown").when(support == top, "supported").when(refute == top, "refuted").otherwise("unknown")
 
 
+def unique_argmax(p: dict[str, Column], tie: float = 1e-9) -> Column:
+    """The name whose probability leads by more than tie, else null."""
+    best = F.greatest(*p.values())
+    top = F.when(sum((best - x <= tie).cast("int") for x in p.values()) > 1, F.lit(None).cast("string"))
+    for name, x in p.items():
+        top = top.when(best - x <= tie, name)
+    return top
+
+
 def directional_vote(support: Column, refute: Column, unknown: Column) -> Column:
     """1, -1 or 0: a side wins over a tied unknown, not over a tied other side."""
     top = F.greatest(support, refute, unknown)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, baseline_confidence, baseline_decision, conflict_rule, gated_state, verdict, vote
@@ -14,30 +14,35 @@ SCORES = ["score_support", "score_refute", "score_unknown"]
 VARIANTS = [f"{c}{s}" for c in ("sr_std", "max_product", "doc_count") for s in ("", "_uprod")]
 
 
-def _weighted(weight: Column) -> list[Column]:
+def weighted_by(weight: Column) -> list[Column]:
+    """Averages of the three probabilities as aggregates; null if all weights are 0."""
     total = F.sum(weight)
     return [F.when(total > 0, F.sum(weight * F.col(p)) / total).alias(s) for p, s in zip(("p_support", "p_refute", "p_unknown"), SCORES, strict=True)]
 
 
-def weighted_scores(evidence: DataFrame) -> DataFrame:
+def weighted_scores(evidence: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     """Averages of the probabilities weighted by both reliabilities; null if all weights are 0."""
-    return evidence.groupBy(*CLAIM).agg(*_weighted(F.col("doc_reliability") * F.col("evaluator_reliability")), F.count("*").alias("input_count"))
+    return evidence.groupBy(*keys).agg(*weighted_by(F.col("doc_reliability") * F.col("evaluator_reliability")), F.count("*").alias("input_count"))
 
 
-def vote_scores(evidence: DataFrame) -> DataFrame:
+def vote_scores(evidence: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     """Shares of the votes, one for each relation, unweighted."""
     v = vote(F.col("p_support"), F.col("p_refute"), F.col("p_unknown"))
-    return evidence.groupBy(*CLAIM).agg(*(F.avg((v == k).cast("double")).alias(s) for k, s in zip(("supported", "refuted", "unknown"), SCORES, strict=True)), F.count("*").alias("input_count"))
+    return evidence.groupBy(*keys).agg(*(F.avg((v == k).cast("double")).alias(s) for k, s in zip(("supported", "refuted", "unknown"), SCORES, strict=True)), F.count("*").alias("input_count"))
 
 
-def single_scores(evidence: DataFrame, evaluator: str) -> DataFrame:
-    """One evaluator's averages, weighted by document reliability."""
-    return evidence.filter(F.col("evaluator") == evaluator).groupBy(*CLAIM).agg(*_weighted(F.col("doc_reliability")), F.count("*").alias("input_count"))
+def single_scores(evidence: DataFrame, evaluator: str, keys: list[str] = CLAIM) -> DataFrame:
+    """One evaluator's averages, weighted by document reliability. A claim that others have judged, but not this one, is an
+    error as its row is read."""
+    own = F.col("evaluator") == evaluator
+    out = evidence.groupBy(*keys).agg(*weighted_by(F.when(own, F.col("doc_reliability"))), F.count(F.when(own, 1)).alias("input_count"))
+    lost = F.raise_error(F.concat(F.lit(f"evaluator {evaluator} has no relation for "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))).cast("double")
+    return out.withColumns({s: F.when(F.col("input_count") == 0, lost).otherwise(F.col(s)) for s in SCORES})
 
 
-def decide(claims: DataFrame, scores: DataFrame, method: str, t: BaselineThresholds) -> DataFrame:
+def decide(claims: DataFrame, scores: DataFrame, method: str, t: BaselineThresholds, keys: list[str] = CLAIM) -> DataFrame:
     """A row for each claim; without evidence the scores are (0, 0, 1)."""
-    df = claims.join(scores, CLAIM, "left")
+    df = claims.join(scores, keys, "left")
     s, r, u = map(F.col, SCORES)
     state, reason = baseline_decision(s, r, u, t)
     if method == "conflict_aware":
@@ -48,28 +53,30 @@ def decide(claims: DataFrame, scores: DataFrame, method: str, t: BaselineThresho
     return df.withColumn("confidence", baseline_confidence(F.col("state"), *map(F.col, SCORES)))
 
 
-def run_baselines(claims: DataFrame, evidence: DataFrame, t: BaselineThresholds, evaluator: str) -> DataFrame:
+def run_baselines(claims: DataFrame, evidence: DataFrame, t: BaselineThresholds, evaluator: str, keys: list[str] = CLAIM) -> DataFrame:
     """Four rows a claim: weighted_average, majority_vote, single_evaluator and conflict_aware."""
-    average = weighted_scores(evidence)
-    parts = [("weighted_average", average), ("majority_vote", vote_scores(evidence)), ("single_evaluator", single_scores(evidence, evaluator)), ("conflict_aware", average)]
-    return reduce(DataFrame.unionByName, (decide(claims, scores, method, t) for method, scores in parts))
+    average = weighted_scores(evidence, keys)
+    parts = [("weighted_average", average), ("majority_vote", vote_scores(evidence, keys)), ("single_evaluator", single_scores(evidence, evaluator, keys)), ("conflict_aware", average)]
+    return reduce(DataFrame.unionByName, (decide(claims, scores, method, t, keys) for method, scores in parts))
 
 
-def stat_gate_scores(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The scores of all six gate variants from one aggregate: weighted means, conflict_* and insufficiency_*.
+def stat_gate_scores(claims: DataFrame, evidence: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
+    """The scores of all six gate variants from one shuffle: weighted means, conflict_* and insufficiency_*.
 
-    The deviation of support minus refute is taken around the mean (two passes over a claim's few rows would need a
-    second shuffle; the shifted sum of squares is of the same accuracy as margins lie within -1 and 1)."""
+    The deviation of support minus refute takes two passes: a window puts the claim's mean beside each row, and the aggregate
+    after it, on the same partitioning, sums squares around it. It is 0 where all margins are equal."""
     w = F.col("doc_reliability") * F.col("evaluator_reliability")
-    margin = F.col("p_support") - F.col("p_refute")
-    total, mean = F.sum(w), F.sum(w * margin) / F.sum(w)
-    variance = F.sum(w * margin * margin) / total - mean * mean
-    scores = evidence.groupBy(*CLAIM).agg(
-        *_weighted(w), F.when(total > 0, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("conflict_sr_std"), (F.max(w * F.col("p_support")) * F.max(w * F.col("p_refute"))).alias("conflict_max_product"),
+    margin, claim = F.col("p_support") - F.col("p_refute"), Window.partitionBy(*keys)
+    centred = evidence.withColumn("_mean", F.try_divide(F.sum(w * margin).over(claim), F.sum(w).over(claim)))
+    # equal margins have a mean that rounding may take off them
+    centred = centred.withColumn("_mean", F.when(F.max(margin).over(claim) == F.min(margin).over(claim), margin).otherwise(F.col("_mean")))
+    total = F.sum(w)
+    scores = centred.groupBy(*keys).agg(
+        *weighted_by(w), F.when(total > 0, F.sqrt(F.sum(w * F.pow(margin - F.col("_mean"), F.lit(2.0))) / total)).alias("conflict_sr_std"), (F.max(w * F.col("p_support")) * F.max(w * F.col("p_refute"))).alias("conflict_max_product"),
         (1 - 1 / F.countDistinct("doc_id")).alias("conflict_doc_count"), F.product(1 - w * (1 - F.col("p_unknown"))).alias("insufficiency_uprod"),
         F.min(1 - w * (1 - F.col("p_unknown"))).alias("min_unknown"), F.least(F.max(w * F.col("p_support")), F.max(w * F.col("p_refute"))).alias("min_max"), F.countDistinct("doc_id").alias("document_count"),
     )
-    df = claims.join(scores, CLAIM, "left")
+    df = claims.join(scores, keys, "left")
     none = F.col("score_support").isNull()
     zero = ["score_support", "score_refute", "conflict_sr_std", "conflict_max_product", "conflict_doc_count", "min_max"]
     df = df.withColumns({c: F.when(none, 0.0).otherwise(F.col(c)) for c in zero} | {c: F.when(none, 1.0).otherwise(F.col(c)) for c in ("score_unknown", "insufficiency_uprod", "min_unknown")})

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, baseline_confidence, baseline_decision, conflict_rule, directional_vote, fused_confidence, gated_state, metric_label, verdict
-from evidra.operators.baselines import SCORES, VARIANTS
+from evidra.operators.baselines import SCORES, VARIANTS, run_baselines, stat_gate_scores, weighted_by
 from evidra.operators.fusion import CLAIM, GROUP, diagnose, fuse_documents, fuse_evaluators
-from evidra.operators.metrics import classification_report
+from evidra.operators.metrics import classification_report, detection_report
+from evidra.operators.resampling import paired_bootstrap
 from evidra.operators.running import BUCKETS, running
 from evidra.operators.tables import kept
-from evidra.operators.tuning import best_decisions, decision_candidates, inner_grid, search_observed, shared_decision
+from evidra.operators.tuning import best_decisions, decision_candidates, inner_grid, outside, search_observed, shared_decision
 
 #: A gate that no value reaches.
 OFF = 2.0
@@ -34,14 +35,27 @@ def stratified_folds(claims: DataFrame, folds: int, seed: int = 42) -> DataFrame
     return ranked.withColumn("fold", ((F.col("_k") - 1) % folds).cast("int")).drop("_h", "_k")
 
 
-def gate_methods(results: DataFrame, stat_scores: DataFrame, variants: list[str] = VARIANTS) -> DataFrame:
+def seed_folds(claims: DataFrame, folds: int, seeds: list[int]) -> DataFrame:
+    """claims with an array of folds, one for each seed: seed number s has the folds from s * folds on, so what is counted by
+    fold tells seeds apart and all seeds are taken in one pass."""
+    key = claims.select("sample_id", "claim_id", "gold_state")
+    each = reduce(lambda df, s: df.join(stratified_folds(key, folds, seeds[s]).select("sample_id", "claim_id", (F.col("fold") + s * folds).alias(f"_f{s}")), CLAIM), range(len(seeds)), claims)
+    return each.withColumn("fold", F.array(*(F.col(f"_f{s}") for s in range(len(seeds))))).drop(*(f"_f{s}" for s in range(len(seeds))))
+
+
+def _by_fold(rows: DataFrame) -> DataFrame:
+    """rows with one fold each: a row in several folds comes once for each."""
+    return rows.withColumn("fold", F.explode("fold")) if rows.schema["fold"].dataType.typeName() == "array" else rows
+
+
+def gate_methods(results: DataFrame, stat_scores: DataFrame, variants: list[str] = VARIANTS, keys: list[str] = CLAIM) -> DataFrame:
     """(method, claim, gold_state, fold, m_support, m_refute, m_theta, k_doc) of fusion and of statistical gates, which
     are tuned alike. results: diagnosed claims with a fold; stat_scores: stat_gate_scores() of the same claims."""
     cell = lambda m, s, r, t, k: F.struct(F.lit(m).alias("method"), *(F.col(c).cast("double").alias(n) for c, n in zip((s, r, t, k), ("m_support", "m_refute", "m_theta", "k_doc"), strict=True)))
-    own = results.select(*CLAIM, "gold_state", "fold", cell("ds", "m_support", "m_refute", "m_theta", "k_doc").alias("x"))
+    own = results.select(*keys, "gold_state", "fold", cell("ds", "m_support", "m_refute", "m_theta", "k_doc").alias("x"))
     stat = [cell(f"stat_gate_{v}", "score_support", "score_refute", "insufficiency_uprod" if v.endswith("_uprod") else "insufficiency_mean", f"conflict_{v.removesuffix('_uprod')}") for v in variants]
-    each = stat_scores.join(results.select(*CLAIM, "fold"), CLAIM).select(*CLAIM, "gold_state", "fold", F.explode(F.array(*stat)).alias("x"))
-    return own.unionByName(each).select(*CLAIM, "gold_state", "fold", "x.*")
+    each = stat_scores.drop("fold").join(results.select(*keys, "fold"), keys).select(*keys, "gold_state", "fold", F.explode(F.array(*stat)).alias("x"))
+    return own.unionByName(each).select(*keys, "gold_state", "fold", "x.*")
 
 
 def tune_gates(rows: DataFrame, folds: int, steps: int) -> DataFrame:
@@ -88,8 +102,34 @@ def _decided(rows: DataFrame) -> DataFrame:
 def nested_cv_methods(gates: DataFrame, scores: DataFrame, folds: int = 5, steps: int = 9, margins: list[float] | None = None) -> DataFrame:
     """The pooled predictions of all methods on each fold, tuned on the others: (method, claim, fold, gold_state, predicted,
     insufficiency_score, conflict_score, confidence). gates: gate_methods(); scores: run_baselines() with a fold."""
-    gated = _gated(gates.join(F.broadcast(tune_gates(gates, folds, steps)), ["method", "fold"]))
-    return gated.unionByName(_decided(scores.join(F.broadcast(tune_decisions(scores, folds, margins)), ["method", "fold"])))
+    gated = _gated(_by_fold(gates).join(F.broadcast(tune_gates(gates, folds, steps)), ["method", "fold"]))
+    return gated.unionByName(_decided(_by_fold(scores).join(F.broadcast(tune_decisions(scores, folds, margins)), ["method", "fold"])))
+
+
+def seed_reports(gates: DataFrame, scores: DataFrame, folds: int, seeds: list[int], steps: int = 9, margins: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """nested_cv_methods() under each seed: predictions (seed, method, claim, ...), and (seed, method, accuracy, macro_f1).
+    gates, scores: of claims with seed_folds(). Grids, searches and scans are those of one run, by seed."""
+    pooled = nested_cv_methods(gates, scores, folds * len(seeds), steps, margins)
+    named = F.element_at(F.array(*map(F.lit, seeds)), (F.floor(F.col("fold") / folds) + 1).cast("int"))
+    pooled = pooled.withColumns({"seed": named, "fold": F.col("fold") % folds})
+    return pooled, classification_report(pooled, ["seed", "method"]).select("seed", "method", "accuracy", "macro_f1")
+
+
+def seed_robustness(reports: DataFrame, reference: str = "ds") -> DataFrame:
+    """(method, seeds, mean, deviation (population), low, high of the Macro-F1 over seeds, and of the reference's lead over
+    the method) of reports (seed, method, macro_f1). The deviation is taken around the mean."""
+    own = reports.filter(F.col("method") == reference).select("seed", F.col("macro_f1").alias("_own"))
+    each = reports.join(own, "seed").withColumn("delta", F.col("_own") - F.col("macro_f1"))
+    four = lambda c, tag: [F.avg(c).alias(f"{tag}mean"), F.stddev_pop(c).alias(f"{tag}deviation"), F.min(c).alias(f"{tag}low"), F.max(c).alias(f"{tag}high")]
+    return each.groupBy("method").agg(F.count("*").alias("seeds"), *four("macro_f1", ""), *four("delta", "delta_"))
+
+
+def seed_significance(pooled: DataFrame, reference: str = "ds", resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """(method, seeds, significant): under how many seeds the interval of the reference's lead in Macro-F1 leaves out 0."""
+    own = pooled.filter(F.col("method") == reference).select("seed", *CLAIM, F.col("predicted").alias("predicted_a"))
+    both = pooled.filter(F.col("method") != reference).withColumnRenamed("predicted", "predicted_b").join(own, ["seed", *CLAIM])
+    found = paired_bootstrap(both, resamples, seed, CLAIM, ["seed", "method"]).filter("metric = 'macro_f1'")
+    return found.groupBy("method").agg(F.count("*").alias("seeds"), F.sum(((F.col("low") > 0) | (F.col("high") < 0)).cast("int")).alias("significant"))
 
 
 GATE_VARIANTS = {"full": (True, True), "no_theta_gate": (False, True), "no_conflict_gate": (True, False), "neither_gate": (False, False)}
@@ -122,6 +162,14 @@ def baseline_long(results: DataFrame, baselines: DataFrame) -> DataFrame:
     return own.unionByName(rest)
 
 
+def comparison_report(long: DataFrame) -> DataFrame:
+    """(method, accuracy, macro_f1, n, and auroc, average_precision and best_f1 of both detections) of baseline_long(); the
+    class rows of each method are metrics.class_metrics(long, ["method"])."""
+    found = detection_report(compared_detection(long), ["method", "name"])
+    wide = found.groupBy("method").agg(*(F.max(F.when(F.col("name") == n, F.col(c))).alias(f"{n}_{c}") for n in ("conflict", "insufficiency") for c in ("auroc", "average_precision", "best_f1")))
+    return classification_report(long, ["method"]).join(wide, "method")
+
+
 def compared_detection(long: DataFrame) -> DataFrame:
     """(method, name, score, positive) of a long table, for detection_report(): conflict and insufficiency."""
     each = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_score").alias("score"), (F.col("gold_state") == g).cast("int").alias("positive")) for n, g in (("conflict", "conflicting"), ("insufficiency", "insufficient"))))
@@ -142,20 +190,30 @@ def ablation(results: DataFrame, t: Thresholds) -> DataFrame:
     return report.crossJoin(F.broadcast(full)).withColumns({"delta": F.col("macro_f1") - F.col("full_f1"), "vacuous": F.col("vacuous") & (F.col("variant") != "full")}).drop("full_f1")
 
 
-def _sweep_point(done: DataFrame, keys: list[str]) -> DataFrame:
-    share = lambda state: F.avg((F.coalesce("primary_state", F.lit("")) == state).cast("double"))
-    return done.groupBy(*keys).agg(F.avg("m_theta").alias("mean_theta"), F.avg("k_doc").alias("mean_k_doc"), share("insufficient").alias("share_insufficient"), share("conflicting").alias("share_conflicting"), F.count("*").alias("n"))
+def _sweep_points(done: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, accuracy, macro_f1, means, shares, n) of diagnosed claims: labels are counted and means are summed in one
+    aggregate by key and label; the rest is a small table."""
+    label = metric_label(F.col("primary_state"))
+    counts = done.withColumn("predicted", label).groupBy(*keys, "gold_state", "predicted").agg(
+        F.count("*").alias("_n"), F.sum("m_theta").alias("_t"), F.count("m_theta").alias("_nt"), F.sum("k_doc").alias("_k"))
+    share = lambda state: F.sum(F.when(F.col("predicted") == state, F.col("_n")).otherwise(0)) / F.sum("_n")
+    means = counts.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum("_t"), F.sum("_nt")), F.lit(0.0)).alias("mean_theta"), (F.sum("_k") / F.sum("_n")).alias("mean_k_doc"), share("insufficient").alias("share_insufficient"), share("conflicting").alias("share_conflicting"))
+    return classification_report(counts, keys, times="_n").join(means, keys)
 
 
 def reliability_sweep(claims: DataFrame, evidence: DataFrame, levels: list[float], t: Thresholds) -> DataFrame:
-    """Means over claims with every document at the same reliability, one row a level; 1.0 has to be one of them. Levels
-    are fused side by side: they are dealt out after the scan and combined before the shuffle."""
-    if 1.0 not in levels:
-        raise ValueError("the levels need 1.0 to compare with")
+    """(level, accuracy, macro_f1, n, mean_theta, mean_k_doc, share_insufficient, share_conflicting, delta) with every document
+    at the same reliability, one row a level; delta is the Macro-F1 less that of level 1.0, which has to be one of them.
+    Levels are fused side by side: they are dealt out after the scan and combined before the shuffle."""
+    if 1.0 not in levels or not all(0 <= x <= 1 for x in levels):
+        raise ValueError("the levels have to lie within 0 and 1, and need 1.0 to compare with")
     each = evidence.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     fused = fuse_evaluators(fuse_documents(each, ["level", *GROUP], F.col("level")), ["level", *CLAIM])
     rows = claims.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    return _sweep_point(diagnose(rows, fused, t, ["level", *CLAIM]), ["level"])
+    points = _sweep_points(diagnose(rows, fused, t, ["level", *CLAIM]), ["level"])
+    full = F.max(F.when(F.col("level") == 1.0, F.col("macro_f1"))).over(Window.partitionBy(F.lit(0)))
+    return points.withColumn("delta", F.col("macro_f1") - full)
 
 
 def with_reliability(evidence: DataFrame, known: DataFrame) -> DataFrame:
@@ -164,13 +222,20 @@ def with_reliability(evidence: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("doc_reliability", F.coalesce("_known", "doc_reliability")).drop("_known")
 
 
-def reliability_sensitivity(claims: DataFrame, evidence: DataFrame, levels: list[float], oracle: DataFrame, t: Thresholds) -> DataFrame:
-    """reliability_sweep() and a last point, setting oracle, with the documents' own reliability (sample_id, doc_id,
-    reliability)."""
-    sweep = reliability_sweep(claims, evidence, levels, t).select(F.col("level").cast("string").alias("setting"), "*").drop("level")
+def reliability_sensitivity(claims: DataFrame, evidence: DataFrame, contexts: DataFrame, levels: list[float], oracle: DataFrame, t: Thresholds) -> DataFrame:
+    """reliability_sweep() as (setting, mean_reliability, ..., is_oracle), and a last point, setting oracle, with the
+    documents' own reliability (sample_id, doc_id, reliability); where that lacks a document of contexts, its former one
+    holds. An oracle uses annotations: it is an upper bound, no result."""
+    sweep = reliability_sweep(claims, evidence, levels, t)
+    base = sweep.filter("level = 1.0").select(F.col("macro_f1").alias("_full"))
+    known = oracle.select("sample_id", "doc_id", F.col("reliability").alias("_known"))
+    mean = contexts.join(known, ["sample_id", "doc_id"], "left").agg(F.avg(F.coalesce("_known", "reliability")).alias("mean_reliability"))
     fused = fuse_evaluators(fuse_documents(with_reliability(evidence, oracle)))
-    point = _sweep_point(diagnose(claims, fused, t).withColumn("setting", F.lit("oracle")), ["setting"])
-    return sweep.unionByName(point)
+    point = _sweep_points(diagnose(claims, fused, t).withColumn("setting", F.lit("oracle")), ["setting"]).crossJoin(mean).crossJoin(base)
+    point = point.withColumns({"delta": F.col("macro_f1") - F.col("_full"), "is_oracle": F.lit(True)}).drop("_full")
+    sweep = sweep.withColumns({"setting": F.col("level").cast("string"), "mean_reliability": F.col("level"), "is_oracle": F.lit(False)}).drop("level")
+    columns = ["setting", "mean_reliability", "accuracy", "macro_f1", "delta", "mean_theta", "mean_k_doc", "share_insufficient", "share_conflicting", "n", "is_oracle"]
+    return sweep.select(*columns).unionByName(point.select(*columns))
 
 
 def verdict_scores(claims: DataFrame, evidence: DataFrame, reliability: float | None = None) -> DataFrame:
@@ -187,8 +252,10 @@ def verdict_scores(claims: DataFrame, evidence: DataFrame, reliability: float |
 
 
 def estimated_reliability(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, reliability, mean_auroc) from detection reports of support and refutation (keys, auroc): clip(2 * mean - 1)."""
-    return reports.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.avg("auroc") - 1)).alias("reliability"), F.avg("auroc").alias("mean_auroc"))
+    """(keys, reliability, mean_auroc) from detection reports of both sides (keys, auroc): clip(2 * mean - 1); a side of one
+    class says nothing, and without any the reliability is 0."""
+    mean = F.avg("auroc")
+    return reports.groupBy(*keys).agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * mean - 1)), F.lit(0.0)).alias("reliability"), mean.alias("mean_auroc"))
 
 
 def reliability_of_macro_f1(f1: Column) -> Column:
@@ -203,33 +270,73 @@ def with_evaluator_reliability(evidence: DataFrame, estimates: DataFrame, keys:
 
 
 def side_scores(evidence: DataFrame, claims: DataFrame) -> DataFrame:
-    """(evaluator, side, sample_id, fold if the claims have one, score, positive): an evaluator's mean support and
-    refutation of a sample, against its gold state."""
+    """(evaluator, side, sample_id, fold if the claims have one, score, positive): what an evaluator says of a sample in the
+    mean. Side direction: support less refutation, among supported and refuted samples; side unknown: its unknown share, for
+    insufficient samples among all."""
     fold = [c for c in ("fold",) if c in claims.columns]
-    by = evidence.groupBy("evaluator", "sample_id").agg(F.avg("p_support").alias("s"), F.avg("p_refute").alias("r"))
+    by = evidence.groupBy("evaluator", "sample_id").agg((F.avg("p_support") - F.avg("p_refute")).alias("d"), F.avg("p_unknown").alias("u"))
     rows = by.join(claims.select("sample_id", "gold_state", *fold), "sample_id")
-    cells = F.array(*(F.struct(F.lit(k).alias("side"), F.round(c, 9).alias("score"), (F.col("gold_state") == k).cast("int").alias("positive")) for k, c in (("supported", "s"), ("refuted", "r"))))
-    return rows.select("evaluator", "sample_id", *fold, F.explode(cells).alias("x")).select("evaluator", "sample_id", *fold, "x.*")
-
-
-def estimates_by_fold(evidence: DataFrame, claims: DataFrame, folds: int, report) -> DataFrame:
-    """(fold, evaluator, reliability, mean_auroc): estimated for each fold on the claims of the others. report: a
-    detection_report()."""
-    rows = side_scores(evidence, claims).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("outer") != F.col("fold"))
-    found = report(rows.select("evaluator", "side", "outer", "score", "positive"), ["outer", "evaluator", "side"])
-    return estimated_reliability(found, ["outer", "evaluator"]).withColumnRenamed("outer", "fold")
-
-
-def estimated_cv(claims: DataFrame, evidence: DataFrame, folds: int, steps: int, report, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
-    """nested_cv() of fusion where, for each fold, evaluators have the reliability that the other folds' claims suggest:
-    documents are fused once, evaluators once for each fold. claims: with a fold."""
-    estimates = estimates_by_fold(evidence, claims, folds, report).withColumnRenamed("fold", "outer")
-    documents = fuse_documents(evidence)
-    each = documents.drop("evaluator_reliability").join(F.broadcast(estimates.select("outer", "evaluator", F.col("reliability").alias("evaluator_reliability"))), "evaluator")
-    rows = claims.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    done = diagnose(rows, fuse_evaluators(each, ["outer", *CLAIM]), t, ["outer", *CLAIM])
-    # an outer fold is a method of its own here, whose predictions count on its fold alone
-    long = done.select(F.col("outer").cast("string").alias("method"), *CLAIM, "gold_state", "fold", *(F.round(c, 9).alias(c) for c in ("m_support", "m_refute", "m_theta", "k_doc")))
-    long = kept(long, "estimated")
-    chosen = tune_gates(long, folds, steps).filter(F.col("method") == F.col("fold").cast("string"))
-    return _gated(long.join(F.broadcast(chosen), ["method", "fold"])).withColumn("method", F.lit("ds"))
+    gold, cell = F.col("gold_state"), lambda side, c, inside, state: F.struct(F.lit(side).alias("side"), F.round(c, 9).alias("score"), (F.col("gold_state") == state).cast("int").alias("positive"), inside.alias("inside"))
+    cells = F.array(cell("direction", "d", gold.isin("supported", "refuted"), "supported"), cell("unknown", "u", F.lit(True), "insufficient"))
+    return rows.select("evaluator", "sample_id", *fold, F.explode(cells).alias("x")).filter("x.inside").select("evaluator", "sample_id", *fold, "x.side", "x.score", "x.positive")
+
+
+def _auroc_estimates(evidence: DataFrame, claims: DataFrame, folds: int) -> DataFrame:
+    rows = side_scores(evidence, claims)
+    rows = rows.withColumn("outer", F.explode(outside(rows, folds)))
+    found = detection_report(rows.select("evaluator", "side", "outer", "score", "positive"), ["outer", "evaluator", "side"])
+    return estimated_reliability(found, ["outer", "evaluator"])
+
+
+def _macro_f1_estimates(evidence: DataFrame, claims: DataFrame, folds: int) -> DataFrame:
+    """Each evaluator by itself, at the decision threshold that does best on the other folds."""
+    names = evidence.select("evaluator").distinct()
+    own = evidence.groupBy("evaluator", *CLAIM).agg(*weighted_by(F.col("doc_reliability")))
+    rows = claims.select(*CLAIM, "gold_state", "fold").crossJoin(F.broadcast(names)).join(own, ["evaluator", *CLAIM], "left")
+    rows = rows.withColumns({c: F.coalesce(F.round(c, 9), F.lit(float(c == "score_unknown"))) for c in SCORES}).withColumn("method", F.lit("single_evaluator"))
+    best = decision_candidates(rows, ["evaluator"], outers=folds).groupBy("outer", "evaluator").agg(F.max("macro_f1").alias("f1"))
+    return best.select("outer", "evaluator", reliability_of_macro_f1(F.col("f1")).alias("reliability"), F.col("f1").alias("mean_auroc"))
+
+
+def estimates_by_fold(evidence: DataFrame, claims: DataFrame, folds: int, estimator: str = "auroc") -> DataFrame:
+    """(fold, evaluator, reliability, skill): estimated for each fold on the claims of the others. estimator auroc: from
+    side_scores(); macro_f1: from the best Macro F1 of the evaluator alone, over all decision thresholds. skill is the mean
+    AUROC, or that Macro F1."""
+    made = {"auroc": _auroc_estimates, "macro_f1": _macro_f1_estimates}[estimator](evidence, claims, folds)
+    return made.withColumnsRenamed({"outer": "fold", "mean_auroc": "skill"})
+
+
+def estimated_methods_cv(claims: DataFrame, evidence: DataFrame, folds: int, steps: int, evaluator: str, estimator: str = "auroc", variants: list[str] = VARIANTS, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """nested_cv_methods() where, for each outer fold, evaluators have the reliability that the other folds' claims suggest,
+    in fusion, in the statistical gates and in the baselines. Documents are fused once; evaluators, and what else weighs them,
+    once for each outer fold. claims: with a fold. A claim's row of an outer fold is searched on if it isn't in that fold, and
+    judged if it is."""
+    estimates = kept(estimates_by_fold(evidence, claims, folds, estimator).withColumnRenamed("fold", "outer"), "estimates")
+    keys, every = ["outer", *CLAIM], F.sequence(F.lit(0), F.lit(folds - 1))
+    rows = claims.withColumn("outer", F.explode(every))
+    # of all outer folds a row has a part in its own alone
+    fold = F.when(F.col("outer") == F.col("fold"), every).otherwise(F.array_remove(every, F.col("outer")))
+    placed = lambda df: df.withColumns({"own": F.col("fold"), "fold": fold})
+    weighed = with_evaluator_reliability(evidence.withColumn("outer", F.explode(every)), estimates, ["outer", "evaluator"])
+    fused = with_evaluator_reliability(fuse_documents(evidence).withColumn("outer", F.explode(every)), estimates, ["outer", "evaluator"])
+    results = placed(diagnose(rows, fuse_evaluators(fused, keys), t, keys))
+    gates = gate_methods(results, stat_gate_scores(rows, weighed, keys), variants, keys)
+    gates = kept(gates.withColumns({c: F.round(c, 9) for c in ("m_support", "m_refute", "m_theta", "k_doc")}), "estimated-gates")
+    scores = placed(run_baselines(rows, weighed, BaselineThresholds(), evaluator, keys))
+    scores = kept(scores.withColumns({c: F.round(c, 9) for c in SCORES}).select("method", *keys, "own", "fold", "gold_state", *SCORES), "estimated-scores")
+    judged = lambda df: df.filter(F.size("fold") == folds).withColumn("fold", F.col("outer"))
+    gated = _gated(judged(gates).join(F.broadcast(tune_gates(gates, folds, steps)), ["method", "fold"]))
+    return gated.unionByName(_decided(judged(scores).join(F.broadcast(tune_decisions(scores, folds)), ["method", "fold"])))
+
+
+def estimated_cv(claims: DataFrame, evidence: DataFrame, folds: int, steps: int, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """estimated_methods_cv() of fusion alone, by the auroc estimator."""
+    estimates = estimates_by_fold(evidence, claims, folds).withColumnRenamed("fold", "outer")
+    keys, every = ["outer", *CLAIM], F.sequence(F.lit(0), F.lit(folds - 1))
+    fused = with_evaluator_reliability(fuse_documents(evidence).withColumn("outer", F.explode(every)), estimates, ["outer", "evaluator"])
+    done = diagnose(claims.withColumn("outer", F.explode(every)), fuse_evaluators(fused, keys), t, keys)
+    fold = F.when(F.col("outer") == F.col("fold"), every).otherwise(F.array_remove(every, F.col("outer")))
+    rows = done.select(F.lit("ds").alias("method"), *keys, "gold_state", fold.alias("fold"), *(F.round(c, 9).alias(c) for c in ("m_support", "m_refute", "m_theta", "k_doc")))
+    rows = kept(rows, "estimated")
+    mine = rows.filter(F.size("fold") == folds).withColumn("fold", F.col("outer"))
+    return _gated(mine.join(F.broadcast(tune_gates(rows, folds, steps)), ["method", "fold"]))

@@ -26,9 +26,12 @@ GROUP = [*CLAIM, "evaluator"]
 
 
 def join_evidence(relations: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Relations with the place and reliability of their documents (sample_id, doc_id, pos, reliability)."""
-    docs = contexts.select("sample_id", "doc_id", "pos", F.col("reliability").alias("doc_reliability"))
-    return relations.join(docs, ["sample_id", "doc_id"])
+    """Relations with the place and reliability of their documents (sample_id, doc_id, pos, reliability). A relation to an
+    unknown document is an error as its row is read."""
+    docs = contexts.select("sample_id", "doc_id", "pos", F.col("reliability").alias("doc_reliability"), F.lit(1).alias("_known"))
+    lost = F.raise_error(F.concat(F.lit("unknown document: "), F.concat_ws("/", F.col("sample_id").cast("string"), F.col("doc_id").cast("string")))).cast("double")
+    df = relations.join(docs, ["sample_id", "doc_id"], "left")
+    return df.withColumn("doc_reliability", F.when(F.col("_known").isNull(), lost).otherwise(F.col("doc_reliability"))).drop("_known")
 
 
 def masses(evidence: DataFrame, reliability: Column | None = None) -> DataFrame:
@@ -41,20 +44,20 @@ def masses(evidence: DataFrame, reliability: Column | None = None) -> DataFrame:
 LEAST_PRODUCT = 1e-200
 
 
-def _products(s: Column, r: Column) -> list[Column]:
-    """Products and sums from which _fused() takes the masses of a group; null masses are left out."""
+def products(s: Column, r: Column, tag: str = "") -> list[Column]:
+    """Products and sums from which fused() takes the masses of a group; null masses are left out. tag ends their names."""
     t = F.when(s.isNotNull(), F.greatest(F.lit(0.0), 1 - s - r))
     total = lambda x, inside: F.coalesce(F.sum(F.when(inside, x)), F.lit(0.0))
     product = lambda x: F.coalesce(F.product(x), F.lit(1.0))
     return [
-        product(1 - r).alias("_ps"), product(1 - s).alias("_pr"), product(t).alias("_pt"),
-        total(F.log1p(-r), r < 1).alias("_ls"), total(F.log1p(-s), s < 1).alias("_lr"), total(F.log(t), t > 0).alias("_lt"),
-        F.coalesce(F.max(s), F.lit(0.0)).alias("_maxs"), F.coalesce(F.max(r), F.lit(0.0)).alias("_maxr"), F.coalesce(F.min(t), F.lit(1.0)).alias("_mint"), F.count(s).alias("_k"),
+        product(1 - r).alias(f"_ps{tag}"), product(1 - s).alias(f"_pr{tag}"), product(t).alias(f"_pt{tag}"),
+        total(F.log1p(-r), r < 1).alias(f"_ls{tag}"), total(F.log1p(-s), s < 1).alias(f"_lr{tag}"), total(F.log(t), t > 0).alias(f"_lt{tag}"),
+        F.coalesce(F.max(s), F.lit(0.0)).alias(f"_maxs{tag}"), F.coalesce(F.max(r), F.lit(0.0)).alias(f"_maxr{tag}"), F.coalesce(F.min(t), F.lit(1.0)).alias(f"_mint{tag}"), F.count(s).alias(f"_k{tag}"),
     ]
 
 
-def _fused(df: DataFrame, conflict: str, total: str) -> DataFrame:
-    """Masses, the accumulated conflict and the flag of a total conflict, from the columns of _products()."""
+def fused(df: DataFrame, conflict: str, total: str) -> DataFrame:
+    """Masses, the accumulated conflict and the flag of a total conflict, from the columns of products()."""
     c = F.col
     no_s, no_r, no_t = c("_maxr") >= 1, c("_maxs") >= 1, c("_mint") <= 0  # products that are exactly 0
     least = F.lit(float("-inf"))
@@ -78,8 +81,8 @@ def fuse_documents(evidence: DataFrame, keys: list[str] = GROUP, reliability: Co
     """One row for each key: fused masses, k_doc, n_docs, and whether the documents contradict each other totally (their
     masses are null then)."""
     s, r, _ = discounted(F.col("p_support"), F.col("p_refute"), F.col("doc_reliability") if reliability is None else reliability)
-    grouped = evidence.groupBy(*keys).agg(*_products(s, r), F.count("*").alias("n_docs"), F.min("evaluator_reliability").alias("evaluator_reliability"))
-    return _fused(grouped, "k_doc", "document_total_conflict")
+    grouped = evidence.groupBy(*keys).agg(*products(s, r), F.count("*").alias("n_docs"), F.min("evaluator_reliability").alias("evaluator_reliability"))
+    return fused(grouped, "k_doc", "document_total_conflict")
 
 
 def trace(evidence: DataFrame) -> DataFrame:
@@ -109,7 +112,7 @@ def trace(evidence: DataFrame) -> DataFrame:
     )
 
 
-def fuse_evaluators(fused: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
+def fuse_evaluators(documents: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     """One row for each claim from fuse_documents(): each evaluator's mass is discounted by its reliability and fused.
 
     An evaluator of positive reliability in total document conflict decides the claim (document_total_conflict);
@@ -117,11 +120,11 @@ def fuse_evaluators(fused: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
     er = F.col("evaluator_reliability")
     s, r, _ = discounted(F.col("m_support"), F.col("m_refute"), er)
     kept = ~F.col("document_total_conflict")
-    claim = fused.groupBy(*keys).agg(
-        *_products(s, r), F.max((~kept & (er > 0)).cast("int")).alias("_total"), F.count(F.when(kept, 1)).alias("n_evaluators"),
+    claim = documents.groupBy(*keys).agg(
+        *products(s, r), F.max((~kept & (er > 0)).cast("int")).alias("_total"), F.count(F.when(kept, 1)).alias("n_evaluators"),
         F.sum(F.when(kept, er * F.col("k_doc"))).alias("_rk"), F.sum(F.when(kept, er)).alias("_r"), F.array_sort(F.collect_set("evaluator")).alias("evaluators"),
     )
-    out = _fused(claim, "k_eval", "evaluator_total_conflict")
+    out = fused(claim, "k_eval", "evaluator_total_conflict")
     out = out.withColumns({m: F.when(F.col("n_evaluators") > 0, F.col(m)) for m in ("m_support", "m_refute", "m_theta")})
     return out.withColumns({
         "k_doc": F.coalesce(F.try_divide(F.col("_rk"), F.col("_r")), F.lit(0.0)), "document_total_conflict": F.col("_total") == 1,

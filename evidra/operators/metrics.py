@@ -40,13 +40,16 @@ def classification_report(predictions: DataFrame, keys: list[str], macro_labels:
     return by.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), (F.sum(F.when(inside, F.col("f1"))) / count).alias("macro_f1"), F.sum("support").alias("n"))
 
 
-def detection_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+def detection_report(rows: DataFrame, keys: list[str], times: str | None = None, spread: DataFrame | None = None) -> DataFrame:
     """auroc (ties averaged), average_precision and the best F1 with its lowest threshold, of rows (keys, score,
-    positive 0/1); null for one class only."""
-    by = rows.groupBy(*keys, "score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
-    cum = running(by, keys, bucket(F.col("score"), edges(by, "score")), [F.desc("score")], {"tp": F.col("p"), "at": F.col("n")}, descending=True)
+    positive 0/1), each counted once or so many times; null for one class only. Buckets of large inputs follow the scores
+    of spread, or of rows."""
+    one = F.lit(1) if times is None else F.col(times)
+    by = rows.groupBy(*keys, "score").agg(F.sum(F.col("positive") * one).alias("p"), F.sum(one).alias("n"))
+    by = by if times is None else by.filter("n > 0")
+    cum = running(by, keys, bucket(F.col("score"), edges(by if spread is None else spread, "score")), [F.desc("score")], {"tp": F.col("p"), "at": F.col("n")}, descending=True)
     whole = by.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    cum = cum.join(F.broadcast(whole), keys)
+    cum = cum.join(whole, keys)
     # a positive beats the negatives below it and half of those beside it
     beaten = F.col("p") * ((F.col("all_n") - F.col("all_p")) - (F.col("at") - F.col("tp")) + (F.col("n") - F.col("p")) / 2)
     f1 = 2 * F.col("tp") / (F.col("at") + F.col("all_p"))
@@ -64,17 +67,20 @@ def coverages() -> list[float]:
     return [round(0.5 + 0.02 * i, 2) for i in range(26)]
 
 
-def risk_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, coverage, risk): the error rate of the least risky share of rows (keys, risk_score, order_key, correct);
-    order_key is a number."""
-    place = bucket(F.col("risk_score"), at := edges(rows, "risk_score"), F.col("order_key"), edges(rows, "order_key") if at else [])
-    ranked = running(rows, keys, place, [F.col("risk_score"), F.col("order_key")], {"k": F.lit(1), "hits": F.col("correct")})
-    at = F.explode(F.array(*map(F.lit, coverages())))
-    wanted = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("coverage", at)
-    wanted = wanted.select(*keys, "coverage", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("coverage"))).cast("int").alias("k"))
-    return ranked.select(*keys, "k", "hits").join(F.broadcast(wanted), [*keys, "k"]).select(*keys, "coverage", (1 - F.col("hits") / F.col("k")).alias("risk"))
+def risk_coverage(rows: DataFrame, keys: list[str], times: str | None = None, spread: DataFrame | None = None) -> DataFrame:
+    """(keys, coverage, risk): the error rate of the least risky share of rows (keys, risk_score, order_key, correct), each
+    counted once or so many times; order_key is a number. Buckets of large inputs follow spread, or rows."""
+    values, one = rows if spread is None else spread, F.lit(1) if times is None else F.col(times)
+    place = bucket(F.col("risk_score"), at := edges(values, "risk_score"), F.col("order_key"), edges(values, "order_key") if at else [])
+    ranked = running(rows.withColumn("_w", one), keys, place, [F.col("risk_score"), F.col("order_key")], {"k": F.col("_w"), "hits": F.col("correct") * F.col("_w")})
+    whole = rows.groupBy(*keys).agg(F.sum(one).alias("n"))
+    wanted = F.transform(F.array(*map(F.lit, coverages())), lambda c: F.struct(c.alias("coverage"), F.greatest(F.lit(1), F.bround(F.col("n") * c)).cast("long").alias("want")))
+    # the row at which a wanted place lies, of whose copies some count
+    inside = F.filter(wanted, lambda x: (x["want"] > F.col("k") - F.col("_w")) & (x["want"] <= F.col("k")))
+    at_row = ranked.join(whole, keys).withColumn("_c", F.explode(inside)).select(*keys, "_c.*", "k", "hits", "correct")
+    return at_row.select(*keys, "coverage", (1 - (F.col("hits") - (F.col("k") - F.col("want")) * F.col("correct")) / F.col("want")).alias("risk"))
 
 
-def aurc(rows: DataFrame, keys: list[str]) -> DataFrame:
+def aurc(rows: DataFrame, keys: list[str], times: str | None = None, spread: DataFrame | None = None) -> DataFrame:
     """The mean risk over all coverages."""
-    return risk_coverage(rows, keys).groupBy(*keys).agg(F.avg("risk").alias("aurc"))
+    return risk_coverage(rows, keys, times, spread).groupBy(*keys).agg(F.avg("risk").alias("aurc"))

@@ -1,220 +1,123 @@
-"""Bootstrap of metrics at any size.
+"""Bootstrap of metrics at any size, as aggregates that SQL can repeat.
 
-Metrics of labels depend only on how often each combination of labels was drawn, so claims are counted once and the counts
-are drawn. Metrics of an order (AUROC, risk at coverage) are taken by Poisson resampling: a claim's weight in a resample
-is a hash of its id and the resample's number, so methods are paired without a table of draws and a lost task draws the
-same again. Rows are dealt to buckets along the order; each bucket says how much weight it holds, and what lies before it
-is a sum over buckets.
+A row's weight in a resample is a Poisson draw of its key and the resample's number (functions/draws.py), so methods are
+paired without a table of draws, a lost task draws the same again, and any engine gets the same numbers. Metrics of labels need
+only the weights of each combination of labels, which are combined before the shuffle; metrics of an order (AUROC, risk
+at coverage) are those of metrics.py with a weight for each row. What was observed is resample -1, where every row has weight
+1, so one plan gives both. Intervals and p are taken from a few values a resample.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.operators.metrics import LABELS, coverages
-from evidra.operators.running import bucket, edges
-
-#: Buckets along an order, and rows that are weighed at once.
-PARTS, ROWS = 64, 1024
-#: Steps of the distribution function of a Poisson variable of mean 1.
-_CUTS = np.cumsum(np.exp(-1) / np.cumprod([1.0, 1, 2, 3, 4, 5, 6, 7]))
-
-
-def weights(ids: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """(ids, resamples): how often each id (64-bit hash) is drawn in each resample."""
-    x = ids.astype(np.int64).view(np.uint64)[:, None] + (np.arange(resamples, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
-    return np.searchsorted(_CUTS, u.ravel(), side="right").reshape(u.shape).astype(np.float32)
-
-
-def _auroc_part(resamples: int, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("score", kind="stable")
-        score, positive, ids = pdf["score"].to_numpy(), pdf["positive"].to_numpy(bool), pdf["id"].to_numpy()
-        pos, neg, won = (np.zeros(resamples) for _ in range(3))
-        tie = [None, np.zeros(resamples), np.zeros(resamples)]  # a score, and the weights of both classes at it
-
-        def settle():
-            nonlocal pos, neg, won
-            won = won + tie[1] * (neg + tie[2] / 2)
-            pos, neg = pos + tie[1], neg + tie[2]
-
-        for begin in range(0, len(score), ROWS):
-            s, w, p = score[begin : begin + ROWS], weights(ids[begin : begin + ROWS], resamples, seed), positive[begin : begin + ROWS]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            ups, downs = np.add.reduceat(w * p[:, None], first, 0), np.add.reduceat(w * ~p[:, None], first, 0)
-            for k, at in enumerate(first):
-                if tie[0] is None or s[at] != tie[0]:
-                    settle()
-                    tie = [s[at], np.zeros(resamples), np.zeros(resamples)]
-                tie[1] = tie[1] + ups[k]
-                tie[2] = tie[2] + downs[k]
-        settle()
-        return pd.DataFrame({"name": pdf["name"].iloc[0], "a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "resample": np.arange(resamples), "pos": pos, "neg": neg, "won": won})
-
-    return run
-
-
-def _placed(rows: DataFrame, column: str, then: str | None = None) -> DataFrame:
-    at = edges(rows, column, PARTS, always=True)
-    place = bucket(F.col(column), at, F.col(then) if then else None, edges(rows, then, PARTS, always=True) if then else None)
-    return rows.withColumn("_p", place).withColumns({"a": F.col("_p.a"), "b": F.col("_p.b")}).drop("_p")
-
-
-def auroc_resamples(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(name, resample, auroc) of rows (name, id long, score, positive 0/1); null where a resample has one class."""
-    parts = _placed(rows.select("name", "id", "score", "positive"), "score").groupBy("name", "a", "b")
-    found = parts.applyInPandas(_auroc_part(resamples, seed), "name string, a int, b int, resample int, pos double, neg double, won double")
-    before = Window.partitionBy("name", "resample").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    beaten = F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0))
-    out = found.withColumn("beaten", beaten).groupBy("name", "resample").agg(F.sum("beaten").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return out.select("name", "resample", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auroc"))
-
-
-def _weight_part(resamples: int, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        total = sum((weights(ids[i : i + ROWS], resamples, seed).sum(0, dtype=np.float64) for i in range(0, len(ids), ROWS)), np.zeros(resamples))
-        hits = sum((weights(ids[i : i + ROWS], resamples, seed)[pdf["correct"].to_numpy(bool)[i : i + ROWS]].sum(0, dtype=np.float64) for i in range(0, len(ids), ROWS)), np.zeros(resamples))
-        return pd.DataFrame({"name": pdf["name"].iloc[0], "a": pdf["a"].iloc[0], "b": pdf["b"].iloc[0], "weight": [total.tolist()], "hits": [hits.tolist()]})
-
-    return run
-
-
-def _risk_part(resamples: int, seed: int):
-    """Of a bucket with what lies before it: the hits at each coverage that falls into it."""
-    share = np.array(coverages())[:, None]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["risk_score", "order_key"], kind="stable")
-        ids, correct = pdf["id"].to_numpy(), pdf["correct"].to_numpy(np.float64)
-        before, hits, total = (np.asarray(pdf[c].iloc[0], float) for c in ("before", "hits_before", "total"))
-        want = np.maximum(1, np.rint(total * share))
-        found = []
-        for begin in range(0, len(ids), ROWS):
-            w = weights(ids[begin : begin + ROWS], resamples, seed)
-            upto = before + np.cumsum(w, 0, dtype=np.float64)
-            good = hits + np.cumsum(w * correct[begin : begin + ROWS, None], 0, dtype=np.float64)
-            c, r = np.nonzero((want > before) & (want <= upto[-1]) & (total > 0))
-            if len(c):
-                # the row in which the wanted place lies, some of whose copies count
-                at = (upto[:, r] < want[c, r]).sum(0)
-                found.append((c, r, (good[at, r] - (upto[at, r] - want[c, r]) * correct[begin + at]) / want[c, r]))
-            before, hits = upto[-1], good[-1]
-        c, r, rate = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0),) * 3
-        return pd.DataFrame({"name": pdf["name"].iloc[0] if len(c) else pd.Series([], dtype=str), "resample": r.astype(int), "risk": 1 - rate})
-
-    return run
+from evidra.functions.draws import resampled
+from evidra.operators.metrics import LABELS, aurc, classification_report, detection_report
+
+GOLD = LABELS[:4]
+
+
+def summarised(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, observed, low, high, p_value, n_resamples) of values (keys, resample, value): what resample -1 has, and of the
+    others that have a value the interval by place, and twice the smaller share on either side of 0 (itself included)."""
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    drawn = (F.col("resample") >= 0) & F.col("value").isNotNull()
+    ranked = values.withColumn("_drawn", drawn)
+    ranked = ranked.withColumns({"_n": F.count(F.when(F.col("_drawn"), 1)).over(by), "_k": F.sum(F.col("_drawn").cast("int")).over(by.orderBy(F.desc("_drawn"), "value", "resample").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1})
+    at = lambda place: F.max(F.when(F.col("_drawn") & (F.col("_k") == place), F.col("value")))
+    n = F.col("_n")
+    count = lambda inside: F.count(F.when(F.col("_drawn") & inside, 1))
+    p = F.least(F.lit(1.0), F.try_divide(2 * F.least(count(F.col("value") <= 0), count(F.col("value") >= 0)), F.max(n)))
+    return ranked.groupBy(*keys).agg(
+        F.max(F.when(F.col("resample") < 0, F.col("value"))).alias("observed"), at(F.floor(n * 0.025)).alias("low"), at(F.least(F.floor(n * 0.975), n - 1)).alias("high"),
+        p.alias("p_value"), F.max(n).alias("n_resamples"),
+    )
+
+
+def label_scores(predictions: DataFrame, keys: list[str], sides: list[str], unit: list[str], resamples: int, seed: int, labels: list[str] = GOLD) -> DataFrame:
+    """(keys, side, resample, metric, value, n) of the columns sides of predictions (keys, gold_state, sides, unit): accuracy,
+    and Macro-F1 over a fixed list of labels (0 for one that a resample lacks)."""
+    drawn = resampled(predictions.select(*keys, "gold_state", *sides, *(c for c in unit if c not in keys)), unit, resamples, seed)
+    counts = drawn.groupBy(*keys, "resample", "gold_state", *sides).agg(F.sum("w").alias("w")).filter("w > 0")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("predicted")) for s in sides)))
+    long = counts.withColumn("_s", each).select(*keys, "resample", "gold_state", "w", "_s.*")
+    report = classification_report(long, [*keys, "side", "resample"], labels, times="w")
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "macro_f1"))))
+    return report.withColumn("_m", both).select(*keys, "side", "resample", "_m.*", "n")
+
+
+def differences(values: DataFrame, keys: list[str], reference: str, name: str = "side") -> DataFrame:
+    """(keys, rival, resample, reference_value, rival_value, value) of values (keys, name, resample, value): the reference's
+    value less that of each other name."""
+    own = values.filter(F.col(name) == reference).select(*keys, "resample", F.col("value").alias("reference_value"))
+    rest = values.filter(F.col(name) != reference).select(*keys, F.col(name).alias("rival"), "resample", F.col("value").alias("rival_value"))
+    return rest.join(own, [*keys, "resample"]).withColumn("value", F.col("reference_value") - F.col("rival_value"))
+
+
+def bootstrap_interval(predictions: DataFrame, resamples: int = 5000, seed: int = 42, unit: list[str] = ["claim_id"]) -> DataFrame:  # noqa: B006
+    """(metric, observed, low, high, n_resamples, n_claims) of one method's predictions (gold_state, predicted, unit); no
+    predictions give no rows."""
+    scores = label_scores(predictions, [], ["predicted"], unit, resamples, seed)
+    n = scores.filter("resample < 0").select("metric", F.col("n").alias("n_claims"))
+    return summarised(scores, ["metric"]).join(n, "metric").select("metric", "observed", "low", "high", "n_resamples", "n_claims")
+
+
+def paired_bootstrap(predictions: DataFrame, resamples: int = 5000, seed: int = 42, unit: list[str] = ["claim_id"], keys: list[str] = [], labels: list[str] = GOLD) -> DataFrame:  # noqa: B006
+    """Method a less method b, in accuracy and in Macro-F1 over a fixed list of labels: the difference on all claims, its
+    interval and p on resamples. predictions: (keys, gold_state, predicted_a, predicted_b, unit)."""
+    scores = label_scores(predictions, keys, ["predicted_a", "predicted_b"], unit, resamples, seed, labels)
+    n = scores.filter("resample < 0 AND side = 'predicted_a'").select(*keys, "metric", F.col("n").alias("n_claims"))
+    found = summarised(differences(scores, [*keys, "metric"], "predicted_a"), [*keys, "metric"])
+    return found.join(n, [*keys, "metric"]).select(*keys, "metric", F.col("observed").alias("difference"), "low", "high", "p_value", "n_resamples", "n_claims")
+
+
+def compared(values: DataFrame, keys: list[str], reference: str) -> DataFrame:
+    """(keys, reference, rival, value of both, delta, low, high, p_value, n_resamples) of values (keys, name, resample,
+    value). What was observed has to have a value."""
+    each = differences(values, keys, reference, "name")
+    seen = each.filter("resample < 0").select(*keys, "rival", F.col("reference_value").alias("value_reference"), "rival_value")
+    found = summarised(each, [*keys, "rival"]).join(seen, [*keys, "rival"])
+    delta = F.coalesce("observed", F.raise_error(F.lit("both classes have to occur")).cast("double"))
+    return found.select(*keys, F.lit(reference).alias("reference"), "rival", "value_reference", F.col("rival_value").alias("value_rival"), delta.alias("delta"), "low", "high", "p_value", "n_resamples")
+
+
+def auroc_resamples(rows: DataFrame, resamples: int, seed: int, keys: list[str] = ["name"], unit: list[str] = ["id"]) -> DataFrame:  # noqa: B006
+    """(keys, resample, auroc) of rows (keys, unit, score, positive 0/1); null where a resample has one class. Weights are
+    added up by score before the shuffle, so a score that very many rows share is one row of a resample."""
+    plain = rows.select(*keys, *(c for c in unit if c not in keys), "score", "positive")
+    return detection_report(resampled(plain, unit, resamples, seed), [*keys, "resample"], times="w", spread=plain).select(*keys, "resample", "auroc")
 
 
 def aurc_resamples(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(name, resample, aurc) of rows (name, id long, risk_score, order_key, correct 0/1)."""
-    placed = _placed(rows.select("name", "id", "risk_score", "order_key", "correct"), "risk_score", "order_key")
-    held = placed.groupBy("name", "a", "b").applyInPandas(_weight_part(resamples, seed), "name string, a int, b int, weight array<double>, hits array<double>")
-    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
-    zero = F.array_repeat(F.lit(0.0), resamples)
-    upto = Window.partitionBy("name").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("name")
-    summed = lambda c, over: F.aggregate(F.collect_list(c).over(over), zero, add)
-    known = held.select("name", "a", "b", summed("weight", upto).alias("before"), summed("hits", upto).alias("hits_before"), summed("weight", whole).alias("total"))
-    risks = placed.join(known, ["name", "a", "b"]).groupBy("name", "a", "b").applyInPandas(_risk_part(resamples, seed), "name string, resample int, risk double")
-    return risks.groupBy("name", "resample").agg(F.avg("risk").alias("aurc"))
-
-
-def _summary(deltas: np.ndarray) -> tuple[float, float, float, int]:
-    """The interval and p of sorted differences, by place."""
-    d, n = np.sort(deltas), len(deltas)
-    p = min(1.0, 2 * min((d <= 0).sum(), (d >= 0).sum()) / n)
-    return float(d[int(0.025 * n)]), float(d[min(int(0.975 * n), n - 1)]), float(p), n
-
-
-def _compared(found: DataFrame, observed: DataFrame, value: str, reference: str) -> DataFrame:
-    """(rival, value of both, delta, low, high, p_value, n_resamples) from resamples (name, resample, value): a few numbers
-    for each rival and resample."""
-    drawn = found.groupBy("resample").pivot("name").agg(F.first(value)).toPandas()
-    seen = {r["name"]: r[value] for r in observed.collect()}
-    rows = []
-    for rival in sorted(set(seen) - {reference}):
-        d = (drawn[reference] - drawn[rival]).dropna().to_numpy(float)
-        if seen[reference] is None or seen[rival] is None or not len(d):
-            raise ValueError("both classes have to occur")
-        low, high, p, n = _summary(d)
-        rows.append((reference, rival, seen[reference], seen[rival], seen[reference] - seen[rival], low, high, p, n))
-    schema = f"reference string, rival string, {value}_reference double, {value}_rival double, delta double, low double, high double, p_value double, n_resamples long"
-    return found.sparkSession.createDataFrame(rows, schema)
-
-
-def paired_auroc_bootstrap(rows: DataFrame, reference: str, report, resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """(name, resample, aurc) of rows (name, id, risk_score, order_key, correct 0/1)."""
+    plain = rows.select("name", "id", "risk_score", "order_key", "correct")
+    return aurc(resampled(plain, ["id"], resamples, seed), ["name", "resample"], times="w", spread=plain)
+
+
+def paired_auroc_bootstrap(rows: DataFrame, reference: str, resamples: int = 5000, seed: int = 42) -> DataFrame:
     """The AUROC of a reference less that of each other name, on all rows and on resamples; those of one class are
-    skipped. rows: (name, id, score, positive), with the same ids for each name. report: a detection_report()."""
-    observed = report(rows.select("name", "score", "positive"), ["name"]).select("name", "auroc")
-    return _compared(auroc_resamples(rows, resamples, seed), observed, "auroc", reference)
+    skipped. rows: (name, id, score, positive), with the same ids for each name."""
+    found = compared(auroc_resamples(rows, resamples, seed).withColumnRenamed("auroc", "value"), [], reference)
+    return found.withColumnsRenamed({"value_reference": "auroc_reference", "value_rival": "auroc_rival"})
 
 
-def paired_selective_bootstrap(rows: DataFrame, reference: str, report, area, resamples: int = 2000, seed: int = 42) -> DataFrame:
+def paired_selective_bootstrap(rows: DataFrame, reference: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """As paired_auroc_bootstrap() for risk scores (name, id, risk_score, order_key, correct): AUROC of errors and area
-    under the risk at coverages, as (metric, ...). report: detection_report(); area: aurc()."""
+    under the risk at coverages, as (metric, ...)."""
     errors = rows.select("name", "id", F.col("risk_score").alias("score"), (1 - F.col("correct")).alias("positive"))
-    a = paired_auroc_bootstrap(errors, reference, report, resamples, seed)
-    observed = area(rows.select("name", "risk_score", "order_key", "correct"), ["name"])
-    b = _compared(aurc_resamples(rows, resamples, seed), observed, "aurc", reference)
-    same = lambda df, m: df.select(F.lit(m).alias("metric"), "reference", "rival", F.col(f"{m}_reference").alias("value_reference"), F.col(f"{m}_rival").alias("value_rival"), "delta", "low", "high", "p_value", "n_resamples")
-    return same(a, "auroc").unionByName(same(b, "aurc"))
-
-
-def _scores(tuples: list[tuple], times: np.ndarray, side: int) -> dict[str, np.ndarray]:
-    """Accuracy and Macro-F1 over the four gold states of label combinations drawn so often; the gold label comes first."""
-    labels = [[np.array([t[k] == label for t in tuples], np.int64) for label in LABELS[:4]] for k in (0, side)]
-    gold, said = (np.stack(x, 1) for x in labels)
-    hit = np.array([t[0] == t[side] for t in tuples], np.int64)
-    return {"accuracy": times @ hit / times.sum(1), "macro_f1": (2 * (times @ (gold * said)) / np.maximum(times @ gold + times @ said, 1)).mean(1)}
-
-
-def _drawn(predictions: DataFrame, columns: list[str], resamples: int, seed: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Label combinations, how often each was seen, and drawn: at most 5 labels in each column, so a few hundred rows."""
-    tuples = sorted(tuple(r) for r in predictions.groupBy(*columns).agg(F.count("*").alias("n")).collect())
-    if not tuples:
-        raise ValueError("no claims to resample")
-    seen = np.array([t[-1] for t in tuples])
-    return tuples, seen, np.random.default_rng(seed).multinomial(seen.sum(), seen / seen.sum(), resamples)
-
-
-def bootstrap_interval(predictions: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFrame:
-    """(metric, observed, low, high, n_resamples, n_claims) of one method's predictions (gold_state, predicted)."""
-    tuples, seen, drawn = _drawn(predictions, ["gold_state", "predicted"], resamples, seed)
-    all_, each = _scores(tuples, seen[None], 1), _scores(tuples, drawn, 1)
-    rows = [(m, float(all_[m][0]), *_summary(each[m])[:2], resamples, int(seen.sum())) for m in all_]
-    return predictions.sparkSession.createDataFrame(rows, "metric string, observed double, low double, high double, n_resamples long, n_claims long")
-
-
-def paired_bootstrap(predictions: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFrame:
-    """Method a less method b, in accuracy and in Macro-F1 over the four gold states: the difference on all claims, its
-    interval and p on resamples of as many claims. predictions: (gold_state, predicted_a, predicted_b)."""
-    tuples, seen, drawn = _drawn(predictions, ["gold_state", "predicted_a", "predicted_b"], resamples, seed)
-    rows = []
-    for m in ("accuracy", "macro_f1"):
-        delta = lambda times: _scores(tuples, times, 1)[m] - _scores(tuples, times, 2)[m]  # noqa: B023, E731
-        low, high, p, n = _summary(delta(drawn))
-        rows.append((m, float(delta(seen[None])[0]), low, high, p, n, int(seen.sum())))
-    return predictions.sparkSession.createDataFrame(rows, "metric string, difference double, low double, high double, p_value double, n_resamples long, n_claims long")
+    a = auroc_resamples(errors, resamples, seed).select(F.lit("auroc").alias("metric"), "name", "resample", F.col("auroc").alias("value"))
+    b = aurc_resamples(rows, resamples, seed).select(F.lit("aurc").alias("metric"), "name", "resample", F.col("aurc").alias("value"))
+    return compared(a.unionByName(b), ["metric"], reference)
 
 
 def compare_runs(reference: DataFrame, rival: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFrame:
     """paired_bootstrap() of each method that two runs (method, sample_id, claim_id, gold_state, predicted) share, as
-    (method, metric, ...). Claims that only one run has are an error."""
+    (method, metric, ...), from one plan. Claims that only one run has are an error as they are read."""
     key = ["method", "sample_id", "claim_id"]
-    both = reference.select(*key, "gold_state", F.col("predicted").alias("predicted_a"), F.lit(1).alias("_a")).join(rival.select(*key, F.col("predicted").alias("predicted_b"), F.lit(1).alias("_b")), key, "full")
-    names = [r[0] for r in reference.select("method").distinct().intersect(rival.select("method").distinct()).orderBy("method").collect()]
-    both = both.filter(F.col("method").isin(names))
-    if both.filter("_a IS NULL OR _b IS NULL").limit(1).count():
-        raise ValueError("the runs don't have the same claims")
-    out = None
-    for name in names:
-        one = paired_bootstrap(both.filter(F.col("method") == name), resamples, seed).select(F.lit(name).alias("method"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    shared = reference.select("method").distinct().intersect(rival.select("method").distinct())
+    side = lambda df, name, *more: df.join(F.broadcast(shared), "method", "left_semi").select(*key, *more, F.col("predicted").alias(f"predicted_{name}"), F.lit(1).alias(f"_{name}"))
+    both = side(reference, "a", "gold_state").join(side(rival, "b"), key, "full")
+    lost = F.raise_error(F.concat(F.lit("the runs don't have the same claims: "), F.concat_ws("/", *key)))
+    both = both.withColumn("predicted_a", F.when(F.col("_a").isNull() | F.col("_b").isNull(), lost).otherwise(F.col("predicted_a")))
+    return paired_bootstrap(both, resamples, seed, ["claim_id"], ["method"])

@@ -41,5 +41,5 @@ def running(df: DataFrame, keys: list[str], place: Column, order: list[Column],
     one = [] if keys else [F.lit(1).alias("_one")]
     upto = Window.partitionBy(*(keys or ["_one"])).orderBy(F.desc("_b") if descending else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
     before = total.select("*", *one).select(*keys, "_b", *(F.coalesce(F.sum(f"_all_{n}").over(upto), F.lit(0)).alias(f"_before_{n}") for n in sums))
-    out = by.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(F.broadcast(before), [*keys, "_b"])
+    out = by.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(before, [*keys, "_b"])
     return out.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums}).drop("_b", *(f"_before_{n}" for n in sums))

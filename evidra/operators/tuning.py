@@ -14,20 +14,31 @@ DECISIONS = [round(0.2 + 0.05 * i, 2) for i in range(15)]
 CONFLICTS = [0.001, 0.005, *(round(0.01 + 0.01 * i, 2) for i in range(4)), *(round(0.05 + 0.05 * i, 2) for i in range(9))]
 
 
+def outside(df: DataFrame, outers: int) -> Column:
+    """The outer folds that a row of df isn't in. Its fold is a number, or an array of several that it is in."""
+    every = F.sequence(F.lit(0), F.lit(outers - 1))
+    return F.array_except(every, F.col("fold")) if df.schema["fold"].dataType.typeName() == "array" else F.array_remove(every, F.col("fold"))
+
+
+def within(df: DataFrame, outer: int) -> Column:
+    return F.array_contains("fold", outer) if df.schema["fold"].dataType.typeName() == "array" else F.col("fold") == outer
+
+
 def observed_grid(values: DataFrame, column: str, steps: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, i, value): nearest-rank quantiles of what was observed, rounded to 6 places, each once."""
-    return _observed(values, column, steps, keys or [], None, 0)
+    return _observed(values, column, steps, keys or [], 0)
 
 
 def inner_grid(values: DataFrame, column: str, steps: int, keys: list[str], folds: int) -> DataFrame:
     """As observed_grid() for each outer fold on the rows of the others, as (keys, outer, i, value). Values are sorted
-    once: ranks among the others are those among all less those within the fold."""
-    return _observed(values, column, steps, keys, "fold", folds)
+    once: ranks among the others are those among all less those within the fold. With an array of folds a row is in
+    several at once (as under several seeds)."""
+    return _observed(values, column, steps, keys, folds)
 
 
-def _observed(values: DataFrame, column: str, steps: int, keys: list[str], fold: str | None, folds: int) -> DataFrame:
+def _observed(values: DataFrame, column: str, steps: int, keys: list[str], folds: int) -> DataFrame:
     names = ["n"] + [f"n{f}" for f in range(folds)]
-    counted = [F.count("*").alias("n"), *(F.count(F.when(F.col(fold) == f, 1)).alias(f"n{f}") for f in range(folds))]
+    counted = [F.count("*").alias("n"), *(F.count(F.when(within(values, f), 1)).alias(f"n{f}") for f in range(folds))]
     by = values.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(*counted)
     cum = running(by, keys, bucket(F.col("v"), edges(by, "v")), [F.col("v")], {f"upto_{n}": F.col(n) for n in names})
     total = by.groupBy(*keys).agg(*(F.sum(n).alias(f"all_{n}") for n in names))
@@ -79,7 +90,7 @@ def search_observed(results: DataFrame, thetas: DataFrame, conflicts: DataFrame,
     lists = lambda df, name: (df if by else df.withColumn("_one", F.lit(1))).groupBy(*(by or ["_one"])).agg(F.array_sort(F.collect_list("value")).alias(name))
     on = by or ["_one"]
     grids = lists(thetas, "thetas").join(lists(conflicts, "conflicts"), on)
-    rows = results.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outers - 1)))).filter(F.col("outer") != F.col("fold")) if outers else results
+    rows = results.withColumn("outer", F.explode(outside(results, outers))) if outers else results
     rows = (rows if by else rows.withColumn("_one", F.lit(1))).join(F.broadcast(grids), on)
     reached = lambda values, x: F.coalesce(F.size(F.filter(values, lambda v: v <= F.col(x))), F.lit(0))
     counts = rows.groupBy(*on, "gold_state", verdict(F.col("m_support"), F.col("m_refute"), tie).alias("direction"), reached("thetas", "m_theta").alias("t"), reached("conflicts", "k_doc").alias("k")).agg(F.count("*").alias("n"))
@@ -103,7 +114,7 @@ def decision_candidates(scores: DataFrame, keys: list[str], decisions: list[floa
     fold = ["fold"] if outers else []
     counts = scores.groupBy(*keys, *fold, "method", "gold_state", decided.alias("decided"), at_least(decisions, F.greatest(s, r, u)).alias("d"), F.when(aware, at_least(conflicts, low)).otherwise(0).alias("c"), F.when(aware, within).otherwise(0).alias("m")).agg(F.count("*").alias("n"))
     if outers:
-        each = counts.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outers - 1)))).filter(F.col("outer") != F.col("fold"))
+        each = counts.withColumn("outer", F.explode(outside(counts, outers)))
         counts = each.groupBy(*keys, "outer", "method", "gold_state", "decided", "d", "c", "m").agg(F.sum("n").alias("n"))
     spark, by = scores.sparkSession, [*keys, "outer"] if outers else keys
     numbered = lambda values: list(enumerate(sorted(values)))

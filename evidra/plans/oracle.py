@@ -84,10 +84,10 @@ BASE_OUT = " SELECT claim_id, " + R("score_support", "score_refute", "score_unkn
 
 STAT = SQL + f""", st AS (
     SELECT claim_id, {", ".join(WEIGHTED.format(f"p_{k}") + f" AS score_{k}" for k in ("support", "refute", "unknown"))},
-           {WEIGHTED.format("(p_support - p_refute)")} AS mean, sqrt(greatest(0, {WEIGHTED.format("(p_support - p_refute) ** 2")} - mean * mean)) AS conflict_sr_std,
+           sqrt({WEIGHTED.format("(p_support - p_refute - mean) ** 2")}) AS conflict_sr_std,
            max(doc_reliability * evaluator_reliability * p_support) AS ms, max(doc_reliability * evaluator_reliability * p_refute) AS mr, count(DISTINCT doc_id) AS document_count,
            product(1 - doc_reliability * evaluator_reliability * (1 - p_unknown)) AS insufficiency_uprod, min(1 - doc_reliability * evaluator_reliability * (1 - p_unknown)) AS min_unknown
-    FROM evidence GROUP BY claim_id
+    FROM (SELECT *, sum(doc_reliability * evaluator_reliability * (p_support - p_refute)) OVER (PARTITION BY claim_id) / sum(doc_reliability * evaluator_reliability) OVER (PARTITION BY claim_id) AS mean FROM evidence) GROUP BY claim_id
 ), stat AS (
     SELECT c.claim_id, c.gold_state, coalesce(score_support, 0) AS score_support, coalesce(score_refute, 0) AS score_refute, coalesce(score_unknown, 1) AS score_unknown, coalesce(conflict_sr_std, 0) AS conflict_sr_std,
            coalesce(ms * mr, 0) AS conflict_max_product, coalesce(1 - 1 / document_count, 0) AS conflict_doc_count, coalesce(score_unknown, 1) AS insufficiency_mean, coalesce(insufficiency_uprod, 1) AS insufficiency_uprod,
@@ -122,16 +122,6 @@ RISK = RES + """, rr AS (
 rc AS (SELECT 'ds' AS method, coverage, 1 - hits / k AS risk FROM rr JOIN cov ON rr.k = greatest(1, round_even(rr.n * coverage, 0)))"""
 
 
-def _sweep(level: float) -> str:
-    fused = f"""SELECT claim_id, (qs - qt) / nn AS m_support, (qr - qt) / nn AS m_refute, qt / nn AS m_theta, k_doc FROM (
-        SELECT claim_id, sum(er * k_doc) / sum(er) AS k_doc, product(1 - er * f) AS qs, product(1 - er * s) AS qr, product(1 - er * s - er * f) AS qt, qs + qr - qt AS nn FROM (
-            SELECT claim_id, er, (a - c) / (a + b - c) AS s, (b - c) / (a + b - c) AS f, greatest(0, least(1, 1 - (a + b - c))) AS k_doc FROM (
-                SELECT claim_id, min(evaluator_reliability) AS er, product(1 - {level}::DOUBLE * p_refute) AS a, product(1 - {level}::DOUBLE * p_support) AS b,
-                       product(1 - {level}::DOUBLE * p_support - {level}::DOUBLE * p_refute) AS c FROM evidence GROUP BY claim_id, evaluator)) GROUP BY claim_id)"""
-    full = f"SELECT coalesce(m_support, 0) AS m_support, coalesce(m_refute, 0) AS m_refute, coalesce(m_theta, 1) AS m_theta, coalesce(k_doc, 0) AS k_doc FROM claims c LEFT JOIN ({fused}) f ON c.claim_id = f.claim_id"
-    return f"SELECT {level}::DOUBLE AS level, avg(m_theta) AS mean_theta, avg(k_doc) AS mean_k_doc, avg((st IS NOT DISTINCT FROM 'insufficient')::INT) AS share_insufficient, avg((st IS NOT DISTINCT FROM 'conflicting')::INT) AS share_conflicting, count(*) AS n FROM (SELECT *, {state('0.2371', '0.3137')} AS st FROM ({full}))"
-
-
 WORDS = r"[x FOR x IN string_split_regex(text, '\s+') IF x <> '']"
 WINDOWS = f"""win AS (
     SELECT doc_id, unnest(range((greatest(0, ceil((len(w) - 120) / 60)) + 1)::BIGINT)) AS passage, passage * 60 AS start, array_to_string(w[passage * 60 + 1 : passage * 60 + 120], ' ') AS text
@@ -177,11 +167,11 @@ FIVE = FOLD.format(5)
 ROUND9 = ", ".join(f"round({c}, 9) AS {c}" for c in ("m_support", "m_refute", "m_theta", "k_doc"))
 
 
-def searched(source: str, keys: str, tag: str, thetas: str = "", conflicts: str = "") -> str:
+def searched(source: str, keys: str, tag: str, thetas: str = "", conflicts: str = "", steps: int = 9) -> str:
     """CTE pick: of each key the gates that do best on a table (keys, gold_state, masses), among its own quantiles or those
     of tables (keys, value)."""
     on = lambda t: " AND ".join(f"{t}.{k.strip()} = x.{k.strip()}" for k in keys.split(","))
-    return f""", gt{tag} AS ({thetas or quantiles(source, "m_theta", 9, keys)}), gk{tag} AS ({conflicts or quantiles(source, "k_doc", 9, keys)}),
+    return f""", gt{tag} AS ({thetas or quantiles(source, "m_theta", steps, keys)}), gk{tag} AS ({conflicts or quantiles(source, "k_doc", steps, keys)}),
         lt{tag} AS (SELECT {", ".join("x." + k.strip() for k in keys.split(","))}, t.value AS theta, k.value AS conflict, gold_state, coalesce({state("t.value", "k.value")}, 'undetermined') AS predicted
             FROM {source} x JOIN gt{tag} t ON {on("t")} JOIN gk{tag} k ON {on("k")})""" + report(f"lt{tag}", f"{keys}, theta, conflict", tag) + f""",
         pick{tag} AS (SELECT {keys}, theta, conflict, macro_f1 FROM rep{tag} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(macro_f1, 12) DESC, theta, conflict) = 1)"""
@@ -229,10 +219,12 @@ LONG = "pred AS (SELECT 'ds' AS method, claim_id, gold_state, predicted, m_theta
     CASE state WHEN 'supported' THEN score_support WHEN 'refuted' THEN score_refute WHEN 'insufficient' THEN score_unknown ELSE least(score_support, score_refute) END FROM ({q + decided(aware=m == "conflict_aware")} SELECT * FROM base)""" for m, q in BASES.items()) + ")"
 _E2 = "greatest(0, least(1, 1 - (" + " + ".join(f"CASE WHEN p_{k} > 0 THEN -p_{k} * ln(p_{k}) ELSE 0 END" for k in ("support", "refute", "unknown")) + ") / ln(3)))"
 ENTROPY = SQL.replace("), evidence AS (", "), plain AS (") + f", known AS (SELECT sample_id, doc_id, {_E2} AS reliability FROM plain WHERE evaluator = 'e2'), evidence AS (SELECT p.* REPLACE (k.reliability AS doc_reliability) FROM plain p JOIN known k USING (sample_id, doc_id))"
-SIDES = f""", folds AS (SELECT claim_id, {FIVE} AS fold FROM claims), bs AS (SELECT evaluator, sample_id, avg(p_support) AS s, avg(p_refute) AS f FROM evidence GROUP BY 1, 2),
-    sides AS (SELECT evaluator, 'supported' AS side, c.claim_id, round(s, 9) AS score, (gold_state = 'supported')::INT AS positive FROM bs JOIN claims c USING (sample_id) UNION ALL SELECT evaluator, 'refuted', c.claim_id, round(f, 9), (gold_state = 'refuted')::INT FROM bs JOIN claims c USING (sample_id)),
+SIDE = """sides AS (SELECT evaluator, 'direction' AS side, c.claim_id, round(s - f, 9) AS score, (gold_state = 'supported')::INT AS positive FROM bs JOIN claims c USING (sample_id) WHERE gold_state IN ('supported', 'refuted')
+        UNION ALL SELECT evaluator, 'unknown', c.claim_id, round(u, 9), (gold_state = 'insufficient')::INT FROM bs JOIN claims c USING (sample_id))"""
+BS = "bs AS (SELECT evaluator, sample_id, avg(p_support) AS s, avg(p_refute) AS f, avg(p_unknown) AS u FROM evidence GROUP BY 1, 2)"
+SIDES = f""", folds AS (SELECT claim_id, {FIVE} AS fold FROM claims), {BS}, {SIDE},
     outs AS (SELECT o.x AS outer_fold, s.* FROM sides s JOIN folds USING (claim_id), range(5) o(x) WHERE o.x <> fold)""" + detection("outs", "outer_fold, evaluator, side") + """,
-    est AS (SELECT outer_fold, evaluator, greatest(0, least(1, 2 * avg(auroc) - 1)) AS reliability, avg(auroc) AS mean_auroc FROM det GROUP BY 1, 2)"""
+    est AS (SELECT outer_fold, evaluator, greatest(0, least(1, 2 * avg(auroc) - 1)) AS reliability, avg(auroc) AS skill FROM det GROUP BY 1, 2)"""
 _GRID = "tried AS (SELECT r.*, g.theta, g.conflict FROM res r, (SELECT t.x AS theta, k.x AS conflict FROM (VALUES (0.1531), (0.2371), (0.3313)) t(x), (VALUES (0.1917), (0.3137), (0.4519)) k(x)) g), labelled AS (SELECT theta, conflict, gold_state, coalesce(" + state("theta", "conflict") + ", 'undetermined') AS predicted FROM tried)"
 _TOP = "greatest(p_support, p_refute, p_unknown)"
 
@@ -274,7 +266,6 @@ ORACLE_SQL = {
     "conflict_aware_search": SQL + SCORED + f", tried AS (SELECT decision, conflict, margin::DOUBLE AS margin, gold_state, {_AT} AS predicted FROM decided, {DECISION_POINTS}, {CONFLICT_POINTS}, (VALUES (0.05), (0.1), (0.2), (0.4)) v(margin) WHERE method = 'conflict_aware')" + report("tried", "decision, conflict, margin") + " SELECT decision, conflict, margin, round(macro_f1, 6) AS macro_f1, round(accuracy, 6) AS accuracy, plateau FROM (" + _pl("rep", "decision, conflict, margin") + ")",
     "stat_gate_search": GATES + ", sg AS (SELECT * FROM gates WHERE method <> 'ds')" + searched("sg", "method", "_s") + " SELECT method, theta, conflict, round(macro_f1, 6) AS macro_f1 FROM pick_s",
     "ablation": RES + ", labelled AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variant, gold_state, coalesce({state(a, b)}, 'undetermined') AS predicted FROM res" for v, a, b in (("full", "0.2371", "0.3137"), ("no_theta_gate", "2", "0.3137"), ("no_conflict_gate", "0.2371", "2"), ("neither_gate", "2", "2"))) + ")" + report("labelled", "variant") + f" SELECT variant, {R('accuracy', 'macro_f1')}, n, round(macro_f1 - (SELECT macro_f1 FROM rep WHERE variant = 'full'), 6) AS delta FROM rep",
-    "reliability_sweep": SQL + " SELECT level, " + R("mean_theta", "mean_k_doc", "share_insufficient", "share_conflicting") + ", n FROM (" + " UNION ALL ".join(map(_sweep, (0.25, 0.5, 0.75, 1.0))) + ")",
     "verdict_scores": FUSED + f""", plain AS (SELECT claim_id, {WEIGHTED.format("(p_support - p_refute)")} AS average,
             avg(CASE WHEN p_support = {_TOP} AND p_refute <> {_TOP} THEN 1 WHEN p_refute = {_TOP} AND p_support <> {_TOP} THEN -1 ELSE 0 END) AS votes FROM evidence GROUP BY 1),
         v AS (SELECT 'ds' AS method, coalesce(m_support - m_refute, 0) AS margin FROM claims LEFT JOIN fused USING (claim_id) UNION ALL SELECT 'weighted_average', coalesce(average, 0) FROM claims LEFT JOIN plain USING (claim_id)
@@ -289,9 +280,7 @@ ORACLE_SQL = {
         "vi", "variant, outer_fold", "_i", *(f"SELECT variant, outer_fold, i, CASE WHEN variant IN ('{a}', 'neither_gate') THEN 2.0::DOUBLE ELSE value END AS value FROM ({quantiles('vi', c, 9, 'variant, outer_fold')}) QUALIFY row_number() OVER (PARTITION BY variant, outer_fold, value ORDER BY i) = 1" for a, c in (("no_theta_gate", "m_theta"), ("no_conflict_gate", "k_doc")))
     ) + f", fin AS (SELECT variant AS method, gold_state, coalesce({state('theta', 'conflict')}, 'undetermined') AS predicted FROM gates JOIN pick_i ON fold = outer_fold WHERE method = 'ds')" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f",
     "baseline_long": f"WITH {LONG} SELECT method, claim_id, gold_state, predicted, {R('insufficiency_score', 'conflict_score', 'confidence')} FROM pred",
-    "comparison_report": f"WITH {LONG}" + report("pred", "method") + ", rows AS (SELECT method, 'conflict' AS name, round(conflict_score, 9) AS score, (gold_state = 'conflicting')::INT AS positive FROM pred UNION ALL SELECT method, 'insufficiency', round(insufficiency_score, 9), (gold_state = 'insufficient')::INT FROM pred)" + detection("rows", "method, name") + f" SELECT r.method, {R('accuracy', 'macro_f1')}, r.n, round(a.auroc, 6) AS conflict_auroc, round(b.auroc, 6) AS insufficiency_auroc FROM rep r JOIN det a ON a.method = r.method AND a.name = 'conflict' JOIN det b ON b.method = r.method AND b.name = 'insufficiency'",
-    "reliability_sensitivity": SQL + " SELECT setting, " + R("mean_theta", "mean_k_doc", "share_insufficient", "share_conflicting") + ", n FROM (SELECT level::VARCHAR AS setting, * EXCLUDE (level) FROM (" + " UNION ALL ".join(map(_sweep, (0.5, 1.0))) + ") UNION ALL SELECT * FROM (" + ENTROPY + RES.removeprefix(SQL) + " SELECT 'oracle' AS setting, avg(m_theta) AS mean_theta, avg(k_doc) AS mean_k_doc, avg((primary_state IS NOT DISTINCT FROM 'insufficient')::INT) AS share_insufficient, avg((primary_state IS NOT DISTINCT FROM 'conflicting')::INT) AS share_conflicting, count(*) AS n FROM res))",
-    "estimated_reliability_folds": SQL + SIDES + f" SELECT outer_fold AS fold, evaluator, {R('reliability', 'mean_auroc')} FROM est",
+    "estimated_reliability_folds": SQL + SIDES + f" SELECT outer_fold AS fold, evaluator, {R('reliability', 'skill')} FROM est",
     "estimated_reliability_cv": DOC + SIDES.replace("det AS", "det AS") + f""", fu AS (SELECT outer_fold, claim_id, count(*) AS n_evaluators, sum(reliability * k_doc) / nullif(sum(reliability), 0) AS k_doc, product(1 - reliability * m_refute) AS qs, product(1 - reliability * m_support) AS qr,
             product(1 - reliability * m_support - reliability * m_refute) AS qt FROM doc JOIN est USING (evaluator) GROUP BY 1, 2),
         er AS (SELECT o.x AS outer_fold, c.claim_id, gold_state, fold, round(coalesce((qs - qt) / (qs + qr - qt), 0), 9) AS m_support, round(coalesce((qr - qt) / (qs + qr - qt), 0), 9) AS m_refute, round(CASE WHEN f.claim_id IS NULL THEN 1 ELSE qt / (qs + qr - qt) END, 9) AS m_theta,
@@ -300,9 +289,6 @@ ORACLE_SQL = {
     "risk_coverage": RISK + f" SELECT method, {R('coverage', 'risk')} FROM rc", "aurc": RISK + " SELECT method, round(avg(risk), 6) AS aurc FROM rc GROUP BY 1",
     "label_calibration": SQL + f""", j AS (SELECT claim_id, doc_id, {VOTE} AS label, doc_reliability AS weight FROM evidence WHERE evaluator = 'e2')
         SELECT label, {", ".join(f"round(sum(weight * p_{k}) / sum(weight), 6) AS p_{k}" for k in ("support", "refute", "unknown"))}, round(sum(weight), 6) AS weight FROM j JOIN evidence e USING (claim_id, doc_id) WHERE e.evaluator = 'e1' GROUP BY label""",
-    "relation_comparison": SQL + f""", g AS (SELECT claim_id, doc_id, CASE WHEN ({" + ".join(f"({_TOP} - p_{k} <= 1e-9)::INT" for k in ("support", "refute", "unknown"))}) > 1 THEN NULL {" ".join(f"WHEN {_TOP} - p_{k} <= 1e-9 THEN '{k}'" for k in ("support", "refute", "unknown"))} END AS top FROM evidence WHERE evaluator = 'e1'),
-        both_sides AS (SELECT e.*, g.top FROM evidence e JOIN g USING (claim_id, doc_id) WHERE e.evaluator = 'e2' AND g.top IS NOT NULL),
-        rows AS ({" UNION ALL ".join(f"SELECT '{k}' AS relation, round(p_{k}, 9) AS score, (top = '{k}')::INT AS positive FROM both_sides" for k in ("support", "refute", "unknown"))})""" + detection("rows", "relation") + " SELECT relation, round(auroc, 6) AS auroc, positives, n FROM det",
     "vote_distribution": "SELECT l_orderkey AS claim_id, " + ", ".join(f"round(count(*) FILTER ({c}) / count(*), 6) AS {n}" for n, c in (("p_support", "l_returnflag = 'A'"), ("p_refute", "l_returnflag = 'R'"), ("p_unknown", "l_returnflag NOT IN ('A', 'R')"))) + ", count(*) AS n_votes FROM lineitem GROUP BY 1",
     "entropy_reliability": SQL + " SELECT claim_id, doc_id, evaluator, round(greatest(0, least(1, 1 - (" + " + ".join(f"CASE WHEN p_{k} > 0 THEN -p_{k} * ln(p_{k}) ELSE 0 END" for k in ("support", "refute", "unknown")) + ") / ln(3))), 6) AS reliability FROM evidence",
     "claim_dedup": r"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'))",
@@ -329,6 +315,5 @@ ORACLE_SQL = {
     "credibility_join": f"""WITH media(d, c) AS (VALUES ('example.com', 'high'), ('site1.example', 'medium'), ('site2.example', 'low'), ('example.org', 'medium')), p AS (SELECT {DOMAIN} AS domain FROM pages),
         j AS (SELECT coalesce(a.c, b.c) AS credibility FROM p LEFT JOIN media a ON a.d = p.domain LEFT JOIN media b ON b.d = array_to_string(string_split(p.domain, '.')[-2:], '.'))
         SELECT credibility, CASE credibility WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.2 ELSE 0.5 END::DOUBLE AS reliability, count(*) AS n FROM j GROUP BY ALL""",
-    "reliability_estimate": SQL + """, b AS (SELECT evaluator, sample_id, round(avg(p_support), 9) AS s, round(avg(p_refute), 9) AS f FROM evidence GROUP BY 1, 2),
-        rows AS (SELECT evaluator, 'supported' AS side, s AS score, (gold_state = 'supported')::INT AS positive FROM b JOIN claims USING (sample_id) UNION ALL SELECT evaluator, 'refuted', f, (gold_state = 'refuted')::INT FROM b JOIN claims USING (sample_id))""" + detection("rows", "evaluator, side") + " SELECT evaluator, round(greatest(0, least(1, 2 * avg(auroc) - 1)), 6) AS reliability, round(avg(auroc), 6) AS mean_auroc FROM det GROUP BY 1",
+    "reliability_estimate": SQL + f", {BS}, {SIDE}" + detection("sides", "evaluator, side") + " SELECT evaluator, round(greatest(0, least(1, 2 * avg(auroc) - 1)), 6) AS reliability, round(avg(auroc), 6) AS mean_auroc FROM det GROUP BY 1",
 }

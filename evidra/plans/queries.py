@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
-from evidra.operators import baselines, builders, datasets, experiments, fusion, integrity, metrics, resampling, tuning
+from evidra.operators import baselines, builders, credibility, datasets, detection, experiments, fusion, integrity, metrics, relations, resampling, tuning
 from evidra.operators.tables import kept
-from evidra.plans import views
-from evidra.plans.oracle import ORACLE_SQL
+from evidra.plans import oracle, oracle_studies, views
 from evidra.plans.views import K_DOC, K_EVAL, THETA, TIE
 
 GATES = Thresholds(THETA, K_DOC, K_EVAL, TIE)
@@ -85,9 +84,9 @@ def selective_confidence(spark, d):
 
 def integrity_violations(spark, d):
     """Over the relations less every seventh document's second evaluator, with claims of order numbers by 11 unknown."""
-    relations = _evidence(spark, d).filter(~((F.col("evaluator") == "e2") & (F.col("claim_id") % 7 == 0) & (F.col("doc_id") == 1)))
+    found = _evidence(spark, d).filter(~((F.col("evaluator") == "e2") & (F.col("claim_id") % 7 == 0) & (F.col("doc_id") == 1)))
     claims = _claims(spark, d).filter("claim_id % 11 <> 0")
-    return integrity.violations(claims, views.contexts(spark, d), relations)
+    return integrity.violations(claims, views.contexts(spark, d), found)
 
 
 def first_n_documents(spark, d):
@@ -132,34 +131,18 @@ def classification_report(spark, d):
     return rounded(metrics.classification_report(_labelled(spark, d).withColumn("method", F.lit("ds")), ["method"]))
 
 
-def _detection_rows(spark, d):
-    df = _results(spark, d)
-    each = F.array(
-        F.struct(F.lit("k_doc").alias("name"), F.round("k_doc", 9).alias("score"), (F.col("gold_state") == "conflicting").cast("int").alias("positive")),
-        F.struct(F.lit("m_theta").alias("name"), F.round("m_theta", 9).alias("score"), (F.col("gold_state") == "insufficient").cast("int").alias("positive")),
-    )
-    return df.select(F.explode(each).alias("x")).select("x.*")
-
-
 def detection_report(spark, d):
-    return rounded(metrics.detection_report(_detection_rows(spark, d), ["name"]))
+    return rounded(metrics.detection_report(detection.fused_rows(_results(spark, d)).withColumn("name", F.when(F.col("task") == "conflict", "k_doc").otherwise("m_theta")), ["name"]))
 
 
 def detection_proxies(spark, d):
     """AUROC of the seven conflict and three insufficiency proxies."""
-    s = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d))
-    a, b = F.col("score_support"), F.col("score_refute")
-    conflict = {"one_minus_abs_margin": 1 - F.abs(a - b), "min_mean": F.least(a, b), "mean_product": a * b, "max_product": F.col("conflict_max_product"), "min_max": F.col("min_max"), "sr_std": F.col("conflict_sr_std"), "document_count": F.col("document_count").cast("double")}
-    thin = {"mean_unknown": F.col("score_unknown"), "min_unknown": F.col("min_unknown"), "unknown_product": F.col("insufficiency_uprod")}
-    cell = lambda n, x, gold: F.struct(F.lit(n).alias("name"), F.round(x, 9).alias("score"), (F.col("gold_state") == gold).cast("int").alias("positive"))
-    cells = F.array(*(cell(n, x, "conflicting") for n, x in conflict.items()), *(cell(n, x, "insufficient") for n, x in thin.items()))
-    return rounded(metrics.detection_report(s.select(F.explode(cells).alias("x")).select("x.*"), ["name"]).select("name", "auroc"))
+    rows = detection.proxy_rows(baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d)))
+    return rounded(metrics.detection_report(rows, ["name"]).select("name", "auroc"))
 
 
 def auroc_by_doc_count(spark, d):
-    docs = views.contexts(spark, d).groupBy("sample_id").agg(F.count("*").alias("documents"))
-    rows = _results(spark, d).join(docs, "sample_id").select("documents", F.round("k_doc", 9).alias("score"), (F.col("gold_state") == "conflicting").cast("int").alias("positive"))
-    return rounded(metrics.detection_report(rows, ["documents"]).filter("n >= 40 AND positives >= 8 AND n - positives >= 8").select("documents", "auroc", "n"))
+    return rounded(detection.auroc_by_document_count(_results(spark, d), views.contexts(spark, d)))
 
 
 def observed_grid(spark, d):
@@ -259,9 +242,7 @@ def baseline_long(spark, d):
 def comparison_report(spark, d):
     """Every method's labels and detection scores side by side."""
     long = _long(spark, d).withColumns({c: F.round(c, 9) for c in ("conflict_score", "insufficiency_score")})
-    found = metrics.detection_report(experiments.compared_detection(long), ["method", "name"]).groupBy("method").pivot("name", ["conflict", "insufficiency"]).agg(F.first("auroc"))
-    labels = metrics.classification_report(long, ["method"])
-    return rounded(labels.join(found.select("method", F.col("conflict").alias("conflict_auroc"), F.col("insufficiency").alias("insufficiency_auroc")), "method"))
+    return rounded(experiments.comparison_report(long))
 
 
 def reliability_sensitivity(spark, d):
@@ -269,20 +250,46 @@ def reliability_sensitivity(spark, d):
     e = _evidence(spark, d)
     p = [F.col(c) for c in ("p_support", "p_refute", "p_unknown")]
     known = e.filter("evaluator = 'e2'").select("sample_id", "doc_id", datasets.entropy_reliability(p).alias("reliability"))
-    return rounded(experiments.reliability_sensitivity(_claims(spark, d), e, [0.5, 1.0], known, GATES))
+    return rounded(experiments.reliability_sensitivity(_claims(spark, d), e, views.contexts(spark, d), [0.5, 1.0], known, GATES))
+
 
+def _estimated_folds(estimator):
+    def run(spark, d):
+        folded = experiments.stratified_folds(_claims(spark, d), FOLDS)
+        return rounded(experiments.estimates_by_fold(_evidence(spark, d), folded, FOLDS, estimator).select(F.col("fold").cast("long").alias("fold"), "evaluator", "reliability", "skill"))
 
-def estimated_reliability_folds(spark, d):
-    """Evaluators' reliability as the claims of the other folds suggest it."""
-    folded = experiments.stratified_folds(_claims(spark, d), FOLDS)
-    return rounded(experiments.estimates_by_fold(_evidence(spark, d), folded, FOLDS, metrics.detection_report).select(F.col("fold").cast("long").alias("fold"), "evaluator", "reliability", "mean_auroc"))
+    return run
 
 
 def estimated_reliability_cv(spark, d):
     """nested_cv of fusion with estimated reliabilities."""
     folded = kept(experiments.stratified_folds(_claims(spark, d), FOLDS), "folds")
-    pooled = experiments.estimated_cv(folded, _evidence(spark, d), FOLDS, STEPS, metrics.detection_report)
-    return rounded(metrics.classification_report(pooled, ["method"]))
+    return rounded(metrics.classification_report(experiments.estimated_cv(folded, _evidence(spark, d), FOLDS, STEPS), ["method"]))
+
+
+def _estimated_methods(estimator):
+    def run(spark, d):
+        folded = kept(experiments.stratified_folds(_claims(spark, d), FOLDS), "folds")
+        pooled = experiments.estimated_methods_cv(folded, _evidence(spark, d), FOLDS, 5, "e1", estimator)
+        return rounded(metrics.classification_report(pooled, ["method"]))
+
+    return run
+
+
+SEEDS = [42, 1, 2, 3, 4]
+
+
+def seed_robustness(spark, d):
+    """nested_cv_methods under five seeds."""
+    claims = kept(experiments.seed_folds(_claims(spark, d), FOLDS, SEEDS), "seeds")
+    results = fusion.run_pipeline(claims, _evidence(spark, d), GATES)
+    stat = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d))
+    gates = experiments.gate_methods(results, stat)
+    gates = kept(gates.withColumns({c: F.round(c, 9) for c in ("m_support", "m_refute", "m_theta", "k_doc")}), "gates")
+    scores = baselines.run_baselines(claims, _evidence(spark, d), BASE, "e1")
+    scores = kept(scores.withColumns({c: F.round(c, 9) for c in baselines.SCORES}), "baselines")
+    _, reports = experiments.seed_reports(gates, scores, FOLDS, SEEDS, 5)
+    return rounded(experiments.seed_robustness(reports))
 
 
 def _risk_rows(spark, d):
@@ -299,43 +306,39 @@ def aurc(spark, d):
     return rounded(metrics.aurc(_risk_rows(spark, d), ["method"]))
 
 
+#: Resamples of metrics of labels, and of an order.
+RESAMPLES, RANKED = 200, 50
+
+
 def paired_bootstrap(spark, d):
     """Fusion against the weighted average on all claims."""
     ds = _labelled(spark, d).select("claim_id", "gold_state", F.col("predicted").alias("predicted_a"))
     wa = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE).select("claim_id", F.col("state").alias("predicted_b"))
-    return rounded(resampling.paired_bootstrap(ds.join(wa, "claim_id")))
+    return rounded(resampling.paired_bootstrap(ds.join(wa, "claim_id"), RESAMPLES))
 
 
 def bootstrap_interval(spark, d):
-    return rounded(resampling.bootstrap_interval(_labelled(spark, d)))
-
-
-def _conflict_scores(spark, d) -> DataFrame:
-    """Fusion's conflict and the proxies of it, by claim."""
-    s = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d)).join(_results(spark, d).select("claim_id", "k_doc"), "claim_id")
-    names = {"k_doc": "k_doc", "sr_std": "conflict_sr_std", "max_product": "conflict_max_product", "min_max": "min_max"}
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), F.round(c, 9).alias("score")) for n, c in names.items()))
-    each = s.select(F.xxhash64("claim_id").alias("id"), (F.col("gold_state") == "conflicting").cast("int").alias("positive"), F.explode(cells).alias("x"))
-    return kept(each.select("x.name", "id", "x.score", "positive"), "conflict-scores")
+    return rounded(resampling.bootstrap_interval(_labelled(spark, d), RESAMPLES))
 
 
 def paired_auroc_bootstrap(spark, d):
-    """Fusion's conflict against each proxy, on all claims."""
-    return rounded(resampling.paired_auroc_bootstrap(_conflict_scores(spark, d), "k_doc", metrics.detection_report, 1000))
+    """Fusion's conflict and ignorance against each proxy, on all claims."""
+    stat = baselines.stat_gate_scores(_claims(spark, d), _evidence(spark, d))
+    return rounded(detection.compare_detection(_results(spark, d), stat, RANKED))
 
 
 def paired_selective_bootstrap(spark, d):
     """How well confidence ranks errors: fusion against the weighted average, on all claims."""
     long = _long(spark, d).filter("method IN ('ds', 'weighted_average')")
-    rows = long.select(F.col("method").alias("name"), F.xxhash64("claim_id").alias("id"), F.round(1 - F.col("confidence"), 9).alias("risk_score"), F.col("claim_id").alias("order_key"), (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct"))
-    return rounded(resampling.paired_selective_bootstrap(kept(rows, "risks"), "ds", metrics.detection_report, metrics.aurc, 1000))
+    rows = long.select(F.col("method").alias("name"), F.col("claim_id").alias("id"), F.round(1 - F.col("confidence"), 9).alias("risk_score"), F.col("claim_id").alias("order_key"), (F.col("predicted") == F.col("gold_state")).cast("int").alias("correct"))
+    return rounded(resampling.paired_selective_bootstrap(kept(rows, "risks"), "ds", RANKED))
 
 
 def compare_runs(spark, d):
     """The baselines with this evidence against those with all documents at full reliability."""
     run = lambda e: baselines.run_baselines(_claims(spark, d), e, BASE, "e1").withColumnRenamed("state", "predicted")
     full = run(_evidence(spark, d).withColumn("doc_reliability", F.lit(1.0)))
-    return rounded(resampling.compare_runs(kept(run(_evidence(spark, d)), "run"), kept(full, "run"), 1000))
+    return rounded(resampling.compare_runs(kept(run(_evidence(spark, d)), "run"), kept(full, "run"), RESAMPLES))
 
 
 def label_calibration(spark, d):
@@ -348,25 +351,52 @@ def label_calibration(spark, d):
     return rounded(datasets.calibrate_labels(judged.join(e.filter("evaluator = 'e1'").select("claim_id", "doc_id", "p_support", "p_refute", "p_unknown"), ["claim_id", "doc_id"])))
 
 
-def relation_comparison(spark, d):
-    """Detection of the relation that the first evaluator is sure of, by the second one's probability."""
+def _three_inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Votes on each line as annotations, and both evaluators."""
     e = _evidence(spark, d)
-    gold = datasets_argmax(e.filter("evaluator = 'e1'")).select("claim_id", "doc_id", "top")
-    other = e.filter("evaluator = 'e2'").select("claim_id", "doc_id", *(F.round(c, 9).alias(c) for c in ("p_support", "p_refute", "p_unknown")))
-    both = other.join(gold.filter("top IS NOT NULL"), ["claim_id", "doc_id"])
-    cells = F.array(*(F.struct(F.lit(k).alias("relation"), F.col(f"p_{k}").alias("score"), (F.col("top") == k).cast("int").alias("positive")) for k in ("support", "refute", "unknown")))
-    return rounded(metrics.detection_report(both.select(F.explode(cells).alias("x")).select("x.*"), ["relation"]).select("relation", "auroc", "positives", "n"))
+    return views.voted_relations(spark, d), e.filter("evaluator = 'e1'"), e.filter("evaluator = 'e2'")
+
+
+def relation_comparison(spark, d):
+    """Which evaluator's relations are nearer to the annotated ones, resampled by claim."""
+    return rounded(relations.relation_comparison(*_three_inputs(spark, d), RANKED))
+
+
+def relation_counts(spark, d):
+    return relations.relation_counts(*_three_inputs(spark, d))
+
 
+def pair_violations(spark, d):
+    """Over inputs of which one lacks each eleventh claim and another has every thirteenth twice."""
+    oracle, first, second = _three_inputs(spark, d)
+    twice = second.unionByName(second.filter("claim_id % 13 = 0"))
+    return relations.pair_violations(oracle, first.filter("claim_id % 11 <> 0"), twice)
 
-def datasets_argmax(df: DataFrame) -> DataFrame:
-    """top: the relation whose probability leads by more than 1e-9, else null."""
-    p = {k: F.col(f"p_{k}") for k in ("support", "refute", "unknown")}
-    best = F.greatest(*p.values())
-    near = sum((best - x <= 1e-9).cast("int") for x in p.values())
-    top = F.when(near > 1, None)
-    for k, x in p.items():
-        top = top.when(best - x <= 1e-9, k)
-    return df.withColumn("top", top)
+
+CREDIBILITY = {"high": 1.0, "medium": 0.6, "low": 0.2, None: 0.6}
+SETTINGS = {"none": dict.fromkeys(CREDIBILITY, 1.0), "credibility": CREDIBILITY}
+GRID12 = credibility.grid({"high": 1.0, "medium": 0.6}, [0.0, 0.2, 0.4], [0.4, 0.6, 0.8, 1.0])
+
+
+def _verdicts(spark, d, settings) -> DataFrame:
+    claims = _claims(spark, d).filter(F.col("gold_state").isin(credibility.VERDICTS))
+    return credibility.verdicts(claims, views.rated_evidence(spark, d), settings)
+
+
+def credibility_verdicts(spark, d):
+    """Verdicts with and without the sources' credibility."""
+    return rounded(credibility.verdict_report(_verdicts(spark, d, SETTINGS), ["setting", "method"]))
+
+
+def credibility_comparison(spark, d):
+    pairs = [(("credibility", "ds"), ("none", "ds")), (("credibility", "weighted_average"), ("none", "weighted_average")), (("credibility", "ds"), ("credibility", "weighted_average")), (("none", "ds"), ("none", "weighted_average")), (("credibility", "ds"), ("none", "majority_vote"))]
+    return rounded(credibility.compare_verdicts(kept(_verdicts(spark, d, SETTINGS), "verdicts"), pairs, RANKED))
+
+
+def credibility_grid(spark, d):
+    """Twelve maps of credibility to reliability, fused in one aggregate."""
+    rows = _verdicts(spark, d, GRID12).filter("method <> 'majority_vote'")
+    return rounded(credibility.verdict_report(rows, ["setting", "method"]).select("setting", "method", "accuracy", "macro_f1", "auroc"))
 
 
 def vote_distribution(spark, d):
@@ -460,7 +490,7 @@ def credibility_join(spark, d):
 
 
 def reliability_estimate(spark, d):
-    """An evaluator's reliability from the AUROC of its mean support and refutation by sample."""
+    """An evaluator's reliability from what its means by sample detect."""
     rows = experiments.side_scores(_evidence(spark, d), _claims(spark, d))
     report = metrics.detection_report(rows.select("evaluator", "side", "score", "positive"), ["evaluator", "side"])
     return rounded(experiments.estimated_reliability(report, ["evaluator"]))
@@ -478,9 +508,13 @@ QUERIES = {
         *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
         confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, conflict_aware_search, stat_gate_search,
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
-        estimated_reliability_folds, estimated_reliability_cv, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
+        _named(_estimated_folds("auroc"), "estimated_reliability_folds"), _named(_estimated_folds("macro_f1"), "estimated_macro_f1_folds"), estimated_reliability_cv,
+        _named(_estimated_methods("auroc"), "estimated_methods_cv"), _named(_estimated_methods("macro_f1"), "estimated_methods_macro_f1_cv"), seed_robustness, relation_counts, pair_violations,
+        credibility_verdicts, credibility_comparison, credibility_grid, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
         entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, balanced_split, vote_relations, relations_from_labels, label_contingency, url_domain, credibility_join, reliability_estimate,
     )
 }
 
+ORACLE_SQL = oracle.ORACLE_SQL | oracle_studies.ORACLE_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -51,6 +51,20 @@ def supplier_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumns({"claim_id": F.col("source_id"), "pos": F.col("sample_id") * 10 + F.col("pos"), "sample_id": F.col("source_id")})
 
 
+def rated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """evidence() with the credibility of its source; every fourth source is unrated."""
+    rated = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit(None).cast("string")), (F.col("source_id") % 4 + 1).cast("int"))
+    return evidence(spark, sf_dir, keep=["source_id"]).withColumn("credibility", rated).drop("source_id")
+
+
+def voted_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of votes on each document: up to four for each side, by its own measures; without a vote all are equal."""
+    votes = {k: F.floor(4 * F.col(c) + 1e-9) for k, c in (("support", "a"), ("refute", "b"), ("unknown", "c"))}
+    total = sum(votes.values())
+    share = lambda v: F.when(total > 0, v / total).otherwise(1 / 3)
+    return contexts(spark, sf_dir).select("sample_id", F.col("sample_id").alias("claim_id"), "doc_id", *(share(v).alias(f"p_{k}") for k, v in votes.items()))
+
+
 def torn_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """evidence() with certain relations put in, so that every status occurs: of ten claims one has documents in total
     conflict, one evaluators, one the former in an evaluator of reliability 0, and one no evaluator of any reliability."""

@@ -76,9 +76,9 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         three = _mix(c[:-2] * np.uint64(5) + c[1:-1] * np.uint64(7) + c[2:])
         buckets.append(three[inner])
         owners.append(owner[1:-1][inner])
-    whole = np.add.reduceat(c * (np.arange(len(c), dtype=np.uint64) - first.astype(np.uint64)[owner.clip(0, len(words) - 1)] + np.uint64(11)), first)
-    ends = np.flatnonzero(border)[1:]
-    whole -= c[ends] * (ends.astype(np.uint64) - first.astype(np.uint64) + np.uint64(11))
+    # the borders within a sum count as 0, so a word's bucket is the same whatever stands beside it
+    place = np.arange(len(c), dtype=np.uint64) - first.astype(np.uint64)[owner.clip(0, len(words) - 1)] + np.uint64(11)
+    whole = np.add.reduceat(np.where(border, np.uint64(0), c * place), first)
     buckets.append(_mix(whole))
     owners.append(np.arange(len(words)))
     scripts = _SCRIPT[np.searchsorted(_FIRST, codes[first].astype(np.int64), side="right") - 1]
@@ -136,16 +136,17 @@ def _count(batches):
 def fit(docs: DataFrame, learn: Column, per_language: int = 1000) -> LanguageModel:
     """A model from the rows of docs (doc_id, text, lang) for which learn holds; an error beyond MAX_LANGUAGES."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("text", "lang", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")).alias("key"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1).toArrow()
     if sizes.num_rows > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages make too large a model to broadcast; let learn select fewer")
     # the lowest hashes of a language, a few more than are taken: so the window never meets a whole language
     enough = per_language + 10 * per_language**0.5 + 50
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, enough / n)) for k, n in zip(*(c.to_pylist() for c in sizes.columns), strict=True)], "lang string, share double")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    low = rows.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= F.col("share"))
+    order = Window.partitionBy("lang").orderBy("key")
+    low = rows.select("key", "lang").join(F.broadcast(shares), "lang").filter(F.col("key") / 2.0**64 + 0.5 <= F.col("share"))
     ids = low.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    sample = rows.join(F.broadcast(ids.select("key").distinct()), "key", "left_semi")
     found = map_batches(sample.select("lang", "text"), _count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").cast("float").alias("n")).toArrow()
     names = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
     languages = tuple(sorted(names.dictionary.to_pylist()))

@@ -93,9 +93,14 @@ class Index:
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[at], self.weight[at], self.n) * unused
         few = min(NEIGHBOURS, self.n - 1)
-        best = np.argpartition(-score, few)[:few]
-        best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] > 0]
+        if not few:
+            return terms[:0]
+        # all above the border score, and at it the earliest rows
+        border = max(-np.partition(-score, few - 1)[few - 1], 0.0)
+        above = np.flatnonzero(score > border)
+        level = np.flatnonzero(score == border)[: few - len(above)] if border else above[:0]
+        best = np.concatenate([above, level])
+        return best[np.lexsort((best, -score[best]))]
 
 
 def pack_shard(docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:

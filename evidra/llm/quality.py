@@ -7,12 +7,13 @@ entries of a text's bins, for all texts of a batch at once.
 
 Fitting takes at most max_fit labelled rows, those with the lowest hash of their id; their features, not their texts,
 reach the driver. Defined results: null and empty texts have all features 0 and get a score like any other; ids with
-labels that disagree, and null labels, are not learned from; repeated rows get equal scores; without a label to learn
+labels that disagree, and null labels, are not learned from; of rows that repeat a labelled id the least text is learned; repeated rows get equal scores; without a label to learn
 from every score is 0.5. Whole texts are read.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
@@ -20,41 +21,45 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from evidra.llm._shared import map_batches, steps, strings, with_columns
 from evidra.llm.toxicity import sample_of
 
 FEATURES = [
-    "log_bytes", "words", "mean_word", "upper", "digit", "space", "symbol", "bar", "stop", "comma", "exclaim", "non_ascii",
-    "line_words", "repeated_lines", "distinct_words", "top_word", "longest_word", "sentence_words", "distinct_tail", "paired_symbols",
+    "log_bytes", "log_words", "mean_word", "upper", "digit", "space", "symbol", "non_ascii", "line_words", "repeated_lines", "distinct_words", "top_word", "longest_word",
+    "sentence_words", "distinct_tail", "no_letter_words", "no_letter_lines", "symbol_run", "longest_symbol_run", "symbol_entropy",
 ]
 #: Bins of a feature, and of either feature of a pair.
 BINS, PAIR_BINS = 32, 8
-_CLASS = np.zeros((256, 9), np.int64)
-for _k, _set in enumerate([range(65, 91), range(48, 58), (9, 10, 11, 12, 13, 32), b"#$%&*+<=>@[]^_`{}~\\", b"|", b".", b",;:", b"!?", range(128, 256)]):
-    _CLASS[list(_set), _k] = 1
+#: ASCII symbols, and each byte's class: letter (with all that isn't ASCII), digit, symbol, or white space as it is.
+_SYMBOLS = [i for i in range(33, 127) if not chr(i).isalnum()]
+_FLAT = bytes(ord("a") if i >= 128 or chr(i).isalpha() else ord("0") if chr(i).isdigit() else ord(".") if i in _SYMBOLS else i if chr(i).isspace() else ord("a") for i in range(256))
+_RUN = re.compile(rb"\.+")
 
 
 def describe(texts: list[str]) -> np.ndarray:
-    """(texts, features)"""
+    """(texts, features): sizes, shares of character classes, repetition of words and lines, words and lines without a letter,
+    and how symbols cluster (mean and longest run) and vary (entropy)."""
     out = np.zeros((len(texts), len(FEATURES)))
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "surrogatepass")
         words = raw.split()
         if not words:
             continue
-        n, w = len(raw), len(words)
-        kinds = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / n
-        lines = raw.split(b"\n")
+        n, w, flat = len(raw), len(words), raw.translate(_FLAT)
+        each = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        symbols = each[_SYMBOLS]
+        total = int(symbols.sum())
+        share = symbols[symbols > 0] / max(total, 1)
+        runs = list(map(len, _RUN.findall(flat)))
+        lines, plain = raw.split(b"\n"), [x for x in flat.split(b"\n") if x.strip()]
         lengths = np.fromiter(map(len, words), np.int64, w)
         seen = Counter(words)
-        top = max(seen.values())
         tail = words[w // 2 :]
         out[i] = [
-            np.log1p(n), np.log1p(w), lengths.mean(), *kinds[[0, 1, 2, 3, 4, 5, 6, 7, 8]], w / len(lines), 1 - len(set(lines)) / len(lines),
-            len(seen) / w, top / w, lengths.max(), w / (1 + raw.count(b".")), len(set(tail)) / len(tail),
-            sum(map(raw.count, (b"%%", b"**", b"$$", b"&&", b"##", b"!!"))) / w,
+            np.log1p(n), np.log1p(w), lengths.mean(), each[65:91].sum() / n, each[48:58].sum() / n, (n - lengths.sum()) / n, total / n, each[128:].sum() / n, w / len(lines), 1 - len(set(lines)) / len(lines),
+            len(seen) / w, max(seen.values()) / w, lengths.max(), w / (1 + each[46]), len(set(tail)) / len(tail), sum(b"a" not in x for x in flat.split()) / w, sum(b"a" not in x for x in plain) / max(len(plain), 1),
+            total / max(len(runs), 1), max(runs, default=0), -(share * np.log(share)).sum() if total else 0.0,
         ]
     return out
 
@@ -150,8 +155,7 @@ def _described(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "quality", max_fit: int = 20_000) -> QualityModel:
     """A model from the labelled rows for which learn (of doc_id) holds."""
-    sample = sample_of(labels, column, learn, max_fit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "label", "text")
+    rows = sample_of(docs, labels, column, learn, max_fit)
     found = map_batches(rows, _described, "place long, label int, x array<double>").toArrow()
     if not found.num_rows:
         return QualityModel(0.0, [np.empty(0)] * len(FEATURES), [np.zeros(1)] * len(FEATURES), [])

@@ -1,14 +1,16 @@
 """Toxicity by logistic regression over hashed word n-grams and skip-grams, trained with FTRL-proximal.
 
 Features are the presence of hashed words, of the heads (first letters) of long words, of word pairs and of pairs with
-one word between them. FTRL-proximal has a rate for
-each coordinate and an L1 term that leaves most weights at exactly 0, so the trained model is a short list of indices
-and weights, small enough to broadcast (its size is checked).
+one word between them. FTRL-proximal has a rate for each coordinate and an L1 term that leaves most weights at exactly
+0, so the trained model is a short list of indices and weights, small enough to broadcast (its size is checked). Scores are
+calibrated on rows that the model which scores them hasn't learned from, so they are probabilities and a threshold means the
+same for any table.
 
 Fitting takes at most max_fit labelled rows, those with the lowest hash of their id, in that order, in one task: a
 bounded sample that does not depend on the partitioning. Defined results: null and empty texts have no feature and get
-the score of the bias; ids with labels that disagree, and null labels, are not learned from; repeated rows get equal
-scores; without a label to learn from every score is 0. Whole texts are read.
+the score of the bias; ids with labels that disagree, and null labels, are not learned from; of rows that repeat a
+labelled id the least text is learned; repeated rows get equal scores; without a label to learn from every score is 0.
+Whole texts are read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ MAX_WEIGHTS = 500_000
 class Words:
     """Hashes of the words that a task has met: of the word and of its heads (0: the word is no longer than that)."""
 
-    HEADS = (6, 8)
+    HEADS = (5, 6, 7, 8)
 
     def __init__(self):
         self.place = Memo(24 << 20, 220)
@@ -81,7 +83,7 @@ class ToxicityModel:
         return w
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, epochs: int = 5) -> ToxicityModel:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 15.0, l2: float = 1.0, epochs: int = 5) -> ToxicityModel:
     """FTRL-proximal over rows of distinct feature indices. The bias is a coordinate of its own without L1. The rarer class
     weighs more, by the root of the classes' ratio."""
     share = np.clip(labels.mean(), 0.001, 0.999)
@@ -106,6 +108,45 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: f
     return ToxicityModel(float(w[SIZE]), hit, w[hit].astype(np.float32))
 
 
+def platt(logits: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """The scale and offset of logits under which they are probabilities of the labels (Newton's method; the scale is held
+    near 1 by a weak prior, and both classes by half a row each)."""
+    s = np.append(logits, [0.0, 0.0])
+    y, w = np.append(labels, [0.0, 1.0]), np.append(np.ones(len(labels)), [0.5, 0.5])
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * s + b, -35, 35)))
+        g, h = (p - y) * w, np.maximum(p * (1 - p) * w, 1e-9)
+        slope = np.array([(g * s).sum() + (a - 1), g.sum()])
+        step = np.linalg.solve(np.array([[(h * s * s).sum() + 1, (h * s).sum()], [(h * s).sum(), h.sum()]]), slope)
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return (a, b) if a > 0 else (1.0, 0.0)
+
+
+def trained(rows: list[np.ndarray], labels: np.ndarray, parts: int = 3, **settings) -> ToxicityModel:
+    """A calibrated model: each part of the rows is scored by a model of the others, and what turns these scores into
+    probabilities is applied to the model of all rows. A feature of one row alone says nothing about others and is left out."""
+
+    def of(rows: list[np.ndarray], labels: np.ndarray) -> ToxicityModel:
+        times = np.bincount(np.concatenate(rows), minlength=SIZE)
+        return ftrl([r[times[r] > 1] for r in rows], labels, **settings)
+
+    model, part = of(rows, labels), np.arange(len(rows)) % parts
+    if len(rows) < 2 * parts or labels.min() == labels.max():
+        return model
+    logits = np.zeros(len(rows))
+    for k in range(parts):
+        inside, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        m = of([rows[i] for i in rest], labels[rest])
+        dense = m.dense().astype(np.float64)
+        logits[inside] = [m.bias + dense[rows[i]].sum() for i in inside]
+    a, b = platt(logits, labels)
+    return ToxicityModel(float(a * model.bias + b), model.index, (a * model.weight).astype(np.float32))
+
+
 def _rows(batches):
     hashes = Words()
     for whole in batches:
@@ -121,9 +162,7 @@ def _train(batches):
         labels += batch.column(1).to_pylist()
         rows += [np.frombuffer(x, "<i4").astype(np.int64) for x in batch.column(2).to_pylist()]
     if labels:
-        # a feature of one row says nothing about others
-        times = np.bincount(np.concatenate(rows), minlength=SIZE)
-        m = ftrl([r[times[r] > 1] for r in rows], np.array(labels, float))
+        m = trained(rows, np.array(labels, float))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight, m.bias), pa.float64())], ["i", "w"])
 
 
@@ -133,17 +172,17 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("_max")).filter("label = _max").select("doc_id", "label")
 
 
-def sample_of(labels: DataFrame, column: str, learn: Column, max_fit: int) -> DataFrame:
-    """(doc_id, label, place): at most max_fit rows for which learn holds, with the lowest hash of their id."""
-    place = F.xxhash64("doc_id")
-    return labelled(labels, column).filter(learn).withColumn("place", place).orderBy("place", "doc_id").limit(max_fit)
+def sample_of(docs: DataFrame, labels: DataFrame, column: str, learn: Column, max_fit: int) -> DataFrame:
+    """(place, label, text): at most max_fit rows, of the ids for which learn holds with the lowest hashes. Of rows that repeat
+    an id the least text is taken, before the shuffle."""
+    chosen = labelled(labels, column).filter(learn).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_fit)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "place", "label").agg(F.min("text").alias("text")).select("place", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, column: str = "toxic", max_fit: int = 12_000) -> ToxicityModel:
     """A model from the labelled rows for which learn (of doc_id) holds."""
-    sample = sample_of(labels, column, learn, max_fit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "label", "text")
-    rows = map_batches(rows, _rows, "place long, label int, features binary")
+    rows = map_batches(sample_of(docs, labels, column, learn, max_fit), _rows, "place long, label int, features binary")
     # only the sample's features meet in one task; coalesce(1) would draw the scan of all documents into it
     found = map_batches(rows.repartition(1).sortWithinPartitions("place", "features"), _train, "i int, w double").toArrow()
     index, weight = found.column("i").to_numpy(), found.column("w").to_numpy()

@@ -123,6 +123,36 @@ def test_toxicity_is_that_of_a_plain_version():
     assert model.bias == pytest.approx(bias) and dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(weights, rel=1e-5)
 
 
+def test_toxicity_is_calibrated_on_unseen_rows():
+    rng = np.random.default_rng(8)
+    logits, labels = rng.normal(size=4000) * 3, np.zeros(4000)
+    labels[rng.random(4000) < 1 / (1 + np.exp(-(0.5 * logits - 1.5)))] = 1
+    assert toxicity.platt(logits, labels) == pytest.approx((0.5, -1.5), abs=0.15)
+    assert all(np.isfinite(toxicity.platt(np.where(labels == 1, 40.0, -40.0), labels)))
+    texts = [prose(i, 40) + (" vile" * (i % 3 == 0)) for i in range(90)]
+    ids, cuts = toxicity.features(texts, toxicity.Words())
+    rows, y = [np.unique(ids[a:b]).astype(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)], np.array([float("vile" in t) for t in texts])
+    plain = toxicity.ftrl([r[np.bincount(np.concatenate(rows), minlength=toxicity.SIZE)[r] > 1] for r in rows], y, alpha=1.0, l1=1.0)
+    model = toxicity.trained(rows, y, alpha=1.0, l1=1.0)
+    scale = model.weight / plain.weight
+    assert scale == pytest.approx(scale[0], rel=1e-4) and scale[0] > 0 and (model.index == plain.index).all()
+    held = np.zeros(90)
+    for k in range(3):
+        rest = [i for i in range(90) if i % 3 != k]
+        times = np.bincount(np.concatenate([rows[i] for i in rest]), minlength=toxicity.SIZE)
+        m = toxicity.ftrl([rows[i][times[rows[i]] > 1] for i in rest], y[rest], alpha=1.0, l1=1.0)
+        held[k::3] = [m.bias + m.dense()[rows[i]].sum() for i in range(k, 90, 3)]
+    a, b = toxicity.platt(held, y)
+    assert scale[0] == pytest.approx(a, rel=1e-3) and model.bias == pytest.approx(a * plain.bias + b, rel=1e-3)
+
+
+def test_samples_bound_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = docs(spark, [(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b")] + [(i, "x") for i in range(3, 40)])
+    got = toxicity.sample_of(rows, labels, "toxic", F.lit(True), 10)
+    assert got.count() <= 10 and {r.text for r in toxicity.sample_of(rows, labels.filter("doc_id < 3"), "toxic", F.lit(True), 10).collect()} == {"text 0", "b"}
+
+
 def test_packing_asks_by_bm25():
     rng = np.random.default_rng(3)
     pieces = [rng.zipf(1.4, rng.integers(5, 60)).clip(1, 200).astype(np.uint32) for _ in range(40)]
@@ -143,6 +173,49 @@ def test_packing_asks_by_bm25():
         assert [round(score[i], 6) for i in got] == [round(score[i], 6) for i in want]
 
 
+def test_packing_breaks_ties_by_row():
+    index = packing.Index([np.arange(8, dtype=np.uint32)] * 300)
+    unused = np.ones(300, bool)
+    unused[[0, 3]] = False
+    assert index.neighbours(np.arange(8), unused).tolist() == [i for i in range(300) if i not in (0, 3)][: packing.NEIGHBOURS]
+    mixed = packing.Index([np.array([1, 2, 3, k % 3 + 5], np.uint32) for k in range(60)])
+    got = mixed.neighbours(np.array([1, 2, 3, 6]), np.ones(60, bool))
+    assert got.tolist() == list(range(1, 60, 3))[: packing.NEIGHBOURS]
+
+
+def plain_word_scores(rows, model, word):
+    """Log shares of a word's n-grams among those of each language, from counts of all of its texts, one n-gram at a time."""
+    buckets, _, _ = language_id.word_features([word])
+    total = []
+    for lang in model.languages:
+        n = np.zeros(language_id.BUCKETS)
+        for text, own in rows:
+            if own == lang:
+                for w in language_id.WORDS.findall(text.lower()):
+                    np.add.at(n, language_id.word_features([w])[0], 1)
+        n = (n + 0.1) / (n + 0.1).sum()
+        total.append(np.log(n[buckets]).sum())
+    return total
+
+
+def test_word_features_do_not_depend_on_other_words():
+    words = ["und", "the", "abc", "x", "слово"]
+    buckets, owner, _ = language_id.word_features(words)
+    assert all(sorted(buckets[owner == i].tolist()) == sorted(language_id.word_features([w])[0].tolist()) for i, w in enumerate(words))
+
+
+def test_language_model_counts_all_rows(spark):
+    rows = [(prose(i, 15, ["der", "und"] if i % 2 else ["the", "and"]), "de" if i % 2 else "en") for i in range(12)]
+    df = spark.createDataFrame([(i if i % 3 else None, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").withColumn("key", F.lit("own"))
+    model = language_id.fit(df, F.lit(True))
+    assert model.languages == ("de", "en")
+    for word in ("und", "the", "abcdef"):
+        a, b = plain_word_scores(rows, model, word), model.word_scores([word])[0]
+        assert b == pytest.approx(np.maximum(language_id.TEMPER * (np.array(a) - max(a)), -60), abs=1e-3)
+    none = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert language_id.fit(none, F.lit(True)).languages == ("de", "en")
+
+
 def plain_share(model, text):
     """The share of words under the language that most have, on the best path, step by step."""
     words = language_id.WORDS.findall((text or "").lower())
@@ -202,6 +275,27 @@ def test_clashing_columns_change_nothing(spark, column):
     assert ngram_join.near_duplicates(d).count() == 3 if column in ("name", "n") else True
 
 
+def test_clashing_columns_change_no_operator(spark):
+    rows = [(i, prose(i, 30) + (" vile" if i % 3 == 0 else "")) for i in range(30)] + [(40, None), (41, "")]
+    plain = docs(spark, rows).drop("score", "name")
+    clash = plain
+    for c in ("score", "held_out", "label", "place", "key", "n", "bucket", "ids", "sig", "length", "start", "sequence_id", "fingerprint", "x", "spans", "id", "root", "token"):
+        clash = clash.withColumn(c, F.lit("own"))
+    path, labels = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    both = labels.withColumn("place", F.lit("own")).withColumn("text", F.lit("own")).withColumn("label", F.lit("own"))
+    runs = {
+        "op1": lambda d: fingerprints.compare_with_edited(d), "op2": lambda d: quality.score(d, quality.fit(d, both, F.lit(True)), ["doc_id"]), "op5": lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json"), digest=True).select("doc_id", "start", "length", "ids_crc32"),
+        "op7": lambda d: bpe.digests(d, path), "op9": lambda d: language_id.label_spans(d, language_id.fit(d, F.lit(True)), ["doc_id"]), "op10": lambda d: toxicity.score(d, toxicity.fit(d, both, F.lit(True)), ["doc_id"]),
+    }
+    for name, run in runs.items():
+        a, b = (sorted(map(str, run(d.repartition(2)).collect())) for d in (plain, clash))
+        assert a == b and len(a) >= 32, name
+    v = spark.createDataFrame([(i, [float((i * j) % 7 - 3) for j in range(16)]) for i in range(40)], "vec_id long, embedding array<float>")
+    more = v.withColumn("code", F.lit("own")).withColumn("ids", F.lit("own")).withColumn("bound", F.lit(0))
+    top = [sorted(map(str, topk.hamming_top_k(c := topk.sign_codes(d, 16), c.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), 3).collect())) for d in (v, more)]
+    assert top[0] == top[1] and len(top[0]) == 24
+
+
 def test_very_long_texts_and_empty_tables(spark):
     rng = random.Random(9)
     long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(190_000))

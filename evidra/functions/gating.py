@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A checking model's labels in the order of its probabilities.
+VERBAL_LABELS = ("Entailment", "Neutral", "Contradiction")
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Gates of the diagnosis; a value at a gate passes it."""

@@ -32,17 +32,20 @@ def vote_scores(evidence: DataFrame, keys: list[str] = CLAIM) -> DataFrame:
 
 
 def single_scores(evidence: DataFrame, evaluator: str, keys: list[str] = CLAIM) -> DataFrame:
-    """One evaluator's averages, weighted by document reliability. A claim that others have judged, but not this one, is an
-    error as its row is read."""
+    """One evaluator's averages, weighted by document reliability. lacking is its name where others have judged a claim, but
+    not this one: decide() makes that an error."""
     own = F.col("evaluator") == evaluator
     out = evidence.groupBy(*keys).agg(*weighted_by(F.when(own, F.col("doc_reliability"))), F.count(F.when(own, 1)).alias("input_count"))
-    lost = F.raise_error(F.concat(F.lit(f"evaluator {evaluator} has no relation for "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))).cast("double")
-    return out.withColumns({s: F.when(F.col("input_count") == 0, lost).otherwise(F.col(s)) for s in SCORES})
+    return out.withColumn("lacking", F.when(F.col("input_count") == 0, evaluator))
 
 
 def decide(claims: DataFrame, scores: DataFrame, method: str, t: BaselineThresholds, keys: list[str] = CLAIM) -> DataFrame:
-    """A row for each claim; without evidence the scores are (0, 0, 1)."""
+    """A row for each claim; without evidence the scores are (0, 0, 1). A claim that single_scores() finds the evaluator lacking
+    for is an error as its row is read."""
     df = claims.join(scores, keys, "left")
+    if "lacking" in scores.columns:
+        lost = F.raise_error(F.concat(F.lit("evaluator "), "lacking", F.lit(" has no relation for "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))).cast("double")
+        df = df.withColumns({c: F.when(F.col("lacking").isNull(), F.col(c)).otherwise(lost) for c in SCORES}).drop("lacking")
     s, r, u = map(F.col, SCORES)
     state, reason = baseline_decision(s, r, u, t)
     if method == "conflict_aware":

@@ -45,7 +45,8 @@ def _sample(rows: DataFrame, sample_id: Column, claim: Column, question: Column,
     return rows.select(sample_id.alias("sample_id"), question.alias("question"), claim.alias("answer"), F.lit(None).cast("string").alias("reference_answer"), claims.alias("claims"), contexts.alias("contexts"), state.alias("gold_state"), *more)
 
 
-def _ask(claim: Column) -> Column:
+def asked(claim: Column) -> Column:
+    """The question that a claim answers."""
     return F.concat(F.lit("Is the following claim true? "), claim)
 
 
@@ -58,7 +59,7 @@ def fever_samples(source: DataFrame, *more: str) -> DataFrame:
     entropy, votes)."""
     claim = F.trim("claim")
     contexts = F.transform("evidences", lambda e: F.struct(F.trim(e["evidence"]).alias("text"), F.lit(1.0).alias("reliability")))
-    return _sample(source, fever_id(F.col("claim_id")), claim, _ask(claim), contexts, _state(F.col("claim_label"), FEVER_STATES), *more)
+    return _sample(source, fever_id(F.col("claim_id")), claim, asked(claim), contexts, _state(F.col("claim_label"), FEVER_STATES), *more)
 
 
 def vote_relations(source: DataFrame, evaluator: str = "human_votes") -> DataFrame:
@@ -100,7 +101,7 @@ def qa_samples(source: DataFrame, *more: str) -> DataFrame:
     without questions has none. Rows of a blank claim are left out."""
     claim = F.trim("claim")
     contexts = F.transform(F.coalesce(_qa_documents(), F.array()), lambda a: F.struct(qa_text(a["question"], a["answer"], a["boolean_explanation"]).alias("text"), F.lit(1.0).alias("reliability")))
-    return _sample(source.filter(F.length(claim) > 0), _qa_id(), claim, _ask(claim), contexts, _state(F.col("label"), QA_STATES), *more)
+    return _sample(source.filter(F.length(claim) > 0), _qa_id(), claim, asked(claim), contexts, _state(F.col("label"), QA_STATES), *more)
 
 
 def qa_provenance(source: DataFrame, dataset: str = "AVeriTeC") -> DataFrame:
@@ -145,19 +146,23 @@ def answer_label(text: Column, labels: list[str]) -> Column:
 
 def aligned(results: DataFrame, contexts: DataFrame) -> DataFrame:
     """results (query_id, doc_ids); one whose documents aren't those of its sample (sample_id, doc_id, pos), in their order,
-    is an error as its row is read."""
+    and a sample without a result, are errors as their rows are read."""
     own = contexts.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda c: c["doc_id"]).alias("_own"))
-    df = results.join(own, results["query_id"] == own["sample_id"], "left").drop("sample_id")
+    df = results.join(own, results["query_id"] == own["sample_id"], "full")
+    lost = F.raise_error(F.concat(F.lit("no result for "), F.col("sample_id").cast("string"))).cast(results.schema["query_id"].dataType)
+    df = df.withColumn("query_id", F.when(F.col("query_id").isNull(), lost).otherwise(F.col("query_id"))).drop("sample_id")
     wrong = F.raise_error(F.concat(F.lit("documents differ in "), F.col("query_id").cast("string")))
     return df.withColumn("doc_ids", F.when(F.transform("doc_ids", lambda x: F.trim(x)).eqNullSafe(F.col("_own")), F.col("_own")).otherwise(wrong)).drop("_own")
 
 
 def relations_from_counts(counts: DataFrame, mapping: dict[str, tuple[float, float, float]], evaluator: str, reliability: float = 1.0) -> DataFrame:
     """Relations of label counts (keys, n_entailment, n_neutral, n_contradiction): the mean of what each label stands for
-    (support, refute, unknown)."""
+    (support, refute, unknown). A pair without a label is an error as its row is read."""
     n = sum(F.col(f"n_{k}") for k in CHECK_LABELS)
     mean = lambda i: (sum(F.col(f"n_{k}") * F.lit(float(mapping[k][i])) for k in CHECK_LABELS) / n)
-    out = counts.filter(n > 0).withColumns({"p_support": mean(0), "p_refute": mean(1), "p_unknown": mean(2)})
+    lost = F.raise_error(F.concat(F.lit("no label for "), F.concat_ws("/", *(F.col(c).cast("string") for c in counts.columns if not c.startswith("n_"))))).cast("long")
+    n = F.when(n > 0, n).otherwise(lost)
+    out = counts.withColumns({"p_support": mean(0), "p_refute": mean(1), "p_unknown": mean(2)})
     total = F.col("p_support") + F.col("p_refute") + F.col("p_unknown")
     out = out.withColumns({p: F.col(p) / total for p in ("p_support", "p_refute", "p_unknown")})
     return out.drop(*(f"n_{k}" for k in CHECK_LABELS)).withColumns({"evaluator": F.lit(evaluator), "evaluator_reliability": F.lit(float(reliability))})

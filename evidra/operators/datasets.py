@@ -117,7 +117,12 @@ def calibrate_labels(judged: DataFrame) -> DataFrame:
 
 
 def checking_labels(results: DataFrame) -> DataFrame:
-    """Label counts of each (sample, claim, document) from nested checking results (query_id, doc_ids, labels[claim][doc])."""
+    """Label counts of each (sample, claim, document) from nested checking results (query_id, doc_ids, labels[claim][doc]). A
+    matrix that isn't there, has no row, or a row that hasn't a label for each document, is an error as it is read; see
+    ingestion.py for results against their samples."""
+    shaped = F.coalesce((F.size("labels") > 0) & F.forall("labels", lambda r: F.size(r) == F.size("doc_ids")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("labels aren't [claim][document] in "), F.col("query_id").cast("string"))).cast("array<array<string>>")
+    results = results.withColumn("labels", F.when(shaped, F.col("labels")).otherwise(wrong))
     claims = results.select("query_id", "doc_ids", F.posexplode("labels").alias("claim", "row"))
     cells = claims.select("query_id", "claim", F.posexplode("row").alias("doc", "label"), "doc_ids")
     given = F.lower(F.trim("label"))
@@ -129,10 +134,15 @@ def checking_labels(results: DataFrame) -> DataFrame:
 
 def checking_probabilities(results: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Mean probabilities of each (sample, document) from probabilities[claim][doc] in the order entailment, neutral,
-    contradiction, renormalised; a row that doesn't sum to 1 is an error."""
+    contradiction, renormalised; a value outside 0 and 1, a triple that doesn't sum to 1, and a matrix of another shape are
+    errors as they are read."""
+    shaped = F.coalesce((F.size("probabilities") > 0) & F.forall("probabilities", lambda r: F.size(r) == F.size("doc_ids")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("probabilities aren't [claim][document][3] in "), F.col("query_id").cast("string"))).cast("array<array<array<double>>>")
+    results = results.withColumn("probabilities", F.when(shaped, F.col("probabilities")).otherwise(wrong))
     cells = results.select("query_id", "doc_ids", F.explode("probabilities").alias("row")).select("query_id", "doc_ids", F.posexplode("row").alias("doc", "p"))
     total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
-    ok = F.when((F.size("p") == 3) & (F.abs(total - 1) <= tolerance), F.col("p")).otherwise(F.raise_error(F.lit("probabilities don't sum to 1")))
+    inside = F.coalesce(F.forall("p", lambda x: F.coalesce(x.between(0, 1), F.lit(False))), F.lit(False))
+    ok = F.when((F.size("p") == 3) & inside & (F.abs(total - 1) <= tolerance), F.col("p")).otherwise(F.raise_error(F.lit("probabilities aren't within 0 and 1, or don't sum to 1")).cast("array<double>"))
     by = cells.select("query_id", F.get("doc_ids", "doc").alias("doc_id"), ok.alias("p")).groupBy("query_id", "doc_id").agg(*(F.avg(F.get("p", F.lit(i))).alias(n) for i, n in ((0, "e"), (2, "c"), (1, "n"))))
     return by.select("query_id", "doc_id", *((F.col(k) / (F.col("e") + F.col("c") + F.col("n"))).alias(n) for k, n in (("e", "p_support"), ("c", "p_refute"), ("n", "p_unknown"))))
 

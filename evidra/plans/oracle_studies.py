@@ -5,6 +5,7 @@ from __future__ import annotations
 from evidra.functions.draws import CUTS, FIRST, SECOND, STEP, WORD
 from evidra.plans.oracle import (
     _AT, _TOP, AVERAGE, DECISION_POINTS, DOC, ENTROPY, FOLD, GATES, LONG, RES, SCORED, SIDES, STAT, R, decided, detection, report, searched, state, tuned_decisions)
+from evidra.plans.oracle import ORACLE_SQL as ORACLE
 from evidra.plans.views import SQL
 
 GOLD = ("supported", "refuted", "insufficient", "conflicting")
@@ -180,6 +181,9 @@ def estimated(est: str) -> str:
     return DOC + est + EST_GATES + SCORED + EST_BASES + searched("inn", "method, outer_fold", "_i", steps=5) + tuned + ", fin AS (" + _FIN.format("", "egates", "g.outer_fold = p.outer_fold AND ") + f""" UNION ALL SELECT d.method, gold_state, {_AT.replace("method", "d.method")} FROM edecided d JOIN chosen c ON c.fold = d.outer_fold AND c.method = d.method WHERE d.fold = d.outer_fold)""" + report("fin", "method", "_f") + f" SELECT method, {R('accuracy', 'macro_f1')}, n FROM rep_f"
 
 
+JUDGE = SQL + """, judged AS (SELECT claim_id, gold_state, CASE WHEN claim_id % 9 = 0 THEN 'missing' WHEN label = 'other' OR refused THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN claim_id % 9 <> 0 THEN label END AS label, claim_id % 9 <> 0 AND refused AS refused,
+        CASE WHEN claim_id % 9 <> 0 THEN claim_id % 50 + 100 END AS input_tokens, CASE WHEN claim_id % 9 <> 0 THEN claim_id % 3 + 5 END AS output_tokens
+        FROM (SELECT *, ['supported', 'refuted', 'insufficient', 'conflicting', 'other'][(claim_id * 7 % 5 + 1)::INT] AS label, claim_id % 14 = 0 AS refused FROM claims))"""
 ORACLE_SQL = {
     "paired_bootstrap": RES + ", wa AS (SELECT claim_id, state FROM (" + AVERAGE + decided() + " SELECT claim_id, state FROM base)), two AS (SELECT claim_id, gold_state, predicted AS predicted_a, state AS predicted_b FROM lab JOIN wa USING (claim_id)), " + drawn("two", "claim_id::VARCHAR", 200, "dr") + ", " + label_values("dr", "", ["predicted_a", "predicted_b"]) + f", {_DV} {PAIRED}",
     "bootstrap_interval": RES + ", one AS (SELECT claim_id, gold_state, predicted FROM lab), " + drawn("one", "claim_id::VARCHAR", 200, "dr") + ", " + label_values("dr", "", ["predicted"]) + f" SELECT metric, {R('observed', 'low', 'high')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0) AS n_claims FROM ({summary('lv', 'metric')})",
@@ -201,5 +205,17 @@ ORACLE_SQL = {
         led AS (SELECT r.method, r.macro_f1, d.macro_f1 - r.macro_f1 AS delta FROM rep_f r JOIN rep_f d ON d.seed = r.seed AND d.method = 'ds')
         SELECT method, count(*) AS seeds, {", ".join(f"round({f}({c}), 6) AS {t}{n}" for c, t in (("macro_f1", ""), ("delta", "delta_")) for f, n in (("avg", "mean"), ("stddev_pop", "deviation"), ("min", "low"), ("max", "high")))} FROM led GROUP BY 1""",
     "estimated_macro_f1_folds": SQL + F1_EST + f" SELECT outer_fold AS fold, evaluator, {R('reliability', 'skill')} FROM est",
+    "checking_violations": SQL + """, q AS (SELECT claim_id AS q, count(*) AS n, CASE WHEN claim_id % 19 = 0 THEN 2 ELSE 1 END AS times FROM claims JOIN contexts USING (sample_id) GROUP BY 1), there AS (SELECT q, n, unnest(range(times)) AS t FROM q WHERE q % 17 <> 0)
+        SELECT 'missing_result' AS kind, q AS query_id FROM q WHERE q % 17 = 0 UNION ALL SELECT 'repeated_result', q FROM there WHERE q % 19 = 0 UNION ALL SELECT 'document_count', q FROM there WHERE q % 41 = 0
+        UNION ALL SELECT 'document_order', q FROM there WHERE q % 23 = 0 AND q % 41 <> 0 AND n > 1 UNION ALL SELECT 'empty_labels', q FROM there WHERE q % 37 = 0
+        UNION ALL SELECT 'labels_shape', q FROM there WHERE q % 37 <> 0 AND (q % 41 = 0 OR q % 29 = 0) UNION ALL SELECT 'unknown_label', q FROM there WHERE q % 37 <> 0 AND q % 31 = 0
+        UNION ALL SELECT 'extra_result', -q FROM q WHERE q % 43 = 0 AND q % 17 <> 0""",
+    "relations_from_results": ORACLE["relations_from_labels"],
+    "judge_accounts": JUDGE + " SELECT status, CASE WHEN status = 'valid' THEN label END AS label, count(*) AS claims, count(*) FILTER (refused) AS refused, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens FROM judged GROUP BY 1, 2",
+    "judge_report": JUDGE + ", one AS (SELECT claim_id, gold_state, label AS predicted FROM judged WHERE status = 'valid'), " + drawn("one", KEY, 200, "dr") + ", " + label_values("dr", "", ["predicted"]) + report("one") + f" SELECT metric, {R('observed', 'low', 'high')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0) AS n_claims, (SELECT round(macro_f1, 6) FROM rep) AS macro_f1_of_present FROM ({summary('lv', 'metric')})",
+    "judge_comparison": JUDGE + f", {runs('ra', SQL)}, two AS (SELECT method, claim_id, j.gold_state, label AS predicted_a, predicted AS predicted_b FROM judged j JOIN ra USING (claim_id) WHERE status = 'valid'), " + drawn("two", KEY, 200, "dr") + ", " + label_values("dr", "method", ["predicted_a", "predicted_b"]) + f""",
+        dv AS (SELECT a.method, a.metric, a.r, a.value - b.value AS value FROM lv a JOIN lv b USING (method, metric, r) WHERE a.side = 'predicted_a' AND b.side = 'predicted_b')
+        SELECT method, metric, {R('observed AS difference', 'low', 'high', 'p_value')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0 AND method = 'conflict_aware') AS n_claims FROM ({summary('dv', 'method, metric')})""",
+    "round_trip": RES + f", docs AS (SELECT claim_id, count(*) AS context_count FROM claims JOIN contexts USING (sample_id) GROUP BY 1) SELECT claim_id, status, coalesce(context_count, 0) AS context_count, CASE WHEN status = 'normal' THEN 'e1|e2' END AS evaluators, {R('m_support', 'm_refute', 'm_theta', 'k_doc', 'k_eval')}, region, verdict, primary_state, evidence_insufficient, document_conflict, evaluator_disagreement, gold_state FROM res LEFT JOIN docs USING (claim_id)",
     "estimated_methods_cv": estimated(SIDES), "estimated_methods_macro_f1_cv": estimated(F1_EST),
 }

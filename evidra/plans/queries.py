@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
-from evidra.operators import baselines, builders, credibility, datasets, detection, experiments, fusion, integrity, metrics, relations, resampling, tuning
-from evidra.operators.tables import kept
+from evidra.operators import baselines, builders, credibility, datasets, detection, experiments, fusion, ingestion, integrity, judges, metrics, relations, resampling, tuning
+from evidra.operators.tables import kept, shared_dir
 from evidra.plans import oracle, oracle_studies, views
 from evidra.plans.views import K_DOC, K_EVAL, THETA, TIE
+from evidra.sources import builds, files, readers, writers
 
 GATES = Thresholds(THETA, K_DOC, K_EVAL, TIE)
 BASE = BaselineThresholds(0.3537, 1e-6, 0.2531, 0.0913)
@@ -496,6 +499,79 @@ def reliability_estimate(spark, d):
     return rounded(experiments.estimated_reliability(report, ["evaluator"]))
 
 
+def _nested(spark, d) -> DataFrame:
+    """Samples as readers.SAMPLE says, one claim each; those without documents have none."""
+    one = F.struct("pos", F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("retrieval_score"), "reliability")
+    docs = views.contexts(spark, d).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda c: c.dropFields("pos")).alias("contexts"))
+    rows = _claims(spark, d).join(docs, "sample_id", "left")
+    name = F.col("sample_id").cast("string")
+    empty = F.array().cast(docs.schema["contexts"].dataType)
+    claim = F.array(F.struct(F.col("claim_id").cast("string").alias("claim_id"), F.concat(F.lit("claim "), name).alias("text")))
+    return rows.select(name.alias("sample_id"), F.lit("").alias("question"), F.lit("").alias("answer"), F.lit(None).cast("string").alias("reference_answer"), claim.alias("claims"), F.coalesce("contexts", empty).alias("contexts"), "gold_state")
+
+
+def checking_violations(spark, d):
+    """Results of which some are missing, come twice, belong to no sample, or have other documents, shapes or labels."""
+    q, first = F.col("query_id"), F.concat(F.array(F.lit("maybe")), F.expr("slice(labels[0], 2, size(labels[0]))"))
+    rows = _checked(spark, d).filter(q % 17 != 0)
+    labels = F.when(q % 29 == 0, F.array(F.get("labels", F.lit(0)), F.expr("slice(labels[1], 1, size(labels[1]) - 1)"))).otherwise(F.col("labels"))
+    rows = rows.withColumn("labels", labels).withColumn("labels", F.when(q % 37 == 0, F.expr("slice(labels, 1, 0)")).when(q % 31 == 0, F.concat(F.array(first), F.expr("slice(labels, 2, 1)"))).otherwise(F.col("labels")))
+    docs = F.when(q % 23 == 0, F.reverse("doc_ids")).otherwise(F.col("doc_ids"))
+    rows = rows.withColumn("doc_ids", docs).withColumn("doc_ids", F.when(q % 41 == 0, F.expr("slice(doc_ids, 1, size(doc_ids) - 1)")).otherwise(F.col("doc_ids")))
+    rows = rows.unionByName(rows.filter(q % 19 == 0)).unionByName(_checked(spark, d).filter((q % 43 == 0) & (q % 17 != 0)).withColumn("query_id", -q))
+    found = ingestion.violations(rows, _nested(spark, d).filter(F.size("contexts") > 0))
+    return found.select("kind", F.col("query_id").cast("long").alias("query_id"))
+
+
+def relations_from_results(spark, d):
+    """Strictly read results as relations, by label."""
+    good = ingestion.checked(_checked(spark, d), _nested(spark, d).filter(F.size("contexts") > 0))
+    mapping = {"entailment": (0.85, 0.05, 0.1), "neutral": (0.1, 0.1, 0.8), "contradiction": (0.05, 0.85, 0.1)}
+    found = builders.relations_from_counts(ingestion.label_counts(good), mapping, "checker")
+    return rounded(found.select(F.col("claim_id").cast("long").alias("query_id"), "doc_id", "evaluator", "p_support", "p_refute", "p_unknown"))
+
+
+def _judge(spark, d) -> DataFrame:
+    """A judge that leaves out some claims, refuses some, and gives a label of its own in places."""
+    c = F.col("claim_id")
+    label = F.element_at(F.array(*map(F.lit, [*views.STATES, "other"])), (c * 7 % 5 + 1).cast("int"))
+    said = _claims(spark, d).filter(c % 9 != 0).select("sample_id", "claim_id", label.alias("label"), (c % 14 == 0).alias("refused"), (c % 50 + 100).alias("input_tokens"), (c % 3 + 5).alias("output_tokens"))
+    return judges.judged(_claims(spark, d), said)
+
+
+def judge_accounts(spark, d):
+    return judges.accounts(_judge(spark, d))
+
+
+def judge_report(spark, d):
+    return rounded(judges.report(_judge(spark, d), RESAMPLES))
+
+
+def judge_comparison(spark, d):
+    run = baselines.run_baselines(_claims(spark, d), _evidence(spark, d), BASE, "e1").withColumnRenamed("state", "predicted")
+    return rounded(judges.compare_with_run(_judge(spark, d), kept(run, "run"), RESAMPLES))
+
+
+def round_trip(spark, d):
+    """Samples and both evaluators' relations written as JSON lines with their manifests, read verified, fused, written as flat
+    CSV and read again."""
+    at, samples, name = f"{shared_dir(spark)}/evidra-trip-{uuid.uuid4().hex}", _nested(spark, d), "orders"
+    builds.publish(spark, at, {"all": {"samples": samples}}, name, {"name": "orders"}, 0, {"all": 0}, {})
+    own = files.read_mapping(spark, f"{at}/manifest.json")["splits"]["all"]["samples"]
+    text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    for e in views.EVALUATORS:
+        rows = _evidence(spark, d).filter(F.col("evaluator") == e).select(*text("sample_id", "claim_id", "doc_id"), "evaluator", "p_support", "p_refute", "p_unknown", "evaluator_reliability")
+        writers.write_relations(rows, f"{at}/all_{e}")
+        run = files.model_run(spark, name, "all", e, "view", e, own, f"{at}/all_{e}", f"{at}/all_{e}", {}, "continuous_probabilities", reliability=views.EVALUATORS[e])
+        files.write_manifest(spark, run, f"{at}/all_{e}_run.json")
+    s, r = readers.read_verified(spark, f"{at}/manifest.json", at + "/{split}_{evaluator}", list(views.EVALUATORS), at + "/{split}_{evaluator}_run.json", ["all"])
+    results = fusion.run_pipeline(readers.claims_of(s), fusion.join_evidence(r, readers.contexts_of(s)), GATES)
+    writers.write_pipeline_csv(writers.pipeline_rows(results.drop("claim_text"), s), f"{at}/flat")
+    kinds = {"m_support": "double", "m_refute": "double", "m_theta": "double", "k_doc": "double", "k_eval": "double", "context_count": "long", "evidence_insufficient": "boolean", "document_conflict": "boolean", "evaluator_disagreement": "boolean", "claim_id": "long", "sample_id": "long"}
+    flat = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in writers.PIPELINE_COLUMNS)).option("header", True).csv(f"{at}/flat")
+    return rounded(flat.drop("sample_id", "claim_text"))
+
+
 def _named(f, name):
     f.__name__ = name
     return f
@@ -510,7 +586,7 @@ QUERIES = {
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
         _named(_estimated_folds("auroc"), "estimated_reliability_folds"), _named(_estimated_folds("macro_f1"), "estimated_macro_f1_folds"), estimated_reliability_cv,
         _named(_estimated_methods("auroc"), "estimated_methods_cv"), _named(_estimated_methods("macro_f1"), "estimated_methods_macro_f1_cv"), seed_robustness, relation_counts, pair_violations,
-        credibility_verdicts, credibility_comparison, credibility_grid, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
+        credibility_verdicts, credibility_comparison, credibility_grid, checking_violations, relations_from_results, judge_accounts, judge_report, judge_comparison, round_trip, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
         entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, balanced_split, vote_relations, relations_from_labels, label_contingency, url_domain, credibility_join, reliability_estimate,
     )
 }

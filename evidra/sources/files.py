@@ -20,12 +20,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def matching(spark: SparkSession, pattern: str) -> int:
+    """How many files a pattern finds."""
+    fs, at = _fs(spark, pattern)
+    return len(fs.globStatus(at) or [])
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    """A whole file, put in place by a rename; an existing one is an error unless it may be overwritten."""
+    """A whole file, put in place by a rename; an existing one is an error unless it may be overwritten. Then the new file takes
+    its name in one step (FileContext's rename), so a crash leaves the one or the other."""
     fs, at = _fs(spark, path)
     if fs.exists(at) and not overwrite:
         raise FileExistsError(path)
@@ -33,11 +40,27 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
     out = fs.create(new, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if overwrite:
-        fs.delete(at, False)
-    if not fs.rename(new, at):
+    try:
+        if overwrite:
+            _replace(spark, fs.makeQualified(new), fs.makeQualified(at))
+        elif not fs.rename(new, at):
+            raise FileExistsError(path)
+    finally:
         fs.delete(new, False)
-        raise FileExistsError(path)
+
+
+def _replace(spark: SparkSession, new, at) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(new, at, options)
+
+
+def delete_others(spark: SparkSession, folder: str, prefix: str, keep: str) -> int:
+    """Deletes the folders below folder whose names begin with prefix, but keep; and returns their number."""
+    fs, at = _fs(spark, folder)
+    others = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith(prefix) and s.getPath().getName() != keep]
+    return sum(bool(fs.delete(p, True)) for p in others)
 
 
 def read_mapping(spark: SparkSession, path: str) -> dict:
@@ -78,11 +101,16 @@ def artifact(spark: SparkSession, path: str) -> dict:
     return {"path": os.path.basename(path.rstrip("/")), "sha256": every, "records": spark.read.text(path).filter(F.trim("value") != "").count()}
 
 
+def same(a: dict | None, b: dict | None) -> bool:
+    """Whether two artifacts have the same content, wherever they lie."""
+    return a is not None and b is not None and all(a[k] == b[k] for k in ("sha256", "records"))
+
+
 def verify_artifact(spark: SparkSession, folder: str, expected: dict) -> str:
     """The path of an artifact that is what a manifest says; else an error."""
     path = f"{folder.rstrip('/')}/{expected['path']}"
     found = artifact(spark, path)
-    if found != expected:
+    if not same(found, expected):
         raise ValueError(f"{expected['path']} isn't what the manifest says: {found}")
     return path
 
@@ -102,7 +130,7 @@ def verify_split(spark: SparkSession, manifest_path: str, samples: str, relation
     """An error unless the files are those that the manifest has for a split."""
     own = read_mapping(spark, manifest_path)["splits"][split]
     for kind, path in (("samples", samples), ("relation_predictions", relations)):
-        if path is not None and (own.get(kind) is None or artifact(spark, path) != own[kind]):
+        if path is not None and not same(own.get(kind), artifact(spark, path)):
             raise ValueError(f"{path} isn't the manifest's {kind} of {split}")
 
 
@@ -124,10 +152,11 @@ def model_run(spark: SparkSession, dataset: str, split: str, evaluator: str, pro
 def verify_model_run(spark: SparkSession, run_path: str, manifest_path: str, samples: str, relations: str, split: str) -> dict:
     """A model run whose relation file, samples and dataset are what it says; else an error."""
     run, manifest = read_mapping(spark, run_path), read_mapping(spark, manifest_path)
-    wrong = [k for k, a, b in (
-        ("dataset_name", run["dataset_name"], manifest["dataset_name"]), ("split", run["split"], split), ("samples", run["samples"], artifact(spark, samples)), ("dataset's samples", manifest["splits"][split]["samples"], run["samples"]),
-        ("relation_predictions", run["relation_predictions"], artifact(spark, relations)),
-    ) if a != b]
+    own = manifest["splits"][split]["samples"]
+    wrong = [k for k, right in (
+        ("dataset_name", run["dataset_name"] == manifest["dataset_name"]), ("split", run["split"] == split), ("samples", same(run["samples"], artifact(spark, samples))), ("dataset's samples", same(own, run["samples"])),
+        ("relation_predictions", same(run["relation_predictions"], artifact(spark, relations))),
+    ) if not right]
     if wrong:
         raise ValueError(f"{run_path}: {', '.join(wrong)} differ")
     return run

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds, Thresholds
 from evidra.operators import baselines, builders, datasets, experiments, fusion, integrity, metrics, resampling, running, tuning
 from evidra.sources import files, readers, writers
@@ -93,6 +94,12 @@ def test_baselines_and_gates(spark):
     out = {(r.claim_id, r.method): r for r in baselines.run_baselines(claims(spark, "c", "d"), e, BaselineThresholds(), "e").collect()}
     assert out["c", "conflict_aware"].state == "conflicting" and out["c", "weighted_average"].reason == "score_tie"
     assert out["c", "majority_vote"].score_unknown == 1.0 and out["d", "weighted_average"].reason == "no_evidence"
+    with pytest.raises(Exception, match="evaluator x has no relation"):
+        baselines.run_baselines(claims(spark, "c", "none"), e, BaselineThresholds(), "x").collect()
+    alone = baselines.decide(claims(spark, "none"), baselines.single_scores(e, "x"), "single_evaluator", BaselineThresholds()).first()
+    assert (alone.state, alone.reason, alone.input_count) == ("insufficient", "no_evidence", 0)
+    even = rows(spark, *((f"c{k}", str(i), i, "e", 0.7, 0.3 + 0.1 * (i % 3), 0.1 * k, 0.1, 1 - 0.1 * k - 0.1) for k in range(1, 8) for i in range(7)))
+    assert {r.conflict_sr_std for r in baselines.stat_gate_scores(claims(spark, *(f"c{k}" for k in range(1, 8))), even).collect()} == {0.0}
     s = baselines.stat_gate_scores(claims(spark, "c", "d"), e).orderBy("claim_id").collect()
     assert s[0].conflict_max_product == 0.25 and s[1].insufficiency_uprod == 1.0
 
@@ -120,7 +127,7 @@ def test_integrity(spark):
     assert kinds == {"bad_probabilities", "unknown_claim", "unknown_document", "missing_relation", "no_evaluator"}
 
 
-def test_paired_bootstrap_takes_all_claims(spark):
+def test_paired_bootstrap_is_that_of_drawn_claims(spark):
     import numpy as np
 
     from evidra.plans import queries
@@ -134,18 +141,19 @@ def test_paired_bootstrap_takes_all_claims(spark):
         f1 = [2 * ((t == s) & (p == s)).sum() / max((t == s).sum() + (p == s).sum(), 1) for s in states]
         return (t == p).mean() if metric == "accuracy" else np.mean(f1)
 
-    rng, found = np.random.default_rng(7), {r.metric: r for r in queries.QUERIES["paired_bootstrap"](spark, d).collect()}
+    own = spark.createDataFrame([(i, g, p, q) for i, (g, p, q) in enumerate(zip(gold.tolist(), a.tolist(), b.tolist(), strict=True))], "claim_id long, gold_state string, predicted_a string, predicted_b string")
+    rng, found = np.random.default_rng(7), {r.metric: r for r in resampling.paired_bootstrap(own, 1500).collect()}
     drawn = [rng.integers(0, len(gold), len(gold)) for _ in range(2000)]
     for metric in ("accuracy", "macro_f1"):
         r, ds = found[metric], np.sort([score(metric, gold[i], a[i]) - score(metric, gold[i], b[i]) for i in drawn])
-        assert (r.n_claims, r.n_resamples) == (1500, 5000)
+        assert (r.n_claims, r.n_resamples) == (1500, 1500)
         assert r.difference == pytest.approx(score(metric, gold, a) - score(metric, gold, b), abs=1e-6)
         assert (r.low, r.high) == pytest.approx((ds[50], ds[1950]), abs=0.15 * (ds[1950] - ds[50]))
         assert r.p_value == pytest.approx(min(1.0, 2 * min((ds <= 0).mean(), (ds >= 0).mean())), abs=0.05)
 
 
 def test_paired_bootstrap_of_equals_is_null(spark):
-    p = spark.createDataFrame([("supported", "refuted", "refuted"), ("refuted", "refuted", "refuted")], "gold_state string, predicted_a string, predicted_b string")
+    p = spark.createDataFrame([(1, "supported", "refuted", "refuted"), (2, "refuted", "refuted", "refuted")], "claim_id int, gold_state string, predicted_a string, predicted_b string")
     assert {(r.metric, r.difference, r.low, r.high, r.p_value) for r in resampling.paired_bootstrap(p, 50).collect()} == {("accuracy", 0.0, 0.0, 0.0, 1.0), ("macro_f1", 0.0, 0.0, 0.0, 1.0)}
 
 
@@ -326,25 +334,63 @@ def plain_auroc(score, positive, w):
     return sum(x * y * ((a > b) + (a == b) / 2) for a, x in up for b, y in down) / total if total else None
 
 
-def test_resampled_auroc_and_risk_are_those_of_repeated_rows(spark, monkeypatch):
+def plain_weight(key, resample, seed):
+    """A Poisson draw from a key's digest and a counter, number by number."""
+    import hashlib
+    import math
+
+    digest, full = hashlib.md5(key.encode()).hexdigest(), 2**31
+
+    def mixed(x):
+        x ^= x >> 15
+        x = x * draws.FIRST % full
+        x ^= x >> 12
+        x = x * draws.SECOND % full
+        return x ^ x >> 15
+
+    a, b = (int(digest[i : i + 8], 16) % full for i in (0, 8))
+    x = mixed(mixed((a + (resample + seed * 1_000_003) * draws.STEP) % full) ^ b)
+    total, k = math.exp(-1), 0
+    while k < 10 and x >= int(full * total):
+        k += 1
+        total += math.exp(-1) / math.factorial(k)
+    return k
+
+
+def test_draws_are_those_of_a_plain_version(spark):
+    rows = spark.createDataFrame([("s", i) for i in range(3000)], "sample_id string, claim_id int")
+    got = {(r.claim_id, r.resample): r.w for r in draws.resampled(rows, ["sample_id", "claim_id"], 8, 3).collect()}
+    assert len(got) == 9 * 3000 and all(got[i, -1] == 1 for i in range(3000))
+    assert all(got[i, k] == plain_weight(f"s/{i}", k, 3) for i in range(0, 3000, 37) for k in range(8))
     import numpy as np
 
-    monkeypatch.setattr(resampling, "PARTS", 5)
-    monkeypatch.setattr(resampling, "ROWS", 7)
+    w = np.array([[got[i, k] for k in range(8)] for i in range(3000)], float)
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.04)
+    # draws of a row under two numbers, and of two rows, have nothing to do with each other
+    assert np.abs(np.corrcoef(w.T) - np.eye(8)).max() < 0.06 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.03
+
+
+@pytest.mark.parametrize("one_bucket", [True, False])
+def test_resampled_auroc_and_risk_are_those_of_repeated_rows(spark, monkeypatch, one_bucket):
+    import numpy as np
+
+    if not one_bucket:
+        monkeypatch.setattr(running, "ONE_BUCKET", -1)
+        monkeypatch.setattr(running, "BUCKETS", 5)
     rng = np.random.default_rng(4)
     n = 60
     data = [(name, i * 7919, float(np.round(rng.random(), 1)) if i > 25 else 0.5, int(i % 3 == 0), i) for name in ("a", "b") for i in range(n)]
     df = spark.createDataFrame(data, "name string, id long, score double, positive int, order_key long")
-    w = resampling.weights(np.array([i * 7919 for i in range(n)]), 12, 3)
-    assert 0.8 < w.mean() < 1.2 and resampling.weights(np.arange(5000), 20, 1).var() == pytest.approx(1, abs=0.05)
+    w = np.array([[plain_weight(str(i * 7919), k, 3) for k in range(12)] for i in range(n)])
     found = {(r.name, r.resample): r.auroc for r in resampling.auroc_resamples(df, 12, 3).collect()}
     risk = {(r.name, r.resample): r.aurc for r in resampling.aurc_resamples(df.withColumnsRenamed({"score": "risk_score", "positive": "correct"}), 12, 3).collect()}
     for name in ("a", "b"):
         score, positive = zip(*((d[2], d[3]) for d in data if d[0] == name), strict=True)
-        for k in range(12):
-            assert found[name, k] == pytest.approx(plain_auroc(score, positive, w[:, k]))
+        for k in range(-1, 12):
+            times = w[:, k] if k >= 0 else np.ones(n, int)
+            assert found[name, k] == pytest.approx(plain_auroc(score, positive, times))
             order = sorted(range(n), key=lambda i: (score[i], i))
-            drawn = np.array([positive[i] for i in order for _ in range(int(w[i, k]))])
+            drawn = np.array([positive[i] for i in order for _ in range(int(times[i]))])
             want = np.mean([1 - drawn[: (m := max(1, int(np.rint(len(drawn) * c))))].sum() / m for c in metrics.coverages()])
             assert risk[name, k] == pytest.approx(want), (name, k)
 
@@ -352,21 +398,24 @@ def test_resampled_auroc_and_risk_are_those_of_repeated_rows(spark, monkeypatch)
 def test_bootstraps_compare(spark):
     n = 400
     rows = [(m, i, (i % 10) / 10 if m == "good" else ((i * 37) % 11) / 11, int(i % 10 > 5), i) for m in ("good", "poor") for i in range(n)]
-    df = spark.createDataFrame(rows, "name string, id long, score double, positive int, order_key long").withColumn("id", F.xxhash64("id"))
-    r = resampling.paired_auroc_bootstrap(df, "good", metrics.detection_report, 200).first()
+    df = spark.createDataFrame(rows, "name string, id long, score double, positive int, order_key long")
+    r = resampling.paired_auroc_bootstrap(df, "good", 200).first()
     assert r.auroc_reference == 1.0 and r.low > 0.3 and r.p_value < 0.05 and r.n_resamples == 200
     risky = df.select("name", "id", (1 - F.col("score")).alias("risk_score"), "order_key", F.col("positive").alias("correct"))
-    by = {x.metric: x for x in resampling.paired_selective_bootstrap(risky, "good", metrics.detection_report, metrics.aurc, 100).collect()}
+    by = {x.metric: x for x in resampling.paired_selective_bootstrap(risky, "good", 100).collect()}
     assert by["auroc"].low > 0 and by["aurc"].high < 0
-    p = spark.createDataFrame([("supported", "supported")] * 30 + [("refuted", "supported")] * 10, "gold_state string, predicted string")
+    with pytest.raises(Exception, match="both classes"):
+        resampling.paired_auroc_bootstrap(df.filter("positive = 1"), "good", 5).collect()
+    p = spark.createDataFrame([(i, "supported" if i < 30 else "refuted", "supported") for i in range(40)], "claim_id int, gold_state string, predicted string")
     found = {x.metric: x for x in resampling.bootstrap_interval(p, 500).collect()}
-    assert found["accuracy"].observed == 0.75 and found["accuracy"].low < 0.75 < found["accuracy"].high
-    run = p.selectExpr("'m' method", "cast(monotonically_increasing_id() as string) sample_id", "'c' claim_id", "gold_state", "predicted")
-    rows = run.collect()
-    run = spark.createDataFrame(rows, run.schema)
+    assert found["accuracy"].observed == 0.75 and found["accuracy"].low < 0.75 < found["accuracy"].high and found["accuracy"].n_claims == 40
+    # few positives: resamples of one class are left out
+    rare = spark.createDataFrame([(m, i, float(i), int(i == 0)) for m in ("a", "b") for i in range(5)], "name string, id long, score double, positive int")
+    assert resampling.paired_auroc_bootstrap(rare, "a", 100).first().n_resamples == sum(0 < plain_weight("0", k, 42) and any(plain_weight(str(i), k, 42) for i in range(1, 5)) for k in range(100))
+    run = p.selectExpr("'m' method", "cast(claim_id as string) sample_id", "cast(claim_id as string) claim_id", "gold_state", "predicted")
     assert {x.difference for x in resampling.compare_runs(run, run, 20).collect()} == {0.0}
-    with pytest.raises(ValueError):
-        resampling.compare_runs(run, run.limit(5), 20)
+    with pytest.raises(Exception, match="same claims"):
+        resampling.compare_runs(run, run.filter("claim_id < 5"), 20).collect()
 
 
 def test_running_sums_in_buckets(spark, monkeypatch):
@@ -388,23 +437,38 @@ def test_running_sums_in_buckets(spark, monkeypatch):
     assert r.auroc == pytest.approx(plain_auroc([i % 7 for i in range(90)], [i % 3 == 0 for i in range(90)], [1] * 90))
 
 
-def test_workers_import_the_package_from_anywhere(tmp_path):
+def test_workers_import_the_package_from_anywhere(spark, tmp_path):
+    """What ship() sends is the whole package: another Python, with nothing else on its path, imports all modules from it."""
     import os
     import subprocess
     import sys
 
-    code = """
-import sys
-sys.path.insert(0, {repo!r})
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{shared}").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-import evidra, pandas as pd
-evidra.ship(spark)
-from evidra.operators import resampling
-df = spark.createDataFrame([("a", i, i / 9, i % 2) for i in range(9)], "name string, id long, score double, positive int")
-print("rows", resampling.auroc_resamples(df, 5, 1).count())
+    import evidra
+
+    path, sent = evidra.packed(str(tmp_path)), []
+
+    class Context:
+        applicationId = "a test's"
+
+        def addPyFile(self, file):
+            sent.append(open(file, "rb").read())
+
+    class Session:
+        sparkContext = Context()
+
+    evidra.ship(Session())
+    evidra.ship(Session())
+    assert sent == [open(path, "rb").read()] or len(sent) == 1
+    code = f"""
+import importlib, pkgutil, sys
+sys.path.insert(0, {path!r})
+import evidra
+for m in pkgutil.walk_packages(evidra.__path__, "evidra."):
+    if ".llm" not in m.name:
+        importlib.import_module(m.name)
+from evidra.operators import datasets
+print("from", evidra.__file__)
 """
-    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", code.format(repo=repo, shared=tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
-    assert "rows 5" in done.stdout, done.stderr[-2000:]
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert f"from {path}" in done.stdout, done.stderr[:3000]

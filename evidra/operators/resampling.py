@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.draws import resampled
 from evidra.operators.metrics import LABELS, aurc, classification_report, detection_report
+from evidra.operators.tables import kept
 
 GOLD = LABELS[:4]
 
@@ -42,7 +43,8 @@ def label_scores(predictions: DataFrame, keys: list[str], sides: list[str], unit
     counts = drawn.groupBy(*keys, "resample", "gold_state", *sides).agg(F.sum("w").alias("w")).filter("w > 0")
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("predicted")) for s in sides)))
     long = counts.withColumn("_s", each).select(*keys, "resample", "gold_state", "w", "_s.*")
-    report = classification_report(long, [*keys, "side", "resample"], labels, times="w")
+    # a few numbers a resample, from one pass over the rows
+    report = kept(classification_report(long, [*keys, "side", "resample"], labels, times="w"), "label-scores")
     both = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "macro_f1"))))
     return report.withColumn("_m", both).select(*keys, "side", "resample", "_m.*", "n")
 
@@ -75,7 +77,7 @@ def paired_bootstrap(predictions: DataFrame, resamples: int = 5000, seed: int =
 def compared(values: DataFrame, keys: list[str], reference: str) -> DataFrame:
     """(keys, reference, rival, value of both, delta, low, high, p_value, n_resamples) of values (keys, name, resample,
     value). What was observed has to have a value."""
-    each = differences(values, keys, reference, "name")
+    each = differences(kept(values, "resamples"), keys, reference, "name")
     seen = each.filter("resample < 0").select(*keys, "rival", F.col("reference_value").alias("value_reference"), "rival_value")
     found = summarised(each, [*keys, "rival"]).join(seen, [*keys, "rival"])
     delta = F.coalesce("observed", F.raise_error(F.lit("both classes have to occur")).cast("double"))

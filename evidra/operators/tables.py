@@ -21,9 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_KEPT: list[str] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again. It survives lost executors and stays until the folder is
-    cleaned."""
+    """df as a Parquet table in the shared folder, read again. It survives lost executors and stays until drop_kept()."""
     path = f"{shared_dir(df.sparkSession)}/evidra-{name}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Deletes the tables that kept() has made in this process, and returns how many these were. For when the DataFrames that
+    stand on them have been written or collected."""
+    n = 0
+    while _KEPT:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n

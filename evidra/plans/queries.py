@@ -383,7 +383,7 @@ GRID12 = credibility.grid({"high": 1.0, "medium": 0.6}, [0.0, 0.2, 0.4], [0.4, 0
 
 def _verdicts(spark, d, settings) -> DataFrame:
     claims = _claims(spark, d).filter(F.col("gold_state").isin(credibility.VERDICTS))
-    return credibility.verdicts(claims, views.rated_evidence(spark, d), settings)
+    return kept(credibility.verdicts(claims, views.rated_evidence(spark, d), settings), "verdicts")
 
 
 def credibility_verdicts(spark, d):
@@ -393,7 +393,7 @@ def credibility_verdicts(spark, d):
 
 def credibility_comparison(spark, d):
     pairs = [(("credibility", "ds"), ("none", "ds")), (("credibility", "weighted_average"), ("none", "weighted_average")), (("credibility", "ds"), ("credibility", "weighted_average")), (("none", "ds"), ("none", "weighted_average")), (("credibility", "ds"), ("none", "majority_vote"))]
-    return rounded(credibility.compare_verdicts(kept(_verdicts(spark, d, SETTINGS), "verdicts"), pairs, RANKED))
+    return rounded(credibility.compare_verdicts(_verdicts(spark, d, SETTINGS), pairs, RANKED))
 
 
 def credibility_grid(spark, d):

@@ -162,14 +162,12 @@ class ShardStore:
         """The runs that df is written to: one, or one for each value of by (ascending)."""
         folder = f"runs/{uuid.uuid4().hex}"
         (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.path}/{folder}")
-        found: dict[str, list[int]] = {}
-        walk, root = self._fs.listFiles(self._at(folder), True), self._at(folder).toString()
-        while walk.hasNext():
-            x = walk.next()
-            if x.getPath().getName().endswith(".parquet"):
-                found.setdefault(x.getPath().getParent().toString().removeprefix(root).strip("/"), []).append(x.getLen())
+        # sizes and numbers of files are counted by Spark (the files' content isn't read); a row for each run comes back
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{self.path}/{folder}")
+        below = F.regexp_replace(F.regexp_replace(F.substring_index("path", folder, -1), "/[^/]*$", ""), "^/", "")
+        found = {r["run"]: r for r in files.groupBy(below.alias("run")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files")).toLocalIterator()}
         order = sorted(found, key=lambda n: (len(n), n))
-        return [Run("/".join(filter(None, (folder, n))), sum(found[n]), len(found[n]), schema) for n in order]
+        return [Run("/".join(filter(None, (folder, n))), found[n]["bytes"], found[n]["files"], schema) for n in order]
 
     def append(self, arrivals: DataFrame) -> int:
         """Commits arrivals as a new run, a shard for each task with rows."""

@@ -27,9 +27,10 @@ def require_gold(claims: DataFrame) -> DataFrame:
 
 def stratified_folds(claims: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     """claims with a fold: dealt out in turn within each gold state, in the order of a seeded hash of the sample. The hash
-    also deals the rows to the buckets that are counted, so no task sees a whole state."""
+    also deals the rows to the buckets that are counted, so no task sees a whole state. A claim without a gold state is an
+    error."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string")))
-    rows = claims.withColumn("_h", digest)
+    rows = require_gold(claims).withColumn("_h", digest)
     place = F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32)
     ranked = running(rows, ["gold_state"], place, [F.col("_h"), F.col("sample_id")], {"_k": F.lit(1)})
     return ranked.withColumn("fold", ((F.col("_k") - 1) % folds).cast("int")).drop("_h", "_k")

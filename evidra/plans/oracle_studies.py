@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from evidra.functions.draws import CUTS, FIRST, SECOND, STEP, WORD
 from evidra.plans.oracle import (
-    _AT, _TOP, AVERAGE, DECISION_POINTS, DOC, ENTROPY, FOLD, GATES, LONG, RES, SCORED, SIDES, STAT, R, decided, detection, report, searched, state, tuned_decisions)
+    _AT, _TOP, _pl, AVERAGE, DECISION_POINTS, DOC, ENTROPY, FOLD, GATES, LONG, RES, SCORED, SIDES, STAT, R, decided, detection, report, searched, state, tuned_decisions)
 from evidra.plans.oracle import ORACLE_SQL as ORACLE
 from evidra.plans.views import SQL
 
@@ -211,6 +211,10 @@ ORACLE_SQL = {
         UNION ALL SELECT 'labels_shape', q FROM there WHERE q % 37 <> 0 AND (q % 41 = 0 OR q % 29 = 0) UNION ALL SELECT 'unknown_label', q FROM there WHERE q % 37 <> 0 AND q % 31 = 0
         UNION ALL SELECT 'extra_result', -q FROM q WHERE q % 43 = 0 AND q % 17 <> 0""",
     "relations_from_results": ORACLE["relations_from_labels"],
+    "grid_health": SQL + SCORED + f", tried AS (SELECT decision, gold_state, CASE WHEN top < decision THEN 'insufficient' ELSE label END AS predicted FROM decided, {DECISION_POINTS} WHERE method = 'weighted_average')" + report("tried", "decision") + f""",
+        seen AS (SELECT min(greatest(s, f, u)) AS a, max(greatest(s, f, u)) AS b FROM (SELECT coalesce(score_support, 0) AS s, coalesce(score_refute, 0) AS f, coalesce(score_unknown, 1) AS u FROM claims LEFT JOIN sc_weighted_average USING (claim_id)))
+        SELECT 'top_score' AS threshold, 0.2::DOUBLE AS low, 0.9::DOUBLE AS high, round(a, 6) AS seen_low, round(b, 6) AS seen_high, 0.2 > b OR 0.9 < a AS out_of_range, p.decision IN (0.2, 0.9) AS at_border, (SELECT max(macro_f1) - min(macro_f1) < 1e-9 FROM rep) AS flat
+        FROM seen, ({_pl("rep", "decision")}) p""",
     "judge_accounts": JUDGE + " SELECT status, CASE WHEN status = 'valid' THEN label END AS label, count(*) AS claims, count(*) FILTER (refused) AS refused, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens FROM judged GROUP BY 1, 2",
     "judge_report": JUDGE + ", one AS (SELECT claim_id, gold_state, label AS predicted FROM judged WHERE status = 'valid'), " + drawn("one", KEY, 200, "dr") + ", " + label_values("dr", "", ["predicted"]) + report("one") + f" SELECT metric, {R('observed', 'low', 'high')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0) AS n_claims, (SELECT round(macro_f1, 6) FROM rep) AS macro_f1_of_present FROM ({summary('lv', 'metric')})",
     "judge_comparison": JUDGE + f", {runs('ra', SQL)}, two AS (SELECT method, claim_id, j.gold_state, label AS predicted_a, predicted AS predicted_b FROM judged j JOIN ra USING (claim_id) WHERE status = 'valid'), " + drawn("two", KEY, 200, "dr") + ", " + label_values("dr", "method", ["predicted_a", "predicted_b"]) + f""",

@@ -166,6 +166,14 @@ def baseline_threshold_search(spark, d):
     return rounded(tuning.search_decisions(df, []).select("decision", "macro_f1", "plateau"))
 
 
+def grid_health(spark, d):
+    """Whether the decision thresholds tried cover what was observed, and whether the best one lies inside them."""
+    df = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE)
+    tried = kept(tuning.decision_candidates(df, []).withColumnRenamed("decision", "value"), "tried")
+    chosen = tuning.best_decisions(tried.withColumnRenamed("value", "decision"), []).withColumnRenamed("decision", "value")
+    return rounded(tuning.grid_health(tried, chosen, df.withColumn("top_score", F.greatest(*baselines.SCORES)), "top_score"))
+
+
 def conflict_aware_search(spark, d):
     """All triples of decision, conflict and margin thresholds."""
     df = baselines.decide(_claims(spark, d), baselines.weighted_scores(_evidence(spark, d)), "weighted_average", BASE)
@@ -582,7 +590,7 @@ QUERIES = {
     for f in (
         discount_projection, doc_fusion, k_doc_trace, evaluator_fusion, pipeline_diagnostics, many_document_fusion, status_diagnostics, pipeline_summary, selective_confidence, integrity_violations, first_n_documents,
         *(_named(_baseline(m), m) for m in ("weighted_average", "majority_vote", "single_evaluator", "conflict_aware")), baseline_summary, stat_gate_scores, stat_gate_decisions,
-        confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, conflict_aware_search, stat_gate_search,
+        confusion_matrix, class_metrics, classification_report, detection_report, detection_proxies, auroc_by_doc_count, observed_grid, ds_threshold_search, baseline_threshold_search, grid_health, conflict_aware_search, stat_gate_search,
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
         _named(_estimated_folds("auroc"), "estimated_reliability_folds"), _named(_estimated_folds("macro_f1"), "estimated_macro_f1_folds"), estimated_reliability_cv,
         _named(_estimated_methods("auroc"), "estimated_methods_cv"), _named(_estimated_methods("macro_f1"), "estimated_methods_macro_f1_cv"), seed_robustness, relation_counts, pair_violations,

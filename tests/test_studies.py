@@ -387,3 +387,21 @@ def test_other_builds(spark, tmp_path):
     builds.build_web(spark, claims, pages, media, {"high": 0.9}, 0.4, at, "web", {"name": "pages"}, keep=lambda df: kept(df, "web"), size=6, stride=3)
     web = {r.sample_id: r for r in builds.read_build(spark, at, "all").collect()}
     assert web["w1"].contexts[0].reliability == 0.9 and "green apples" in web["w1"].contexts[0].text and web["w2"].contexts == [] and builds.read_build(spark, at, "all", "provenance").count() == 2
+
+
+def test_grids_are_looked_at(spark):
+    from evidra.operators import tuning
+
+    grid = spark.createDataFrame([(0.2, 0.5), (0.4, 0.7), (0.6, 0.7)], "value double, macro_f1 double")
+    seen = spark.createDataFrame([(0.7,), (0.9,)], "x double")
+    r = tuning.grid_health(grid, grid.filter("value = 0.2").select("value"), seen, "x").first()
+    assert (r.low, r.high, r.seen_low, r.seen_high, r.out_of_range, r.at_border, r.flat) == (0.2, 0.6, 0.7, 0.9, True, True, False)
+    r = tuning.grid_health(grid.withColumn("macro_f1", F.lit(0.5)), grid.filter("value = 0.4").select("value"), seen.union(spark.createDataFrame([(0.3,)], "x double")), "x").first()
+    assert (r.out_of_range, r.at_border, r.flat) == (False, False, True)
+    claims, _ = world(spark, 8)
+    with pytest.raises(Exception, match="no gold state: s3"):
+        experiments.stratified_folds(claims.withColumn("gold_state", F.when(F.col("sample_id") != "s3", F.col("gold_state"))), 2).collect()
+    assert kept(claims, "c").count() == 8
+    from evidra.operators.tables import drop_kept
+
+    assert drop_kept(spark) > 0 and drop_kept(spark) == 0

@@ -78,6 +78,72 @@ def test_quality_tables_are_added_bin_by_bin():
     assert step[:k] == pytest.approx(-g[:k].sum() / (h[:k].sum() + 1)) and step[k:] == pytest.approx(-g[k:].sum() / (h[k:].sum() + 1))
 
 
+def plain_tree(g, h, depth):
+    """A shallow tree over ordered bins, cut by cut."""
+    n, base = len(g), -sum(g) / (sum(h) + 1)
+    best = None
+    for k in range(1, n) if depth else ():
+        a, b, c, d = sum(g[:k]), sum(h[:k]), sum(g[k:]), sum(h[k:])
+        if b >= 2 and d >= 2 and (best is None or a * a / (b + 1) + c * c / (d + 1) > best[0]):
+            best = (a * a / (b + 1) + c * c / (d + 1), k)
+    if best is None or best[0] <= sum(g) ** 2 / (sum(h) + 1) + 1e-9:
+        return [base] * n
+    return plain_tree(g[: best[1]], h[: best[1]], depth - 1) + plain_tree(g[best[1] :], h[best[1] :], depth - 1)
+
+
+def plain_quadrants(rows, a, b):
+    """The best cut of two axes together, of rows (bin, bin, gradient, hessian): gain, and the value of each cell."""
+    best = None
+    for i in range(1, a):
+        for j in range(1, b):
+            part: dict = {}
+            for x, y, g, h in rows:
+                s = part.setdefault((x >= i, y >= j), [0.0, 0.0])
+                s[0], s[1] = s[0] + g, s[1] + h
+            gain = sum(g * g / (h + 1) for g, h in part.values())
+            if best is None or gain > best[0] + 1e-12:
+                best = (gain, i, j, {k: -g / (h + 1) for k, (g, h) in part.items()})
+    gain, i, j, value = best
+    return gain, [[value.get((x >= i, y >= j), 0.0) for y in range(b)] for x in range(a)]
+
+
+def test_quality_is_boosted_as_a_plain_version_does():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    y = (((x[:, 0] > 0.2) ^ (x[:, 1] > 0)) | (x[:, 2] > 1)).astype(float)
+    model = quality.boost(x, y, cycles=3, rate=0.3, n_pairs=2, pair_cycles=3)
+    bins = [np.searchsorted(c, v, side="right") for c, v in zip(model.cuts, x.T, strict=True)]
+    total = [math.log(y.mean() / (1 - y.mean()))] * 150
+    tables = [[0.0] * (len(c) + 1) for c in model.cuts]
+
+    def slopes():
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        return [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+
+    for _ in range(3):
+        for j, table in enumerate(tables):
+            g, h = slopes()
+            tree = plain_tree([sum(v for v, b in zip(g, bins[j], strict=True) if b == k) for k in range(len(table))], [sum(v for v, b in zip(h, bins[j], strict=True) if b == k) for k in range(len(table))], 2)
+            for k, v in enumerate(tree):
+                table[k] += 0.3 * v
+            total = [t + 0.3 * tree[b] for t, b in zip(total, bins[j], strict=True)]
+    for own, table in zip(model.tables, tables, strict=True):
+        assert own == pytest.approx(table, abs=1e-9)
+    cuts = [np.unique(np.quantile(v, np.arange(1, quality.PAIR_BINS) / quality.PAIR_BINS)) for v in x.T]
+    cells = [np.searchsorted(c, v, side="right") for c, v in zip(cuts, x.T, strict=True)]
+    quadrants = lambda a, b: plain_quadrants([*zip(cells[a], cells[b], *slopes(), strict=True)], len(cuts[a]) + 1, len(cuts[b]) + 1)
+    chosen = sorted([(0, 1), (0, 2), (1, 2)], key=lambda p: -quadrants(*p)[0])[:2]
+    assert [(a, b) for a, b, *_ in model.pairs] == chosen and chosen[0] == (0, 1)
+    grids = {p: np.zeros((len(cuts[p[0]]) + 1, len(cuts[p[1]]) + 1)) for p in chosen}
+    for _ in range(3):
+        for p in chosen:
+            grid = 0.3 * np.array(quadrants(*p)[1])
+            grids[p] += grid
+            total = [t + grid[a][b] for t, a, b in zip(total, cells[p[0]], cells[p[1]], strict=True)]
+    for a, b, _, _, table in model.pairs:
+        assert table == pytest.approx(grids[a, b], abs=1e-9)
+
+
 def plain_features(text):
     """Words, heads, pairs and skip pairs as a set of hashes."""
     from zlib import crc32
@@ -183,6 +249,58 @@ def test_packing_breaks_ties_by_row():
     assert got.tolist() == list(range(1, 60, 3))[: packing.NEIGHBOURS]
 
 
+def test_packing_fills_windows_with_neighbours(monkeypatch):
+    """Each window, piece by piece: what may stand at each place follows from what is unused then."""
+    monkeypatch.setattr(packing, "WINDOW", 256)
+    rng = np.random.default_rng(7)
+    docs_ = [rng.zipf(1.3, rng.integers(5, 250)).clip(1, 300).astype(np.uint32) for _ in range(120)]
+    placed: dict = {}
+    for d, start, length, sequence, offset in packing.pack_shard(docs_):
+        placed.setdefault(sequence, []).append((offset, d, start, length))
+    windows = [sorted(placed[s]) for s in sorted(placed)]
+    index, left, unused, carried, sure = packing.Index(docs_), [len(d) for d in docs_], np.ones(120, bool), None, 0
+    for window in windows:
+        if sum(p[3] for p in window) < 256:
+            break  # the last window, cut into powers of two
+        room, seed, queue, large, asked = 256, None, [], None, False
+        for _, d, start, length in window:
+            assert start == len(docs_[d]) - left[d] and length == min(room, left[d])
+            if seed is None:
+                seed = d
+                assert d == (carried if carried is not None else int(np.flatnonzero(unused)[0]))
+                carried = None
+            else:
+                while True:
+                    fits = [i for i in queue if unused[i] and left[i] <= room]
+                    if fits:
+                        want = fits[0]
+                        break
+                    if large is not None or (asked and not queue):
+                        want = large
+                        break
+                    queue = index.neighbours(docs_[seed], unused).tolist()
+                    asked = True
+                    over = [i for i in queue if left[i] > room]
+                    if not queue:
+                        want = int(np.flatnonzero(unused)[0])
+                        seed, asked = want, False
+                        break
+                    if over and not any(left[i] <= room for i in queue):
+                        large = over[0]
+                if d != want and large is None:
+                    # a piece that didn't fit when the queue was passed is cut last
+                    large = next((i for i in queue if unused[i] and left[i] > room), None)
+                    want = large
+                assert d == want, (d, want)
+                sure += 1
+            take, unused[d] = length, False
+            left[d] -= take
+            room -= take
+            if left[d]:
+                carried = d
+    assert sure > 100
+
+
 def plain_word_scores(rows, model, word):
     """Log shares of a word's n-grams among those of each language, from counts of all of its texts, one n-gram at a time."""
     buckets, _, _ = language_id.word_features([word])

@@ -19,6 +19,7 @@ a query finds itself at distance 0; where there are less than k ids, all are fou
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from evidra.llm._shared import dropped, map_batches, released, written
 SEGMENT_BITS = 16
 #: Codes of a bucket that make it worth a split by one bit more; codes and queries of a cell.
 BUCKET_CODES, CELL_CODES, CELL_QUERIES = 1_024, 8_192, 8_192
-#: Bits of a segment that name a bucket, at most: the list of buckets is broadcast.
-MOST_BITS = 12
+#: Bits of a segment that name a bucket, at most (the whole segment): the list of buckets is broadcast, 65,536 rows a segment.
+MOST_BITS = 16
 #: The radius of the first round; each further one is greater by one.
 FIRST_RADIUS = 2
 
@@ -98,6 +99,11 @@ def nearest_in_cell(codes: np.ndarray, ids: list, queries: np.ndarray, bounds: n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
+def _flips(bits: int, least: int, most: int) -> list[int]:
+    """The numbers of so many bits with least to most ones."""
+    return [sum(1 << b for b in ones) for r in range(max(least, 0), min(most, bits) + 1) for ones in combinations(range(bits), r)]
+
+
 def _cell(k: int, low: int, high: int):
     def run(key, codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(codes) or not len(queries):
@@ -126,7 +132,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     best, low, high = None, 0, FIRST_RADIUS
     key = ["segment", "bucket", "cell", "deal"]
     while True:
-        flips = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda x: F.bit_count(x) <= high)  # noqa: B023
+        # a segment at a distance of low to high has a bucket at most so far away, and at least that less the bits it lacks
+        flips = F.split(F.lit(",".join(map(str, _flips(bits, low - (SEGMENT_BITS - bits), high)))), ",").cast("array<int>")
         probes = _segments(active, m, bits).withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip"))).drop("flip")
         met = probes.groupBy("segment", "bucket").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("deals"))
         known = F.broadcast(buckets.join(F.broadcast(met), ["segment", "bucket"]))

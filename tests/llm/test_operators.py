@@ -82,8 +82,11 @@ def test_top_k(spark, seed):
     assert sorted((r.distance, r.vec_id) for r in few) == sorted((int((bits[20] != bits[i]).sum()), i) for i in range(3))
 
 
-def test_top_k_in_split_buckets(spark, monkeypatch):
-    for name, value in (("BUCKET_CODES", 40), ("CELL_CODES", 30), ("CELL_QUERIES", 7)):
+@pytest.mark.parametrize("bucket_codes", [40, 0.005])
+def test_top_k_in_split_buckets(spark, monkeypatch, bucket_codes):
+    """Buckets of four bits, and of whole segments, of which a round visits those at its own radius alone."""
+    assert topk._flips(3, -2, 1) == [0, 1, 2, 4] and sorted(topk._flips(4, 2, 2)) == [3, 5, 6, 9, 10, 12] and len(topk._flips(16, 0, 3)) == 697
+    for name, value in (("BUCKET_CODES", bucket_codes), ("CELL_CODES", 30), ("CELL_QUERIES", 7)):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(400, 32))

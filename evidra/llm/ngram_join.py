@@ -292,6 +292,32 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return spanning_forest(linked)
 
 
+#: Sets that a task holds as it drops links that others of it imply.
+FOREST_SETS = 500_000
+
+
+def _forest(batches):
+    """Of a task's links (name, last) those that join what wasn't joined by those before: the same groups by fewer links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    for batch in batches:
+        keep = []
+        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+        if len(root) > FOREST_SETS:
+            root.clear()
+
+
 def _named(names: pd.Series, found: list[tuple[int, int]]) -> pd.DataFrame:
     names = names.to_numpy()
     return pd.DataFrame({"a": names[[i for i, _ in found]].astype(np.int64), "b": names[[j for _, j in found]].astype(np.int64)})
@@ -369,7 +395,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # large groups: neighbours in size are chained to neighbourhoods
     by_size = Window.partitionBy("sig").orderBy("n", "name")
     chained = met.filter(F.col("size") > SMALL_GROUP).select("name", "n", F.lag("name").over(by_size).alias("last"), F.lag("n").over(by_size).alias("last_n"))
-    chained = chained.filter(_compatible(F.col("last_n"), F.col("n"), percent)).select("name", "last").distinct()
+    chained = chained.filter(_compatible(F.col("last_n"), F.col("n"), percent)).select("name", "last")
+    # near copies share many signatures, and each chains them anew: a task passes on a spanning forest of its links
+    chained = map_batches(chained, _forest, "name long, last long")
     # a bitmap bounds the difference of a pair: |a| + |b| - 2i tokens at most, with i the least overlap that links
     bitmaps = sets.filter("kind = 0").select("name", "bitmap")
     maps = bitmaps.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))

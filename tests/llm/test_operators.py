@@ -319,6 +319,25 @@ def test_bitmaps_lose_no_link(spark, percent):
         assert r.d == sum(int(v).bit_count() for v in (maps[r.i] ^ ngram_join.folded(maps[r.j][None], few)[0]).view(np.uint64))
 
 
+def test_forests_keep_groups(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    links = [(rng.randrange(60) * 3, rng.randrange(60) * 3) for _ in range(400)] + [(500, 501)]
+    cut = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in part]), pa.array([b for _, b in part])], ["name", "last"]) for part in (links[:150], links[150:])]
+
+    def groups(edges):
+        root = {x: x for e in links for x in e}
+        for a, b in edges:
+            root = {x: root[b] if r == root[a] else r for x, r in root.items()}
+        return {frozenset(x for x in root if root[x] == r) for r in root.values()}
+
+    for most in (500_000, 5):
+        monkeypatch.setattr(ngram_join, "FOREST_SETS", most)
+        kept = [e for b in ngram_join._forest(cut) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert groups(kept) == groups(links) and len(kept) < (80 if most > 5 else 160)
+
+
 def test_representatives(spark):
     d = docs(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words entirely here now"), (3, "other words entirely here now"), (4, None), (None, "")])
     kept = ngram_join.representatives(d.select("doc_id", "text"), ngram_join.near_duplicates(d)).collect()

@@ -40,6 +40,17 @@ def masses(evidence: DataFrame, reliability: Column | None = None) -> DataFrame:
     return evidence.withColumns({"m_support": s, "m_refute": r, "m_theta": t})
 
 
+def identified(evidence: DataFrame) -> DataFrame:
+    """Evidence with its probabilities as masses that nothing is taken off yet (reliability_applied: 1)."""
+    return evidence.withColumns({"m_support": F.col("p_support"), "m_refute": F.col("p_refute"), "m_theta": unit(1 - F.col("p_support") - F.col("p_refute")), "reliability_applied": F.lit(1.0)})
+
+
+def discount(rows: DataFrame, reliability: Column) -> DataFrame:
+    """Masses discounted once more. reliability_applied is the product of all discounts: several in turn are one by it."""
+    s, r, t = discounted(F.col("m_support"), F.col("m_refute"), reliability)
+    return rows.withColumns({"m_support": unit(s), "m_refute": unit(r), "m_theta": unit(t), "reliability_applied": unit(F.col("reliability_applied") * reliability)})
+
+
 #: Products below are left for sums of logarithms.
 LEAST_PRODUCT = 1e-200
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from evidra.functions.draws import CUTS, FIRST, SECOND, STEP, WORD
 from evidra.plans.oracle import (
-    _AT, _TOP, _pl, AVERAGE, DECISION_POINTS, DOC, ENTROPY, FOLD, GATES, LONG, RES, SCORED, SIDES, STAT, R, decided, detection, report, searched, state, tuned_decisions)
+    _AT, _TOP, _pl, AVERAGE, DECISION_POINTS, DOC, ENTROPY, FOLD, GATES, LONG, RES, SCORED, SIDES, STAT, R, decided, detection, report, searched, state, tuned_decisions, VOTE)
 from evidra.plans.oracle import ORACLE_SQL as ORACLE
 from evidra.plans.views import SQL
 
@@ -184,6 +184,15 @@ def estimated(est: str) -> str:
 JUDGE = SQL + """, judged AS (SELECT claim_id, gold_state, CASE WHEN claim_id % 9 = 0 THEN 'missing' WHEN label = 'other' OR refused THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN claim_id % 9 <> 0 THEN label END AS label, claim_id % 9 <> 0 AND refused AS refused,
         CASE WHEN claim_id % 9 <> 0 THEN claim_id % 50 + 100 END AS input_tokens, CASE WHEN claim_id % 9 <> 0 THEN claim_id % 3 + 5 END AS output_tokens
         FROM (SELECT *, ['supported', 'refuted', 'insufficient', 'conflicting', 'other'][(claim_id * 7 % 5 + 1)::INT] AS label, claim_id % 14 = 0 AS refused FROM claims))"""
+#: Each pair's labels as shares (w), by the fold of its claim, beside its annotation.
+LABELLED = VOTED + f""", fo AS (SELECT sample_id, {FOLD.format(5)} AS fold FROM claims), lv AS (SELECT claim_id, doc_id, pos, doc_reliability, evaluator, {VOTE} AS v FROM evidence),
+    lw AS (SELECT claim_id, doc_id, any_value(pos) AS pos, any_value(doc_reliability) AS doc_reliability, avg((v = 'supported')::INT) AS entailment, avg((v = 'unknown')::INT) AS neutral, avg((v = 'refuted')::INT) AS contradiction FROM lv GROUP BY 1, 2),
+    met AS (SELECT lw.*, fold, o.p_support, o.p_refute, o.p_unknown, CASE WHEN (p_support = greatest(p_support, p_refute, p_unknown))::INT + (p_refute = greatest(p_support, p_refute, p_unknown))::INT + (p_unknown = greatest(p_support, p_refute, p_unknown))::INT > 1 THEN 'tie'
+            WHEN p_support = greatest(p_support, p_refute, p_unknown) THEN 'support' WHEN p_refute = greatest(p_support, p_refute, p_unknown) THEN 'refute' ELSE 'unknown' END AS lead FROM lw JOIN voted o USING (claim_id, doc_id) JOIN fo ON fo.sample_id = lw.claim_id),
+    cells AS (SELECT 'entailment' AS label, entailment AS w, * FROM met UNION ALL SELECT 'neutral', neutral, * FROM met UNION ALL SELECT 'contradiction', contradiction, * FROM met),
+    mp AS (SELECT label, sum(w) AS weight, sum(w * p_support) / sum(w) AS s, sum(w * p_refute) / sum(w) AS f, sum(w * p_unknown) / sum(w) AS u, count(*) FILTER (w > 0.5) AS majority_pairs, count(*) AS pair_count,
+        {", ".join(f"count(*) FILTER (w > 0.5 AND lead = '{m}') AS met_{m}" for m in ("support", "refute", "unknown", "tie"))} FROM cells WHERE fold = 0 GROUP BY label)"""
+
 ORACLE_SQL = {
     "paired_bootstrap": RES + ", wa AS (SELECT claim_id, state FROM (" + AVERAGE + decided() + " SELECT claim_id, state FROM base)), two AS (SELECT claim_id, gold_state, predicted AS predicted_a, state AS predicted_b FROM lab JOIN wa USING (claim_id)), " + drawn("two", "claim_id::VARCHAR", 200, "dr") + ", " + label_values("dr", "", ["predicted_a", "predicted_b"]) + f", {_DV} {PAIRED}",
     "bootstrap_interval": RES + ", one AS (SELECT claim_id, gold_state, predicted FROM lab), " + drawn("one", "claim_id::VARCHAR", 200, "dr") + ", " + label_values("dr", "", ["predicted"]) + f" SELECT metric, {R('observed', 'low', 'high')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0) AS n_claims FROM ({summary('lv', 'metric')})",
@@ -220,6 +229,18 @@ ORACLE_SQL = {
     "judge_comparison": JUDGE + f", {runs('ra', SQL)}, two AS (SELECT method, claim_id, j.gold_state, label AS predicted_a, predicted AS predicted_b FROM judged j JOIN ra USING (claim_id) WHERE status = 'valid'), " + drawn("two", KEY, 200, "dr") + ", " + label_values("dr", "method", ["predicted_a", "predicted_b"]) + f""",
         dv AS (SELECT a.method, a.metric, a.r, a.value - b.value AS value FROM lv a JOIN lv b USING (method, metric, r) WHERE a.side = 'predicted_a' AND b.side = 'predicted_b')
         SELECT method, metric, {R('observed AS difference', 'low', 'high', 'p_value')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0 AND method = 'conflict_aware') AS n_claims FROM ({summary('dv', 'method, metric')})""",
+    "stepwise_discount": SQL + """ SELECT claim_id, doc_id, evaluator, round(s, 9) AS m_support, round(f, 9) AS m_refute, round(1 - s - f, 9) AS m_theta, round(doc_reliability * evaluator_reliability, 9) AS reliability_applied
+        FROM (SELECT *, evaluator_reliability * (doc_reliability * p_support) AS s, evaluator_reliability * (doc_reliability * p_refute) AS f FROM evidence)""",
+    "calibrated_mapping": LABELLED + f""" SELECT label, {R('CASE WHEN weight > 0 THEN s ELSE a END AS p_support', 'CASE WHEN weight > 0 THEN f ELSE b END AS p_refute', 'CASE WHEN weight > 0 THEN u ELSE c END AS p_unknown', 'weight')}, majority_pairs, weight = 0 AS used_default, pair_count, met_support, met_refute, met_unknown, met_tie
+        FROM mp JOIN (VALUES ('entailment', 0.85::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE), ('neutral', 0.1, 0.1, 0.8), ('contradiction', 0.05, 0.85, 0.1)) t(label, a, b, c) USING (label)""",
+    "calibrated_fusion": LABELLED + f""", rel AS (SELECT claim_id, doc_id, doc_reliability AS w, sum(c.w * s) AS s, sum(c.w * f) AS f FROM (SELECT label, w, claim_id, doc_id, doc_reliability FROM cells WHERE fold <> 0) c JOIN mp USING (label) GROUP BY ALL),
+        pr AS (SELECT claim_id, count(*) AS n_docs, product(1 - w * f) AS qs, product(1 - w * s) AS qr, product(1 - w * s - w * f) AS qt FROM (SELECT claim_id, doc_id, w, sum(s) AS s, sum(f) AS f FROM rel GROUP BY ALL) GROUP BY claim_id)
+        SELECT claim_id, 'checker' AS evaluator, {R('(qs - qt) / (qs + qr - qt) AS m_support', '(qr - qt) / (qs + qr - qt) AS m_refute', 'qt / (qs + qr - qt) AS m_theta', 'greatest(0, least(1, 1 - (qs + qr - qt))) AS k_doc')}, n_docs FROM pr""",
+    "calibration_violations": SQL + ", pr AS (SELECT sample_id AS claim_id, doc_id::BIGINT AS doc_id FROM contexts JOIN claims USING (sample_id)) " + " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, claim_id, doc_id FROM pr WHERE {when}" for kind, when in (
+            ("no_annotation", "claim_id % 11 = 0"), ("several_annotations", "claim_id % 13 = 0 AND claim_id % 11 <> 0"), ("repeated_pair", "claim_id % 5 = 0"), ("no_label", "claim_id % 7 = 0"))),
+    "configured_run": RES + f", docs AS (SELECT claim_id, count(*) AS context_count FROM claims JOIN contexts USING (sample_id) GROUP BY 1) SELECT claim_id, status, coalesce(context_count, 0) AS context_count, {R('m_support', 'm_refute', 'm_theta', 'k_doc', 'k_eval')}, region, verdict, primary_state, evidence_insufficient, document_conflict, evaluator_disagreement, gold_state FROM res LEFT JOIN docs USING (claim_id)",
+    "configured_baselines": ORACLE["baseline_summary"],
     "round_trip": RES + f", docs AS (SELECT claim_id, count(*) AS context_count FROM claims JOIN contexts USING (sample_id) GROUP BY 1) SELECT claim_id, status, coalesce(context_count, 0) AS context_count, CASE WHEN status = 'normal' THEN 'e1|e2' END AS evaluators, {R('m_support', 'm_refute', 'm_theta', 'k_doc', 'k_eval')}, region, verdict, primary_state, evidence_insufficient, document_conflict, evaluator_disagreement, gold_state FROM res LEFT JOIN docs USING (claim_id)",
     "estimated_methods_cv": estimated(SIDES), "estimated_methods_macro_f1_cv": estimated(F1_EST),
 }

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.gating import BaselineThresholds, Thresholds, fused_confidence, metric_label
-from evidra.operators import baselines, builders, credibility, datasets, detection, experiments, fusion, ingestion, integrity, judges, metrics, relations, resampling, tuning
+from evidra.operators import baselines, builders, calibration, credibility, datasets, detection, experiments, fusion, ingestion, integrity, judges, metrics, relations, resampling, tuning
 from evidra.operators.tables import kept, shared_dir
 from evidra.plans import oracle, oracle_studies, views
 from evidra.plans.views import K_DOC, K_EVAL, THETA, TIE
-from evidra.sources import builds, files, readers, writers
+from evidra.sources import builds, files, readers, runs, writers
 
 GATES = Thresholds(THETA, K_DOC, K_EVAL, TIE)
 BASE = BaselineThresholds(0.3537, 1e-6, 0.2531, 0.0913)
@@ -580,6 +580,75 @@ def round_trip(spark, d):
     return rounded(flat.drop("sample_id", "claim_text"))
 
 
+def stepwise_discount(spark, d):
+    """Masses discounted by their document's and then by their evaluator's reliability, with the product of both."""
+    rows = fusion.discount(fusion.discount(fusion.identified(_evidence(spark, d)), F.col("doc_reliability")), F.col("evaluator_reliability"))
+    return rounded(rows.select("claim_id", "doc_id", "evaluator", *MASSES, "reliability_applied"), 9)
+
+
+def _label_counts(spark, d) -> DataFrame:
+    """The labels of strictly read checking results, with the fold of each claim: the first fold is for validation."""
+    own = ingestion.label_counts(ingestion.checked(_checked(spark, d), _nested(spark, d).filter(F.size("contexts") > 0)))
+    folds = experiments.stratified_folds(_claims(spark, d), FOLDS).select(F.col("sample_id").cast("string").alias("sample_id"), "fold")
+    return kept(own.join(folds, "sample_id"), "labels")
+
+
+def _annotated(spark, d) -> DataFrame:
+    text = lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    return views.voted_relations(spark, d).select(*text(*calibration.PAIR), *calibration.P)
+
+
+def _mapping(spark, d, counts) -> DataFrame:
+    return calibration.calibrate(counts.filter("fold = 0"), _annotated(spark, d), calibration.SPLIT, default=calibration.DEFAULT_MAPPING)
+
+
+def calibrated_mapping(spark, d):
+    """What a checking model's labels mean, by the annotations of the validation fold."""
+    return rounded(_mapping(spark, d, _label_counts(spark, d)))
+
+
+def calibrated_fusion(spark, d):
+    """The other folds' claims fused from labels that mean what the validation fold says."""
+    counts = _label_counts(spark, d)
+    found = calibration.calibrated_relations(counts.filter("fold <> 0").drop("fold"), _mapping(spark, d, counts), "checker")
+    docs = readers.contexts_of(_nested(spark, d))
+    return rounded(fusion.fuse_documents(fusion.join_evidence(found, docs)).select(F.col("claim_id").cast("long").alias("claim_id"), "evaluator", *MASSES, "k_doc", "n_docs"))
+
+
+def calibration_violations(spark, d):
+    """Over labels of which some come twice or are empty, and annotations of which some lack or come twice."""
+    counts, oracle, q = _label_counts(spark, d).drop("fold"), _annotated(spark, d), F.col("claim_id").cast("long")
+    none = {f"n_{k}": F.when(q % 7 == 0, 0).otherwise(F.col(f"n_{k}")) for k in builders.CHECK_LABELS}
+    counts = counts.withColumns(none).unionByName(counts.filter(q % 5 == 0))
+    oracle = oracle.filter(q % 11 != 0)
+    found = calibration.violations(counts, oracle.unionByName(oracle.filter(q % 13 == 0)))
+    return found.select("kind", F.col("claim_id").cast("long").alias("claim_id"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def _configured(spark, d, section: dict) -> str:
+    """A folder with samples, relations and a configuration of a run; returns the configuration's path."""
+    at, text = f"{shared_dir(spark)}/evidra-run-{uuid.uuid4().hex}", lambda *names: [F.col(c).cast("string").alias(c) for c in names]
+    writers.write_samples(_nested(spark, d), f"{at}/samples")
+    writers.write_relations(_evidence(spark, d).select(*text(*calibration.PAIR), "evaluator", *calibration.P, "evaluator_reliability"), f"{at}/relations")
+    config = {"paths": {"samples": "samples", "relation_predictions": "relations", "output_jsonl": "out/results", "output_csv": "out/flat"}} | section
+    files.write_manifest(spark, config, f"{at}/run.yaml")
+    return f"{at}/run.yaml"
+
+
+def configured_run(spark, d):
+    """The pipeline as a configuration file says, from files to files."""
+    found = runs.run_pipeline(spark, _configured(spark, d, {"diagnostics": {"theta_threshold": THETA, "document_conflict_threshold": K_DOC, "evaluator_conflict_threshold": K_EVAL}}))
+    cols = ["status", F.col("context_count").cast("long").alias("context_count"), *MASSES, "k_doc", "k_eval", "region", "verdict", "primary_state", "evidence_insufficient", "document_conflict", "evaluator_disagreement", "gold_state"]
+    return rounded(found.select(F.col("claim_id").cast("long").alias("claim_id"), *cols))
+
+
+def configured_baselines(spark, d):
+    """The baselines as a configuration file says, from files to files."""
+    section = {"decision_threshold": BASE.decision, "conflict_threshold": BASE.conflict, "conflict_margin": BASE.margin, "single_evaluator": "e1"}
+    found = runs.run_baselines(spark, _configured(spark, d, {"baseline": section}))
+    return found.groupBy("method", "state", "reason").agg(F.count("*").alias("n"))
+
+
 def _named(f, name):
     f.__name__ = name
     return f
@@ -594,7 +663,7 @@ QUERIES = {
         ablation, reliability_sweep, verdict_scores, stratified_folds, nested_cv, nested_cv_methods, nested_cv_margins, nested_ablation, baseline_long, comparison_report, reliability_sensitivity,
         _named(_estimated_folds("auroc"), "estimated_reliability_folds"), _named(_estimated_folds("macro_f1"), "estimated_macro_f1_folds"), estimated_reliability_cv,
         _named(_estimated_methods("auroc"), "estimated_methods_cv"), _named(_estimated_methods("macro_f1"), "estimated_methods_macro_f1_cv"), seed_robustness, relation_counts, pair_violations,
-        credibility_verdicts, credibility_comparison, credibility_grid, checking_violations, relations_from_results, judge_accounts, judge_report, judge_comparison, round_trip, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
+        credibility_verdicts, credibility_comparison, credibility_grid, checking_violations, relations_from_results, judge_accounts, judge_report, judge_comparison, round_trip, stepwise_discount, calibrated_mapping, calibrated_fusion, calibration_violations, configured_run, configured_baselines, risk_coverage, aurc, paired_bootstrap, bootstrap_interval, paired_auroc_bootstrap, paired_selective_bootstrap, compare_runs, label_calibration, relation_comparison, vote_distribution,
         entropy_reliability, claim_dedup, passage_windows, passage_tfidf_top1, balanced_split, vote_relations, relations_from_labels, label_contingency, url_domain, credibility_join, reliability_estimate,
     )
 }

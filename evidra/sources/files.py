@@ -56,6 +56,29 @@ def _replace(spark: SparkSession, new, at) -> None:
     hadoop.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(new, at, options)
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder, if it is there."""
+    fs, at = _fs(spark, path)
+    return fs.delete(at, True)
+
+
+def put_folder(spark: SparkSession, staged: str, path: str, overwrite: bool = False) -> None:
+    """Gives a folder that is whole its place. What was there is moved aside first and deleted last, so that a crash loses
+    neither: at worst the former one lies beside its place, under its name and .former."""
+    fs, new = _fs(spark, staged)
+    at, former = fs.makeQualified(_fs(spark, path)[1]), fs.makeQualified(_fs(spark, f"{path}.former")[1])
+    if fs.exists(at):
+        if not overwrite:
+            raise FileExistsError(path)
+        fs.delete(former, True)
+        if not fs.rename(at, former):
+            raise OSError(f"{path} can't be moved")
+    fs.mkdirs(at.getParent())
+    if not fs.rename(new, at):
+        raise OSError(f"{staged} can't be moved to {path}")
+    fs.delete(former, True)
+
+
 def delete_others(spark: SparkSession, folder: str, prefix: str, keep: str) -> int:
     """Deletes the folders below folder whose names begin with prefix, but keep; and returns their number."""
     fs, at = _fs(spark, folder)

@@ -8,9 +8,9 @@ shared without a common pair, so it covers c - 1 places; prefixes are extended u
 the tokens that a set may miss in a partner. Sets near a power of two in size take part at two sizes.
 
 Signatures that several sets share give candidates. In small groups all pairs of compatible size are taken once, and a
-bitmap that bounds their difference drops most that don't link. In large groups, as of thousands of near copies, only
-neighbours in size are chained; what hangs together so is split by comparing bitmaps in blocks, which report a spanning
-forest of what is close. Close sets that hang together are a neighbourhood; it is cut into blocks of bounded size, each
+bitmap that bounds their difference drops most that don't link. Large groups, as of thousands of near copies, are chained
+by size, those of about the same number of sets together. Bitmaps are compared in blocks, over a chain or over each of its
+groups, whichever is less work, and report a spanning forest of what is close. Close sets that hang together are a neighbourhood; it is cut into blocks of bounded size, each
 pair of blocks is verified on the whole sets and reports a spanning forest of its links: no link between components is
 lost and no list of all pairs is made. Links become components by star contraction.
 
@@ -25,6 +25,8 @@ component; extra columns are ignored. Whole texts are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -364,6 +366,41 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     return F.broadcast(cells) if cells.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else cells
 
 
+def _level(size: Column) -> Column:
+    """Groups of about the same size: near copies share signatures of one level or two, what else a set is in has others."""
+    return F.floor(F.log2(size / SMALL_GROUP) / 2)
+
+
+def _chained(large: DataFrame, percent: int) -> DataFrame:
+    """Links (node, last) that join the sets of each large group (sig, node, n) which sizes allow to hang together. Sizes
+    fall into classes, each as wide as a link allows: sets of one may link, and so do classes next to each other if the
+    largest set of one and the least of the other may. A class is a star around its least node: most of the groups that
+    near copies share have the same one, so that their links are few."""
+    wide = math.log(100 / percent) * (1 + 1e-9)  # a little more than a link allows, as logarithms are rounded
+    classed = large.withColumn("class", F.floor(F.log("n") / wide))
+    star = classed.withColumn("last", F.min("node").over(Window.partitionBy("sig", "class"))).select("node", "last")
+    order = Window.partitionBy("sig").orderBy("class")
+    heads = classed.groupBy("sig", "class").agg(F.min("node").alias("node"), F.min("n").alias("low"), F.max("n").alias("high"))
+    heads = heads.withColumns({"last": F.lag("node").over(order), "last_high": F.lag("high").over(order)})
+    heads = heads.filter(_compatible(F.col("last_high"), F.col("low"), percent)).select("node", "last")
+    links = star.filter("node <> last").unionByName(heads).distinct()
+    return map_batches(links, _forest, "name long, last long").withColumnRenamed("name", "node")
+
+
+def _compared(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, name, n): sets that are compared with each other, of large groups (sig, node, name, n) with the roots of their
+    chains. In a table that grows, chance groups chain nearly all sets; near copies share many groups. So a chain is compared
+    as a whole if that takes fewer pairs than its groups do, one by one, and else each of its groups is."""
+    held = large.join(roots, "node").select("root", "sig", "name", "n")
+    square = lambda c: F.col(c).cast("double") * F.col(c)
+    apart = held.groupBy("root", "sig").agg(F.count("*").alias("k")).groupBy("root").agg(F.sum(square("k")).alias("apart"))
+    whole = roots.groupBy("root").agg(F.count("*").alias("k")).withColumn("whole", square("k"))
+    split = written(apart.join(whole, "root").filter("apart < whole").select("root", F.lit(True).alias("split")), "split")
+    few = split.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    held = held.join(F.broadcast(split) if few else split, "root", "left").withColumn("root", F.when(F.col("split"), F.xxhash64("root", "sig")).otherwise(F.col("root")))
+    return held.select("root", "name", "n").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): texts link when percent (50 to 99) or more of the union
     of their sets of n-grams of width words is shared; component_id is the least id that links reach."""
@@ -392,12 +429,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = x.join(y, "sig").filter(order & _compatible(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb").distinct()
     pairs = written(pairs, "pairs")
 
-    # large groups: neighbours in size are chained to neighbourhoods
-    by_size = Window.partitionBy("sig").orderBy("n", "name")
-    chained = met.filter(F.col("size") > SMALL_GROUP).select("name", "n", F.lag("name").over(by_size).alias("last"), F.lag("n").over(by_size).alias("last_n"))
-    chained = chained.filter(_compatible(F.col("last_n"), F.col("n"), percent)).select("name", "last")
-    # near copies share many signatures, and each chains them anew: a task passes on a spanning forest of its links
-    chained = map_batches(chained, _forest, "name long, last long")
+    large = met.filter(F.col("size") > SMALL_GROUP).withColumn("node", F.xxhash64(_level(F.col("size")), "name"))
     # a bitmap bounds the difference of a pair: |a| + |b| - 2i tokens at most, with i the least overlap that links
     bitmaps = sets.filter("kind = 0").select("name", "bitmap")
     maps = bitmaps.join(pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
@@ -407,13 +439,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     close = pairs.join(maps.select(F.col("name").alias("a"), F.col("bitmap").alias("ma")), "a").join(maps.select(F.col("name").alias("b"), F.col("bitmap").alias("mb")), "b")
     close = written(close.filter(_differ(F.col("ma"), F.col("mb")) <= F.col("na") + F.col("nb") - 2 * least).select("a", "b"), "close")
 
-    # chains are split: their bitmaps meet in blocks, each pair of blocks reports a spanning forest of close pairs
+    # large groups: their bitmaps meet in blocks, each pair of blocks reports a spanning forest of close pairs
     holders = documents.filter("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(chained, "name", "last", "chains")
-    chains = written(_in_blocks(roots.select(F.col("node").alias("name"), "root").join(holders, "name").select("root", "name", "n"), BITMAP_TOKENS), "chain-members")
+    roots = components(_chained(large, percent), "node", "last", "chains")
+    chains = written(_in_blocks(_compared(large, roots), BITMAP_TOKENS), "chain-members")
     dropped(roots)
-    placed = bitmaps.join(chains, "name").groupBy("root", "block", "name", "n").agg(F.first("bitmap").alias("bitmap"))
-    placed = placed.join(_cells(chains, percent), ["root", "block"]).select("root", "i", "j", "name", "n", "bitmap")
+    own = bitmaps.join(chains.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("bitmap").alias("bitmap"))
+    placed = chains.join(own, "name").join(_cells(chains, percent), ["root", "block"]).select("root", "i", "j", "name", "n", "bitmap")
     near = written(placed.groupBy("root", "i", "j").applyInPandas(_bitmap_block(percent), "a long, b long"), "near")
     del placed
     released(spark)

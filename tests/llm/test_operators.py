@@ -435,3 +435,25 @@ def test_pipeline_rejects_mixed_documents(spark, monkeypatch):
     share = {r.doc_id: r.score for r in language_id.label_spans(asked, model, ["doc_id"]).collect()}
     assert 0.3 <= share[2000] < 0.5
     assert {r.doc_id for r in corpus_pipeline.known_language(spark, asked, "").collect()} == {1000, 1001, 1002}
+
+
+def test_large_groups_that_chance_chains_are_compared_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    # thirty groups, each of which shares a set with the next; ten near copies with five signatures in common; sizes far apart
+    rows = [(g, 5 * g + i, 20 + i % 2) for g in range(30) for i in range(6)]
+    rows += [(100 + g, 1000 + i, 40 + i % 3) for g in range(5) for i in range(10)]
+    rows += [(200, 2000 + i, n) for i, n in enumerate((10, 11, 30, 34, 100))]
+    large = spark.createDataFrame(rows, "sig long, name long, n long").withColumn("node", F.col("name"))
+    links = ngram_join._chained(large, 85).collect()
+    up = {r[1]: r[1] for r in rows}
+    for a, b in links:
+        up = {x: up[b] if r == up[a] else r for x, r in up.items()}
+    assert len({up[n] for n in range(151)}) == 1 and len({up[1000 + i] for i in range(10)}) == 1
+    assert up[2000] == up[2001] != up[2002] == up[2003] != up[2004]
+    assert sum(n >= 1000 and n < 2000 for n, _ in links) == 9
+    roots = spark.createDataFrame(list(up.items()), "node long, root long")
+    hoods: dict = {}
+    for r in ngram_join._compared(large, roots).collect():
+        hoods.setdefault(r.root, set()).add(r.name)
+    sizes = sorted(len(h) for h in hoods.values())
+    assert sizes.count(6) == 30 and sizes.count(10) == 1 and max(sizes) == 10

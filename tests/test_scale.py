@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import fusion, metrics, running, tuning
+from evidra.functions import draws
+from evidra.operators import fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -40,3 +41,18 @@ def test_large_inputs_of_an_order_are_worked_out_once(spark, monkeypatch):
         seen.value = 0
         kept(work(), "out")
         assert seen.value == 300
+
+
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_rows_of_an_order_are_shuffled_once_for_all_resamples(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    score = "case when id % 3 = 0 then 5.0 when id % 5 = 0 then 2.0 else (id * 37) % 101 end"
+    df = spark.range(400).selectExpr("cast(id % 2 as string) name", "id * 7919 id", f"cast({score} as double) score", f"cast({score} as double) risk_score", "id order_key", "cast(id % 7 < 3 as int) positive", "cast(id % 7 < 3 as int) correct")
+    found = resampling.auroc_resamples(df, 9, 3), resampling.aurc_resamples(df, 9, 3)
+    for made in found:  # no row is copied for each resample
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    copied = draws.resampled(df, ["id"], 9, 3)
+    wanted = metrics.detection_report(copied, ["name", "resample"], times="w"), metrics.aurc(copied, ["name", "resample"], times="w")
+    for made, want, value in zip(found, wanted, ("auroc", "aurc"), strict=True):
+        a, b = ({(r["name"], r["resample"]): r[value] for r in x.collect()} for x in (made, want))
+        assert a == pytest.approx(b) and len(a) == 20

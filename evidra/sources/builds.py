@@ -19,7 +19,7 @@ from evidra.sources import files, readers, writers
 KINDS = ("samples", "relation_predictions", "provenance")
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, dict[str, DataFrame]], name: str, source: dict, seed: int, counts: dict[str, int], labels: dict[str, str], warning: str = "", overwrite: bool = False) -> dict:
+def publish(spark: SparkSession, folder: str, tables: dict[str, dict[str, DataFrame]], name: str, source: dict, seed: int, counts: dict[str, int], labels: dict[str, str], warning: str = "", overwrite: bool = False, compression: str = "none") -> dict:
     """Writes tables (split: kind: rows) as a version of the dataset in folder, and its manifest. An existing dataset is an error
     unless it may be followed by a new version."""
     manifest_path = f"{folder}/manifest.json"
@@ -33,7 +33,7 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, dict[str, DataFr
                 continue
             path = f"{version}/{split}_{kind}"
             write = {"samples": writers.write_samples, "relation_predictions": writers.write_relations}.get(kind, writers.write_jsonl)
-            write(of[kind], f"{folder}/{path}")
+            write(of[kind], f"{folder}/{path}", compression=compression)
             own[kind] = files.artifact(spark, f"{folder}/{path}") | {"path": path}
         states = of["samples"].groupBy("gold_state").agg(F.count("*").alias("n")).orderBy("gold_state").collect()
         splits[split] = own | {"label_counts": {r["gold_state"]: r["n"] for r in states}}

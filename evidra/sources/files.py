@@ -118,7 +118,8 @@ def read_config(spark: SparkSession, path: str, inputs: tuple[str, ...] = ("samp
 
 
 def artifact(spark: SparkSession, path: str) -> dict:
-    """Digest and number of non-blank lines of a file, or of a folder of files by their names."""
+    """Digest and number of non-blank lines of a file, or of a folder of files by their names. A task has a file whole in
+    memory: see writers.FILE_LINES."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
     every = files.agg(F.array_sort(F.collect_list(F.struct("name", "sha"))).alias("x")).select(F.when(F.size("x") == 1, F.col("x")[0]["sha"]).otherwise(F.sha2(F.array_join(F.transform("x", lambda f: f["sha"]), ""), 256))).first()[0]
     return {"path": os.path.basename(path.rstrip("/")), "sha256": every, "records": spark.read.text(path).filter(F.trim("value") != "").count()}
@@ -166,9 +167,10 @@ def model_run(spark: SparkSession, dataset: str, split: str, evaluator: str, pro
         raise ValueError("a calibrated mapping needs its calibration, and no other may have one")
     if not 0 <= reliability <= 1:
         raise ValueError("a reliability is within 0 and 1")
+    made = artifact(spark, relations_path)
     return {
         "schema_version": "1.0", "dataset_name": dataset, "split": split, "relation_predictions_kind": "model_prediction", "evaluator": evaluator, "producer": producer, "checker_name": checker, "samples": samples,
-        "relation_predictions": artifact(spark, relations_path), "source_output": artifact(spark, source_path), "label_mapping": mapping, "label_mapping_source": mapping_source, "calibration_path": calibration, "evaluator_reliability": reliability, **more,
+        "relation_predictions": made, "source_output": made if source_path == relations_path else artifact(spark, source_path), "label_mapping": mapping, "label_mapping_source": mapping_source, "calibration_path": calibration, "evaluator_reliability": reliability, **more,
     }
 
 

@@ -19,6 +19,7 @@ from evidra.sources import files, readers, writers
 
 # Keys of a configuration, and the fields that its thresholds are.
 INPUTS, OUTPUTS = ("samples", "relation_predictions"), ("output_jsonl", "output_csv")
+COMPRESSIONS = ("none", "gzip", "zstd")
 DIAGNOSTICS = {"theta_threshold": "theta", "document_conflict_threshold": "document_conflict", "evaluator_conflict_threshold": "evaluator_conflict", "tie_tolerance": "tie"}
 BASELINE = {"decision_threshold": "decision", "tie_tolerance": "tie", "conflict_threshold": "conflict", "conflict_margin": "margin"}
 
@@ -32,6 +33,7 @@ class Run:
     baseline: BaselineThresholds | None
     evaluator: str | None
     overwrite: bool
+    compression: str
 
 
 def _section(path: str, config: dict, name: str, known: tuple[str, ...], needed: tuple[str, ...] = ()) -> dict:
@@ -65,9 +67,12 @@ def read_run(spark: SparkSession, path: str, baseline: bool = False) -> Run:
     paths = {k: files.resolved(path, v) for k, v in paths.items()}
     if len(set(paths.values())) < len(paths):
         raise ValueError(f"{path}: two paths are the same")
-    overwrite = _section(path, config, "output", ("overwrite",)).get("overwrite", False)
+    output = _section(path, config, "output", ("overwrite", "compression"))
+    overwrite, compression = output.get("overwrite", False), output.get("compression", "none")
     if not isinstance(overwrite, bool):
         raise ValueError(f"{path}: overwrite has to be true or false")
+    if compression not in COMPRESSIONS:
+        raise ValueError(f"{path}: compression has to be one of {COMPRESSIONS}")
     section = _section(path, config, own, (*BASELINE, "single_evaluator") if baseline else tuple(DIAGNOSTICS), ("single_evaluator",) if baseline else ())
     evaluator = section.get("single_evaluator")
     if baseline and (not isinstance(evaluator, str) or not evaluator.strip()):
@@ -77,7 +82,7 @@ def read_run(spark: SparkSession, path: str, baseline: bool = False) -> Run:
     missing = [k for k in INPUTS if not files.exists(spark, paths[k])]
     if missing:
         raise FileNotFoundError(f"{path}: no such input {missing}")
-    return Run(paths, gates, base, evaluator, overwrite)
+    return Run(paths, gates, base, evaluator, overwrite, compression)
 
 
 def _claims(samples: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def _finish(spark: SparkSession, run: Run, overwrite: bool | None, rows, as_csv)
     staged = {k: f"{run.paths[k]}.{uuid.uuid4().hex}" for k in OUTPUTS}
     try:
         made = rows()
-        made.write.json(staged["output_jsonl"])
+        writers.write_jsonl(made, staged["output_jsonl"], compression=run.compression)
         # the CSV file is made of what was written: rows are worked out once
         as_csv(spark.read.schema(made.schema).json(staged["output_jsonl"]), staged["output_csv"])
         for k in OUTPUTS:
@@ -112,10 +117,10 @@ def run_pipeline(spark: SparkSession, path: str, overwrite: bool | None = None)
 
     def rows() -> DataFrame:
         samples, relations = (readers.read_samples(spark, run.paths["samples"]), readers.read_relations(spark, run.paths["relation_predictions"]))
-        evidence = fusion.join_evidence(relations, readers.contexts_of(samples))
+        evidence = fusion.nested_evidence(relations, samples)
         return writers.pipeline_rows(fusion.run_pipeline(_claims(samples), evidence, run.gates), samples)
 
-    return _finish(spark, run, overwrite, rows, writers.write_pipeline_csv)
+    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_pipeline_csv(df, at, compression=run.compression))
 
 
 def run_baselines(spark: SparkSession, path: str, overwrite: bool | None = None) -> DataFrame:
@@ -124,7 +129,7 @@ def run_baselines(spark: SparkSession, path: str, overwrite: bool | None = None)
 
     def rows() -> DataFrame:
         samples, relations = (readers.read_samples(spark, run.paths["samples"]), readers.read_relations(spark, run.paths["relation_predictions"]))
-        evidence = fusion.join_evidence(relations, readers.contexts_of(samples))
+        evidence = fusion.nested_evidence(relations, samples)
         return baselines.run_baselines(_claims(samples), evidence, run.baseline, run.evaluator)
 
-    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_baseline_csv(df, at, run.evaluator))
+    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_baseline_csv(df, at, run.evaluator, compression=run.compression))

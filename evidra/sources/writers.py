@@ -17,8 +17,13 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode(_mode(overwrite)).json(path)
+#: Lines of a JSON file at most: files.artifact() has a whole file in a task for its digest.
+FILE_LINES = 100_000
+
+
+def write_jsonl(df: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
+    """Files of FILE_LINES lines at most. Whatever reads them tells a compression (as gzip) by their names."""
+    df.write.mode(_mode(overwrite)).option("maxRecordsPerFile", FILE_LINES).json(path, compression=compression)
 
 
 def pipeline_rows(results: DataFrame, samples: DataFrame) -> DataFrame:
@@ -28,24 +33,24 @@ def pipeline_rows(results: DataFrame, samples: DataFrame) -> DataFrame:
     return results.join(flat.select("sample_id", F.col("c.claim_id").alias("claim_id"), F.col("c.text").alias("claim_text"), "context_count"), ["sample_id", "claim_id"])
 
 
-def write_pipeline_csv(results: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_pipeline_csv(results: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
     """Diagnosed claims as flat rows; evaluators are joined by |, null is empty. A column that results lack is an error."""
     flat = results.withColumn("evaluators", F.concat_ws("|", "evaluators"))
-    flat.select(*PIPELINE_COLUMNS).write.mode(_mode(overwrite)).option("header", True).csv(path)
+    flat.select(*PIPELINE_COLUMNS).write.mode(_mode(overwrite)).option("header", True).csv(path, compression=compression)
 
 
-def write_samples(samples: DataFrame, path: str, overwrite: bool = False) -> None:
-    write_jsonl(samples.select("sample_id", "question", "answer", "reference_answer", "claims", "contexts", "gold_state"), path, overwrite)
+def write_samples(samples: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
+    write_jsonl(samples.select("sample_id", "question", "answer", "reference_answer", "claims", "contexts", "gold_state"), path, overwrite, compression)
 
 
-def write_relations(relations: DataFrame, path: str, overwrite: bool = False) -> None:
-    write_jsonl(relations.select("sample_id", "claim_id", "doc_id", "evaluator", "p_support", "p_refute", "p_unknown", "evaluator_reliability"), path, overwrite)
+def write_relations(relations: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
+    write_jsonl(relations.select("sample_id", "claim_id", "doc_id", "evaluator", "p_support", "p_refute", "p_unknown", "evaluator_reliability"), path, overwrite, compression)
 
 
-def write_baseline_csv(decisions: DataFrame, path: str, evaluator: str, overwrite: bool = False) -> None:
+def write_baseline_csv(decisions: DataFrame, path: str, evaluator: str, overwrite: bool = False, compression: str = "none") -> None:
     """run_baselines() rows; evaluator is that of single_evaluator."""
     named = decisions.withColumn("evaluator", F.when(F.col("method") == "single_evaluator", evaluator)).withColumnRenamed("state", "predicted_state")
-    named.select(*BASELINE_COLUMNS).write.mode(_mode(overwrite)).option("header", True).csv(path)
+    named.select(*BASELINE_COLUMNS).write.mode(_mode(overwrite)).option("header", True).csv(path, compression=compression)
 
 
 def main_results(reports: DataFrame, classes: DataFrame, detection: DataFrame) -> DataFrame:

@@ -56,3 +56,29 @@ def test_rows_of_an_order_are_shuffled_once_for_all_resamples(spark, monkeypatch
     for made, want, value in zip(found, wanted, ("auroc", "aurc"), strict=True):
         a, b = ({(r["name"], r["resample"]): r[value] for r in x.collect()} for x in (made, want))
         assert a == pytest.approx(b) and len(a) == 20
+
+
+def test_files_that_are_digested_whole_have_few_lines(spark, tmp_path, monkeypatch):
+    from evidra.sources import files, writers
+
+    monkeypatch.setattr(writers, "FILE_LINES", 10)
+    for compression in ("none", "gzip"):
+        at = f"{tmp_path}/{compression}"
+        writers.write_jsonl(spark.range(0, 95, 1, 1), at, compression=compression)
+        assert files.matching(spark, f"{at}/part-*") == 10 and files.artifact(spark, at)["records"] == 95
+
+
+def test_relations_meet_nested_documents_in_one_shuffle(spark, tmp_path):
+    d = lines(spark, tmp_path)
+    one = F.struct("doc_id", "reliability", "pos")
+    samples = views.contexts(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("contexts"))
+    relations = views.evidence(spark, d).drop("pos", "doc_reliability").hint("merge")
+    made = fusion.nested_evidence(relations, samples)
+    fused = fusion.fuse_evaluators(fusion.fuse_documents(made))
+    shuffles = [x for x in fused._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("evaluator" in x.split("hashpartitioning")[1].split("),")[0] for x in shuffles)
+    wanted = fusion.join_evidence(relations, views.contexts(spark, d))
+    key = ["claim_id", "doc_id", "evaluator", "doc_reliability"]
+    assert sorted(made.select(key).collect()) == sorted(wanted.select(key).collect())
+    with pytest.raises(Exception, match="unknown document"):
+        fusion.nested_evidence(relations, samples.filter("sample_id <> 3")).collect()

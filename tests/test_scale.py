@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import draws
-from evidra.operators import fusion, metrics, ordered, resampling, running, tuning
+from evidra.functions.gating import BaselineThresholds
+from evidra.operators import baselines, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -68,6 +69,13 @@ def test_files_that_are_digested_whole_have_few_lines(spark, tmp_path, monkeypat
         assert files.matching(spark, f"{at}/part-*") == 10 and files.artifact(spark, at)["records"] == 95
 
 
+def test_baselines_read_the_evidence_once(spark, tmp_path):
+    claims = spark.range(45).selectExpr("id sample_id", "id claim_id", "'supported' gold_state")
+    done = baselines.run_baselines(claims, views.evidence(spark, lines(spark, tmp_path)), BaselineThresholds(), "e1")
+    assert done._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["method"]: r["count"] for r in done.groupBy("method").count().collect()} == dict.fromkeys(("weighted_average", "majority_vote", "single_evaluator", "conflict_aware"), 45)
+
+
 def test_relations_meet_nested_documents_in_one_shuffle(spark, tmp_path):
     d = lines(spark, tmp_path)
     one = F.struct("doc_id", "reliability", "pos")

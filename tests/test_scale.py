@@ -90,3 +90,12 @@ def test_relations_meet_nested_documents_in_one_shuffle(spark, tmp_path):
     assert sorted(made.select(key).collect()) == sorted(wanted.select(key).collect())
     with pytest.raises(Exception, match="unknown document"):
         fusion.nested_evidence(relations, samples.filter("sample_id <> 3")).collect()
+
+
+def test_labels_are_weighed_without_a_copy_for_each_resample(spark):
+    df = spark.range(300).selectExpr("id claim_id", "case when id % 5 > 0 then cast(id % 3 as string) end gold_state", "cast(id % 2 as string) predicted")
+    made = resampling.label_counts(df, ["gold_state", "predicted"], ["claim_id"], 8, 3)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    wanted = draws.resampled(df, ["claim_id"], 8, 3).groupBy("gold_state", "predicted", "resample").agg(F.sum("w").alias("w"))
+    a, b = (sorted(map(str, x.select("gold_state", "predicted", "resample", "w").collect())) for x in (made, wanted))
+    assert a == b and len(a) == 8 * 9

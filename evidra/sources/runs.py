@@ -120,7 +120,7 @@ def run_pipeline(spark: SparkSession, path: str, overwrite: bool | None = None)
         evidence = fusion.nested_evidence(relations, samples)
         return writers.pipeline_rows(fusion.run_pipeline(_claims(samples), evidence, run.gates), samples)
 
-    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_pipeline_csv(df, at, compression=run.compression))
+    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_pipeline_csv(df, at, False, run.compression))
 
 
 def run_baselines(spark: SparkSession, path: str, overwrite: bool | None = None) -> DataFrame:
@@ -132,4 +132,4 @@ def run_baselines(spark: SparkSession, path: str, overwrite: bool | None = None)
         evidence = fusion.nested_evidence(relations, samples)
         return baselines.run_baselines(_claims(samples), evidence, run.baseline, run.evaluator)
 
-    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_baseline_csv(df, at, run.evaluator, compression=run.compression))
+    return _finish(spark, run, overwrite, rows, lambda df, at: writers.write_baseline_csv(df, at, run.evaluator, False, run.compression))

@@ -33,7 +33,7 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, dict[str, DataFr
                 continue
             path = f"{version}/{split}_{kind}"
             write = {"samples": writers.write_samples, "relation_predictions": writers.write_relations}.get(kind, writers.write_jsonl)
-            write(of[kind], f"{folder}/{path}", False, compression)
+            write(of[kind], f"{folder}/{path}", **({} if compression == "none" else {"compression": compression}))
             own[kind] = files.artifact(spark, f"{folder}/{path}") | {"path": path}
         states = of["samples"].groupBy("gold_state").agg(F.count("*").alias("n")).orderBy("gold_state").collect()
         splits[split] = own | {"label_counts": {r["gold_state"]: r["n"] for r in states}}

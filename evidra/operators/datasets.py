@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.operators.tables import kept
+
 
 def normalised_text(text: Column) -> Column:
     """White space collapsed, trimmed, case folded: letters that differ in case only, or in a longer form as ß and ss, are
@@ -55,22 +60,64 @@ wasn weren won wouldn
 """.split()
 
 
+#: Passages that a task holds at once to weigh their terms, about (a document's are held together).
+PASSAGES = 4000
+
+
+def _term_counts(table: pa.Table, stop_words: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of passages (doc_id, passage, terms): the first row of each (document, passage), and by passage and term, as places in
+    these and among the distinct terms, how often a term occurs; stop words are left out."""
+    lists = table.column("terms").combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(lists.flatten())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    doc = pc.dictionary_encode(table.column("doc_id").combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    passage = table.column("passage").to_numpy().astype(np.int64)
+    _, first, own = np.unique(doc * (passage.max(initial=0) + 1) + passage, return_index=True, return_inverse=True)
+    code, number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+    plain = ~pc.is_in(coded.dictionary, pa.array(stop_words, pa.string())).to_numpy(zero_copy_only=False) if len(coded.dictionary) else np.ones(1, bool)
+    pair = np.repeat(own.astype(np.int64), size) * number + code
+    pair, times = np.unique(pair[plain[code]], return_counts=True)
+    return table.take(pa.array(first)), pair // number, pair % number, times, coded.dictionary
+
+
 def best_passage(queries: DataFrame, passages: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """Of each query (query_id, text) and document (doc_id, passage, text; query_id) the passage of the highest TF-IDF
-    cosine; ties and zeros go to the first. The vocabulary is that of the query's own passages and the query."""
-    flat = lambda df, *keys: df.select(*keys, F.explode(terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(stop_words)).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    text = flat(passages, "query_id", "doc_id", "passage")
-    asked = flat(queries, "query_id")
-    both = text.select("query_id", "term").unionAll(asked.select("query_id", "term"))
-    sizes = passages.groupBy("query_id").agg((F.count("*") + 1).alias("n"))
-    idf = both.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id").select("query_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = F.col("tf") * F.col("idf")
-    p = text.join(idf, ["query_id", "term"]).withColumn("w", weight)
-    q = asked.join(idf, ["query_id", "term"]).select("query_id", "term", weight.alias("qw"))
-    scored = p.join(q, ["query_id", "term"], "left").groupBy("query_id", "doc_id", "passage").agg((F.coalesce(F.sum(F.col("w") * F.col("qw")), F.lit(0.0)) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    every = passages.select("query_id", "doc_id", "passage").join(scored, ["query_id", "doc_id", "passage"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    by = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(F.round("score", 9)), "passage")
-    return every.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k")
+    cosine; ties and zeros go to the first. The vocabulary is that of the query's own passages and the query.
+
+    A query's passages are dealt to chunks by their document. A chunk counts its own terms; the counts, a row for each distinct
+    term of a chunk, meet by query and term, and the chunk's terms come back with their weights. No term of a passage is a row."""
+    kind = {c: passages.schema[c].dataType.simpleString() for c in ("query_id", "doc_id", "passage")}
+    own = kept(passages.select("query_id", "doc_id", "passage", "text"), "passages")
+    sizes = own.groupBy("query_id").agg(F.count("*").alias("_n"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("_n", F.lit(1)) / PASSAGES)).cast("int")
+    dealt = own.join(sizes, "query_id", "left").select("query_id", chunk.alias("_chunk"), "doc_id", "passage", "text").repartition("query_id", "_chunk")
+    dealt = dealt.select("query_id", "_chunk", "doc_id", "passage", terms(F.col("text")).alias("terms"))
+
+    def count(table: pa.Table) -> pa.Table:
+        _, _, code, _, words = _term_counts(table, stop_words)
+        found, times = np.unique(code, return_counts=True)
+        same = lambda c: pa.repeat(table.column(c)[0], len(found))
+        return pa.table({"query_id": same("query_id"), "_chunk": same("_chunk"), "term": words.take(pa.array(found)).cast(pa.string()), "k": pa.array(times, pa.int64())})
+
+    counts = kept(dealt.groupBy("query_id", "_chunk").applyInArrow(count, f"query_id {kind['query_id']}, _chunk int, term string, k long"), "terms")
+    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).filter(~F.col("term").isin(stop_words)).groupBy("query_id", "term").agg((1 + F.log(F.count("*"))).alias("_tf"))
+    df = F.sum("k").over(Window.partitionBy("query_id", "term")) + F.when(F.col("_tf").isNull(), 0).otherwise(1)
+    met = counts.join(asked, ["query_id", "term"], "left").join(sizes, "query_id", "left")
+    met = met.withColumn("idf", F.log((2 + F.coalesce("_n", F.lit(0))) / (1 + df)) + 1)
+    known = met.select("query_id", "_chunk", "term", "idf", (F.coalesce("_tf", F.lit(0.0)) * F.col("idf")).alias("asked"))
+
+    def score(table: pa.Table, weights: pa.Table) -> pa.Table:
+        first, row, code, times, words = _term_counts(table, stop_words)
+        at = pc.index_in(words.cast(pa.string()), weights.column("term").combine_chunks()).to_numpy(zero_copy_only=False)[code].astype(np.int64)
+        idf, asked = (weights.column(c).to_numpy()[at] for c in ("idf", "asked"))
+        w = (1 + np.log(times)) * idf
+        dot, norm = (np.bincount(row, x, first.num_rows) for x in (w * asked, w * w))
+        return first.select(["query_id", "doc_id", "passage"]).append_column("score", pa.array(np.divide(dot, np.sqrt(norm), out=np.zeros(len(dot)), where=norm > 0)))
+
+    scored = dealt.groupBy("query_id", "_chunk").cogroup(known.groupBy("query_id", "_chunk")).applyInArrow(score, ", ".join(f"{c} {t}" for c, t in kind.items()) + ", score double")
+    top = F.min(F.struct((-F.round("score", 9)).alias("least"), "passage", "score")).alias("_x")
+    return scored.groupBy("query_id", "doc_id").agg(top).select("query_id", "doc_id", "_x.passage", "_x.score")
 
 
 def numbered(df: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:

@@ -1,11 +1,14 @@
 """What grows with the tables is shuffled and worked out once."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds
-from evidra.operators import baselines, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, datasets, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -99,3 +102,28 @@ def test_labels_are_weighed_without_a_copy_for_each_resample(spark):
     wanted = draws.resampled(df, ["claim_id"], 8, 3).groupBy("gold_state", "predicted", "resample").agg(F.sum("w").alias("w"))
     a, b = (sorted(map(str, x.select("gold_state", "predicted", "resample", "w").collect())) for x in (made, wanted))
     assert a == b and len(a) == 8 * 9
+
+
+def test_passages_are_weighed_without_a_row_for_each_term(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "PASSAGES", 3)
+    text = lambda i: " ".join(f"w{i * k % 7}x" for k in range(1, 9)) + (" the" if i % 2 else "")
+    texts = {(i % 3, i // 2, i % 2): None if i == 13 else text(i) for i in range(24)}
+    asks = {0: "w1x w2x w2x the", 1: "w0x w5x", 2: "none"}
+    rows = spark.createDataFrame([(*k, t) for k, t in texts.items()], "query_id long, doc_id long, passage int, text string").coalesce(1)
+    asked = spark.createDataFrame(list(asks.items()), "query_id long, text string")
+    made = datasets.best_passage(asked, rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+    tf = lambda t: {w: 1 + math.log(n) for w, n in Counter(w for w in (t or "").split() if w != "the").items()}
+    wanted = {}
+    for q, ask in asks.items():
+        own = {(d, p): tf(t) for (x, d, p), t in texts.items() if x == q}
+        df = Counter(w for v in (*own.values(), tf(ask)) for w in v)
+        idf = {w: math.log((2 + len(own)) / (1 + n)) + 1 for w, n in df.items()}
+        for (d, p), v in sorted(own.items()):
+            norm = math.sqrt(sum((x * idf[w]) ** 2 for w, x in v.items()))
+            score = sum(x * idf[w] ** 2 * tf(ask).get(w, 0) for w, x in v.items()) / norm if norm else 0.0
+            if (q, d) not in wanted or round(score, 9) > round(wanted[q, d][1], 9):
+                wanted[q, d] = (p, score)
+    found = {(r["query_id"], r["doc_id"]): (r["passage"], r["score"]) for r in made.collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in wanted.items()}
+    assert {k: v[1] for k, v in found.items()} == pytest.approx({k: v[1] for k, v in wanted.items()})

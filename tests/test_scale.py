@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds
-from evidra.operators import baselines, datasets, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, datasets, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -127,3 +127,26 @@ def test_passages_are_weighed_without_a_row_for_each_term(spark, monkeypatch):
     found = {(r["query_id"], r["doc_id"]): (r["passage"], r["score"]) for r in made.collect()}
     assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in wanted.items()}
     assert {k: v[1] for k, v in found.items()} == pytest.approx({k: v[1] for k, v in wanted.items()})
+
+
+def test_reliabilities_meet_evidence_by_its_sample(spark, tmp_path):
+    e = views.evidence(spark, lines(spark, tmp_path)).hint("merge")
+    known = e.filter("evaluator = 'e2' AND doc_id < 3").select("sample_id", "doc_id", (F.col("p_support") / 2).alias("reliability"))
+    made = experiments.with_reliability(e, known)
+    plan = fusion.fuse_evaluators(fusion.fuse_documents(made))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("doc_id" in x.split("hashpartitioning")[1].split("),")[0] for x in shuffles)
+    wanted = e.join(known, ["sample_id", "doc_id"], "left").withColumn("doc_reliability", F.coalesce("reliability", "doc_reliability"))
+    key = ["claim_id", "doc_id", "evaluator", "doc_reliability"]
+    assert sorted(made.select(key).collect()) == sorted(wanted.select(key).collect())
+
+
+@pytest.mark.parametrize("one_bucket", [-1, 1 << 40])
+def test_auroc_outside_of_folds_comes_from_one_count_of_scores(spark, monkeypatch, one_bucket):
+    monkeypatch.setattr(running, "ONE_BUCKET", one_bucket)
+    df = spark.range(300).selectExpr("cast(id % 2 as string) name", "cast(id * 7 % 3 as int) fold", "cast(case when id % 5 = 0 then 1 else id * 37 % 23 end as double) score", "cast(id % 11 < 4 as int) positive")
+    df = df.unionByName(df.limit(3).selectExpr("'one' name", "1 fold", "score", "1 positive"))
+    wanted = metrics.detection_report(df.withColumn("outer", F.explode(tuning.outside(df, 3))), ["outer", "name"]).select("outer", "name", "auroc")
+    a, b = ({(r["outer"], r["name"]): r["auroc"] for r in x.collect()} for x in (metrics.auroc_outside(df, ["name"], 3), wanted))
+    assert a.keys() == b.keys() and len(a) == 8
+    assert {k: v for k, v in a.items() if v is not None} == pytest.approx({k: v for k, v in b.items() if v is not None})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds
-from evidra.operators import baselines, datasets, experiments, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, credibility, datasets, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -150,3 +150,45 @@ def test_auroc_outside_of_folds_comes_from_one_count_of_scores(spark, monkeypatc
     a, b = ({(r["outer"], r["name"]): r["auroc"] for r in x.collect()} for x in (metrics.auroc_outside(df, ["name"], 3), wanted))
     assert a.keys() == b.keys() and len(a) == 8
     assert {k: v for k, v in a.items() if v is not None} == pytest.approx({k: v for k, v in b.items() if v is not None})
+
+
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_auroc_without_resamples_needs_no_unit(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    score = "cast(case when id % 3 = 0 then 5 when id % 5 = 0 then 2 else id * 37 % 101 end as double) score"
+    df = spark.range(0, 400, 1, 3).selectExpr("cast(id % 2 as string) name", score, "cast(id % 7 < 3 as int) positive").unionByName(spark.sql("SELECT 'one' name, 1.0D score, 1 positive"))
+    a, b = ({r["name"]: r["auroc"] for r in x.collect()} for x in (resampling.auroc_resamples(df, 0, 0, ["name"], []), metrics.detection_report(df, ["name"])))
+    assert a.keys() == b.keys() and a["one"] is None and b["one"] is None
+    assert [a["0"], a["1"]] == pytest.approx([b["0"], b["1"]])
+
+
+def test_verdicts_are_read_for_their_counts_and_for_their_order(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    row = "cast(id % 2 as string) setting, 'ds' method, case when id % 3 = 0 then 'supported' else 'refuted' end gold_state, cast(id * 37 % 11 as double) margin, case when id % 5 = 0 then 'supported' else 'refuted' end predicted, false ds_undefined"
+    df = spark.range(300).selectExpr(row.split(", ")).mapInArrow(counted, "setting string, method string, gold_state string, margin double, predicted string, ds_undefined boolean")
+    kept(credibility.verdict_report(df, ["setting", "method"]), "out")
+    assert seen.value == 600
+
+
+def test_columns_that_variants_share_are_sorted_once(spark):
+    columns = ["score_support", "score_refute", "conflict_sr_std", "conflict_max_product", "conflict_doc_count", "insufficiency_mean", "insufficiency_uprod"]
+    stat = spark.range(90).selectExpr("'supported' gold_state", *(f"cast(id * {k + 3} % 41 as double) / 41 {c}" for k, c in enumerate(columns)))
+    long = experiments.stat_methods(stat, ["gold_state"])
+    assert long.count() == 540
+    for side, most in (("m_theta", 2), ("k_doc", 3)):
+        made, wanted = experiments.stat_grid(stat, side, 5), tuning.observed_grid(long, side, 5, ["method"])
+        assert sorted(made.select(wanted.columns).collect()) == sorted(wanted.collect())
+        assert len({str(r["value"]) + str(r["i"]) for r in made.collect()}) <= 5 * most
+
+
+def test_calibrated_relations_meet_documents_by_their_sample(spark, monkeypatch):
+    from evidra.plans import queries
+
+    monkeypatch.delattr(fusion, "join_evidence")
+    assert queries.calibrated_fusion(spark, "/root/testdata/sf0.001").count() > 0

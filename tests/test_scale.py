@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import draws
-from evidra.functions.gating import BaselineThresholds
+from evidra.functions.gating import BaselineThresholds, Thresholds
 from evidra.operators import baselines, credibility, datasets, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
@@ -29,6 +29,28 @@ def test_evidence_is_fused_where_its_lines_are_dealt(spark, tmp_path, levels):
     assert done.count() == 40 * levels
 
 
+def test_fused_claims_meet_their_claims_where_they_are(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    orders = "id as o_orderkey, cast(id as int) as o_custkey"
+    spark.range(50).selectExpr(*orders.split(", ")).write.parquet(f"{folder}/orders.parquet")
+    done = fusion.run_pipeline(views.claims(spark, folder), views.evidence(spark, folder), Thresholds())
+    # orders and lines are shuffled once each, fused claims aren't again
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = done.select("claim_id", "k_doc")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert sorted((r.claim_id, r.status) for r in done.collect()) == [(i, "normal" if i < 40 else "no_contexts") for i in range(50)]
+
+
+def test_an_order_of_millions_of_rows_is_no_single_bucket(spark, tmp_path):
+    """Estimates follow compressed files: these 6 million rows are about 25 MB."""
+    spark.range(6_000_000).selectExpr("id order_key", "id % 7 = 0 correct").write.parquet(f"{tmp_path}/rows")
+    assert running.is_large(spark.read.parquet(f"{tmp_path}/rows"))
+
+
 def test_large_inputs_of_an_order_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(running, "ONE_BUCKET", -1)
     seen = spark.sparkContext.accumulator(0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds, Thresholds
-from evidra.operators import baselines, credibility, datasets, experiments, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, credibility, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -51,6 +51,26 @@ def test_an_order_of_millions_of_rows_is_no_single_bucket(spark, tmp_path):
     assert running.is_large(spark.read.parquet(f"{tmp_path}/rows"))
 
 
+def test_claims_and_documents_meet_once_for_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(running, "ONE_BUCKET", -1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    results = spark.range(300).selectExpr("id sample_id", "cast(id * 37 % 101 as double) k_doc", "case when id % 3 = 0 then 'conflicting' else 'supported' end gold_state")
+    docs = spark.range(450).selectExpr("id % 300 sample_id", "id doc_id").mapInArrow(counted, "sample_id long, doc_id long")
+    found = {r.documents: (r.n, r.auroc) for r in kept(detection.auroc_by_document_count(results, docs), "out").collect()}
+    assert seen.value == 450
+    for documents, inside in ((1, range(150, 300)), (2, range(150))):
+        high, low = ([i * 37 % 101 for i in inside if (i % 3 == 0) == positive] for positive in (True, False))
+        assert found[documents] == (150, pytest.approx(sum((a > b) + (a == b) / 2 for a in high for b in low) / len(high) / len(low)))
+    one = docs.filter("doc_id < 300")
+    assert detection.auroc_by_document_count(results, one).count() == 0
+
+
 def test_large_inputs_of_an_order_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(running, "ONE_BUCKET", -1)
     seen = spark.sparkContext.accumulator(0)

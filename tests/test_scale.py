@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds, Thresholds
-from evidra.operators import baselines, credibility, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, credibility, cuts, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import views
 
@@ -234,3 +234,31 @@ def test_calibrated_relations_meet_documents_by_their_sample(spark, monkeypatch)
 
     monkeypatch.delattr(fusion, "join_evidence")
     assert queries.calibrated_fusion(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("edges", [2, 16])
+def test_thresholds_of_many_folds_come_from_counts(spark, monkeypatch, edges):
+    """Grids, searches and labels of folds equal those of rows that are copied for each fold they aren't in."""
+    monkeypatch.setattr(cuts, "EDGES", edges)
+    gold, variants = "element_at(array('supported', 'refuted', 'insufficient', 'conflicting'), cast(id % 4 + 1 as int)) gold_state", ["sr_std", "doc_count_uprod"]
+    columns = ["score_support", "score_refute", "conflict_sr_std", "conflict_doc_count", "insufficiency_mean", "insufficiency_uprod"]
+    seen = spark.range(240).selectExpr("id sample_id", "id claim_id", gold, "array(cast(id * 7 % 3 as int), cast(id * 11 % 5 % 3 + 3 as int)) fold", *(f"if(id % 17 = {k}, null, round(cast(id * {k + 3} % 41 as double) / 41, 9)) {c}" for k, c in enumerate(("m_support", "m_refute", "m_theta"))), "if(id % 2 = 0, 0.0, id * 13 % 97 / 97D) k_doc")
+    stat = spark.range(240).selectExpr("id sample_id", "id claim_id", gold, *(f"if(id % 3 = {k % 3}, 0.25, cast(id * {k + 5} % 53 as double) / 53) {c}" for k, c in enumerate(columns)))
+    wide, long = (kept(make(seen, stat, variants), "rows") for make in (experiments.gate_scores, experiments.gate_methods))
+    assert wide.count() == 240 and long.count() == 720
+    rows = [r for r in long.collect() if r.m_theta is not None]
+    grid = {(r.method, r.outer, r.i): r.value for r in tuning.inner_grid(long, "m_theta", 5, ["method"], 6).collect()}
+    for m in experiments.gate_columns(variants):
+        for f in range(6):
+            v, first = sorted(r.m_theta for r in rows if r.method == m and f not in r.fold), {}
+            for i in range(5):
+                first.setdefault(round(v[round(i / 4 * (len(v) - 1))], 6), i)
+            assert {i: x for (a, b, i), x in grid.items() if (a, b) == (m, f)} == {i: x for x, i in first.items()}
+    copied = long.withColumn("outer", F.explode(tuning.outside(long, 6)))
+    thetas, conflicts = (tuning.inner_grid(long, c, 5, ["method"], 6) for c in ("m_theta", "k_doc"))
+    wanted = tuning.search_observed(copied, thetas, conflicts, ["method", "outer"]).select("method", "outer", "theta", "conflict", F.round("macro_f1", 9))
+    made = tuning.search_observed(long, thetas, conflicts, ["method"], 6).select("method", "outer", "theta", "conflict", F.round("macro_f1", 9))
+    assert sorted(made.collect()) == sorted(wanted.collect()) and made.count() == 18
+    judged = experiments._gated(experiments._by_fold(long).join(experiments.tune_gates(long, 6, 5), ["method", "fold"])).groupBy("method", "fold", "gold_state", "predicted").count()
+    counts = experiments.judged_gates(wide, 6, 5, variants)
+    assert sorted(counts.select(*judged.columns[:4], "n").collect()) == sorted(judged.collect())

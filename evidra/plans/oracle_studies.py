@@ -200,7 +200,7 @@ ORACLE_SQL = {
         dv AS (SELECT a.method, a.metric, a.r, a.value - b.value AS value FROM lv a JOIN lv b USING (method, metric, r) WHERE a.side = 'predicted_a' AND b.side = 'predicted_b')
         SELECT method, metric, {R('observed AS difference', 'low', 'high', 'p_value')}, n_resamples, (SELECT max(n) FROM lv WHERE r < 0) AS n_claims FROM ({summary('dv', 'method, metric')})""",
     "paired_auroc_bootstrap": RES + STAT.removeprefix(SQL) + f", {TASKS}, " + drawn("rows", KEY, 50, "dr") + ", " + auroc_values("dr", "task, name") + ", " + rivals("av", "task", "ds") + " SELECT task, 'ds' AS reference, rival, " + CMP.replace("AS value_reference", "AS auroc_reference").replace("AS value_rival", "AS auroc_rival") + " FROM cmp",
-    "paired_selective_bootstrap": f"WITH {LONG}, risks AS (SELECT method AS name, claim_id, round(1 - confidence, 9) AS risk_score, claim_id AS order_key, (predicted = gold_state)::INT AS correct, risk_score AS score, 1 - correct AS positive FROM pred WHERE method IN ('ds', 'weighted_average')), " + drawn("risks", "claim_id::VARCHAR", 50, "dr") + ", " + auroc_values("dr", "name") + f", {AURC}, both_metrics AS (SELECT 'auroc' AS metric, * FROM av UNION ALL SELECT 'aurc', * FROM ac), " + rivals("both_metrics", "metric", "ds") + f" SELECT metric, 'ds' AS reference, rival, {CMP} FROM cmp",
+    "paired_selective_bootstrap": f"WITH {LONG}, risks AS (SELECT method AS name, claim_id, round(1 - confidence, 9) AS risk_score, claim_id AS order_key, (predicted = gold_state)::INT AS correct, risk_score AS score, 1 - correct AS positive FROM pred WHERE method IN ('ds', 'weighted_average')), " + drawn("risks", "claim_id::VARCHAR", 2000, "dr") + ", " + auroc_values("dr", "name") + f", {AURC}, both_metrics AS (SELECT 'auroc' AS metric, * FROM av UNION ALL SELECT 'aurc', * FROM ac), " + rivals("both_metrics", "metric", "ds") + f" SELECT metric, 'ds' AS reference, rival, {CMP} FROM cmp",
     "comparison_report": f"WITH {LONG}" + report("pred", "method") + ", rows AS (SELECT method, 'conflict' AS name, round(conflict_score, 9) AS score, (gold_state = 'conflicting')::INT AS positive FROM pred UNION ALL SELECT method, 'insufficiency', round(insufficiency_score, 9), (gold_state = 'insufficient')::INT FROM pred)" + detection("rows", "method, name") + f" SELECT r.method, {R('accuracy', 'macro_f1')}, r.n, " + ", ".join(f"round({t}.{c}, 6) AS {n}_{c}" for t, n in (("a", "conflict"), ("b", "insufficiency")) for c in ("auroc", "average_precision", "best_f1")) + " FROM rep r JOIN det a ON a.method = r.method AND a.name = 'conflict' JOIN det b ON b.method = r.method AND b.name = 'insufficiency'",
     "reliability_sweep": SQL + swept([(str(x), f"{x}::DOUBLE", f"{x}::DOUBLE", "false") for x in (0.25, 0.5, 0.75, 1.0)]) + f" SELECT mean_reliability AS level, {_SHOWN} FROM points",
     "reliability_sensitivity": _KNOWN + swept([*((str(x), f"{x}::DOUBLE", f"{x}::DOUBLE", "false") for x in (0.5, 1.0)), ("oracle", "(SELECT avg(reliability) FROM known)", "own", "true")]) + f" SELECT setting, round(mean_reliability, 6) AS mean_reliability, {_SHOWN}, is_oracle FROM points",

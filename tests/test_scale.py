@@ -10,7 +10,7 @@ from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds, Thresholds
 from evidra.operators import baselines, credibility, cuts, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
-from evidra.plans import views
+from evidra.plans import queries, views
 
 
 def lines(spark, folder, n=40):
@@ -262,3 +262,22 @@ def test_thresholds_of_many_folds_come_from_counts(spark, monkeypatch, edges):
     judged = experiments._gated(experiments._by_fold(long).join(experiments.tune_gates(long, 6, 5), ["method", "fold"])).groupBy("method", "fold", "gold_state", "predicted").count()
     counts = experiments.judged_gates(wide, 6, 5, variants)
     assert sorted(counts.select(*judged.columns[:4], "n").collect()) == sorted(judged.collect())
+
+
+def test_selective_answers_take_all_resamples(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    spark.range(50).selectExpr("id as o_orderkey").write.parquet(f"{folder}/orders.parquet")
+    found = queries.paired_selective_bootstrap(spark, folder).collect()
+    assert {r.metric: r.n_resamples for r in found} == {"auroc": 2000, "aurc": 2000}
+    assert queries.ORACLE_SQL["paired_selective_bootstrap"].count("range(-1, 2000)") == 1
+
+
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_both_metrics_of_selective_answers_come_from_one_order(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ordered, "PART_ROWS", part_rows)
+    score = "case when id % 3 = 0 then 5.0 when id % 5 = 0 then 2.0 else (id * 37) % 101 end"
+    df = spark.range(400).selectExpr("cast(id % 2 as string) name", "id * 7919 id", f"cast({score} as double) risk_score", "id order_key", "cast(id % 7 < 3 as int) correct")
+    aurocs, risks = ordered.selective_by_resample(df, metrics.coverages(), 9, 3, ["name"], ["id"])
+    wanted = resampling.auroc_resamples(df.selectExpr("name", "id", "risk_score score", "1 - correct positive"), 9, 3)
+    assert {(r["name"], r["resample"]): r["auroc"] for r in aurocs.collect()} == pytest.approx({(r["name"], r["resample"]): r["auroc"] for r in wanted.collect()})
+    assert risks.count() == 2 * 10 * 26

@@ -31,7 +31,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str],
 
 def _parsed(lines: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, Column]:
     """Lines with the record r of each, and whether one is wrong."""
-    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).filter(F.trim("value") != "")
+    marked = F.startswith("value", F.lit("\ufeff"))  # no pattern: every line is looked at, in the filter and as it is parsed
+    lines = lines.withColumn("value", F.when(marked, F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))).filter(F.trim("value") != "")
     known = [f.name for f in lines.sparkSession.createDataFrame([], schema).schema]
     parsed = lines.select("*", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.json_object_keys("value").alias("keys"))
     wrong = F.col("r").isNull() | F.col("keys").isNull() | (F.size(F.array_except("keys", F.array(*map(F.lit, known)))) > 0)

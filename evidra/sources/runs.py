@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.functions.gating import BaselineThresholds, Thresholds
 from evidra.operators import baselines, fusion
+from evidra.operators.tables import kept
 from evidra.sources import files, readers, writers
 
 # Keys of a configuration, and the fields that its thresholds are.
@@ -85,6 +86,11 @@ def read_run(spark: SparkSession, path: str, baseline: bool = False) -> Run:
     return Run(paths, gates, base, evaluator, overwrite, compression)
 
 
+def _inputs(spark: SparkSession, run: Run) -> tuple[DataFrame, DataFrame]:
+    """Samples, which claims, documents and texts are taken of, are parsed once; relations are read once."""
+    return kept(readers.read_samples(spark, run.paths["samples"]), "samples"), readers.read_relations(spark, run.paths["relation_predictions"])
+
+
 def _claims(samples: DataFrame) -> DataFrame:
     return readers.claims_of(samples).select(*fusion.CLAIM, "gold_state")
 
@@ -116,7 +122,7 @@ def run_pipeline(spark: SparkSession, path: str, overwrite: bool | None = None)
     run = read_run(spark, path)
 
     def rows() -> DataFrame:
-        samples, relations = (readers.read_samples(spark, run.paths["samples"]), readers.read_relations(spark, run.paths["relation_predictions"]))
+        samples, relations = _inputs(spark, run)
         evidence = fusion.nested_evidence(relations, samples)
         return writers.pipeline_rows(fusion.run_pipeline(_claims(samples), evidence, run.gates), samples)
 
@@ -128,7 +134,7 @@ def run_baselines(spark: SparkSession, path: str, overwrite: bool | None = None)
     run = read_run(spark, path, baseline=True)
 
     def rows() -> DataFrame:
-        samples, relations = (readers.read_samples(spark, run.paths["samples"]), readers.read_relations(spark, run.paths["relation_predictions"]))
+        samples, relations = _inputs(spark, run)
         evidence = fusion.nested_evidence(relations, samples)
         return baselines.run_baselines(_claims(samples), evidence, run.baseline, run.evaluator)
 

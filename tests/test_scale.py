@@ -11,6 +11,7 @@ from evidra.functions.gating import BaselineThresholds, Thresholds
 from evidra.operators import baselines, credibility, cuts, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
 from evidra.operators.tables import kept
 from evidra.plans import queries, views
+from evidra.sources import runs
 
 
 def lines(spark, folder, n=40):
@@ -281,3 +282,23 @@ def test_both_metrics_of_selective_answers_come_from_one_order(spark, monkeypatc
     wanted = resampling.auroc_resamples(df.selectExpr("name", "id", "risk_score score", "1 - correct positive"), 9, 3)
     assert {(r["name"], r["resample"]): r["auroc"] for r in aurocs.collect()} == pytest.approx({(r["name"], r["resample"]): r["auroc"] for r in wanted.collect()})
     assert risks.count() == 2 * 10 * 26
+
+
+def test_documents_are_looked_up_by_place(spark):
+    samples = spark.createDataFrame([("a", [("d1", 0.5), ("d2", 0.6)]), ("b", [("d1", 0.7), ("d1", 0.8)])], "sample_id string, contexts array<struct<doc_id:string,reliability:double>>")
+    relations = spark.createDataFrame([("a", "d2"), ("a", "d1"), ("b", "d1")], "sample_id string, doc_id string")
+    found = fusion.nested_evidence(relations, samples)
+    assert sorted(found.collect()) == [("a", "d1", 0, 0.5), ("a", "d2", 1, 0.6), ("b", "d1", 0, 0.7), ("b", "d1", 1, 0.8)]
+    assert "array_position" in found._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="unknown document: a/d3"):
+        fusion.nested_evidence(spark.createDataFrame([("a", "d3")], "sample_id string, doc_id string"), samples).collect()
+    with pytest.raises(Exception, match="unknown document: c/d1"):
+        fusion.nested_evidence(spark.createDataFrame([("c", "d1")], "sample_id string, doc_id string"), samples).collect()
+
+
+def test_runs_parse_samples_once(spark, tmp_path, monkeypatch):
+    parsed = []
+    monkeypatch.setattr(runs.readers, "read_samples", lambda spark, path: parsed.append(path) or spark.range(3).selectExpr("id sample_id"))
+    monkeypatch.setattr(runs.readers, "read_relations", lambda spark, path: None)
+    samples, _ = runs._inputs(spark, runs.Run({"samples": "s", "relation_predictions": "r"}, None, None, None, False, "none"))
+    assert parsed == ["s"] and "samples" in samples.inputFiles()[0]

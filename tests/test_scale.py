@@ -4,11 +4,12 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from evidra.functions import draws
 from evidra.functions.gating import BaselineThresholds, Thresholds
-from evidra.operators import baselines, credibility, cuts, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tuning
+from evidra.operators import baselines, credibility, cuts, datasets, detection, experiments, fusion, metrics, ordered, resampling, running, tables, tuning
 from evidra.operators.tables import kept
 from evidra.plans import queries, views
 from evidra.sources import runs
@@ -302,3 +303,30 @@ def test_runs_parse_samples_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runs.readers, "read_relations", lambda spark, path: None)
     samples, _ = runs._inputs(spark, runs.Run({"samples": "s", "relation_predictions": "r"}, None, None, None, False, "none"))
     assert parsed == ["s"] and "samples" in samples.inputFiles()[0]
+
+
+def test_kept_stages_are_compiled(spark):
+    former, seen = spark.conf.get(tables.LIMIT), []
+    write = DataFrameWriter.parquet
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(tables.LIMIT)) or write(self, path))
+        assert kept(spark.range(3), "rows").count() == 3
+    assert seen == ["8000"] and spark.conf.get(tables.LIMIT) == former
+
+
+@pytest.mark.parametrize("estimator", ["auroc", "macro_f1"])
+def test_estimated_reports_come_from_counts(spark, monkeypatch, estimator):
+    """Without evidence copied for each outer fold: claims without documents, documents that repeat and null weights among them."""
+    claims = spark.range(60).selectExpr("concat('s', id) sample_id", "concat('c', id) claim_id", "element_at(array('supported', 'refuted', 'insufficient', 'conflicting'), cast(id % 4 + 1 as int)) gold_state", "cast(id * 7 % 3 as int) fold")
+    p = "(id * 13 % 11 + 1) a", "(id * 7 % 5 + doc * 3) b", "(id * 5 % 7 + 2) c"
+    evidence = spark.range(57).selectExpr("*", "explode(sequence(0L, id % 4)) doc").selectExpr("*", "explode(array('e1', 'e2')) evaluator").selectExpr("*", *p).selectExpr(
+        "concat('s', id) sample_id", "concat('c', id) claim_id", "concat('d', doc % 3) doc_id", "cast(doc as int) pos", "evaluator", "if(evaluator = 'e1', 0.9D, 0.7D) evaluator_reliability", "if(id % 9 = 0, 0D, 1 / (1 + doc)) doc_reliability",
+        *(f"if(evaluator = 'e1', {x}, {y}) / (a + b + c) {n}" for x, y, n in (("a", "c", "p_support"), ("b", "a", "p_refute"), ("c", "b", "p_unknown"))))
+    evidence, claims = kept(evidence, "evidence"), kept(claims, "claims")
+    made = experiments.estimated_methods_report(claims, evidence, 3, 4, "e1", estimator)
+    wanted = metrics.classification_report(experiments.estimated_methods_cv(claims, evidence, 3, 4, "e1", estimator), ["method"])
+    a, b = ({r.method: (r.n, pytest.approx(r.accuracy), pytest.approx(r.macro_f1)) for r in x.collect()} for x in (made, wanted))
+    assert a == {m: (n, acc.expected, f1.expected) for m, (n, acc, f1) in b.items()} and len(a) == 11
+    rows = experiments.estimated_rows(claims, evidence, kept(experiments.estimates_by_fold(evidence, claims, 3, estimator).withColumnRenamed("fold", "outer"), "estimates"), 3, "e1")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Window")  # above what groups the evidence
